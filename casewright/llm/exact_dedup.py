@@ -24,10 +24,11 @@ HEAVY = 256
 
 
 def heavy_digests(keyed: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -> DataFrame:
-    """Up to `heavy` digests that may be frequent, from sketches merged in two levels."""
-    level = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch"))
-    top = level.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
-    return top.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("x")).where("x.count > 1").select(F.col("x.item").alias("digest"))
+    """Up to `heavy` digests that may be frequent: what is frequent overall is so in one of the 64 sketches."""
+    sketch = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch"))
+    items = sketch.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("x"))
+    counts = items.groupBy(F.col("x.item").alias("digest")).agg(F.sum("x.count").alias("n")).where("n > 1")
+    return counts.orderBy(F.desc("n"), "digest").limit(heavy).select("digest")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

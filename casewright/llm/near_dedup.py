@@ -3,10 +3,11 @@
 1. Each document gives the set of its distinct word shingles, `bands * rows` minima of universal hashes over the
    set, a key per band and a short signature (one byte per minimum).
 2. Documents with the same set form one class; only the smallest id of a class goes on.
-3. Star round: every class is compared with the smallest class that shares a band with it.
-4. Bands that still hold several components are compared block by block on signatures; only pairs whose
-   signatures can belong to linked sets come out.
-5. Both kinds of pairs are confirmed on full sets; confirmed links make components.
+3. Star rounds: every class is compared with the smallest class that shares a band with it, then, where a band
+   still holds several components, with the one nearest medoid of such bands. A round makes one pair a class.
+4. What still lies in bands with several components gets a long signature and is compared block by block; only
+   pairs whose signatures can belong to linked sets come out, each from the first band that it shares.
+5. All pairs are confirmed on full sets; confirmed links make components.
 
 Edge cases: null or wordless texts have an empty set, n_shingles 0 and stand alone; a text with fewer words than
 a shingle has one shingle, its whole sequence; rows with the same id are one document when they are reported by
@@ -31,8 +32,11 @@ BANDS, ROWS = 32, 4
 BLOCK = 512
 #: Rows from which a class of equal sets is joined by broadcast.
 HOT_CLASS = 1000
-#: Standard deviations below the expected agreement at which a pair's signatures rule it out.
-SIGMAS = 6.0
+#: Minima of the long signature, and the standard deviations below its expected agreement at which it rules a
+#: pair out: a linked pair is lost with a probability under 1e-6.
+LONG, SIGMAS = 1024, 5.0
+#: Star rounds about medoids. They only save work; the comparison in blocks that follows is complete.
+MEDOID_ROUNDS = 3
 
 
 def _shingles(words: np.ndarray, first: int, last: int, grams: np.ndarray, size: int) -> np.ndarray:
@@ -116,53 +120,108 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> D
     return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(partial(_confirm, threshold=threshold), "u long, v long")
 
 
-def _block_pairs(batches, least: int, threshold: float):
-    """Pairs of a block with other labels and agreeing signatures. Rows of a block come one after another."""
-
-    def pairs(rows: pa.Table):
-        ids, labels, sizes = (rows.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
-        sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        for i in range(len(ids) - 1):
-            near = (labels[i + 1 :] != labels[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i]))
-            at = i + 1 + np.flatnonzero(near)
-            if len(at):
-                at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
-                yield np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])
+def _long_signatures(batches, size: int, minima: int):
+    a, b = (constants(minima, seed) >> np.uint64(16) for seed in (17, 18))
+    a, b = (a.astype(np.uint32) | np.uint32(1))[:, None], b.astype(np.uint32)[:, None]
+    for batch in batches:
+        ids, out = [], []
+        for doc, found in shingle_sets(batch, size):
+            low = np.full(minima, 0xFFFFFFFF, np.uint32)
+            x = (found >> np.uint64(32)).astype(np.uint32)
+            for k in range(0, len(x), 256):
+                np.minimum(low, (a * x[None, k : k + 256] + b).min(axis=1), out=low)
+            ids.append(doc)
+            out.append((low * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_pydict({"id": ids, "long": out}, schema=pa.schema([("id", pa.int64()), ("long", pa.binary())]))
 
-    def flush(held):
-        got = list(pairs(pa.Table.from_batches(held).combine_chunks())) if held else []
-        if got:
-            v, u = (np.concatenate(x) for x in zip(*got))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+def _groups(batches, keys: list[str]):
+    """The rows of each group as one table; rows of a group come one after another."""
     held, last = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")])
+        key = np.stack([batch.column(c).to_numpy() for c in keys])
         cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), batch.num_rows]
         for s, e in zip(cuts, cuts[1:]):
             if (now := tuple(key[:, s])) != last:
-                yield from flush(held)
+                if held:
+                    yield last, pa.Table.from_batches(held)
                 held, last = [], now
             held.append(batch.slice(s, e - s))
-    yield from flush(held)
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _matrix(column, dtype=np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _medoid_pairs(batches):
+    """(id, medoid, agreement) for the rows of a block whose label isn't that of the block's medoid.
+
+    The medoid is the row that agrees best with the most common value of each signature byte.
+    """
+    for _, rows in _groups(batches, ["band", "own"]):
+        ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
+        if len(ids) < 2 or (labels == labels[0]).all():
+            continue
+        sig = _matrix(rows.column("signature"))
+        counts = np.zeros((sig.shape[1], 256), np.int64)
+        np.add.at(counts, (np.broadcast_to(np.arange(sig.shape[1]), sig.shape), sig), 1)
+        m = int((sig == counts.argmax(axis=1).astype(np.uint8)).sum(axis=1).argmax())
+        at = np.flatnonzero(labels != labels[m])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), ids[m])), pa.array((sig[at] == sig[m]).sum(axis=1))], ["id", "medoid", "agree"])
+
+
+def _least(threshold: float, minima: int, sigmas: float) -> int:
+    p = threshold + (1 - threshold) / 256
+    return int(np.floor(minima * p - sigmas * np.sqrt(minima * p * (1 - p))))
+
+
+def medoid_pairs(members: DataFrame, threshold: float, minima: int, block: int = BLOCK) -> DataFrame:
+    """For each id of members (band, id, label, signature) the nearest medoid with another label, as (u, v)."""
+    sized = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = members.join(sized, "band").select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), "id", "label", "signature")
+    found = rows.repartition("band", "own").sortWithinPartitions("band", "own", "id").mapInArrow(_medoid_pairs, "id long, medoid long, agree long")
+    best = found.where(F.col("agree") >= _least(threshold, minima, 6.0)).groupBy("id").agg(F.max_by("medoid", F.struct("agree", -F.col("medoid"))).alias("m"))
+    return best.select(F.greatest("id", "m").alias("u"), F.least("id", "m").alias("v")).distinct()
+
+
+def _block_pairs(batches, least: int, threshold: float):
+    """Pairs of a block with other labels and agreeing long signatures, where the band is the first they share."""
+    for (band, _, _), rows in _groups(batches, ["band", "i", "j"]):
+        ids, labels, sizes = (rows.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
+        sig, bands = _matrix(rows.column("long")), np.stack([np.asarray(x) for x in rows.column("bands").to_pylist()])
+        us, vs = [], []
+        for i in range(len(ids) - 1):
+            near = (labels[i + 1 :] != labels[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= (threshold - 1e-9) * np.maximum(sizes[i + 1 :], sizes[i]))
+            at = i + 1 + np.flatnonzero(near)
+            at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == band] if len(at) else at
+            at = at[(sig[at] == sig[i]).sum(axis=1) >= least] if len(at) else at
+            us.append(np.maximum(ids[at], ids[i]))
+            vs.append(np.minimum(ids[at], ids[i]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us or [ids[:0]])), pa.array(np.concatenate(vs or [ids[:0]]))], ["u", "v"])
 
 
 def crossing_pairs(members: DataFrame, threshold: float, minima: int, block: int = BLOCK) -> DataFrame:
-    """Pairs with different labels that share a band (band, id, label, n_shingles, signature) and may be linked.
+    """Pairs with different labels that share a band (band, id, label, n_shingles, bands, long) and may be linked.
 
     A band with over `block` members is dealt out to pairs of blocks, so that a task never holds more than two
     blocks of it.
     """
-    p = threshold + (1 - threshold) / 256
-    least = int(np.floor(minima * p - SIGMAS * np.sqrt(minima * p * (1 - p))))
-    sized = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    rows = members.join(sized, "band").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "signature")
+    sized = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = members.join(sized, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "bands", "long")
     dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    return dealt.mapInArrow(partial(_block_pairs, least=least, threshold=threshold), "u long, v long").distinct()
+    return dealt.mapInArrow(partial(_block_pairs, least=_least(threshold, minima, SIGMAS), threshold=threshold), "u long, v long").distinct()
+
+
+def _crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, id, label) of the bands that hold more than one component."""
+    labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
+    several = labelled.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
+    return materialise(labelled.join(several, "band", "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -176,14 +235,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = exploded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     members = materialise(exploded.join(shared.select("band", "low"), "band").select("band", "id", "low"))
 
-    star = materialise(members.where("id <> low").groupBy("id").agg(F.min("low").alias("v")).select(F.col("id").alias("u"), "v"))
-    links = materialise(confirm(star, narrow, threshold, size))
+    pairs = materialise(members.where("id <> low").groupBy("id").agg(F.min("low").alias("v")).select(F.col("id").alias("u"), "v"))
+    tested, links = pairs, materialise(confirm(pairs, narrow, threshold, size))
     labels = connected_components(links)
-    labelled = members.select("band", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-    left = materialise(labelled.join(labelled.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band"), "band", "left_semi").select("band", "id", "label"))
-    told = left.join(reps.select("id", "n_shingles", "signature"), "id")
-    crossing = materialise(crossing_pairs(told, threshold, bands * rows))
-    more = materialise(confirm(crossing, narrow, threshold, size))
+    left = _crossing(members.select("band", "id"), labels)
+    for _ in range(MEDOID_ROUNDS):
+        pairs = medoid_pairs(left.join(reps.select("id", "signature"), "id"), threshold, bands * rows)
+        pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti"))
+        more = materialise(confirm(pairs, narrow, threshold, size))
+        tested = tested.unionByName(pairs)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = connected_components(links)
+        left = _crossing(left.select("band", "id"), labels)
+    texts = bounded_join(narrow, left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    long = texts.mapInArrow(partial(_long_signatures, size=size, minima=LONG), "id long, long binary")
+    told = left.join(materialise(reps.join(long, "id").select("id", "n_shingles", "bands", "long")), "id")
+    pairs = materialise(crossing_pairs(told, threshold, LONG).join(tested, ["u", "v"], "left_anti"))
+    more = materialise(confirm(pairs, narrow, threshold, size))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
