@@ -3,10 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casewright.llm import exact_dedup, near_dedup
+from casewright.llm import bpe, exact_dedup, language_id, near_dedup, quality, secrets
 from casewright.llm.common import table
 
+#: The vocabulary of op7; the folder of public vocabularies isn't part of the repository.
+WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def fold(parts: int):
+    """crc32 of the id, as text, modulo the number of folds."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = language_id.train(docs.where(fold(4) != 2))
+    return language_id.identify(docs, models).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def quality_network(spark: SparkSession, sf_dir: str) -> quality.Network:
+    """The network of op5 and of the pipeline's first stage."""
+    labels = table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", "quality")
+    return quality.train(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_network(spark, sf_dir))
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, whole=False)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
@@ -18,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {f.__name__: f for f in (op9_minhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_quality_classifier, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": f"""
