@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import bpe, exact_dedup, language_id, near_dedup, quality, secrets
+from casewright.llm import bpe, exact_dedup, language_id, lm_score, near_dedup, quality, secrets, substring_dedup
 from casewright.llm.common import table
 
 #: The vocabulary of op7; the folder of public vocabularies isn't part of the repository.
@@ -17,6 +17,10 @@ def fold(parts: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = language_id.train(docs.where(fold(4) != 2))
@@ -34,6 +38,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, whole=False)
 
@@ -52,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_quality_classifier, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_lm_score, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": f"""
