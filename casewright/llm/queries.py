@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import bpe, exact_dedup, language_id, lm_score, near_dedup, quality, secrets, substring_dedup
+from casewright.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, quality, secrets, substring_dedup
 from casewright.llm.common import table
 
 #: The vocabulary of op7; the folder of public vocabularies isn't part of the repository.
@@ -17,6 +17,14 @@ def fold(parts: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -60,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_lm_score, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_lm_score, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": f"""
