@@ -65,11 +65,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that an equal text with a larger id replaces; all columns are kept."""
     groups = materialise(group_copies(materialise(digests(docs, id_col, text_col))).where("group_size > 1"))
-    by_key = groups.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    key = [F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256).eqNullSafe(F.col("digest")), docs[id_col].eqNullSafe(F.col("id"))]
-    left = bounded_join(docs, by_key.where("not kept").select("id", "digest"), key, "left_anti")
-    again = by_key.where("kept and n > 1").select("id", "digest")
+    by_key = groups.groupBy(F.col("id").alias("_copy_id"), F.col("digest").alias("_copy_digest")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    key = [F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256).eqNullSafe(F.col("_copy_digest")), docs[id_col].eqNullSafe(F.col("_copy_id"))]
+    left = bounded_join(docs, by_key.where("not kept").select("_copy_id", "_copy_digest"), key, "left_anti")
+    again = by_key.where("kept and n > 1").select("_copy_id", "_copy_digest")
     if again.isEmpty():
         return left
-    repeated = bounded_join(left, again, key, "left_semi").dropDuplicates([id_col, text_col])
-    return bounded_join(left, again, key, "left_anti").unionByName(repeated)
+    repeated = bounded_join(left, again, key, "left_semi").withColumn("_copy_digest", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    return bounded_join(left, again, key, "left_anti").unionByName(repeated.dropDuplicates([id_col, "_copy_digest"]).drop("_copy_digest"))

@@ -23,6 +23,8 @@ from casewright.llm.chunks import Words, by_bucket, in_chunks, lengths, to_chunk
 from casewright.llm.common import ngram_hashes
 
 ORDER, BACKOFF = 2, 0.4
+#: Smaller than the usual chunk: a task holds several arrays as long as the chunk has words.
+CHUNK_BYTES = 8 << 20
 
 
 def _grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +100,7 @@ def _score(key, rows: pa.Table, told: pa.Table, order: int, corpus: int) -> pa.T
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id, n_words, log_score (sum of log S over the words) and mean_log_score of each row."""
-    chunked, n = in_chunks(docs, id_col, text_col)
+    chunked, n = in_chunks(docs, id_col, text_col, CHUNK_BYTES)
     corpus = docs.agg(F.sum(F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")))).first()[0] or 0
 
     def send(rows: pa.Table) -> pa.Table:
