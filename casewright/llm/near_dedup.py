@@ -63,7 +63,7 @@ def _signatures(batches, size: int, bands: int, rows: int):
     a, b = (constants(bands * rows, seed) >> np.uint64(16) for seed in (7, 8))
     a, b = (a.astype(np.uint32) | np.uint32(1))[:, None], b.astype(np.uint32)[:, None]
     c = constants(rows, 9)
-    for batch in batches:
+    for batch in (piece for b in batches for piece in pieces(b, "text")):
         out = {"id": [], "n_shingles": [], "set_a": [], "set_b": [], "bands": [], "signature": []}
         for doc, found in shingle_sets(batch, size):
             out["id"].append(doc)
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _sets(batches, size: int):
-    for batch in batches:
+    for batch in (piece for b in batches for piece in pieces(b, "text")):
         got = list(shingle_sets(batch, size))
         yield pa.RecordBatch.from_pydict({"id": [d for d, _ in got], "shingles": [s.tobytes() for _, s in got]}, schema=pa.schema([("id", pa.int64()), ("shingles", pa.binary())]))
 
@@ -123,7 +123,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> D
 def _long_signatures(batches, size: int, minima: int):
     a, b = (constants(minima, seed) >> np.uint64(16) for seed in (17, 18))
     a, b = (a.astype(np.uint32) | np.uint32(1))[:, None], b.astype(np.uint32)[:, None]
-    for batch in batches:
+    for batch in (piece for b in batches for piece in pieces(b, "text")):
         ids, out = [], []
         for doc, found in shingle_sets(batch, size):
             low = np.full(minima, 0xFFFFFFFF, np.uint32)
