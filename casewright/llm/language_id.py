@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import materialise, mix, pieces
+from casewright.llm.common import bounded_join, materialise, mix, pieces
 
 ORDER = 4
 #: Documents of each language that a model is trained on, at most.
@@ -147,9 +147,13 @@ def _count(batches):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
     """Models and rejection thresholds by language, from at most per_language rows of docs each."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    first = Window.partitionBy("lang").orderBy("u", "id")
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sample = materialise(rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language))
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 31)))
+    # A language's share of hashes that holds about twice the wanted rows: only these are sorted, at any size.
+    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select("lang", (F.lit(2.0 * per_language * (1 << 31)) / F.col("rows")).alias("most"))
+    near = bounded_join(rows, materialise(share), "lang", "inner", limit=10_000).where("u < most").drop("most")
+    sample = materialise(near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).drop("u"))
     counts = sample.where("k % 10 <> 0").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     held = sample.where("k % 10 = 0").select("lang", "text").toPandas()
     models = {}
