@@ -15,6 +15,14 @@ def _star(pairs: DataFrame, keep) -> DataFrame:
     return linked.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u > v) are stars about their smallest nodes: no u has two links or is itself a v."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) for every node of `edges` (u, v); a component is called by its smallest node.
 
@@ -23,17 +31,23 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     empty result.
     """
     edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
     for _ in range(rounds):
+        if _settled(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialise(_star(both, F.col("v") > F.col("u")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialise(small.where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after further links (u, v): only the components that links touch are worked on."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v"))
+    merged = materialise(connected_components(between))
+    moved = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return moved.unionByName(merged.join(labels, "node", "left_anti"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import bounded_join, constants, join_hot, materialise, mix, ngram_hashes, pieces, split_words, utf8, word_hashes
-from casewright.llm.components import connected_components
+from casewright.llm.components import connected_components, merge_components
 
 BANDS, ROWS = 32, 4
 #: Members of a band that are compared in one block.
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = materialise(members.where("id <> low").groupBy("id").agg(F.min("low").alias("v")).select(F.col("id").alias("u"), "v"))
     tested, links = pairs, materialise(confirm(pairs, narrow, threshold, size))
-    labels = connected_components(links)
+    labels = materialise(connected_components(links))
     left = _crossing(members.select("band", "id"), labels)
     for _ in range(MEDOID_ROUNDS):
         pairs = medoid_pairs(left.join(reps.select("id", "signature"), "id"), threshold, bands * rows)
@@ -246,8 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested = tested.unionByName(pairs)
         if more.isEmpty():
             break
-        links = links.unionByName(more)
-        labels = connected_components(links)
+        labels = materialise(merge_components(labels, more))
         left = _crossing(left.select("band", "id"), labels)
     texts = bounded_join(narrow, left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     long = texts.mapInArrow(partial(_long_signatures, size=size, minima=LONG), "id long, long binary")
@@ -255,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialise(crossing_pairs(told, threshold, LONG).join(tested, ["u", "v"], "left_anti"))
     more = materialise(confirm(pairs, narrow, threshold, size))
     if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+        labels = materialise(merge_components(labels, more))
 
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*sets, "copies", F.coalesce("component", "rep").alias("component_id"))
     full = join_hot(signed.where("n_shingles > 0").select("id", *sets), named, sets, "copies", HOT_CLASS).select("id", "n_shingles", "component_id")

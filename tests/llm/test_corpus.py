@@ -8,7 +8,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from casewright.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, quality, queries, secrets, substring_dedup
-from casewright.llm.components import connected_components
+from casewright.llm.components import connected_components, merge_components
 
 LONG = " ".join(f"w{i}" for i in range(30000))
 BASE = " ".join(f"b{i}" for i in range(60))
@@ -99,6 +99,10 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
     assert connected_components(edges.limit(0)).count() == 0
+    more = spark.createDataFrame([(40, 101), (7, 200), (300, 301), (2, 3)], "u long, v long")
+    merged = {r["node"]: r["component"] for r in merge_components(connected_components(edges), more).collect()}
+    assert merged == {i: 1 for i in [*range(1, 41), 100, 101, 200]} | {300: 300, 301: 300}
+    assert merge_components(connected_components(edges), more.limit(0)).count() == 42 and merge_components(connected_components(edges.limit(0)), more.limit(0)).count() == 0
 
 
 def repeats(rows, window=13):
