@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
 from casewright.operators import changes as M
+from casewright.operators import records as K
 from casewright.operators import relational as R
 from casewright.operators import text as X
 from casewright.operators import vectors as V
@@ -89,3 +90,17 @@ def test_streams_agree_with_batch(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == want
+
+
+def test_records(spark, tmp_path):
+    assert spark.sql("SELECT '[1.5, 2]' v").select(K.parse_vector(F.col("v"))).first()[0] == [1.5, 2.0]
+    pairs = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), (None, "4")], "k string, v string")
+    assert K.config_map(pairs, "k", "v").first()["config"] == {"a": "2", "b": "3"}
+    nested = spark.createDataFrame([(1, [("x", 5), ("y", 6)]), (2, []), (3, None)], "id int, found array<struct<kind:string,n:int>>")
+    assert rows(K.explode_analysis(nested, ["id"], "found")) == [(1, 1, "x", 5), (1, 2, "y", 6), (2, None, None, None), (3, None, None, None)]
+    K.write_snapshot(pairs, str(tmp_path / "snap"), {"made": "today"})
+    K.write_snapshot(pairs.limit(1), str(tmp_path / "snap"), {"made": "later"})
+    assert spark.read.parquet(str(tmp_path / "snap")).count() == 1 and spark.read.parquet(str(tmp_path / "snap_meta")).first()["made"] == "later"
+    for _ in range(2):
+        K.append_log(pairs.where("k = 'b'"), str(tmp_path / "log"), ["k"])
+    assert rows(spark.read.parquet(str(tmp_path / "log"))) == [("b", '{"v":"3"}')] * 2
