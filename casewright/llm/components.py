@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from casewright.llm.common import materialise
 
 
-def _star(pairs: DataFrame, keep) -> DataFrame:
-    """Link the neighbours v of each u for which `keep` holds, and u itself, to the smallest of u and all v."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = pairs.join(low, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.where("u <> v").distinct()
-
-
 def _settled(edges: DataFrame) -> bool:
     """Whether edges (u > v) are stars about their smallest nodes: no u has two links or is itself a v."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
@@ -35,7 +28,9 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if _settled(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialise(_star(both, F.col("v") > F.col("u")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # m <= u < v, so that the links are (larger, smaller) as they come
+        large = materialise(both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialise(small.where("u <> v").distinct())

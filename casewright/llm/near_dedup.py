@@ -35,8 +35,9 @@ HOT_CLASS = 1000
 #: Minima of the long signature, and the standard deviations below its expected agreement at which it rules a
 #: pair out: a linked pair is lost with a probability under 1e-6.
 LONG, SIGMAS = 1024, 5.0
-#: Star rounds about medoids. They only save work; the comparison in blocks that follows is complete.
-MEDOID_ROUNDS = 3
+#: Star rounds about medoids at most; they go on while a round links this share of the documents it compares. They
+#: only save work; the comparison in blocks that follows is complete.
+MEDOID_ROUNDS, MEDOID_YIELD = 3, 0.05
 
 
 def _shingles(words: np.ndarray, first: int, last: int, grams: np.ndarray, size: int) -> np.ndarray:
@@ -243,11 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = medoid_pairs(left.join(reps.select("id", "signature"), "id"), threshold, bands * rows)
         pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti"))
         more = materialise(confirm(pairs, narrow, threshold, size))
-        tested = tested.unionByName(pairs)
-        if more.isEmpty():
+        tested, linked = tested.unionByName(pairs), more.count()
+        compared = left.select("id").distinct().count()
+        if linked:
+            labels = materialise(merge_components(labels, more))
+            left = _crossing(left.select("band", "id"), labels)
+        if linked <= MEDOID_YIELD * compared:
             break
-        labels = materialise(merge_components(labels, more))
-        left = _crossing(left.select("band", "id"), labels)
     texts = bounded_join(narrow, left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     long = texts.mapInArrow(partial(_long_signatures, size=size, minima=LONG), "id long, long binary")
     told = left.join(materialise(reps.join(long, "id").select("id", "n_shingles", "bands", "long")), "id")
