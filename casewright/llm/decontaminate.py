@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. One pass over the documents finds which n-grams of benchmark items each holds; their document frequencies are
-   counted over all documents.
-2. Each item's rarest n-grams are its seeds. A document that holds enough seeds of an item is a candidate for it.
-3. Around the seeds' places, document and item are aligned word by word (local alignment with gaps). The best
+1. One pass over the documents finds which n-grams of benchmark items each holds.
+2. A document that holds any n-gram of an item, rare or common, is a candidate for it.
+3. A candidate goes on if it has, near the n-grams, as many of the item's words as the threshold needs. Around the seeds' places, document and item are aligned word by word (local alignment with gaps). The best
    score, over the score of the item with itself, says how much of the item the document has, also where words
    were changed, added or left out.
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from casewright.llm import common
 from casewright.llm.common import bounded_join, materialise, ngram_hashes, pieces, utf8, word_hashes
 
-GRAM, SEEDS, ENOUGH = 3, 24, 2
+GRAM = 3
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_GRAMS = 1_000_000
@@ -98,32 +97,42 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), *where
 
 
-def _align(batches, items: dict[int, np.ndarray], seeds: dict[int, np.ndarray]):
+def _shared(doc: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> int:
+    """How many of an item's words (distinct ones and their counts) the stretch has: no alignment matches more."""
+    at = np.minimum(np.searchsorted(kinds, doc), len(kinds) - 1)
+    return int(np.minimum(np.bincount(at[kinds[at] == doc], minlength=len(kinds)), counts).sum())
+
+
+def _align(batches, items: dict[int, np.ndarray], seeds: dict[int, np.ndarray], threshold: float):
     for batch in batches:
         out = []
         for i in range(batch.num_rows):
             words, _ = _words(batch.column("text").slice(i, 1))
             doc = batch.column("id")[i].as_py()
+            hashes = {}
             for item in batch.column("items")[i].as_py():
                 wanted = items[item]
+                kinds, counts = np.unique(wanted, return_counts=True)
+                needed = threshold * len(wanted)
+                if _shared(words, kinds, counts) < needed:
+                    continue
                 n = min(GRAM, len(wanted))
-                h = ngram_hashes(words, n, seed=61 if n == GRAM else 70 + n)
-                at = np.flatnonzero(np.isin(h, seeds[item]))
-                reach = len(wanted) + len(wanted) // 4 + 8
-                best, end = (0.0, 0, 0), -1
-                for a in at.tolist():  # places within reach of one another are aligned together
-                    if a < end:
-                        continue
-                    lo, hi = max(0, a - reach), a + reach
-                    for b in at[at > a].tolist():
-                        if b > hi:
-                            break
-                        hi = b + reach
-                    end = hi
-                    for s in range(lo, min(hi, len(words)), 4096):  # long stretches in overlapping parts
-                        score, x, y = align(words[max(lo, s - 2 * reach) : min(hi, s + 4096)], wanted)
+                if n not in hashes:
+                    hashes[n] = ngram_hashes(words, n, seed=61 if n == GRAM else 70 + n)
+                places = np.flatnonzero(np.isin(hashes[n], seeds[item]))
+                # an alignment over the threshold spans at most the item and the words left in that its score can pay for
+                reach = len(wanted) + int(MATCH * max(0.0, 1 - threshold) * len(wanted) / -GAP) + n
+                best = (0.0, 0, 0)
+                for group in np.split(places, np.flatnonzero(np.diff(places) > reach) + 1) if len(places) else ():  # places within reach of one another are aligned together
+                    lo, hi = max(0, int(group[0]) - reach), min(int(group[-1]) + reach, len(words))
+                    for s in range(lo, hi, 4096):  # long stretches in overlapping parts
+                        first = max(lo, s - 2 * reach)
+                        part = words[first : min(hi, s + 4096)]
+                        if _shared(part, kinds, counts) < needed:
+                            continue
+                        score, x, y = align(part, wanted)
                         if score > best[0]:
-                            best = (score, max(lo, s - 2 * reach) + x, max(lo, s - 2 * reach) + y)
+                            best = (score, first + x, first + y)
                 out.append((doc, item, *best))
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         names = ["id", "item_id", "score", "first_word", "end_word"]
@@ -158,17 +167,11 @@ def _one_block(narrow: DataFrame, items: dict[int, np.ndarray], threshold: float
     grams = np.unique(np.concatenate(list(own.values())))
     sizes = sorted({min(GRAM, len(w)) for w in items.values()})
     hits = materialise(narrow.mapInArrow(partial(_hits, grams=grams, sizes=sizes), "id long, gram long"))
-    frequency = {r["gram"]: r["n"] for r in hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    seeds = {}
-    for item, mine in own.items():
-        found = mine.view(np.int64)
-        by = np.lexsort((found, np.array([frequency.get(g, 0) for g in found.tolist()])))
-        seeds[item] = mine[by[:SEEDS]]
-    pairs = spark.createDataFrame([(int(g), int(i), min(ENOUGH, len(s))) for i, s in seeds.items() for g in s.view(np.int64).tolist()], "gram long, item_id long, enough int")
-    candidates = hits.join(F.broadcast(pairs), "gram").groupBy("id", "item_id", "enough").agg(F.count(F.lit(1)).alias("n")).where("n >= enough").groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    pairs = spark.createDataFrame([(g, int(i)) for i, mine in own.items() for g in mine.view(np.int64).tolist()], "gram long, item_id long")
+    candidates = hits.join(F.broadcast(pairs), "gram").groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     candidates = materialise(candidates)
     texts = bounded_join(narrow, candidates, "id", "inner", limit=200_000)
-    aligned = texts.select("id", "text", "items").mapInArrow(partial(_align, items=items, seeds=seeds), "id long, item_id long, score double, first_word long, end_word long")
+    aligned = texts.select("id", "text", "items").mapInArrow(partial(_align, items=items, seeds=own, threshold=threshold), "id long, item_id long, score double, first_word long, end_word long")
     return aligned.where(F.col("score") >= threshold)
 
 

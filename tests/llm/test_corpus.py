@@ -207,6 +207,21 @@ def test_decontamination(spark):
     assert decontaminate.contamination(odd(spark, []), bench).count() == 0 == decontaminate.contamination(odd(spark), bench.limit(0)).count()
 
 
+def test_decontamination_of_edited_and_shortened_copies(spark):
+    """Copies that keep few of an item's n-grams, each by itself, so that no document holds the others."""
+    spread, long, short = [f"s{i}" for i in range(40)], [f"l{i}" for i in range(59)], [f"k{i}" for i in range(15)]
+    rows = [
+        (1, " ".join(f"e{i}" if i in (2, 7, 12, 17, 22, 27, 32, 37) else w for i, w in enumerate(spread)), "x"),  # (64 - 8) / 80
+        (2, " ".join(long[:34]), "x"),  # 34 / 59
+        (3, " ".join(f"e{i}" if i in (2, 5, 8, 12) else w for i, w in enumerate(short)), "x"),  # one trigram: (22 - 4) / 30
+        (4, BASE, "x"), (5, " ".join(long[:29]), "x"),
+        (6, " ".join(f"{w} x{i}" if i > 2 else w for i, w in enumerate(long)), "x"),  # (118 - 55) / 118, far from its only trigram
+    ]
+    bench = spark.createDataFrame([(1, " ".join(spread)), (2, " ".join(long)), (3, " ".join(short))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 2) for r in decontaminate.contamination(odd(spark, rows), bench).collect()}
+    assert got == {(1, 1): 0.7, (2, 2): 0.58, (3, 3): 0.6, (6, 2): 0.53}
+
+
 def test_pipeline(spark):
     """run() against its stages' own brute force where there is one: ids that are left, each stage on its input."""
     import corpus_pipeline
