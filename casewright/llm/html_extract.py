@@ -7,18 +7,20 @@ there. Each page then loses the branches of low importance, and branches that ar
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Where a page marks its
 article, only branches within it count.
 
-The tree of a host is made by two relational aggregates over (host, node), so no task holds a host; its verdicts
+The tree of a host is made by relational aggregates over (host, node) and its distinct pages, so no task holds a host; its verdicts
 (node paths, a few bytes each) are joined back by host.
 
 Edge cases: a null or empty html gives an empty text; pages without a valid host share one nameless host; open
-tags are closed by their parents' ends; nodes on fewer than `MIN_PAGES` pages of a host are never judged by
-entropy; repeated rows count as pages of their own; an empty table gives an empty result; other columns of the
+tags are closed by their parents' ends; nodes on fewer than `MIN_PAGES` distinct pages of a host are never judged by
+entropy; copies of a page (the same texts in the same nodes) count as one page of their host and are each extracted;
+an empty table gives an empty result; other columns of the
 input are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -69,8 +71,8 @@ def _drops(tag: str, attributes: str, article: bool) -> tuple[str, bool]:
     return style, hidden or found.get("role", "").lower() in _ROLES or bool(_NAMES.search(f"{found.get('class', '')} {found.get('id', '')}")) if found else False
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of text of a page, in page order."""
+def blocks(html: str, shapes: dict[str, list[str]] | None = None) -> list[Block]:
+    """The blocks of text of a page, in page order. `shapes` is filled with the child tags of each path."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, dropped, in article
     held: list[str] = []
@@ -111,6 +113,8 @@ def blocks(html: str) -> list[Block]:
                     pass
             continue
         if tag == "br":
+            if shapes is not None and stack:
+                shapes.setdefault(stack[-1][1], []).append(tag)
             held.append(" ")
             continue
         if tag not in _INLINE:
@@ -128,6 +132,8 @@ def blocks(html: str) -> list[Block]:
                         break
                     if stack[i][0] not in ("p", "td", "th", "tr", "li", "dt", "dd"):
                         break
+        if shapes is not None and stack:
+            shapes.setdefault(stack[-1][1], []).append(tag)
         if tag in _VOID or m[3].endswith("/"):
             continue
         if tag in _RAW:
@@ -141,7 +147,10 @@ def blocks(html: str) -> list[Block]:
                 flush()
             stack.append((tag, above[1], above[2] or dropped, above[3]))
             continue
-        stack.append((tag, f"{above[1]}/{tag}" + (f".{style}" if style else ""), above[2] or dropped, above[3] or tag in ("article", "main")))
+        path = f"{above[1]}/{tag}" + (f".{style}" if style else "")
+        if shapes is not None:
+            shapes.setdefault(path, []).append("|")  # another element of the path begins
+        stack.append((tag, path, above[2] or dropped, above[3] or tag in ("article", "main")))
     flush()
     return out
 
@@ -155,30 +164,38 @@ def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _digest(text: str) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _nodes(batches):
-    """(host, path, shape, content) for each node of the style tree on each page."""
+    """(host, page, path, shape, content) for each node of the style tree on each page, the last ones as digests.
+
+    A page is the digest of all its nodes.
+    """
     for batch in batches:
         for piece in pieces(batch, "html"):
-            hosts, paths, shapes, contents = [], [], [], []
+            rows = []
             for host, html in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
                 by: dict[str, list[str]] = {}
-                for b in blocks(html or ""):
+                shapes: dict[str, list[str]] = {}
+                for b in blocks(html or "", shapes):
                     if not b.dropped:
                         by.setdefault(b.path, []).append(b.text)
-                for path, texts in by.items():
-                    hosts.append(host)
-                    paths.append(path)
-                    shapes.append(min(len(texts), 1 << 30))
-                    contents.append("\n".join(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shapes, pa.int64()), pa.array(contents, pa.string())], ["host", "path", "shape", "content"])
+                nodes = [(path, _digest(" ".join(shapes.get(path, ()))), _digest("\n".join(texts))) for path, texts in by.items()]
+                page = blake2b(b"".join(_digest(path) + shape + content for path, shape, content in nodes), digest_size=16).digest()
+                rows += [(host, page, *node) for node in nodes]
+            kinds = (pa.string(), pa.binary(), pa.string(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["host", "page", "path", "shape", "content"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """Importance of each node (host, path) of pages (host, html): pages, presentation, content, importance.
 
-    A node's entropies have the number of its pages as base: 1 if every page differs, 0 if all are alike.
+    Copies of a page count once. A node's entropies have the number of its pages as base: 1 if every page differs, 0
+    if all are alike.
     """
-    nodes = pages.mapInArrow(_nodes, "host string, path string, shape long, content string").select("host", "path", "shape", F.xxhash64("content").alias("content"))
+    nodes = pages.mapInArrow(_nodes, "host string, page binary, path string, shape binary, content binary").distinct()
     kinds = nodes.groupBy("host", "path", "content", "shape").agg(F.count(F.lit(1)).alias("n"))
     contents = kinds.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.expr("n * ln(n)")).alias("s"))
     shapes = kinds.groupBy("host", "path", "shape").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum(F.expr("n * ln(n)")).alias("t"))

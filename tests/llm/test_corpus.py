@@ -195,6 +195,21 @@ def test_style_tree(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = lambda body: f"<body><div class=box>same on all</div><article><p>{body}</p></article></body>"
+    pages = [(i, "http://copies.example/x", page("the only page")) for i in range(20)]
+    pages += [(100 + i, "http://skewed.example/x", page("much copied")) for i in range(1000)] + [(2000 + i, "http://skewed.example/y", page(f"story {i}")) for i in range(10)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(df).collect()}
+    assert {got[i] for i in range(20)} == {"the only page"} and {got[100 + i] for i in range(1000)} == {"much copied"}
+    assert [got[2000 + i] for i in range(10)] == [f"story {i}" for i in range(10)]
+    tree = html_extract.style_tree(df.withColumn("host", F.lit("h")).select("host", "html"))
+    assert {r["pages"] for r in tree.collect()} == {12}
+    # as many texts, but other child tags
+    shaped = spark.createDataFrame([("h", f"<p>{'<b>x</b>' if i % 2 else '<i>x</i>'}<h1>{i}</h1>") for i in range(4)], "host string, html string")
+    assert {r["path"]: r["presentation"] for r in html_extract.style_tree(shaped).collect()}["/p"] == 0.5
+
+
 def test_decontamination(spark):
     item = "The quick brown fox, jumps over lazy dogs while seven wizards brew strange potions near old castle walls tonight"
     edited = item.replace("lazy", "sleepy").replace("seven ", "").replace("old", "very old")
