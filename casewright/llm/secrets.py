@@ -27,9 +27,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 #: A run of token characters that could be a secret, and the words before it that make the context sensitive.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"auth|bearer|credential|private|pwd|pass|secret|token|key|cert|signature|session|cookie|login|access", re.IGNORECASE)
 BEFORE, AROUND = 64, 256
+#: Longer runs are measured in overlapping pieces of this length.
+PIECE = 200
+#: Characters of runs, and the dot that joins them to one token.
+_CHAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
 #: Marginal compressed bytes for each character from which a string counts as incompressible.
 NOVEL = 0.55
 
@@ -59,14 +63,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _novel_part(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The novel part of a run: all of it, or in a long run from the first novel piece to the end of the last."""
+    if end - start <= PIECE:
+        return (start, end) if novelty(text, start, end) >= NOVEL else None
+    starts = [*range(start, end - PIECE, PIECE // 2), end - PIECE]
+    first = next((p for p in starts if novelty(text, p, p + PIECE) >= NOVEL), None)
+    if first is None:
+        return None
+    return first, next(p for p in reversed(starts) if p == first or novelty(text, p, p + PIECE) >= NOVEL) + PIECE
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found = []
+    chain, last = 0, -1  # where the dotted token of the last run began, and where that run ended
     for m in CANDIDATE.finditer(text) if any(c in text for c in "0123456789") else ():
         s, e = m.span()
-        if any(b[0] < e and s < b[2] for b in base) or not SENSITIVE.search(text, max(0, s - BEFORE), s):
+        head = s
+        while head > 0 and head != last and text[head - 1] in _CHAIN:
+            head -= 1
+        chain, last = chain if head == last else head, e
+        if any(b[0] < e and s < b[2] for b in base):
+            continue
+        # the later parts of a dotted token have the context of its beginning, too
+        if not SENSITIVE.search(text, max(0, s - BEFORE), s) and not SENSITIVE.search(text, max(0, chain - BEFORE), chain):
             continue
-        if novelty(text, s, e) >= NOVEL:
-            found.append((s, 3, e))
+        part = _novel_part(text, s, e)
+        if part:
+            found.append((part[0], 3, part[1]))
     return found
 
 

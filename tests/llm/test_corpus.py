@@ -181,6 +181,21 @@ def test_secrets(spark):
     assert secrets.scan_secrets(odd(spark, [])).count() == 0
 
 
+def test_long_secrets():
+    import base64
+    import random
+
+    made = lambda n, seed: base64.urlsafe_b64encode(random.Random(seed).randbytes(n)).decode().rstrip("=")
+    signature, payload, key = made(256, 1), made(300, 2), base64.b64encode(random.Random(3).randbytes(1200)).decode()
+    assert len(signature) == 342
+    found = lambda text: [(s, e) for s, _, e in secrets.novel_spans(text, [])]
+    assert found(f"Authorization: Bearer {signature} end") == [(22, 364)]
+    token = f"Authorization: Bearer {made(27, 4)}.{payload}.{signature}"
+    assert [token[s:e] for s, e in found(token)] == [made(27, 4), payload, signature]
+    assert found(f"private key {key}\n") == [(12, 12 + len(key))]
+    assert found(f"a picture {key}\n") == [] == found("private key " + "get_name_1/" * 60)
+
+
 def test_html():
     page = "<body><nav><ul><li>Menu</ul></nav><div class='cookie-notice'>x</div><header>H</header><article><header><h1>A &amp; B</h1></header><p>one <b>two</b>\n three<p>four<form>f</form><div id=comments>c</div><script>var a='<p>';</script></article><footer>z"
     assert html_extract.main_text(page) == "A & B\none two three\nfour"
