@@ -7,6 +7,9 @@ there. Each page then loses the branches of low importance, and branches that ar
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Where a page marks its
 article, only branches within it count.
 
+A branch that only its class or id names so stays if it has the page's <main>, its only <article> or most of its
+important text; reader comments go in any case. Names take nothing if they would take all.
+
 The tree of a host is made by relational aggregates over (host, node) and its distinct pages, so no task holds a host; its verdicts
 (node paths, a few bytes each) are joined back by host.
 
@@ -48,33 +51,46 @@ _NAMES = re.compile(
     r"nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|topbar|footer|foot|colophon|copyright|pagination|pager|toolbar|skip|search|byline-?links|tags|tagcloud|form|forms|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+_READERS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|comment-?list|disqus|respond|replies|reply)(?:$|[_-])", re.IGNORECASE)
+#: Names of a layout that has or lacks something, and of the head of a text.
+_LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]|^(?:entry|page|post|article|content|story|section)[_-]+(?:header|masthead)$", re.IGNORECASE)
+
+
+class Branch:
+    """An element that its names call no main text: whether they call it reader comments, and what it contains."""
+
+    __slots__ = ("readers", "article", "main")
+
+    def __init__(self, readers):
+        self.readers, self.article, self.main = readers, False, False
 
 
 class Block:
-    """A block of text: its path in the style tree, its text, whether its markup drops it and whether it is in an article."""
+    """A block of text: its path in the style tree, its text, whether its markup drops it, whether it is in an article and the named branches that it lies in."""
 
-    __slots__ = ("path", "text", "dropped", "article")
+    __slots__ = ("path", "text", "dropped", "article", "named")
 
-    def __init__(self, path, text, dropped, article):
-        self.path, self.text, self.dropped, self.article = path, text, dropped, article
+    def __init__(self, path, text, dropped, article, named=()):
+        self.path, self.text, self.dropped, self.article, self.named = path, text, dropped, article, named
 
 
-def _drops(tag: str, attributes: str, article: bool) -> tuple[str, bool]:
-    """The style of an element and whether its markup says that it is no main text."""
+def _drops(tag: str, attributes: str, article: bool) -> tuple[str, bool, Branch | None]:
+    """The style of an element, whether its markup says that it is no main text, and its branch if only its names do."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     style = " ".join(sorted(found.get("class", "").lower().split()))
     if tag in _DROPPED or (tag == "header" and not article):
-        return style, True
+        return style, True, None
     if tag in ("html", "body", "article", "main"):
-        return style, False
+        return style, False, None
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return style, hidden or found.get("role", "").lower() in _ROLES or bool(_NAMES.search(f"{found.get('class', '')} {found.get('id', '')}")) if found else False
+    names = [n for n in f"{found.get('class', '')} {found.get('id', '')}".split() if _NAMES.search(n) and not _LAYOUT.search(n)]
+    return style, hidden or found.get("role", "").lower() in _ROLES, Branch(any(_READERS.search(n) for n in names)) if names else None
 
 
 def blocks(html: str, shapes: dict[str, list[str]] | None = None) -> list[Block]:
     """The blocks of text of a page, in page order. `shapes` is filled with the child tags of each path."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, dropped, in article
+    stack: list[tuple[str, str, bool, bool, tuple]] = []  # tag, path, dropped, in article, named branches
     held: list[str] = []
 
     def flush() -> None:
@@ -82,8 +98,8 @@ def blocks(html: str, shapes: dict[str, list[str]] | None = None) -> list[Block]
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                _, path, dropped, article = next((s for s in reversed(stack) if s[0] not in _INLINE), ("", "", False, False))
-                out.append(Block(path, text, dropped, article))
+                _, path, dropped, article, _ = next((s for s in reversed(stack) if s[0] not in _INLINE), ("", "", False, False, ()))
+                out.append(Block(path, text, dropped, article, stack[-1][4] if stack else ()))
 
     position, end = 0, len(html)
     while position < end:
@@ -105,6 +121,8 @@ def blocks(html: str, shapes: dict[str, list[str]] | None = None) -> list[Block]
                 if at >= 0 and stack[at][0] == tag:
                     if stack[at][2]:
                         flush_inline(held, stack, out)
+                    elif stack[-1][4] != (stack[at - 1][4] if at else ()):
+                        flush()
                     del stack[at]
                 continue
             if any(s[0] == tag for s in stack):
@@ -140,17 +158,20 @@ def blocks(html: str, shapes: dict[str, list[str]] | None = None) -> list[Block]
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, position)
             position = close.end() if close else end
             continue
-        above = stack[-1] if stack else ("", "", False, False)
-        style, dropped = _drops(tag, m[3], above[3])
+        above = stack[-1] if stack else ("", "", False, False, ())
+        style, dropped, branch = _drops(tag, m[3], above[3])
+        named = (*above[4], branch) if branch else above[4]
         if tag in _INLINE:
-            if dropped:
+            if dropped or branch:
                 flush()
-            stack.append((tag, above[1], above[2] or dropped, above[3]))
+            stack.append((tag, above[1], above[2] or dropped, above[3], named))
             continue
+        for b in named if tag in ("article", "main") else ():
+            b.article, b.main = True, b.main or tag == "main"
         path = f"{above[1]}/{tag}" + (f".{style}" if style else "")
         if shapes is not None:
             shapes.setdefault(path, []).append("|")  # another element of the path begins
-        stack.append((tag, path, above[2] or dropped, above[3] or tag in ("article", "main")))
+        stack.append((tag, path, above[2] or dropped, above[3] or tag in ("article", "main"), named))
     flush()
     return out
 
@@ -205,10 +226,30 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def main_text(html: str, low: frozenset | set = frozenset()) -> str:
     """The main text of a page; `low` has the paths that the host's style tree judges as unimportant."""
-    kept = [b for b in blocks(html) if not b.dropped]
-    if any(b.article for b in kept):
-        kept = [b for b in kept if b.article]
-    return "\n".join(b.text for b in kept if not any(b.path == p or b.path.startswith(p + "/") for p in low))
+    dull = lambda b: any(b.path == p or b.path.startswith(p + "/") for p in low)
+    found = [b for b in blocks(html) if not b.dropped]
+    if any(b.named for b in found):
+        found = _without_named(found, [b for b in found if not dull(b)])
+    if any(b.article for b in found):
+        found = [b for b in found if b.article]
+    return "\n".join(b.text for b in found if not dull(b))
+
+
+def _without_named(found: list[Block], important: list[Block]) -> list[Block]:
+    """The blocks without those in branches that go by their names."""
+    total, sizes = sum(len(b.text) for b in important), {}
+    for b in important:
+        for branch in b.named:
+            sizes[branch] = sizes.get(branch, 0) + len(b.text)
+    elsewhere = any(b.article and not b.named for b in important)
+
+    def goes(branch: Branch) -> bool:
+        if branch.main or (branch.article and not branch.readers and not elsewhere):
+            return False
+        return branch.readers or 2 * sizes.get(branch, 0) <= total
+
+    stays = lambda b: not any(goes(branch) for branch in b.named)
+    return [b for b in found if stays(b)] if any(stays(b) for b in important) else found
 
 
 def _extract(batches):

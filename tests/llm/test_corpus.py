@@ -210,6 +210,20 @@ def test_style_tree(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_names_of_wrappers():
+    body = "<article><h1>Title</h1><p>The text of the article, long enough.</article>"
+    for wrapper in ("class='container has-sidebar'", "class=no-sidebar", "class=content-with-sidebar", "class=no-comments", "id=search-results", "class=menu"):
+        page = f"<body><div {wrapper}><div class=sidebar>side</div>{body}<div class='post-comments'>{'a comment ' * 50}</div></div>"
+        assert html_extract.main_text(page) == "Title\nThe text of the article, long enough.", wrapper
+        assert html_extract.main_text(f"<body><div {wrapper}><p>text without an article</div><div class=cookie-notice>cookies</div>") == "text without an article", wrapper
+    for name in ("entry-header", "page-header"):
+        assert html_extract.main_text(f"<article><div class={name}><h1>T</h1></div><p>some longer text</article>") == "T\nsome longer text"
+    assert html_extract.main_text("<article><h1>T</h1><div class=product-reviews><p>a long review</div></article>") == "T\na long review"
+    related = "<div class=related><article>other</article></div><ol class=comment-list><li><article>reader</article></ol>"
+    assert html_extract.main_text(f"<body>{body}{related}<p>one <span class=share>Share</span>") == "Title\nThe text of the article, long enough."
+    assert html_extract.main_text("<p>one longer text <span class=share>Share</span> two") == "one longer text\ntwo"
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = lambda body: f"<body><div class=box>same on all</div><article><p>{body}</p></article></body>"
     pages = [(i, "http://copies.example/x", page("the only page")) for i in range(20)]
