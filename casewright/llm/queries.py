@@ -47,7 +47,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,28 @@ def test_lm_scores(spark):
     assert lm_score.lm_scores(odd(spark), order=3).count() == len(ODD)
 
 
+def test_lm_query_scores_trigrams(spark, tmp_path):
+    """Brute force at order 3 on the query itself."""
+    from collections import Counter
+    from math import log
+
+    texts = {1: "a b c d", 2: "A b c e", 3: "x b c d", 4: "a b", 5: "q"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    split = {i: lower(t).split() for i, t in texts.items()}
+    grams = {i: Counter(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)) for i, w in split.items()}
+    want = {}
+    for i, w in split.items():
+        count = lambda g: sum(c[g] for j, c in grams.items() if j != i)  # noqa: B023, E731
+        others, want[i] = sum(len(v) for j, v in split.items() if j != i), 0.0
+        for k in range(len(w)):
+            longest = min(3, k + 1)
+            n = next((n for n in range(longest, 0, -1) if count(tuple(w[k - n + 1 : k + 1]))), 0)
+            s = count(tuple(w[k - n + 1 : k + 1])) / (count(tuple(w[k - n + 1 : k])) if n > 1 else others) if n else 1 / others
+            want[i] += log(s) + log(0.4) * (longest - max(n, 1))
+    got = {r["doc_id"]: r["log_score"] for r in queries.op6_lm_score(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_language_id(spark):
     r = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert r.where("lang = lang_pred").count() >= 0.98 * r.count()
