@@ -52,7 +52,11 @@ def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    chars = np.where(raw < 0x10000, _letters()[np.minimum(raw, 0xFFFF)], np.uint16(0xFFFD))
+    chars = _letters()[np.minimum(raw, 0xFFFF)]
+    high = raw >= 0x10000  # one sign for all letters beyond the basic plane
+    if high.any():
+        kinds, which = np.unique(raw[high], return_inverse=True)
+        chars[high] = np.array([0xFFFD if unicodedata.category(chr(k))[0] in "LM" else 0x20 for k in kinds.tolist()], np.uint16)[which]
     row = np.repeat(np.arange(len(texts)), sizes)
     space = chars == 0x20
     first = np.zeros(len(chars), bool)

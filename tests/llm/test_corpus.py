@@ -172,6 +172,12 @@ def test_language_id(spark):
     assert language_id.identify(odd(spark, []), models).count() == 0
 
 
+def test_language_of_signs_beyond_the_basic_plane(spark):
+    models = language_id.train(odd(spark))
+    rows = [(1, "😀😀 🎉🚀", "x"), (2, "𝟘𝟙𝟚𝟛 𐄇", "x"), (3, "𐌰𐌱𐌲𐌳", "x")]
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in language_id.identify(odd(spark, rows), models).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_quality(spark):
     r = queries.op5_quality_classifier(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").toPandas()
     good, bad = r[r.quality == 1].score.to_numpy(), r[r.quality == 0].score.to_numpy()
