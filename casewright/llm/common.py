@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles at once inside a task.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,27 +23,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where the setting is unset."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where the setting is unset in local mode."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _write(df: DataFrame, name: str) -> DataFrame:
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(name)
+    return df.sparkSession.read.schema(df.schema).parquet(name)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared checkpoint folder and read it back: its lineage ends there.
 
     The files go when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path, system = _path(df.sparkSession, name)
+    system.deleteOnExit(path)
+    return _write(df, name)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that materialises like `materialise`, whose tables all go at the end of the block."""
+    name = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path, system = _path(spark, name)
+    system.deleteOnExit(path)
+    try:
+        yield lambda df: _write(df, f"{name}/{uuid.uuid4().hex}")
+    finally:
+        system.delete(path, True)
 
 
 def small_enough(df: DataFrame, limit: int) -> bool:
@@ -53,12 +76,15 @@ def bounded_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = 5
     return left.join(F.broadcast(right) if small_enough(right, limit) else right, on, how)
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, hot: int) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, hot: int = 1000, most: int = 100_000) -> DataFrame:
     """Inner join to `right`, unique by `keys`, whose column `count` says how many left rows a key has.
 
-    Keys with `hot` rows or more (at most rows / hot of them) are broadcast, so that no task has to take all
-    rows of such a key; the others are shuffled.
+    Keys with `hot` rows or more are broadcast, so that no task has to take all rows of such a key; the others are
+    shuffled. Where that could be more than `most` keys, the bound is raised to rows / most: a key below it is no
+    larger than a fair share of `most` tasks.
     """
+    rows = right.agg(F.sum(count)).first()[0] or 0
+    hot = max(hot, rows // most)
     many = F.broadcast(right.where(F.col(count) >= hot))
     few = right.where(F.col(count) < hot)
     return left.join(many, keys).unionByName(left.join(many, keys, "left_anti").join(few, keys))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import materialise
+from casewright.llm.common import join_hot, materialise
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -16,33 +16,33 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 50, keep=materialise) -> DataFrame:
     """(node, component) for every node of `edges` (u, v); a component is called by its smallest node.
 
-    Each node's neighbours are reduced by a partial aggregate, so a hub is not gathered in one task; every round
-    is cut by a table in the shared checkpoint folder. Loops and repeated edges don't matter; no edges give an
+    Each node's neighbours are reduced by a partial aggregate and a hub's links are joined by a broadcast, so that it
+    is not gathered in one task; every round is cut by a table that `keep` writes into the shared folder. Loops and repeated edges don't matter; no edges give an
     empty result.
     """
-    edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
         if _settled(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
         # m <= u < v, so that the links are (larger, smaller) as they come
-        large = materialise(both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = keep(join_hot(both.where("v > u"), lowest, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct())
+        edges = keep(small.where("u <> v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merge_components(labels: DataFrame, links: DataFrame, keep=materialise) -> DataFrame:
     """labels (node, component) after further links (u, v): only the components that links touch are worked on."""
     of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v"))
-    merged = materialise(connected_components(between))
+    merged = keep(connected_components(between, keep=keep))
     moved = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
     return moved.unionByName(merged.join(labels, "node", "left_anti"))

@@ -1,18 +1,23 @@
 """MinHash near-duplicates: universal hash minima, banding, signature check, confirmation on full sets, components.
 
-1. Each document gives the set of its distinct word shingles, `bands * rows` minima of universal hashes over the
-   set, a key per band and a short signature (one byte per minimum).
-2. Documents with the same set form one class; only the smallest id of a class goes on.
-3. Star rounds: every class is compared with the smallest class that shares a band with it, then, where a band
+1. Each row gives the set of its distinct word shingles, `bands * rows` minima of universal hashes over the set, a
+   key per band and a short signature (one byte per minimum). Texts are read once; all later steps work on these.
+2. Rows with the same set form one class; only the first row of a class goes on.
+3. Star rounds: every class is compared with the first class that shares a band with it, then, where a band
    still holds several components, with the one nearest medoid of such bands. A round makes one pair a class.
 4. What still lies in bands with several components gets a long signature and is compared block by block; only
    pairs whose signatures can belong to linked sets come out, each from the first band that it shares.
-5. All pairs are confirmed on full sets; confirmed links make components.
+5. Pairs whose sizes and signatures can belong to linked sets are confirmed on full sets; confirmed links make
+   components.
+
+A band, hub or component that holds a large part of all rows is never gathered in one task: such keys are joined by
+a broadcast of a bounded number of keys, and a hub's set is copied to as many tasks as its pairs need.
 
 Edge cases: null or wordless texts have an empty set, n_shingles 0 and stand alone; a text with fewer words than
-a shingle has one shingle, its whole sequence; rows with the same id are one document when they are reported by
-id; rows with a null id are left out of linking; an empty table gives an empty result; other columns of the
-input are ignored, or kept by `drop_near_copies`.
+a shingle has one shingle, its whole sequence; every row is reported, and rows with the same id are rows of their
+own (those of the component's smallest id are kept, whatever their texts); a null id ranks after all other ids, so
+that it is kept only where nothing but null ids is linked with it; an empty table gives an empty result; other
+columns of the input are ignored, or kept by `drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -24,17 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import bounded_join, constants, join_hot, materialise, mix, ngram_hashes, pieces, split_words, utf8, word_hashes
+from casewright.llm.common import bounded_join, constants, join_hot, materialise, mix, ngram_hashes, pieces, scratch, split_words, utf8, word_hashes
 from casewright.llm.components import connected_components, merge_components
 
 BANDS, ROWS = 32, 4
-#: Members of a band that are compared in one block.
+#: Members of a band that are compared in one block, and pairs of a hub that meet one copy of its set.
 BLOCK = 512
-#: Rows from which a class of equal sets is joined by broadcast.
-HOT_CLASS = 1000
 #: Minima of the long signature, and the standard deviations below its expected agreement at which it rules a
-#: pair out: a linked pair is lost with a probability under 1e-6.
-LONG, SIGMAS = 1024, 5.0
+#: pair out: a linked pair is lost with a probability under 1e-6. The short signature takes SHORT_SIGMAS.
+LONG, SIGMAS, SHORT_SIGMAS = 1024, 5.0, 6.0
 #: Star rounds about medoids at most; they go on while a round links this share of the documents it compares. They
 #: only save work; the comparison in blocks that follows is complete.
 MEDOID_ROUNDS, MEDOID_YIELD = 3, 0.05
@@ -49,25 +52,43 @@ def _shingles(words: np.ndarray, first: int, last: int, grams: np.ndarray, size:
     return np.unique(grams[first : last - size + 1])
 
 
-def shingle_sets(batch: pa.RecordBatch, size: int):
-    """(position, id, set of shingle hashes, ascending) of each row of a batch (id, text)."""
-    for piece in pieces(batch, "text"):
-        data, offsets = utf8(piece.column("text"))
-        starts, ends, ranges = split_words(data, offsets)
-        words = word_hashes(data, starts, ends, lower=True)
-        grams = ngram_hashes(words, size)
-        for i, doc in enumerate(piece.column("id").to_pylist()):
-            yield doc, _shingles(words, ranges[i], ranges[i + 1], grams, size)
+def shingle_sets(piece: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    """The set of shingle hashes, ascending, of each row of a batch with a column text."""
+    data, offsets = utf8(piece.column("text"))
+    starts, ends, ranges = split_words(data, offsets)
+    words = word_hashes(data, starts, ends, lower=True)
+    grams = ngram_hashes(words, size)
+    return [_shingles(words, ranges[i], ranges[i + 1], grams, size) for i in range(piece.num_rows)]
+
+
+def _minima(found: np.ndarray, a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+    """The least value of each hash a * x + b over the upper halves of a set."""
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(x), step):
+        np.minimum(low, (a * x[None, k : k + step] + b).min(axis=1), out=low)
+    return low
+
+
+def _hashes(n: int, seeds: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (constants(n, seed) >> np.uint64(16) for seed in seeds)
+    return (a.astype(np.uint32) | np.uint32(1))[:, None], b.astype(np.uint32)[:, None]
+
+
+def _byte(low: np.ndarray) -> bytes:
+    return (low * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+_SIGNED = [("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())]
 
 
 def _signatures(batches, size: int, bands: int, rows: int):
-    a, b = (constants(bands * rows, seed) >> np.uint64(16) for seed in (7, 8))
-    a, b = (a.astype(np.uint32) | np.uint32(1))[:, None], b.astype(np.uint32)[:, None]
+    a, b = _hashes(bands * rows, (7, 8))
     c = constants(rows, 9)
-    for batch in (piece for b in batches for piece in pieces(b, "text")):
-        out = {"id": [], "n_shingles": [], "set_a": [], "set_b": [], "bands": [], "signature": []}
-        for doc, found in shingle_sets(batch, size):
-            out["id"].append(doc)
+    for piece in (p for batch in batches for p in pieces(batch, "text")):
+        sets = shingle_sets(piece, size)
+        out = {name: [] for name, _ in _SIGNED}
+        for found in sets:
             out["n_shingles"].append(len(found))
             out["set_a"].append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
             out["set_b"].append(int(mix(found * np.uint64(0xDA942042E4DD58B5)).sum(dtype=np.uint64).view(np.int64)))
@@ -75,65 +96,65 @@ def _signatures(batches, size: int, bands: int, rows: int):
                 out["bands"].append(None)
                 out["signature"].append(None)
                 continue
-            low = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
-            x = (found >> np.uint64(32)).astype(np.uint32)
-            for k in range(0, len(x), 2048):
-                np.minimum(low, (a * x[None, k : k + 2048] + b).min(axis=1), out=low)
+            low = _minima(found, a, b, 2048)
             keys = mix((low.reshape(bands, rows).astype(np.uint64) * c).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             out["bands"].append(keys.view(np.int64))
-            out["signature"].append((low * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())]))
+            out["signature"].append(_byte(low))
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        flat = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)))
+        columns = [piece.column("id"), piece.column("digest"), *(pa.array(out[name], kind) for name, kind in _SIGNED), flat]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "digest", *out, "shingles"])
+
 
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, digest (a hash of the text), n_shingles, set_a and set_b (128 bits that name the set), bands, signature and shingles of each row."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(partial(_signatures, size=size, bands=bands, rows=rows), "id long, digest long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, shingles array<long>")
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(partial(_signatures, size=size, bands=bands, rows=rows), "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary")
 
+def _with_both(pairs: DataFrame, of: DataFrame, *names: str) -> DataFrame:
+    """pairs (u, v) with the named columns of both ends in `of` (id, ...), as name_u and name_v.
+
+    The set of a node v with more than `BLOCK` pairs goes to several tasks, each with a part of the pairs.
+    """
+    many = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = bounded_join(pairs, many, "v", "left").withColumn("part", F.pmod(F.xxhash64("u"), parts).cast("int")).drop("parts")
 
-def _sets(batches, size: int):
-    for batch in (piece for b in batches for piece in pieces(b, "text")):
-        got = list(shingle_sets(batch, size))
-        yield pa.RecordBatch.from_pydict({"id": [d for d, _ in got], "shingles": [s.tobytes() for _, s in got]}, schema=pa.schema([("id", pa.int64()), ("shingles", pa.binary())]))
+    def end(name: str) -> DataFrame:
+        wanted = bounded_join(of, pairs.select(F.col(name).alias("id")).distinct(), "id", "left_semi")
+        return wanted.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in names))
 
+    copied = bounded_join(end("v"), many, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(end("u"), "u").join(copied, ["v", "part"])
 
-def _confirm(batches, threshold: float):
-    num = round(threshold * 100)
+
+def _agreeing(batches, least: int, threshold: float):
+    """The pairs whose sizes and short signatures can belong to linked sets."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_u"), batch.column("set_v")):
-            p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            small, large = (p, q) if len(p) <= len(q) else (q, p)
-            if len(small) * 100 < num * len(large):
-                keep.append(False)
-                continue
-            at = np.searchsorted(large, small)
-            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            keep.append(100 * both >= num * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs (u, v) of ids in docs (id, text) whose full sets reach the threshold."""
-    involved = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = bounded_join(docs, involved, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialise(texts.mapInArrow(partial(_sets, size=size), "id long, shingles binary"))
-    of = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"set_{name}"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(partial(_confirm, threshold=threshold), "u long, v long")
-
-
-def _long_signatures(batches, size: int, minima: int):
-    a, b = (constants(minima, seed) >> np.uint64(16) for seed in (17, 18))
-    a, b = (a.astype(np.uint32) | np.uint32(1))[:, None], b.astype(np.uint32)[:, None]
-    for batch in (piece for b in batches for piece in pieces(b, "text")):
-        ids, out = [], []
-        for doc, found in shingle_sets(batch, size):
-            low = np.full(minima, 0xFFFFFFFF, np.uint32)
-            x = (found >> np.uint64(32)).astype(np.uint32)
-            for k in range(0, len(x), 256):
-                np.minimum(low, (a * x[None, k : k + 256] + b).min(axis=1), out=low)
-            ids.append(doc)
-            out.append((low * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_pydict({"id": ids, "long": out}, schema=pa.schema([("id", pa.int64()), ("long", pa.binary())]))
+        m, n = (batch.column(f"n_shingles_{c}").to_numpy() for c in "uv")
+        near = np.minimum(m, n) >= (threshold - 1e-9) * np.maximum(m, n)
+        x, y = (_matrix(batch.column(f"signature_{c}")) for c in "uv")
+        near &= (x == y).sum(axis=1) >= least
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(near))
+
+
+def confirm(pairs: DataFrame, signed: DataFrame, threshold: float, minima: int, keep=materialise) -> DataFrame:
+    """The pairs (u, v) of ids in signed (id, n_shingles, signature, shingles) whose full sets reach the threshold."""
+    told = _with_both(pairs, signed, "n_shingles", "signature")
+    near = keep(told.mapInArrow(partial(_agreeing, least=_least(threshold, minima, SHORT_SIGMAS), threshold=threshold), "u long, v long"))
+    both = F.size(F.array_intersect("shingles_u", "shingles_v"))
+    union = F.size("shingles_u") + F.size("shingles_v") - both
+    return _with_both(near, signed, "shingles").where(100 * both >= round(threshold * 100) * union).select("u", "v")
+
+
+def _long_signatures(batches, minima: int):
+    a, b = _hashes(minima, (17, 18))
+    for batch in batches:
+        sets = batch.column("shingles")
+        values, ends = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
+        out = [_byte(_minima(values[s:e], a, b, 256)) for s, e in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "long"])
 
 
 def _groups(batches, keys: list[str]):
@@ -154,8 +175,8 @@ def _groups(batches, keys: list[str]):
         yield last, pa.Table.from_batches(held)
 
 
-def _matrix(column, dtype=np.uint8) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1 if len(column) else 1)
 
 
 def _medoid_pairs(batches):
@@ -180,12 +201,17 @@ def _least(threshold: float, minima: int, sigmas: float) -> int:
     return int(np.floor(minima * p - sigmas * np.sqrt(minima * p * (1 - p))))
 
 
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """members with the number of blocks of their band; only bands of several blocks are looked up."""
+    large = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    return bounded_join(members, large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
 def medoid_pairs(members: DataFrame, threshold: float, minima: int, block: int = BLOCK) -> DataFrame:
     """For each id of members (band, id, label, signature) the nearest medoid with another label, as (u, v)."""
-    sized = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = members.join(sized, "band").select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), "id", "label", "signature")
+    rows = _blocks(members, block).select("band", "own", "id", "label", "signature")
     found = rows.repartition("band", "own").sortWithinPartitions("band", "own", "id").mapInArrow(_medoid_pairs, "id long, medoid long, agree long")
-    best = found.where(F.col("agree") >= _least(threshold, minima, 6.0)).groupBy("id").agg(F.max_by("medoid", F.struct("agree", -F.col("medoid"))).alias("m"))
+    best = found.where(F.col("agree") >= _least(threshold, minima, SHORT_SIGMAS)).groupBy("id").agg(F.max_by("medoid", F.struct("agree", -F.col("medoid"))).alias("m"))
     return best.select(F.greatest("id", "m").alias("u"), F.least("id", "m").alias("v")).distinct()
 
 
@@ -211,61 +237,74 @@ def crossing_pairs(members: DataFrame, threshold: float, minima: int, block: int
     A band with over `block` members is dealt out to pairs of blocks, so that a task never holds more than two
     blocks of it.
     """
-    sized = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = members.join(sized, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "bands", "long")
+    rows = _blocks(members, block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "bands", "long")
     dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
     return dealt.mapInArrow(partial(_block_pairs, least=_least(threshold, minima, SIGMAS), threshold=threshold), "u long, v long").distinct()
 
 
-def _crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _crossing(members: DataFrame, labels: DataFrame, keep) -> DataFrame:
     """(band, id, label) of the bands that hold more than one component."""
-    labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
-    several = labelled.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
-    return materialise(labelled.join(several, "band", "left_semi"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per id: id, n_shingles, component_id, kept."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(signatures(docs, id_col, text_col, size, bands, rows))
-    sets = ["set_a", "set_b", "n_shingles"]
-    classes = materialise(signed.where("n_shingles > 0").groupBy(*sets).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "bands", "signature")
-    exploded = reps.select(F.explode("bands").alias("band"), "id")
-    shared = exploded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    members = materialise(exploded.join(shared.select("band", "low"), "band").select("band", "id", "low"))
-
-    pairs = materialise(members.where("id <> low").groupBy("id").agg(F.min("low").alias("v")).select(F.col("id").alias("u"), "v"))
-    tested, links = pairs, materialise(confirm(pairs, narrow, threshold, size))
-    labels = materialise(connected_components(links))
-    left = _crossing(members.select("band", "id"), labels)
+    labelled = keep(members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label")))
+    several = keep(labelled.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h").select("band", "n"))
+    return keep(join_hot(labelled, several, ["band"], "n").select("band", "id", "label"))
+
+
+def _components(signed: DataFrame, classes: DataFrame, threshold: float, minima: int, keep) -> DataFrame:
+    """(node, component) of the classes, as their first rows, that are linked with others."""
+    first = bounded_join(signed, classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    exploded = first.select(F.explode("bands").alias("band"), "id")
+    shared = keep(exploded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("band", "low", "n"))
+    members = keep(join_hot(exploded, shared, ["band"], "n").select("band", "id", "low"))
+
+    tested = keep(members.where("id <> low").groupBy("id").agg(F.min("low").alias("v")).select(F.col("id").alias("u"), "v"))
+    links = keep(confirm(tested, signed, threshold, minima, keep))
+    labels = keep(connected_components(links, keep=keep))
+    left = _crossing(members.select("band", "id"), labels, keep)
     for _ in range(MEDOID_ROUNDS):
-        pairs = medoid_pairs(left.join(reps.select("id", "signature"), "id"), threshold, bands * rows)
-        pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti"))
-        more = materialise(confirm(pairs, narrow, threshold, size))
+        pairs = medoid_pairs(left.join(bounded_join(signed, left.select("id").distinct(), "id", "left_semi").select("id", "signature"), "id"), threshold, minima)
+        pairs = keep(pairs.join(tested, ["u", "v"], "left_anti"))
+        more = keep(confirm(pairs, signed, threshold, minima, keep))
         tested, linked = tested.unionByName(pairs), more.count()
         compared = left.select("id").distinct().count()
         if linked:
-            labels = materialise(merge_components(labels, more))
-            left = _crossing(left.select("band", "id"), labels)
+            labels = keep(merge_components(labels, more, keep))
+            left = _crossing(left.select("band", "id"), labels, keep)
         if linked <= MEDOID_YIELD * compared:
             break
-    texts = bounded_join(narrow, left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    long = texts.mapInArrow(partial(_long_signatures, size=size, minima=LONG), "id long, long binary")
-    told = left.join(materialise(reps.join(long, "id").select("id", "n_shingles", "bands", "long")), "id")
-    pairs = materialise(crossing_pairs(told, threshold, LONG).join(tested, ["u", "v"], "left_anti"))
-    more = materialise(confirm(pairs, narrow, threshold, size))
-    if not more.isEmpty():
-        labels = materialise(merge_components(labels, more))
+    wanted = bounded_join(signed, left.select("id").distinct(), "id", "left_semi")
+    long = keep(wanted.select("id", "shingles").mapInArrow(partial(_long_signatures, minima=LONG), "id long, long binary"))
+    told = left.join(wanted.select("id", "n_shingles", "bands"), "id").join(long, "id")
+    pairs = keep(crossing_pairs(told, threshold, LONG).join(tested, ["u", "v"], "left_anti"))
+    more = keep(confirm(pairs, signed, threshold, minima, keep))
+    return labels if more.isEmpty() else keep(merge_components(labels, more, keep))
 
-    named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*sets, "copies", F.coalesce("component", "rep").alias("component_id"))
-    full = join_hot(signed.where("n_shingles > 0").select("id", *sets), named, sets, "copies", HOT_CLASS).select("id", "n_shingles", "component_id")
-    every = full.unionByName(signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
-    return every.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """id, digest, n_shingles, component_id and kept of each row, as a written table."""
+    sets = ["set_a", "set_b", "n_shingles"]
+    with scratch(docs.sparkSession) as keep:
+        every = keep(signatures(docs, id_col, text_col, size, bands, rows).withColumn("row", F.monotonically_increasing_id()))
+        full = every.where("n_shingles > 0")
+        signed = full.select(F.col("row").alias("id"), "n_shingles", "bands", "signature", "shingles")
+        classes = keep(full.groupBy(*sets).agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
+        labels = _components(signed, classes, threshold, bands * rows, keep)
+        sized = labels.join(classes.select(F.col("rep").alias("node"), "least"), "node")
+        tops = keep(sized.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+        named = join_hot(labels, tops, ["component"], "n").select(F.col("node").alias("rep"), F.lit(True).alias("linked"), "component_id")
+        of_set = keep(classes.join(named, "rep", "left").select(*sets, "copies", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")))
+        told = join_hot(full.select("id", "digest", *sets), of_set, sets, "copies").select("id", "digest", "n_shingles", "component_id")
+        alone = every.where("n_shingles = 0").select("id", "digest", "n_shingles", F.col("id").alias("component_id"))
+        return materialise(told.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row: id, n_shingles, component_id, kept."""
+    return _linked(docs, id_col, text_col, size, threshold, bands, rows).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs without the documents that are linked to one with a smaller id; all columns are kept."""
-    dropped = materialise(near_duplicates(docs, id_col, text_col, size, threshold).where("not kept").select(id_col).distinct())
-    return bounded_join(docs, dropped, id_col, "left_anti")
+    """docs without the rows that are linked to one with a smaller id; all columns are kept."""
+    linked = _linked(docs, id_col, text_col, size, threshold, BANDS, ROWS)
+    dropped = linked.where("not kept").select(F.col("id").alias("_near_id"), F.col("digest").alias("_near_digest")).distinct()
+    return bounded_join(docs, dropped, [docs[id_col].eqNullSafe(F.col("_near_id")), F.xxhash64(docs[text_col]) == F.col("_near_digest")], "left_anti")

@@ -5,15 +5,20 @@ rectified outputs are max-pooled in chunks of two blocks of `BLOCK` bytes that o
 maxima give its logit, and the mean of the chunks' logits gives the document's probability.
 
 The network is fitted by Adam on at most `limit` labelled documents, those with the smallest hash of the id (a
-parameter); scoring covers every byte of every document.
-
-Edge cases: a null or empty text is scored as one empty chunk; repeated rows are scored alike; without any
-labelled row, or with one class only, the score is the share of label 1 (0.5 if none); an empty table gives an
-empty result; other columns of the input are ignored, or kept by `keep_good`.
+parameter), and on every chunk of each. They are chosen among the labels alone, so only their texts are read into
+the driver. Scoring covers every byte of every document.
+
+Edge cases: a null or empty text is scored as one empty chunk; repeated rows are scored alike; ties of the hash go to
+the smaller id; of labelled documents with one id the smallest text counts, once for each label; labels without a
+document, null labels and null ids are left out; without any labelled row, or with one class only, the score is the
+share of label 1 (0.5 if none); an empty table gives an empty result; other columns of the input are ignored, or kept
+by `keep_good`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,17 +27,19 @@ from pyspark.sql import functions as F
 from casewright.llm.common import pieces, utf8
 
 WIDTH, FILTERS, BLOCK = 6, 24, 256
-#: Labelled documents that the network is fitted on, at most, and the chunks of each that one pass takes.
-LIMIT, CHUNKS, PASSES, STEP = 3000, 4, 8, 64
+#: Labelled documents that the network is fitted on, at most.
+LIMIT = 3000
+PASSES, STEP = 8, 64
+#: Blocks whose filter outputs are in memory at once.
+TOGETHER = 64
 
 
-def _responses(data: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    """Filter outputs at each byte; bytes beyond the end count as byte value 256."""
-    padded = np.concatenate([data.astype(np.int64), np.full(WIDTH - 1, 256)])
-    out = taps[0][padded[: len(data)]]
-    for k in range(1, WIDTH):
-        out += taps[k][padded[k : k + len(data)]]
-    return out
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The text's blocks, each with the bytes that its last filters reach into; 256 stands for what is beyond the end."""
+    n = max(1, -(-len(data) // BLOCK))
+    padded = np.full(n * BLOCK + WIDTH - 1, 256, np.int64)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.sliding_window_view(padded, BLOCK + WIDTH - 1)[::BLOCK]
 
 
 class Network:
@@ -43,18 +50,61 @@ class Network:
         self.out = rng.normal(0, 0.3, FILTERS).astype(np.float32)
         self.base = np.array([np.log(share / (1 - share))], np.float32)
 
+    def _responses(self, blocks: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Filter outputs (block, place, filter), some blocks at a time; places beyond a text's end have none."""
+        for s in range(0, len(blocks), TOGETHER):
+            at = slice(s, s + TOGETHER)
+            out = self.taps[0][blocks[at, :BLOCK]]
+            for k in range(1, WIDTH):
+                out += self.taps[k][blocks[at, k : k + BLOCK]]
+            for i in np.flatnonzero(sizes[at] < BLOCK):
+                out[i, sizes[s + i] :] = -np.inf
+            yield at, out
+
     def logit(self, data: np.ndarray) -> float:
         """Over all chunks of the text."""
-        if not len(data):
-            data = np.full(1, 256)
-        starts = np.arange(0, len(data), BLOCK)
-        blocks = np.concatenate([np.maximum.reduceat(_responses(data[s : s + 64 * BLOCK + WIDTH - 1], self.taps)[: 64 * BLOCK], np.arange(0, min(64 * BLOCK, len(data) - s), BLOCK)) for s in range(0, len(data), 64 * BLOCK)])
-        pooled = np.maximum(blocks[:-1], blocks[1:]) if len(starts) > 1 else blocks
+        blocks = _blocks(data)
+        sizes = np.full(len(blocks), BLOCK)
+        sizes[-1] = max(1, len(data) - BLOCK * (len(blocks) - 1))
+        tops = np.concatenate([out.max(axis=1) for _, out in self._responses(blocks, sizes)])
+        pooled = np.maximum(tops[:-1], tops[1:]) if len(tops) > 1 else tops
         return float((np.maximum(pooled + self.bias, 0) @ self.out).mean() + self.base[0])
 
+    def _gradients(self, arrays: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over some texts, all their chunks at once."""
+        parts = [_blocks(x) for x in arrays]
+        counts = np.array([len(p) for p in parts])
+        blocks = np.concatenate(parts)
+        ends = np.cumsum(counts)
+        sizes = np.full(len(blocks), BLOCK)
+        sizes[ends - 1] = [max(1, len(x) - BLOCK * (n - 1)) for x, n in zip(arrays, counts)]
+        tops, places = np.empty((len(blocks), FILTERS), np.float32), np.empty((len(blocks), FILTERS), np.int64)
+        for at, out in self._responses(blocks, sizes):
+            places[at] = out.argmax(axis=1)
+            tops[at] = np.take_along_axis(out, places[at][:, None], axis=1)[:, 0]
+        # a chunk is a block and the next one of its text; a text of one block is one chunk
+        single = np.repeat(counts == 1, counts)
+        first = np.flatnonzero(single | ~np.isin(np.arange(len(blocks)), ends - 1))
+        second = np.where(single[first], first, first + 1)
+        text = np.repeat(np.arange(len(arrays)), counts)[first]
+        n_chunks = np.bincount(text, minlength=len(arrays))
+        from_second = tops[second] > tops[first]
+        z = np.where(from_second, tops[second], tops[first]) + self.bias
+        h = np.maximum(z, 0)
+        logits = np.bincount(text, h @ self.out, minlength=len(arrays)) / n_chunks + self.base[0]
+        d = (1 / (1 + np.exp(-logits)) - labels) / len(arrays)
+        each = (d / n_chunks)[text]
+        back = (each[:, None] * self.out * (z > 0)).astype(np.float32)
+        grad = {"base": np.array([d.sum()], np.float32), "out": (each @ h).astype(np.float32), "bias": back.sum(axis=0), "taps": np.zeros_like(self.taps)}
+        block = np.where(from_second, second[:, None], first[:, None])
+        place = places[block, np.arange(FILTERS)]
+        for k in range(WIDTH):
+            np.add.at(grad["taps"][k], (blocks[block, place + k], np.arange(FILTERS)), back)
+        return grad
+
     def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 0) -> Network:
         rng = np.random.default_rng(seed)
-        arrays = [np.frombuffer(t, np.uint8).astype(np.int64) if t else np.full(1, 256) for t in texts]
+        arrays = [np.frombuffer(t, np.uint8) for t in texts]
         names = ("taps", "bias", "out", "base")
         first = {n: np.zeros_like(getattr(self, n)) for n in names}
         second = {n: np.zeros_like(getattr(self, n)) for n in names}
@@ -62,30 +112,8 @@ class Network:
         for _ in range(PASSES):
             order = rng.permutation(len(arrays))
             for s in range(0, len(order), STEP):
-                grad = {n: np.zeros_like(getattr(self, n)) for n in names}
                 batch = order[s : s + STEP]
-                for i in batch:
-                    x = arrays[i]
-                    n = max(1, -(-len(x) // BLOCK) - 1)
-                    chosen = rng.choice(n, min(n, CHUNKS), replace=False)
-                    parts = [x[c * BLOCK : (c + 2) * BLOCK] for c in chosen]
-                    tops, maxima = [], []
-                    for p in parts:
-                        r = _responses(p, self.taps)
-                        tops.append(r.argmax(axis=0))
-                        maxima.append(r.max(axis=0))
-                    z = np.stack(maxima) + self.bias
-                    h = np.maximum(z, 0)
-                    logit = (h @ self.out).mean() + self.base[0]
-                    d = (1 / (1 + np.exp(-logit)) - labels[i]) / len(batch)
-                    grad["out"] += d * h.mean(axis=0)
-                    grad["base"] += d
-                    back = d / len(parts) * self.out * (z > 0)
-                    grad["bias"] += back.sum(axis=0)
-                    for p, top, g in zip(parts, tops, back):
-                        padded = np.concatenate([p, np.full(WIDTH - 1, 256)])
-                        for k in range(WIDTH):
-                            grad["taps"][k, padded[top + k], np.arange(FILTERS)] += g
+                grad = self._gradients([arrays[i] for i in batch], labels[batch])
                 t += 1
                 for n in names:
                     g = grad[n] + (1e-5 * getattr(self, n) if n in ("taps", "out") else 0)
@@ -95,17 +123,23 @@ class Network:
         return self
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = LIMIT) -> Network:
-    """A network fitted on at most `limit` rows of labelled, chosen by a hash of the id."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    found = rows.orderBy(F.xxhash64("id"), "id", "text").limit(limit).toPandas()
-    labels = found["label"].to_numpy(np.float64)
-    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
-    net = Network(share=share)
-    if len(set(labels)) < 2:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = LIMIT) -> Network:
+    """A network fitted on the documents of at most `limit` rows of labels, chosen by a hash of the id.
+
+    The rows are chosen without the texts; a share of the hashes that holds about twice the wanted rows is sorted.
+    """
+    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 31)))
+    share = min(1.0, 2 * limit / max(1, rows.count()))
+    chosen = rows.where(F.col("u") <= share * (1 << 31)).orderBy("u", "id", "label").limit(limit).drop("u")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["id", "label"])
+    given = found["label"].to_numpy(np.float64)
+    net = Network(share=float(np.clip(given.mean(), 1e-3, 1 - 1e-3)) if len(given) else 0.5)
+    if len(set(given)) < 2:
         net.out[:] = 0
         return net
-    return net.fit([(t or "").encode() for t in found["text"]], labels)
+    return net.fit([t.encode() for t in found["text"]], given)
 
 
 def _score(batches, net: Network):

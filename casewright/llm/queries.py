@@ -38,7 +38,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_network(spark: SparkSession, sf_dir: str) -> quality.Network:
     """The network of op5 and of the pipeline's first stage."""
     labels = table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", "quality")
-    return quality.train(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return quality.train(table(spark, sf_dir, "documents"), labels)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

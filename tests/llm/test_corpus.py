@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -182,11 +183,41 @@ def test_quality(spark):
     r = queries.op5_quality_classifier(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").toPandas()
     good, bad = r[r.quality == 1].score.to_numpy(), r[r.quality == 0].score.to_numpy()
     assert (good[:, None] > bad[None, :]).mean() > 0.97
-    net = quality.train(odd(spark).withColumn("quality", F.lit(1)))
+    marked = lambda rows: odd(spark, rows).select("doc_id", F.lit(1).alias("quality"))
+    net = quality.train(odd(spark), marked(ODD))
     scored = quality.score(odd(spark), net).collect()
     assert len(scored) == len(ODD) and all(0 <= x["score"] <= 1 for x in scored)
     assert quality.keep_good(odd(spark), net).columns == odd(spark).columns
-    assert quality.score(odd(spark, []), quality.train(odd(spark, []).withColumn("quality", F.lit(1)))).count() == 0
+    assert quality.score(odd(spark, []), quality.train(odd(spark, []), marked([]))).count() == 0
+
+
+def test_quality_scores_by_hand(spark):
+    """Scores of odd texts against one place after another; gradients against differences."""
+    net = quality.Network(seed=3)
+    net.bias += 0.1
+
+    def by_hand(text):
+        data = [*text.encode(), *[256] * (quality.WIDTH - 1)]
+        seen = [sum(net.taps[k, data[i + k]] for k in range(quality.WIDTH)) for i in range(max(1, len(data) - quality.WIDTH + 1))] if text else [net.taps[:, 256].sum(axis=0)]
+        ends = range(0, len(seen), quality.BLOCK)
+        chunks = [seen[s : s + 2 * quality.BLOCK] for s in ends][: max(1, len(ends) - 1)]
+        logits = [np.maximum(np.max(c, axis=0) + net.bias, 0) @ net.out for c in chunks]
+        return 1 / (1 + np.exp(-(np.mean(logits) + net.base[0])))
+
+    rows = [(1, None, "x"), (2, "", "x"), (3, "a", "x"), (4, "ab " * 85 + "x", "x"), (5, "ab " * 86, "x"), (6, " ".join(f"w{i}" for i in range(700)), "x"), (6, "again", "x"), (None, "no id", "x")]
+    for r, (i, text, _) in zip(quality.score(odd(spark, rows).coalesce(1), net).collect(), rows):
+        assert r["doc_id"] == i and abs(r["score"] - by_hand(text or "")) < 1e-5
+    texts, given = [np.frombuffer(t.encode(), np.uint8) for t in ("abc" * 300, "", "xyz")], np.array([1.0, 0.0, 1.0])
+    loss = lambda: np.mean([np.log1p(np.exp(-z if y else z)) for z, y in zip([net.logit(t) for t in texts], given)])
+    grad = net._gradients(texts, given)
+    for name, at in (("out", (3,)), ("bias", (5,)), ("base", (0,)), ("taps", (2, ord("c"), 7)), ("taps", (0, 256, 1))):
+        was, step = getattr(net, name)[at], 1e-2
+        getattr(net, name)[at] = was + step
+        up = loss()
+        getattr(net, name)[at] = was - step
+        down = loss()
+        getattr(net, name)[at] = was
+        assert abs((up - down) / (2 * step) - grad[name][at]) < 2e-3, name
 
 
 def test_bpe_is_the_library(spark):
