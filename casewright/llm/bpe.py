@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from casewright.llm.common import pieces
 
 #: Words whose ids a worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: Bytes of text whose words are in a worker's memory at once.
+PIECE = 2 << 20
 
 
 def _byte_symbols() -> list[str]:
@@ -194,7 +196,7 @@ def vocabulary(path: str) -> Vocabulary:
 def _encode(batches, path: str, whole: bool):
     vocab = vocabulary(path)
     for batch in batches:
-        for piece in pieces(batch, "text", 16 << 20):
+        for piece in pieces(batch, "text", PIECE):
             found = vocab.encode([t or "" for t in piece.column("text").to_pylist()])
             out = {"n_tokens": pa.array([len(i) // 4 for i, _ in found], pa.int64())}
             out["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from casewright.llm import bpe, decontaminate, exact_dedup, html_extract, langua
 from casewright.llm.common import table
 
 #: The vocabulary of op7; the folder of public vocabularies isn't part of the repository.
-WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def fold(parts: int):
