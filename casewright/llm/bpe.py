@@ -28,9 +28,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import pieces
+from casewright.llm.common import pieces, tidy
 
-#: Words whose ids a worker remembers between batches.
+#: Words whose ids a task remembers between batches.
 REMEMBERED = 100_000
 #: Bytes of text whose words are in a worker's memory at once.
 PIECE = 2 << 20
@@ -172,8 +172,7 @@ class Vocabulary:
             parts = self.marks.split(text) if self.marks and self.marks.search(text) else [text]
             split.append([w for p in parts for w in ([p] if p in self.special else self.split(p))])
         if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-            self.texts.clear()
+            self.forget()
         if not self.ids:
             self.ids |= {t: np.uint32(i).astype("<u4").tobytes() for t, i in self.special.items()}
             self.texts |= {t: t for t in self.special}
@@ -184,6 +183,11 @@ class Vocabulary:
                 self.texts[word] = " ".join([self.tokens[i] for i in ids.tolist()])
         return [(b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.texts.__getitem__, words))) for words in split]
 
+    def forget(self) -> None:
+        """Drop the words that were remembered."""
+        self.ids.clear()
+        self.texts.clear()
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids)
 
@@ -206,6 +210,7 @@ def _encode(batches, path: str, whole: bool):
                 out["decoded"] = pa.array([d for _, d in found], pa.string())
             names = [n for n in piece.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), *out.values()], [*names, *out])
+    vocab.forget()
 
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -214,4 +219,4 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and, with `whole`, ids (array<int>) and decoded (string)."""
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(partial(_encode, path=path, whole=whole), f"`{id_col}` long, {DIGESTS}" + ", ids array<int>, decoded string" * whole)
+    return narrow.mapInArrow(tidy(partial(_encode, path=path, whole=whole)), f"`{id_col}` long, {DIGESTS}" + ", ids array<int>, decoded string" * whole)

@@ -1,6 +1,7 @@
 """Chunks of documents and the exchange of packed hashes between chunks and buckets.
 
-Documents are dealt to chunks of a few MB by a hash of their id, in one shuffle that later passes reuse. What a
+Documents are dealt to chunks of a few MB by a hash of their id and text, in one shuffle that later passes reuse;
+rows that share an id or have none are spread by their texts. What a
 chunk has to learn about the whole corpus (which hashes other chunks have, or how often) goes to buckets by hash
 range as packed arrays and comes back the same way. A chunk sends each distinct hash once, so a hash that a third
 of all documents hold costs a few bytes a chunk, and no bucket gathers documents.
@@ -10,11 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import PIECE_BYTES, split_words, utf8, word_hashes
 
+#: Stands for a null id.
+NO_ID = (1 << 63) - 1
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 12 << 20
 
@@ -23,7 +27,7 @@ def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CH
     """(chunk, id, text) and the number of chunks, which follows the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(4, -(-total // chunk_bytes))
-    chunk = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("long")
+    chunk = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(n)).cast("long")
     return docs.select(chunk.alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n
 
 
@@ -31,7 +35,8 @@ class Words:
     """The word hashes of a chunk's rows, row after row."""
 
     def __init__(self, rows: pa.Table, lower: bool = False):
-        self.ids = rows.column("id").to_numpy(zero_copy_only=False)
+        # 64-bit ids stay exact; a null id ranks after all others
+        self.ids = pc.fill_null(rows.column("id"), NO_ID).to_numpy()
         hashes, counts = [], []
         for start, stop in _pieces(rows):
             data, offsets = utf8(rows.column("text").slice(start, stop - start))
@@ -47,7 +52,7 @@ class Words:
 
 
 def _pieces(rows: pa.Table):
-    sizes = pa.compute.fill_null(pa.compute.binary_length(rows.column("text")), 0).to_numpy()
+    sizes = pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > PIECE_BYTES:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -66,6 +67,24 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         system.delete(path, True)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; Spark reuses a Python worker, and what it keeps would add to later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for mapInArrow whose worker gives back, when the task ends, the memory that it doesn't need."""
+
+    def run(batches):
+        yield from function(batches)
+        release_memory()
+
+    return run
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether df has at most `limit` rows; counts no further than that."""
     return df.limit(limit + 1).count() <= limit

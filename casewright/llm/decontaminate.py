@@ -10,13 +10,15 @@ Words are runs of ASCII letters, digits and all other non-ASCII characters, in l
 case don't matter. The items' n-grams go to the tasks in blocks of at most `BLOCK_GRAMS`, one pass for each block.
 
 Edge cases: null or empty texts and items have no words and match nothing; items with fewer words than an n-gram
-match if a document has all of them in a row; repeated rows are reported once per id and item; empty tables give
-an empty result; other columns of the input are ignored, or kept by `drop_contaminated`.
+match if a document has all of them in a row; a null id is an id like others; rows with one id are searched one by
+one and reported once per id and item, with their best score (of equal ones, the place that comes last); empty tables
+give an empty result; other columns of the input are ignored, or kept by `drop_contaminated`, which drops each row
+that holds an item itself.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import common
-from casewright.llm.common import bounded_join, materialise, ngram_hashes, pieces, utf8, word_hashes
+from casewright.llm.common import bounded_join, materialise, ngram_hashes, pieces, tidy, utf8, word_hashes
 
 GRAM = 3
 THRESHOLD = 0.5
@@ -65,7 +67,7 @@ def _hits(batches, grams: np.ndarray, sizes: list[int]):
                 hit = np.flatnonzero(inside & (grams[at] == h))
                 keys.append(np.stack([row[hit], at[hit]]))
             keys = np.unique(np.concatenate(keys, axis=1), axis=1) if keys else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(keys[0])), pa.array(grams[keys[1]].view(np.int64))], ["id", "gram"])
+            yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(keys[0])), piece.column("digest").take(pa.array(keys[0])), pa.array(grams[keys[1]].view(np.int64))], ["id", "digest", "gram"])
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
@@ -108,7 +110,7 @@ def _align(batches, items: dict[int, np.ndarray], seeds: dict[int, np.ndarray],
         out = []
         for i in range(batch.num_rows):
             words, _ = _words(batch.column("text").slice(i, 1))
-            doc = batch.column("id")[i].as_py()
+            doc = (batch.column("id")[i].as_py(), batch.column("digest")[i].as_py())
             hashes = {}
             for item in batch.column("items")[i].as_py():
                 wanted = items[item]
@@ -133,18 +135,18 @@ def _align(batches, items: dict[int, np.ndarray], seeds: dict[int, np.ndarray],
                         score, x, y = align(part, wanted)
                         if score > best[0]:
                             best = (score, first + x, first + y)
-                out.append((doc, item, *best))
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-        names = ["id", "item_id", "score", "first_word", "end_word"]
+                out.append((*doc, item, *best))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        names = ["id", "digest", "item_id", "score", "first_word", "end_word"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and benchmark item that it holds: id, item_id, score, first_word, end_word.
+FOUND = "id long, digest long, item_id long, score double, first_word long, end_word long"
 
-    Words are counted in the document's own words as defined above; end_word is exclusive.
-    """
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, threshold: float) -> DataFrame:
+    """id, digest of the text, item_id, score, first_word and end_word, for each row and item that it holds."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     parts, block, size = [], [], 0
     for row in benchmark.select(item_col, F.col("text")).where(F.col("text").isNotNull()).toLocalIterator():
         block.append(row)
@@ -153,9 +155,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             parts.append(_one_block(narrow, _items(block, item_col), threshold))
             block, size = [], 0
     parts.append(_one_block(narrow, _items(block, item_col), threshold))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document and benchmark item that it holds: id, item_id, score, first_word, end_word.
+
+    Words are counted in the document's own words as defined above; end_word is exclusive.
+    """
+    found = _found(docs, benchmark, id_col, text_col, item_col, threshold)
     return found.groupBy("id", "item_id").agg(F.max(F.struct("score", "first_word", "end_word")).alias("x")).select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "x.*")
 
 
@@ -163,19 +171,20 @@ def _one_block(narrow: DataFrame, items: dict[int, np.ndarray], threshold: float
     spark = narrow.sparkSession
     own = {i: np.unique(_grams(w)) for i, w in items.items()}
     if not own:
-        return spark.createDataFrame([], "id long, item_id long, score double, first_word long, end_word long")
+        return spark.createDataFrame([], FOUND)
     grams = np.unique(np.concatenate(list(own.values())))
     sizes = sorted({min(GRAM, len(w)) for w in items.values()})
-    hits = materialise(narrow.mapInArrow(partial(_hits, grams=grams, sizes=sizes), "id long, gram long"))
+    hits = materialise(narrow.mapInArrow(tidy(partial(_hits, grams=grams, sizes=sizes)), "id long, digest long, gram long"))
     pairs = spark.createDataFrame([(g, int(i)) for i, mine in own.items() for g in mine.view(np.int64).tolist()], "gram long, item_id long")
-    candidates = hits.join(F.broadcast(pairs), "gram").groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    candidates = materialise(candidates)
-    texts = bounded_join(narrow, candidates, "id", "inner", limit=200_000)
-    aligned = texts.select("id", "text", "items").mapInArrow(partial(_align, items=items, seeds=own, threshold=threshold), "id long, item_id long, score double, first_word long, end_word long")
+    candidates = hits.join(F.broadcast(pairs), "gram").groupBy("id", "digest").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    candidates = materialise(candidates.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "items"))
+    texts = bounded_join(narrow, candidates, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "inner", limit=200_000)
+    aligned = texts.select("id", "digest", "text", "items").mapInArrow(tidy(partial(_align, items=items, seeds=own, threshold=threshold)), FOUND)
     return aligned.where(F.col("score") >= threshold)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that hold a benchmark item; all columns are kept."""
-    found = materialise(contamination(docs, benchmark, id_col, text_col, item_col, threshold).select(id_col).distinct())
-    return bounded_join(docs, found, id_col, "left_anti")
+    found = _found(docs, benchmark, id_col, text_col, item_col, threshold).select(F.col("id").alias("_found_id"), F.col("digest").alias("_found_digest")).distinct()
+    key = [docs[id_col].eqNullSafe(F.col("_found_id")), F.xxhash64(docs[text_col]) == F.col("_found_digest")]
+    return bounded_join(docs, materialise(found), key, "left_anti")

@@ -1,28 +1,30 @@
 """Main text of web pages by site style trees.
 
 The DOMs of all pages of a host are merged into one style tree: pages whose elements lie on the same path of tags
-and classes share its nodes. A node has a presentation entropy, over the child sequences that its pages show, and
-a content entropy, over the texts that they hold; its importance is the share of new content that a page brings
-there. Each page then loses the branches of low importance, and branches that are no text by their markup: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Where a page marks its
-article, only branches within it count.
+and classes share its nodes, containers as well as blocks of text. A node has a presentation entropy, over the
+sequences of child tags that its pages show, and a content entropy, over the texts that they hold; its own importance
+is the greater one. A branch is as important as its most important node, so importance goes up the tree and a branch
+goes only if all of it is dull: if its importance is under `LOW` outside an article, under `LOW_INSIDE` within one.
+Each page also loses the branches that are no text by their markup: menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments. Where a page marks its article, only branches within it count.
 
 A branch that only its class or id names so stays if it has the page's <main>, its only <article> or most of its
-important text; reader comments go in any case. Names take nothing if they would take all.
+important text; reader comments go in any case. Names take nothing if they would take all. What goes from the middle
+of a block doesn't split it.
 
-The tree of a host is made by relational aggregates over (host, node) and its distinct pages, so no task holds a host; its verdicts
-(node paths, a few bytes each) are joined back by host.
+The tree of a host is made by relational aggregates over (host, node) and its distinct pages, so no task holds a
+host; its verdicts (node paths, a few bytes each) are joined back by host, by broadcast while they are few.
 
 Edge cases: a null or empty html gives an empty text; pages without a valid host share one nameless host; open
-tags are closed by their parents' ends; nodes on fewer than `MIN_PAGES` distinct pages of a host are never judged by
-entropy; copies of a page (the same texts in the same nodes) count as one page of their host and are each extracted;
-an empty table gives an empty result; other columns of the
-input are ignored.
+tags are closed by their parents' ends, and only void elements by "/>"; nodes on fewer than `MIN_PAGES` distinct pages
+of a host are never judged by entropy; copies of a page (the same texts in the same nodes) count as one page of their
+host and are each extracted; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from functools import partial
 from hashlib import blake2b
 from html import unescape
 
@@ -31,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import materialise, pieces
+from casewright.llm.common import bounded_join, materialise, pieces, tidy
 
-#: Pages of a host from which a node can be judged, and the importance below which it goes.
-MIN_PAGES, LOW = 8, 0.2
+#: Pages of a host from which a node can be judged, and the importance below which it goes, outside and within an article.
+MIN_PAGES, LOW, LOW_INSIDE = 8, 0.6, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
@@ -66,18 +68,22 @@ class Branch:
 
 
 class Block:
-    """A block of text: its path in the style tree, its text, whether its markup drops it, whether it is in an article and the named branches that it lies in."""
+    """A block of text: its path in the style tree, its pieces with the named branches that each lies in, and whether it is in an article."""
 
-    __slots__ = ("path", "text", "dropped", "article", "named")
+    __slots__ = ("path", "pieces", "article")
 
-    def __init__(self, path, text, dropped, article, named=()):
-        self.path, self.text, self.dropped, self.article, self.named = path, text, dropped, article, named
+    def __init__(self, path, pieces, article):
+        self.path, self.pieces, self.article = path, pieces, article
+
+    def text(self, goes=lambda branch: False) -> str:
+        """The text without the pieces that lie in a branch that goes."""
+        return " ".join("".join(text for text, named in self.pieces if not any(goes(b) for b in named)).split())
 
 
 def _drops(tag: str, attributes: str, article: bool) -> tuple[str, bool, Branch | None]:
     """The style of an element, whether its markup says that it is no main text, and its branch if only its names do."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
-    style = " ".join(sorted(found.get("class", "").lower().split()))
+    style = " ".join(sorted(found.get("class", "").lower().split())).replace("/", "%2f")
     if tag in _DROPPED or (tag == "header" and not article):
         return style, True, None
     if tag in ("html", "body", "article", "main"):
@@ -87,100 +93,98 @@ def _drops(tag: str, attributes: str, article: bool) -> tuple[str, bool, Branch
     return style, hidden or found.get("role", "").lower() in _ROLES, Branch(any(_READERS.search(n) for n in names)) if names else None
 
 
-def blocks(html: str, shapes: dict[str, list[str]] | None = None) -> list[Block]:
-    """The blocks of text of a page, in page order. `shapes` is filled with the child tags of each path."""
+def blocks(html: str, shapes: dict[str, list[str]] | None = None, markup: bool = True) -> list[Block]:
+    """The blocks of text of a page, in page order, without those that go by their markup.
+
+    `shapes` is filled with the child tags of each path. Without `markup` only what is never shown goes.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, tuple]] = []  # tag, path, dropped, in article, named branches
-    held: list[str] = []
+    stack: list[tuple[str, str, bool, bool, tuple, bool]] = []  # tag, path, dropped, in article, named branches, begins a branch
+    held: list[tuple[str, tuple]] = []
+    ground = ("", "", False, False, (), False)
+
+    def hold(text: str) -> None:
+        top = stack[-1] if stack else ground
+        if not top[2]:
+            held.append((text, top[4]))
 
     def flush() -> None:
         if held:
-            text = " ".join(unescape("".join(held)).split())
+            found = [(unescape(text), named) for text, named in held]
             held.clear()
-            if text:
-                _, path, dropped, article, _ = next((s for s in reversed(stack) if s[0] not in _INLINE), ("", "", False, False, ()))
-                out.append(Block(path, text, dropped, article, stack[-1][4] if stack else ()))
+            if any(text and not text.isspace() for text, _ in found):
+                _, path, _, article, *_ = next((s for s in reversed(stack) if s[0] not in _INLINE), ground)
+                out.append(Block(path, found, article))
 
     position, end = 0, len(html)
     while position < end:
         m = _TOKEN.search(html, position)
         if not m:
-            held.append(html[position:])
+            hold(html[position:])
             break
         if m.start() > position:
-            held.append(html[position : m.start()])
+            hold(html[position : m.start()])
         position = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                held.append(m[0][9:-3])
+                hold(m[0][9:-3])
             continue
         if m[1]:
             if tag in _INLINE:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or stack[i][0] not in _INLINE), -1)
                 if at >= 0 and stack[at][0] == tag:
-                    if stack[at][2]:
-                        flush_inline(held, stack, out)
-                    elif stack[-1][4] != (stack[at - 1][4] if at else ()):
-                        flush()
                     del stack[at]
-                continue
-            if any(s[0] == tag for s in stack):
+            elif any(s[0] == tag for s in stack):
                 flush()
                 while stack.pop()[0] != tag:
                     pass
             continue
         if tag == "br":
-            if shapes is not None and stack:
+            if shapes is not None and stack and not stack[-1][2]:
                 shapes.setdefault(stack[-1][1], []).append(tag)
-            held.append(" ")
+            hold(" ")
             continue
         if tag not in _INLINE:
             flush()
-            while stack and stack[-1][0] in _INLINE:
+            while stack and stack[-1][0] in _INLINE and not stack[-1][5]:
                 stack.pop()
-            if tag in _CLOSES or tag not in _INLINE:
-                closes = _CLOSES.get(tag, set()) | {"p"}
-                stop = _PARENTS.get(tag, set())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in stop:
-                        break
-                    if stack[i][0] in closes:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in ("p", "td", "th", "tr", "li", "dt", "dd"):
-                        break
-        if shapes is not None and stack:
-            shapes.setdefault(stack[-1][1], []).append(tag)
-        if tag in _VOID or m[3].endswith("/"):
+            closes = _CLOSES.get(tag, set()) | {"p"}
+            stop = _PARENTS.get(tag, set())
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in stop:
+                    break
+                if stack[i][0] in closes:
+                    del stack[i:]
+                    break
+                if stack[i][0] not in ("p", "td", "th", "tr", "li", "dt", "dd"):
+                    break
+        above = stack[-1] if stack else ground
+        if shapes is not None and stack and not above[2]:
+            shapes.setdefault(above[1], []).append(tag)
+        if tag in _VOID:
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, position)
             position = close.end() if close else end
             continue
-        above = stack[-1] if stack else ("", "", False, False, ())
         style, dropped, branch = _drops(tag, m[3], above[3])
+        if not markup:
+            dropped, branch = False, None
         named = (*above[4], branch) if branch else above[4]
         if tag in _INLINE:
-            if dropped or branch:
-                flush()
-            stack.append((tag, above[1], above[2] or dropped, above[3], named))
+            stack.append((tag, above[1], above[2] or dropped, above[3], named, dropped or branch is not None))
             continue
         for b in named if tag in ("article", "main") else ():
             b.article, b.main = True, b.main or tag == "main"
         path = f"{above[1]}/{tag}" + (f".{style}" if style else "")
-        if shapes is not None:
+        if shapes is not None and not (above[2] or dropped):
             shapes.setdefault(path, []).append("|")  # another element of the path begins
-        stack.append((tag, path, above[2] or dropped, above[3] or tag in ("article", "main"), named))
+        stack.append((tag, path, above[2] or dropped, above[3] or tag in ("article", "main"), named, dropped or branch is not None))
     flush()
     return out
 
 
-def flush_inline(held: list[str], stack: list, out: list[Block]) -> None:
-    """Text inside an inline element that its markup drops leaves the block."""
-    held.clear()
-
-
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -189,10 +193,10 @@ def _digest(text: str) -> bytes:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _nodes(batches):
+def _nodes(batches, markup: bool):
     """(host, page, path, shape, content) for each node of the style tree on each page, the last ones as digests.
 
-    A page is the digest of all its nodes.
+    A page is the digest of all its nodes; a node without text of its own has no content.
     """
     for batch in batches:
         for piece in pieces(batch, "html"):
@@ -200,69 +204,96 @@ def _nodes(batches):
             for host, html in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
                 by: dict[str, list[str]] = {}
                 shapes: dict[str, list[str]] = {}
-                for b in blocks(html or "", shapes):
-                    if not b.dropped:
-                        by.setdefault(b.path, []).append(b.text)
-                nodes = [(path, _digest(" ".join(shapes.get(path, ()))), _digest("\n".join(texts))) for path, texts in by.items()]
-                page = blake2b(b"".join(_digest(path) + shape + content for path, shape, content in nodes), digest_size=16).digest()
+                for b in blocks(html or "", shapes, markup):
+                    by.setdefault(b.path, []).append(b.text())
+                every = dict.fromkeys([*shapes, *by])
+                nodes = [(path, _digest(" ".join(shapes.get(path, ()))), _digest("\n".join(by[path])) if path in by else None) for path in every]
+                page = blake2b(b"".join(_digest(path) + shape + (content or b"") for path, shape, content in nodes), digest_size=16).digest()
                 rows += [(host, page, *node) for node in nodes]
             kinds = (pa.string(), pa.binary(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["host", "page", "path", "shape", "content"])
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
+def style_tree(pages: DataFrame, markup: bool = True) -> DataFrame:
     """Importance of each node (host, path) of pages (host, html): pages, presentation, content, importance.
 
     Copies of a page count once. A node's entropies have the number of its pages as base: 1 if every page differs, 0
-    if all are alike.
+    if all are alike; content is null where a node has no text. The importance is that of the node's whole branch.
     """
-    nodes = pages.mapInArrow(_nodes, "host string, page binary, path string, shape binary, content binary").distinct()
+    nodes = pages.mapInArrow(tidy(partial(_nodes, markup=markup)), "host string, page binary, path string, shape binary, content binary").distinct()
     kinds = nodes.groupBy("host", "path", "content", "shape").agg(F.count(F.lit(1)).alias("n"))
-    contents = kinds.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.expr("n * ln(n)")).alias("s"))
+    contents = kinds.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.expr("n * ln(n)")).alias("s"), F.count("content").alias("texts"))
     shapes = kinds.groupBy("host", "path", "shape").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum(F.expr("n * ln(n)")).alias("t"))
     entropy = lambda s: F.when(F.col("pages") > 1, (F.ln("pages") - F.col(s) / F.col("pages")) / F.ln("pages")).otherwise(1.0)
-    return contents.join(shapes, ["host", "path"]).select("host", "path", "pages", entropy("t").alias("presentation"), entropy("s").alias("content")).withColumn("importance", F.greatest("presentation", "content"))
+    tree = contents.join(shapes, ["host", "path"]).select("host", "path", "pages", entropy("t").alias("presentation"), F.when(F.col("texts") > 0, entropy("s")).alias("content"))
+    # a node passes its importance on to each path that begins its own
+    above = F.expr("transform(sequence(1, size(parts)), i -> concat_ws('/', slice(parts, 1, i)))")
+    own = tree.withColumn("own", F.greatest("presentation", "content")).withColumn("parts", F.split("path", "/", -1))
+    branches = own.select("host", F.explode(above).alias("path"), "own").groupBy("host", "path").agg(F.max("own").alias("importance"))
+    return tree.join(branches, ["host", "path"])
 
 
-def main_text(html: str, low: frozenset | set = frozenset()) -> str:
-    """The main text of a page; `low` has the paths that the host's style tree judges as unimportant."""
-    dull = lambda b: any(b.path == p or b.path.startswith(p + "/") for p in low)
-    found = [b for b in blocks(html) if not b.dropped]
-    if any(b.named for b in found):
-        found = _without_named(found, [b for b in found if not dull(b)])
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
-    return "\n".join(b.text for b in found if not dull(b))
+def main_text(html: str, low: frozenset | set = frozenset(), dull_inside: frozenset | set = frozenset(), markup: bool = True) -> str:
+    """The main text of a page.
 
-
-def _without_named(found: list[Block], important: list[Block]) -> list[Block]:
-    """The blocks without those in branches that go by their names."""
-    total, sizes = sum(len(b.text) for b in important), {}
+    `low` has the paths that the host's style tree judges as unimportant, `dull_inside` those that go even within an article.
+    """
+    found = blocks(html, markup=markup)
+    if low:
+        verdicts: dict[tuple[str, bool], bool] = {}
+
+        def stays(b: Block) -> bool:
+            key = (b.path, b.article)
+            if key not in verdicts:
+                parts = b.path.split("/")
+                verdicts[key] = not any("/".join(parts[:i]) in (dull_inside if b.article else low) for i in range(1, len(parts) + 1))
+            return verdicts[key]
+
+        important = [b for b in found if stays(b)]
+    else:
+        important = found
+    goes = _going(found, important) if any(named for b in found for _, named in b.pieces) else (lambda branch: False)
+    shown = [(b, b.text(goes)) for b in important]
+    if any(b.article and b.text(goes) for b in found):
+        shown = [(b, text) for b, text in shown if b.article]
+    return "\n".join(text for _, text in shown if text)
+
+
+def _going(found: list[Block], important: list[Block]):
+    """Whether a branch goes by its names, as a function."""
+    total, sizes, elsewhere = 0, {}, False
     for b in important:
-        for branch in b.named:
-            sizes[branch] = sizes.get(branch, 0) + len(b.text)
-    elsewhere = any(b.article and not b.named for b in important)
+        for text, named in b.pieces:
+            size = len(" ".join(text.split()))
+            total += size
+            elsewhere |= b.article and not named and size > 0
+            for branch in named:
+                sizes[branch] = sizes.get(branch, 0) + size
 
     def goes(branch: Branch) -> bool:
         if branch.main or (branch.article and not branch.readers and not elsewhere):
             return False
         return branch.readers or 2 * sizes.get(branch, 0) <= total
 
-    stays = lambda b: not any(goes(branch) for branch in b.named)
-    return [b for b in found if stays(b)] if any(stays(b) for b in important) else found
+    return goes if any(b.text(goes) for b in important) else lambda branch: False
 
 
-def _extract(batches):
+def _extract(batches, markup: bool):
     for batch in batches:
         for piece in pieces(batch, "html"):
-            texts = [main_text(h or "", set(p or ())) for h, p in zip(piece.column("html").to_pylist(), piece.column("low").to_pylist())]
+            columns = (piece.column(n).to_pylist() for n in ("html", "low", "dull_inside"))
+            texts = [main_text(h or "", set(p or ()), set(q or ()), markup) for h, p, q in zip(*columns)]
             kept = [piece.column(n) for n in ("page_id", "url")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """page_id, url, text and n_chars of each row."""
+def extract_main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW, low_inside: float = LOW_INSIDE, markup: bool = True
+) -> DataFrame:
+    """page_id, url, text and n_chars of each row. Without `markup` the style tree alone decides what goes."""
     narrow = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
-    tree = materialise(style_tree(narrow.select("host", "html")))
-    dull = tree.where((F.col("pages") >= min_pages) & (F.col("importance") < low)).groupBy("host").agg(F.collect_set("path").alias("low"))
-    return narrow.join(dull, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    tree = style_tree(narrow.select("host", "html"), markup)
+    dull = materialise(tree.where((F.col("pages") >= min_pages) & (F.col("importance") < low)).select("host", "path", "importance"))
+    of_host = dull.groupBy("host").agg(F.collect_set("path").alias("low"), F.collect_set(F.when(F.col("importance") < low_inside, F.col("path"))).alias("dull_inside"))
+    told = bounded_join(narrow, of_host, "host", "left", limit=20_000)
+    return told.select("page_id", "url", "html", "low", "dull_inside").mapInArrow(tidy(partial(_extract, markup=markup)), "page_id long, url string, text string, n_chars long")

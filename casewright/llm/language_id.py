@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import bounded_join, materialise, mix, pieces
+from casewright.llm.common import bounded_join, materialise, mix, pieces, tidy
 
 ORDER = 4
 #: Documents of each language that a model is trained on, at most.
@@ -158,7 +158,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select("lang", (F.lit(2.0 * per_language * (1 << 31)) / F.col("rows")).alias("most"))
     near = bounded_join(rows, materialise(share), "lang", "inner", limit=10_000).where("u < most").drop("most")
     sample = materialise(near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).drop("u"))
-    counts = sample.where("k % 10 <> 0").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.where("k % 10 <> 0").mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     held = sample.where("k % 10 = 0").select("lang", "text").toPandas()
     models = {}
     for lang, own in sorted(counts.groupby("lang")):
@@ -196,4 +196,4 @@ def identify(docs: DataFrame, models: dict, id_col: str = "doc_id", text_col: st
     """id, lang_pred, score (0 to 1), cross_entropy (nats per character) and rejected of each row."""
     spread = docs.sparkSession.sparkContext.broadcast(models)
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(lambda batches: _predict(batches, spread.value), f"`{id_col}` long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return narrow.mapInArrow(tidy(lambda batches: _predict(batches, spread.value)), f"`{id_col}` long, lang_pred string, score double, cross_entropy double, rejected boolean")

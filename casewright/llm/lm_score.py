@@ -1,15 +1,20 @@
-"""Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
+"""Stupid-backoff scores of documents under the n-gram counts of the whole corpus, computed relationally.
 
-Each chunk of documents explodes into its distinct n-grams, which meet the count tables in buckets by hash: a
-bucket adds up the counts of all chunks and answers each chunk with the totals of its n-grams. The scores of all
-places are then summed per document. A document's own n-grams don't count for it: counts are those of all other
-documents, so the score tells how well the rest of the corpus predicts the text.
+1. Documents explode into n-grams of all orders up to `order`, as rows (hash, chunk, n): a chunk is some MB of
+   documents, and its n-grams are counted before they are shuffled, so that a word that every document has gives one
+   row a chunk.
+2. The rows are partitioned by hash. Their sums by hash are the count tables; the exploded n-grams are joined to
+   them in the same partitioning.
+3. The counts that come from other chunks go back to the chunk, whose places are scored and summed per document.
+
+A document's own n-grams don't count for it: counts are those of all other documents, so the score tells how well
+the rest of the corpus predicts the text.
 
 S(w | u) = c(u w) / c(u) if c(u w) > 0, else 0.4 S(w | shorter u); a word with no count has 0.4 ^ (order - 1) / N.
 
 Edge cases: a null or wordless text has n_words 0 and no score (null); texts shorter than the order use the
-context there is; repeated rows and copies count for each other; an empty table gives an empty result; other
-columns of the input are ignored.
+context there is; rows with the same or no id are documents of their own; repeated rows and copies count for each
+other; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.chunks import Words, by_bucket, in_chunks, lengths, to_chunks, unpack
+from casewright.llm.chunks import Words, in_chunks
 from casewright.llm.common import ngram_hashes
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Smaller than the usual chunk: a task holds several arrays as long as the chunk has words.
 CHUNK_BYTES = 8 << 20
 
@@ -34,32 +39,12 @@ def _grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
-def _count(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, counts = np.unique(hashes, return_counts=True)
-    return distinct, counts.astype(np.uint32)
-
-
-def _send_counts(rows: pa.Table, order: int, buckets: int) -> pa.Table:
+def _explode(rows: pa.Table, order: int) -> pa.Table:
+    """The distinct n-grams of a chunk and their counts in it."""
     words = Words(rows, lower=True)
-    distinct, counts = _count(np.concatenate([_grams(words, n)[1] for n in range(1, order + 1)]))
-    return by_bucket(rows.column("chunk")[0].as_py(), distinct, buckets, counts=counts)
-
-
-def _totals(rows: pa.Table) -> pa.Table:
-    """The total count of each n-gram of each chunk in this bucket, in the order in which the chunk sent them."""
-    hashes, counts = unpack(rows.column("hashes"), np.uint64), unpack(rows.column("counts"), np.uint32)
-    owner = np.repeat(rows.column("chunk").to_numpy(), lengths(rows.column("hashes")))
-    distinct, where = np.unique(hashes, return_inverse=True)
-    total = np.bincount(where, counts, minlength=len(distinct)).astype(np.uint64)[where]
-    # a chunk's array comes back in the order of its hashes; a total of 255 or more is written out in full
-    out = to_chunks(owner, small=np.minimum(total, 255).astype(np.uint8), large=total)
-    small = [np.frombuffer(x, np.uint8) for x in out.column("small").to_pylist()]
-    large = [np.frombuffer(x, np.uint64)[s == 255].tobytes() for x, s in zip(out.column("large").to_pylist(), small)]
-    return pa.table([pa.array([rows.column("bucket")[0].as_py()] * out.num_rows, pa.int64()), out.column("chunk"), out.column("small"), pa.array(large, pa.binary())], names=["bucket", "chunk", "small", "large"])
-
-
-def _row_sums(words: Words, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.bincount(words.row[at], values, minlength=len(words.counts))
+    distinct, counts = np.unique(np.concatenate([_grams(words, n)[1] for n in range(1, order + 1)]), return_counts=True)
+    chunk = np.full(len(distinct), rows.column("chunk")[0].as_py())
+    return pa.table([pa.array(distinct.view(np.int64)), pa.array(chunk), pa.array(counts.astype(np.int32))], names=["hash", "chunk", "n"])
 
 
 def _own(words: Words, at: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -69,16 +54,16 @@ def _own(words: Words, at: np.ndarray, where: np.ndarray) -> np.ndarray:
     return counts[back]
 
 
-def _score(key, rows: pa.Table, told: pa.Table, order: int, corpus: int) -> pa.Table:
+def _score(rows: pa.Table, told: pa.Table, order: int, corpus: int) -> pa.Table:
+    """Sums of log S over the rows of a chunk; `told` has the counts of its n-grams in other chunks, where there are any."""
     if not rows.num_rows:
         return pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())]).empty_table()
     words = Words(rows, lower=True)
     n_words = words.counts
     found = [_grams(words, n) for n in range(1, order + 1)]
-    distinct = np.unique(np.concatenate([h for _, h in found]))
-    told = told.sort_by("bucket")
-    total = unpack(told.column("small"), np.uint8).astype(np.int64)
-    total[total == 255] = unpack(told.column("large"), np.uint64).astype(np.int64)
+    distinct, total = np.unique(np.concatenate([h for _, h in found]), return_counts=True)
+    elsewhere = told.column("hash").to_numpy().view(np.uint64)
+    total[np.searchsorted(distinct, elsewhere)] += told.column("others").to_numpy()
     others = corpus - n_words[words.row]  # words of all other rows
     score = np.log(BACKOFF ** (order - 1) / np.maximum(others, 1.0))
     context = others.astype(np.float64)
@@ -86,30 +71,31 @@ def _score(key, rows: pa.Table, told: pa.Table, order: int, corpus: int) -> pa.T
         where = np.searchsorted(distinct, hashes)
         count = total[where] - _own(words, at, where)
         last = at + n - 1  # a place's score belongs to the n-gram's last word
-        # words too early in their row for longer contexts have no further backoff to pay
         used = count > 0
         before = context[at] if n > 1 else context[last]
         score[last[used]] = np.log(count[used] / np.maximum(before[used], 1.0)) + np.log(BACKOFF) * (order - n)
         context = np.zeros(len(words.hashes))
         context[at] = count
+    # words too early in their row for longer contexts have no further backoff to pay
     short = np.minimum(words.within + 1, order)
     score -= np.log(BACKOFF) * (order - short)
-    sums = _row_sums(words, np.arange(len(score)), score)
+    sums = np.bincount(words.row, score, minlength=len(n_words))
     return pa.table([rows.column("id"), pa.array(n_words, pa.int64()), pa.array(np.where(n_words > 0, sums, np.nan), pa.float64(), from_pandas=True)], names=["id", "n_words", "log_score"])
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id, n_words, log_score (sum of log S over the words) and mean_log_score of each row."""
-    chunked, n = in_chunks(docs, id_col, text_col, CHUNK_BYTES)
+    chunked, _ = in_chunks(docs, id_col, text_col, CHUNK_BYTES)
     corpus = docs.agg(F.sum(F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")))).first()[0] or 0
 
-    def send(rows: pa.Table) -> pa.Table:
-        return _send_counts(rows, order, n)
+    def explode(rows: pa.Table) -> pa.Table:
+        return _explode(rows, order)
 
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
-        return _score(key, rows, told, order, corpus)
+        return _score(rows, told, order, corpus)
 
-    sent = chunked.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, hashes binary, counts binary")
-    totals = sent.groupBy("bucket").applyInArrow(_totals, "bucket long, chunk long, small binary, large binary")
-    scored = chunked.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "id long, n_words long, log_score double")
+    exploded = chunked.groupBy("chunk").applyInArrow(explode, "hash long, chunk long, n int").repartition("hash")
+    counts = exploded.groupBy("hash").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("chunks")).where("chunks > 1")
+    told = exploded.join(counts, "hash").select("chunk", "hash", (F.col("total") - F.col("n")).alias("others"))
+    scored = chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "id long, n_words long, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

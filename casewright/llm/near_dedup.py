@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import bounded_join, constants, join_hot, materialise, mix, ngram_hashes, pieces, scratch, split_words, utf8, word_hashes
+from casewright.llm.common import bounded_join, constants, join_hot, materialise, mix, ngram_hashes, pieces, scratch, split_words, tidy, utf8, word_hashes
 from casewright.llm.components import connected_components, merge_components
 
 BANDS, ROWS = 32, 4
@@ -109,7 +109,7 @@ def _signatures(batches, size: int, bands: int, rows: int):
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, digest (a hash of the text), n_shingles, set_a and set_b (128 bits that name the set), bands, signature and shingles of each row."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(partial(_signatures, size=size, bands=bands, rows=rows), "id long, digest long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, shingles array<long>")
+    return narrow.mapInArrow(tidy(partial(_signatures, size=size, bands=bands, rows=rows)), "id long, digest long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, shingles array<long>")
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, *names: str) -> DataFrame:
@@ -142,7 +142,7 @@ def _agreeing(batches, least: int, threshold: float):
 def confirm(pairs: DataFrame, signed: DataFrame, threshold: float, minima: int, keep=materialise) -> DataFrame:
     """The pairs (u, v) of ids in signed (id, n_shingles, signature, shingles) whose full sets reach the threshold."""
     told = _with_both(pairs, signed, "n_shingles", "signature")
-    near = keep(told.mapInArrow(partial(_agreeing, least=_least(threshold, minima, SHORT_SIGMAS), threshold=threshold), "u long, v long"))
+    near = keep(told.mapInArrow(tidy(partial(_agreeing, least=_least(threshold, minima, SHORT_SIGMAS), threshold=threshold)), "u long, v long"))
     both = F.size(F.array_intersect("shingles_u", "shingles_v"))
     union = F.size("shingles_u") + F.size("shingles_v") - both
     return _with_both(near, signed, "shingles").where(100 * both >= round(threshold * 100) * union).select("u", "v")
@@ -210,7 +210,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 def medoid_pairs(members: DataFrame, threshold: float, minima: int, block: int = BLOCK) -> DataFrame:
     """For each id of members (band, id, label, signature) the nearest medoid with another label, as (u, v)."""
     rows = _blocks(members, block).select("band", "own", "id", "label", "signature")
-    found = rows.repartition("band", "own").sortWithinPartitions("band", "own", "id").mapInArrow(_medoid_pairs, "id long, medoid long, agree long")
+    found = rows.repartition("band", "own").sortWithinPartitions("band", "own", "id").mapInArrow(tidy(_medoid_pairs), "id long, medoid long, agree long")
     best = found.where(F.col("agree") >= _least(threshold, minima, SHORT_SIGMAS)).groupBy("id").agg(F.max_by("medoid", F.struct("agree", -F.col("medoid"))).alias("m"))
     return best.select(F.greatest("id", "m").alias("u"), F.least("id", "m").alias("v")).distinct()
 
@@ -240,7 +240,7 @@ def crossing_pairs(members: DataFrame, threshold: float, minima: int, block: int
     rows = _blocks(members, block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "bands", "long")
     dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    return dealt.mapInArrow(partial(_block_pairs, least=_least(threshold, minima, SIGMAS), threshold=threshold), "u long, v long").distinct()
+    return dealt.mapInArrow(tidy(partial(_block_pairs, least=_least(threshold, minima, SIGMAS), threshold=threshold)), "u long, v long").distinct()
 
 
 def _crossing(members: DataFrame, labels: DataFrame, keep) -> DataFrame:
@@ -273,7 +273,7 @@ def _components(signed: DataFrame, classes: DataFrame, threshold: float, minima:
         if linked <= MEDOID_YIELD * compared:
             break
     wanted = bounded_join(signed, left.select("id").distinct(), "id", "left_semi")
-    long = keep(wanted.select("id", "shingles").mapInArrow(partial(_long_signatures, minima=LONG), "id long, long binary"))
+    long = keep(wanted.select("id", "shingles").mapInArrow(tidy(partial(_long_signatures, minima=LONG)), "id long, long binary"))
     told = left.join(wanted.select("id", "n_shingles", "bands"), "id").join(long, "id")
     pairs = keep(crossing_pairs(told, threshold, LONG).join(tested, ["u", "v"], "left_anti"))
     more = keep(confirm(pairs, signed, threshold, minima, keep))

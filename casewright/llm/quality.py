@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import pieces, utf8
+from casewright.llm.common import pieces, tidy, utf8
 
 WIDTH, FILTERS, BLOCK = 6, 24, 256
 #: Labelled documents that the network is fitted on, at most.
@@ -155,7 +155,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     """id, score (0 to 1) and predicted (1 if the score is 0.5 or more) of each row."""
     spread = docs.sparkSession.sparkContext.broadcast(net)
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    scored = narrow.mapInArrow(lambda batches: _score(batches, spread.value), f"`{id_col}` long, score double")
+    scored = narrow.mapInArrow(tidy(lambda batches: _score(batches, spread.value)), f"`{id_col}` long, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -170,4 +170,4 @@ def keep_good(docs: DataFrame, net: Network, text_col: str = "text") -> DataFram
                 good = [spread.value.logit(data[a:b]) >= 0 for a, b in zip(offsets[:-1], offsets[1:])]
                 yield piece.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)

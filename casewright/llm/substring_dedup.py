@@ -12,8 +12,8 @@ at cover places, and hashing 3 of 7 places is enough to find every shared window
 3. Each chunk marks the words and writes what is kept. Windows are judged on the input.
 
 Edge cases: a null text has no words; texts of fewer words than a window keep everything; repeats within one
-document and rows with the same id don't remove each other; rows with a null id have the largest id of all; an
-empty table gives an empty result; other columns of the input are ignored.
+document and rows with the same id don't remove each other; rows with a null id have the largest id of all (that of
+2^63 - 1), so that they don't remove each other either; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +33,6 @@ PERIOD, COVER = 7, (0, 1, 3)
 WINDOW = 13
 
 
-def _owners(words: Words) -> np.ndarray:
-    return np.nan_to_num(words.ids.astype(np.float64), nan=2.0**62).astype(np.int64) if words.ids.dtype.kind == "f" else words.ids
-
-
 def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors."""
     size = window - PERIOD + 1
@@ -88,13 +84,13 @@ def _send_windows(key, rows: pa.Table, told: pa.Table, window: int, buckets: int
         return by_bucket(0, np.zeros(0, np.uint64), buckets, checks=np.zeros(0, np.uint32), owners=np.zeros(0, np.int64))
     words = Words(rows)
     places, anchors = _anchors(words, window)
-    shared = np.union1d(unpack(told.column("hashes"), np.uint64), _several(anchors, _owners(words)[words.row[places]]))
+    shared = np.union1d(unpack(told.column("hashes"), np.uint64), _several(anchors, words.ids[words.row[places]]))
     hit = np.zeros(len(words.hashes) + PERIOD, np.int64)
     hit[places[among(anchors, shared)]] = 1
     seen = np.concatenate([[0], np.cumsum(hit)])
     at, hashes, checks = _windows(words, window)
     holds = seen[at + PERIOD] > seen[at]
-    h, c, o = _first_owner(hashes[holds], checks[holds], _owners(words)[words.row[at[holds]]])
+    h, c, o = _first_owner(hashes[holds], checks[holds], words.ids[words.row[at[holds]]])
     return by_bucket(key[0].as_py(), h, buckets, checks=c, owners=o)
 
 
@@ -114,7 +110,7 @@ def _kept(key, rows: pa.Table, told: pa.Table, window: int, whole: bool) -> pa.T
     if not rows.num_rows:
         return pa.schema(_SCHEMA + [("kept_text", pa.string())] * whole).empty_table()
     words = Words(rows)
-    owner = _owners(words)
+    owner = words.ids
     at, hashes, checks = _windows(words, window)
     own = owner[words.row[at]]
     h, c, least = _first_owner(hashes, checks, own)

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import SMALL
+from conftest import MEDIUM, SMALL
 from pyspark.sql import functions as F
 
 from casewright.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, quality, queries, secrets, substring_dedup
@@ -129,38 +129,55 @@ def test_substring_dedup(spark):
     assert sorted(tuple(r) for r in got.collect()) == repeats(docs)
     assert substring_dedup.remove_repeats(odd(spark, [])).count() == 0
     assert substring_dedup.remove_repeats(odd(spark)).count() == len(ODD)
+    # ids above 2 ** 53 beside a null id, which ranks last
+    big, text = 2**53, " ".join(f"r{i}" for i in range(20))
+    rows = [(big + 1, text, None), (big, text, None), (None, text, None), (None, text, None), (2**62 + 5, text, None)]
+    got = sorted((r["doc_id"] or 2**63, r["n_removed"]) for r in substring_dedup.remove_repeats(odd(spark, rows).coalesce(1)).collect())
+    assert got == [(big, 0), (big + 1, 20), (2**62 + 5, 20), (2**63, 20), (2**63, 20)]
 
 
 def test_lm_scores(spark):
     rows = [(1, "a b c", None), (2, "a b d", None), (3, None, None), (4, "", None), (5, "zz", None)]
-    got = {r["doc_id"]: r for r in lm_score.lm_scores(odd(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(odd(spark, rows), order=2).collect()}
     # "a" is 1 of 4 other words, "b" follows "a" in 1 of 1, "c" is new: 0.4 / 4
     assert abs(got[1]["log_score"] - sum(map(__import__("math").log, (1 / 4, 1.0, 0.4 / 4)))) < 1e-9
     assert got[3]["n_words"] == 0 and got[3]["log_score"] is None and got[4]["log_score"] is None
     assert lm_score.lm_scores(odd(spark, [])).count() == 0 and lm_score.lm_scores(odd(spark)).count() == len(ODD)
-    assert lm_score.lm_scores(odd(spark), order=3).count() == len(ODD)
+    assert lm_score.lm_scores(odd(spark), order=1).count() == len(ODD)
 
 
-def test_lm_query_scores_trigrams(spark, tmp_path):
-    """Brute force at order 3 on the query itself."""
+def backoff_scores(texts, order):
+    """Brute force: sum of log S of each text under the counts of all others."""
     from collections import Counter
     from math import log
 
-    texts = {1: "a b c d", 2: "A b c e", 3: "x b c d", 4: "a b", 5: "q"}
-    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    split = {i: lower(t).split() for i, t in texts.items()}
-    grams = {i: Counter(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)) for i, w in split.items()}
-    want = {}
+    split = {i: words(lower(t)) for i, t in texts.items()}
+    grams = {i: Counter(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1)) for i, w in split.items()}
+    every, size, scores = sum(grams.values(), Counter()), sum(map(len, split.values())), {}
     for i, w in split.items():
-        count = lambda g: sum(c[g] for j, c in grams.items() if j != i)  # noqa: B023, E731
-        others, want[i] = sum(len(v) for j, v in split.items() if j != i), 0.0
+        count = lambda g: every[g] - grams[i][g]  # noqa: B023, E731
+        others, scores[i] = max(1, size - len(w)), 0.0 if w else None
         for k in range(len(w)):
-            longest = min(3, k + 1)
+            longest = min(order, k + 1)
             n = next((n for n in range(longest, 0, -1) if count(tuple(w[k - n + 1 : k + 1]))), 0)
             s = count(tuple(w[k - n + 1 : k + 1])) / (count(tuple(w[k - n + 1 : k])) if n > 1 else others) if n else 1 / others
-            want[i] += log(s) + log(0.4) * (longest - max(n, 1))
+            scores[i] += log(s) + log(0.4) * (longest - max(n, 1))
+    return scores
+
+
+def test_lm_query_is_brute_force(spark, tmp_path):
+    """The query itself on odd texts, and both orders on the small table."""
+    near = lambda x, y: x is y if x is None or y is None else abs(x - y) <= 1e-7 * max(1, abs(y))
+    texts = {1: "a b c d", 2: "A b c e", 3: "x b c d", 4: "a b", 5: "q", 6: None, 7: "", 8: "a b c d"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = backoff_scores(texts, 3)
     got = {r["doc_id"]: r["log_score"] for r in queries.op6_lm_score(spark, str(tmp_path)).collect()}
-    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert got.keys() == want.keys() and all(near(got[i], want[i]) for i in want)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for order in (2, 3):
+        want = backoff_scores(texts, order)
+        assert all(near(r["log_score"], want[r["doc_id"]]) for r in lm_score.lm_scores(docs, order=order).collect())
 
 
 def test_language_id(spark):
@@ -261,6 +278,53 @@ def test_html():
     assert html_extract.main_text("") == "" and html_extract.main_text("plain") == "plain"
 
 
+def test_html_of_odd_markup():
+    assert html_extract.main_text("<p>Hello <span class='ad'>x</span> world</p>") == "Hello world"
+    assert html_extract.main_text("<p>one <span hidden>x <div>y</div> z</span> two</p>") == "one\ntwo"
+    assert html_extract.main_text("<script src='a.js'/>var a=1;</script><p>text<br/>more</p>") == "text more"
+    for title in ("<h1 class='entry-header'>T</h1>", "<div id='story-header'>T</div>"):
+        assert html_extract.main_text(f"<body>{title}<p>some longer text</p>") == "T\nsome longer text"
+    assert html_extract.main_text("<p>a</p>" * 5000) == "\n".join(["a"] * 5000)
+    assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
+
+
+def by_hand(pages, min_pages=html_extract.MIN_PAGES):
+    """The paths that a host's tree judges as dull outside an article: entropies over its distinct pages, branch by branch."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    hosts = defaultdict(set)
+    for host, html in pages:
+        shapes, texts = {}, defaultdict(list)
+        for b in html_extract.blocks(html, shapes):
+            texts[b.path].append(b.text())
+        hosts[host].add(tuple((p, tuple(shapes.get(p, ())), tuple(texts[p]) if p in texts else None) for p in {**shapes, **texts}))
+    entropy = lambda seen: 1.0 if len(seen) < 2 else -sum(c / len(seen) * log(c / len(seen)) for c in Counter(seen).values()) / log(len(seen))
+    dull = set()
+    for host, distinct in hosts.items():
+        nodes = defaultdict(list)
+        for path, *node in (n for page in distinct for n in page):
+            nodes[path].append(node)
+        own = {p: max(entropy([n[0] for n in v]), entropy([n[1] for n in v]) if any(n[1] for n in v) else 0) for p, v in nodes.items()}
+        dull |= {(host, p) for p, v in nodes.items() if len(v) >= min_pages and max(o for q, o in own.items() if q == p or q.startswith(p + "/")) < html_extract.LOW}
+    return dull
+
+
+def test_style_tree_is_brute_force(spark):
+    """All nodes of the small table's trees, with and without marked articles."""
+    found = spark.read.parquet(f"{MEDIUM}/pages.parquet").withColumn("host", html_extract._host(F.col("url"))).select("host", "html")
+    for df in (found, found.withColumn("html", F.regexp_replace("html", "(?i)<(/?)article", "<$1div"))):
+        tree = html_extract.style_tree(df).where((F.col("pages") >= html_extract.MIN_PAGES) & (F.col("importance") < html_extract.LOW))
+        assert {(r["host"], r["path"]) for r in tree.collect()} == by_hand([tuple(r) for r in df.collect()])
+
+
+def test_style_tree_alone_removes_templates(spark):
+    page = lambda i: f"<nav><a href=/>Home</a><a href=/n>News</a></nav><div class=x>By our staff {i % 3}</div><div class=story><p>first {i}</p><p>more</p></div><footer>Imprint</footer>"
+    df = spark.createDataFrame([(i, "http://t.example/", page(i)) for i in range(60)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(df, markup=False).collect()}
+    assert got == {i: f"first {i}\nmore" for i in range(60)}
+
+
 def test_style_tree(spark):
     pages = [(i, "http://h.example/x", f"<div class=box>same on all</div><div class=story>text {i}</div>") for i in range(12)] + [(90, None, None), (91, "bad", ""), (91, "bad", "")]
     df = spark.createDataFrame([(*p, "n") for p in pages], "page_id long, url string, html string, text string")
@@ -280,7 +344,7 @@ def test_names_of_wrappers():
     assert html_extract.main_text("<article><h1>T</h1><div class=product-reviews><p>a long review</div></article>") == "T\na long review"
     related = "<div class=related><article>other</article></div><ol class=comment-list><li><article>reader</article></ol>"
     assert html_extract.main_text(f"<body>{body}{related}<p>one <span class=share>Share</span>") == "Title\nThe text of the article, long enough."
-    assert html_extract.main_text("<p>one longer text <span class=share>Share</span> two") == "one longer text\ntwo"
+    assert html_extract.main_text("<p>one longer text <span class=share>Share</span> two") == "one longer text two"
 
 
 def test_copies_of_a_page_are_no_template(spark):
@@ -325,6 +389,38 @@ def test_decontamination_of_edited_and_shortened_copies(spark):
     assert got == {(1, 1): 0.7, (2, 2): 0.58, (3, 3): 0.6, (6, 2): 0.53}
 
 
+def test_decontamination_is_all_pairs_alignment(spark):
+    """Copies that keep 50 to 100 % of an item, changed word by word or cut, beside null and repeated ids."""
+    import random
+
+    rng = random.Random(5)
+    items = [(k, " ".join(f"i{k}w{rng.randrange(200)}" for _ in range(rng.randrange(15, 60)))) for k in range(12)]
+    rows = []
+    for n in range(240):
+        item = items[n % 12][1].split()
+        kept = 0.5 + 0.5 * (n // 12) / 19
+        if n % 2:
+            copy = [w if rng.random() < kept else rng.choice((f"x{n}", f"x{n} y{n}", "")) for w in item]
+        else:
+            first = rng.randrange(1 + int(len(item) * (1 - kept)))
+            copy = item[first : first + max(1, round(len(item) * kept))]
+        rows.append((None if n % 40 == 0 else n // 2, " ".join([BASE, *copy, BASE]), "x"))
+    rows += [(500, items[0][1], "x"), (501, None, "x"), (500, BASE, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    hashed = {k: decontaminate._items([{"item_id": k, "text": t}], "item_id")[k] for k, t in items}
+    want, holds = {}, []
+    for i, text, _ in rows:
+        doc = decontaminate._words(__import__("pyarrow").array([text]))[0]
+        scores = {k: decontaminate.align(doc, item)[0] if len(doc) else 0 for k, item in hashed.items()}
+        want |= {(i, k): max(s, want.get((i, k), 0)) for k, s in scores.items() if s >= decontaminate.THRESHOLD}
+        holds.append(any(s >= decontaminate.THRESHOLD for s in scores.values()))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contamination(odd(spark, rows), bench).collect()}
+    assert len(want) > 100 and got.keys() <= want.keys() and len(got) >= 0.98 * len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert any(i is None for i, _ in got)
+    left = decontaminate.drop_contaminated(odd(spark, rows), bench)
+    assert holds.count(False) <= left.count() <= holds.count(False) + 0.02 * len(rows) and left.where("doc_id = 500").count() == 1
+
+
 def test_pipeline(spark):
     """run() against its stages' own brute force where there is one: ids that are left, each stage on its input."""
     import corpus_pipeline
