@@ -51,13 +51,20 @@ def append_section(base: DataFrame, patch: DataFrame, key: str, text: str, index
     return joined.select(*(grown.alias(c) if c == text else listed.alias(c) if c == index else F.col(c) for c in base.columns))
 
 
-def apply_transitions(base: DataFrame, changes: DataFrame, key: str, closed: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(base with new states and the activity they imply, audit rows old to new, notices to owners)."""
+def apply_transitions(base: DataFrame, changes: DataFrame, key: str, closed: list[str], stamps: dict[str, str] | None = None, as_of: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base with new states and the activity they imply, audit rows old to new, notices to owners).
+
+    `stamps` names the date column that a new state fills with `as_of`.
+    """
     joined = base.join(changes.select(key, F.col("state").alias("_state")), key, "left")
     moved = joined.where(F.col("_state").isNotNull() & ~F.col("_state").eqNullSafe(F.col("state")))
     state = F.coalesce("_state", "state")
     active = F.when(F.col("_state").isNull(), F.col("is_active")).otherwise(~state.isin(closed))
-    out = joined.select(*(state.alias(c) if c == "state" else active.alias(c) if c == "is_active" else F.col(c) for c in base.columns))
+    changed = {"state": state, "is_active": active}
+    for name, column in (stamps or {}).items():
+        entered = (F.col("_state") == name) & ~F.col("_state").eqNullSafe(F.col("state"))
+        changed[column] = F.when(entered, F.lit(as_of).cast("date")).otherwise(F.col(column))
+    out = joined.select(*(changed.get(c, F.col(c)).alias(c) for c in base.columns))
     audit = moved.select(key, F.col("state").alias("old_state"), F.col("_state").alias("new_state"))
     notices = moved.where(F.col("owner_id").isNotNull()).select(key, "owner_id", F.concat(F.lit("Estado: "), F.col("_state")).alias("notice"))
     return out, audit, notices

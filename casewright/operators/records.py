@@ -11,6 +11,11 @@ def parse_vector(text: Column) -> Column:
     return F.from_json(text, "array<float>")
 
 
+def vector_text(vector: Column) -> Column:
+    """The literal of an array of floats."""
+    return F.to_json(vector)
+
+
 def config_map(df: DataFrame, key: str, value: str, name: str = "config") -> DataFrame:
     """One row with all pairs of a key/value table as a map; of a repeated key the largest value stays."""
     once = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
@@ -67,13 +72,49 @@ def expand_grants(users: DataFrame, grants: DataFrame, modules: DataFrame, actio
     return users.join(named, "role").select("user_id", "module_id", "action_id").distinct()
 
 
-def search_with_topup(scored: DataFrame, key: str, score: str, within: Column, k: int, least: int = 3) -> DataFrame:
-    """The k best rows for which `within` holds; if they are fewer than `least`, the best others follow them."""
-    best = scored.where(within).orderBy(F.desc_nulls_last(score), key).limit(k).withColumn("tier", F.lit(0))
-    others = scored.where(~F.coalesce(within, F.lit(False))).orderBy(F.desc_nulls_last(score), key).limit(k).withColumn("tier", F.lit(1))
-    few = best.agg((F.count(F.lit(1)) < least).alias("_few"))
-    added = others.crossJoin(F.broadcast(few)).where("_few").drop("_few")
-    return best.unionByName(added).orderBy("tier", F.desc_nulls_last(score), key).limit(k)
+def grants_filter(asked: DataFrame, grants: DataFrame, admins: DataFrame) -> DataFrame:
+    """Requests (user_id, module, action, ...) of administrators, and those that a grant for all three keys allows."""
+    others = asked.join(admins.select("user_id").distinct(), "user_id", "left_anti")
+    allowed = others.join(grants.select("user_id", "module", "action").distinct(), ["user_id", "module", "action"], "left_semi")
+    return asked.join(admins.select("user_id").distinct(), "user_id", "left_semi").select(*asked.columns).unionByName(allowed.select(*asked.columns))
+
+
+def search_with_topup(scored: DataFrame, query: str, key: str, score: str, within: Column, k: int, least: int = 3) -> DataFrame:
+    """For each query the k best rows for which `within` holds; if they are fewer than `least`, the best others follow them.
+
+    The rank within (query, tier) is pruned before the shuffle, so a query's rows are never gathered.
+    """
+    tiers = scored.withColumn("tier", F.when(F.coalesce(within, F.lit(False)), 0).otherwise(1))
+    order = [F.desc_nulls_last(score), F.asc(key)]
+    best = tiers.withColumn("_at", F.row_number().over(Window.partitionBy(query, "tier").orderBy(*order))).where(F.col("_at") <= k)
+    found = F.sum(F.when(F.col("tier") == 0, 1).otherwise(0)).over(Window.partitionBy(query))
+    kept = best.withColumn("_found", found).where((F.col("tier") == 0) | (F.col("_found") < least))
+    return kept.withColumn("_at", F.row_number().over(Window.partitionBy(query).orderBy("tier", *order))).where(F.col("_at") <= k).drop("_at", "_found")
+
+
+def embedding_upsert(given: DataFrame, key: str, text: str, origin: str, preferred: list[str], most: int = 1500) -> DataFrame:
+    """One row a key to be embedded: the text of its most preferred origin, cut to `most` characters (the embedding's own bound)."""
+    rank = F.coalesce(*(F.when(F.col(origin) == o, i) for i, o in enumerate(preferred)), F.lit(len(preferred)))
+    usable = given.where(F.length(text) > 0).withColumn("_rank", rank)
+    first = Window.partitionBy(key).orderBy("_rank", text)
+    kept = usable.withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_at", "_rank")
+    rest = given.join(kept.select(key), key, "left_anti").dropDuplicates([key])
+    return kept.unionByName(rest).withColumn(text, F.substring(text, 1, most))
+
+
+def promotable(answers: DataFrame, done: DataFrame, key: str, result: str, good: str, text: str) -> DataFrame:
+    """Answers with a good result and a text that aren't in the knowledge base yet."""
+    fit = answers.where((F.col(result) == good) & (F.length(F.trim(text)) > 0))
+    return fit.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def promote(answers: DataFrame, key: str, text: str, title: Column, size: int = 1500, overlap: int = 300) -> DataFrame:
+    """Knowledge rows of promoted answers: titled chunks, each with the key of its embedding, and the answer's other columns."""
+    from casewright.operators.text import chunk_documents
+
+    chunks = titled_chunks(chunk_documents(answers, key, text, size, overlap), key, title)
+    keyed = chunks.withColumn("embedding_key", F.sha2(F.concat_ws(":", F.col(key).cast("string"), "number"), 256))
+    return keyed.join(answers.drop(text), key)
 
 
 def needs_recalculate(embeddings: DataFrame, clusters: DataFrame, points: DataFrame, stamp: str, last, most: int = 10) -> DataFrame:

@@ -73,8 +73,10 @@ def find_duplicates(new: DataFrame, base: DataFrame, keys: list[str], new_id: st
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Adds the columns of a one-row aggregate to every row."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Adds the columns of a one-row aggregate to every row; more rows are an error."""
+    checked = one_row.limit(2).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    single = checked.where(F.coalesce(F.assert_true(F.col("_n") == 1, "one row expected"), F.lit(True))).drop("_n")
+    return df.crossJoin(F.broadcast(single))
 
 
 def count_where(df: DataFrame, by: list[str], counts: dict[str, Column]) -> DataFrame:
@@ -82,6 +84,24 @@ def count_where(df: DataFrame, by: list[str], counts: dict[str, Column]) -> Data
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
+def mean_duration(df: DataFrame, start: Column, end: Column, unit: str, by: list[str], condition: Column | None = None, name: str = "mean") -> DataFrame:
+    """Rows and mean time from start to end of each group, in hours or days; only rows for which `condition` holds count."""
+    took = F.unix_millis(end) - F.unix_millis(start)
+    if condition is not None:
+        took = F.when(condition, took)
+    per = df.groupBy(*by).agg(F.count(took).alias("n"), F.sum(took).alias("_sum"))
+    mean = F.when(F.col("n") > 0, F.col("_sum").cast("double") / F.col("n").cast("double") / F.lit({"hours": 3600e3, "days": 86400e3}[unit]))
+    return per.withColumn(name, mean).drop("_sum")
+
+
+def page_info(found: DataFrame, size: int, whole: DataFrame, facet: str) -> DataFrame:
+    """One row: the number of found rows and of their pages, and the distinct values of a facet of all rows."""
+    size = min(100, max(10, size))
+    counted = found.agg(F.count(F.lit(1)).alias("total")).select("total", F.ceil(F.col("total") / size).alias("pages"))
+    facets = whole.select(facet).distinct().agg(F.array_join(F.array_sort(F.collect_list(facet)), ",").alias("facets"))
+    return counted.crossJoin(facets)
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 

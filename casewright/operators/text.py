@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Stop words of the search index, and those that term statistics leave out as well.
 STOP_WORDS = ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "lo"]
 
 
+STATISTIC_STOP_WORDS = ["como", "para", "este", "esta", "estos", "estas", "cuando", "donde", "desde", "hasta", "sobre", "entre", "tiene", "tener", "debe", "siendo", "dicha", "dicho", "dichos", "dichas"]
+
+
 def clean_text(text: Column, patterns: list[str]) -> Column:
     """Drops every pattern (case-insensitive), squeezes blank lines to one and trims."""
     for p in patterns:
@@ -19,31 +25,73 @@ def clean_text(text: Column, patterns: list[str]) -> Column:
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def repair_layout(text: Column) -> Column:
-    """Joins lines that break inside a sentence, parts paragraphs at sentence ends and normalises white space."""
-    steps = [("\x00", ""), (r"\r\n?", "\n"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"([^\n.:;!?])\n([a-záéíóúñ])", "$1 $2"), (r"([.!?])\n([A-ZÁÉÍÓÚÑ])", "$1\n\n$2"), (r"\n{3,}", "\n\n")]
+#: White space at both ends, as String.trim takes it.
+_ENDS = r"^\s+|\s+$"
+
+
+def _rewrite(text: Column, steps: list[tuple[str, str]]) -> Column:
     for pattern, new in steps:
         text = F.regexp_replace(text, pattern, new)
-    return F.trim(text)
+    return text
+
+
+#: Fixed values. Joins lines that break inside a sentence, parts paragraphs at sentence ends, at most one blank line.
+LAYOUT = [
+    ("\x00", ""),
+    (r"\r\n", "\n"),
+    (r"\r", "\n"),
+    (r"[ \t\f]{2,}", " "),
+    (r"([^.\n:;?!\-])\n([a-záéíóúüñ0-9(\"])", "$1 $2"),
+    (r"([.!?])\n([A-ZÁÉÍÓÚÜÑ0-9\"])", "$1\n\n$2"),
+    (r"\n{3,}", "\n\n"),
+    (_ENDS, ""),
+]
+
+#: Fixed values. Paragraphs and headings end with a blank line, list items get a bullet, no other tags; &amp; is decoded first.
+HTML = [
+    (r"(?i)</p>", "\n\n"),
+    (r"(?i)</h[1-6]>", "\n\n"),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)<li>", "\n• "),
+    (r"(?i)</li>", ""),
+    (r"<[^>]+>", ""),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&nbsp;", " "),
+    (r"&#[0-9]+;", " "),
+    (r"\n{3,}", "\n\n"),
+    (_ENDS, ""),
+]
+
+
+def repair_layout(text: Column) -> Column:
+    return _rewrite(text, LAYOUT)
 
 
 def html_to_text(html: Column) -> Column:
-    """Block ends as line ends, list items as bullets, no tags, five entities decoded, numeric ones as spaces."""
-    steps = [(r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?i)<li[^>]*>", "- "), (r"(?i)</(p|div|h[1-6]|li|tr|ul|ol)>|<br[^>]*>", "\n"), (r"<[^>]+>", ""), ("&amp;", "&"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), (r"&#[0-9]+;", " "), (r"[ \t]+", " "), (r" ?\n[ \n]*", "\n")]
-    for pattern, new in steps:
-        html = F.regexp_replace(html, pattern, new)
-    return F.trim(html)
+    return _rewrite(html, HTML)
+
+
+#: Patterns of the fields, and what stands for a missing one; a name ends before a comma, a full stop, a line end or words of identification.
+_NAME = r"([A-Za-záéíóúüñÁÉÍÓÚÜÑ][A-Za-záéíóúüñÁÉÍÓÚÜÑ\s'.-]{4,80}?)"
+DOCKET = r"(?iu)(?:radicado|radicación|rad\.?)\s*(?:no\.?|nro\.?|número\.?)?\s*[:-]?\s*([0-9\s.-]{8,25})"
+BARE_DOCKET = r"(?:^|[^A-Za-z0-9_])([0-9]{11,23})(?:$|[^A-Za-z0-9_])"
+COURT = r"(?iu)(juzgado\s+[0-9A-Za-z_°.]+\s+(?:municipal|circuito|promiscuo|administrativo|penal|civil|familia|laboral|ejecuci[oó]n)[^,.\n]{0,60})"
+CLAIMANT = r"(?iu)(?:accionante|demandante|tutelante|parte\s+actora)\s*[:-]?\s*" + _NAME + r"(?:\s*[,.\n]|\s+(?:cc|c\.c\.|identificad|mayor|con\s+c))"
+SELF = r"(?iu)(?:^|[^A-Za-z0-9_])yo[,\s]+" + _NAME + r"[,\s]+(?:identificad|mayor|cc|c\.c\.)"
+NO_DOCKET, UNKNOWN = "POR DEFINIR", "PENDIENTE IDENTIFICAR"
 
 
 def extract_fields(docs: DataFrame, text: str) -> DataFrame:
-    """Docket number (labelled first, else the first run of 11 to 23 digits), court and claimant, with defaults."""
-    c = F.col(text)
-    labelled = F.regexp_extract(c, r"(?i)(?:radicad[oa]|expediente|proceso)\s*(?:no\.?|n[uú]mero|nro\.?)?\s*[:#]?\s*([0-9][0-9-]{9,29}[0-9])", 1)
-    bare = F.regexp_extract(c, r"(?<![0-9])([0-9]{11,23})(?![0-9])", 1)
-    docket = F.coalesce(F.nullif(F.regexp_replace(labelled, "-", ""), F.lit("")), F.nullif(bare, F.lit("")))
-    court = F.nullif(F.trim(F.regexp_extract(c, r"(?i)(juzgado\s+[^\n,.;]{3,80})", 1)), F.lit(""))
-    claimant = F.nullif(F.trim(F.regexp_extract(c, r"(?i)(?:accionante|demandante|peticionario)\s*:?\s*([^\n,.;]{4,80})", 1)), F.lit(""))
-    return docs.withColumns({"docket": docket, "court": F.coalesce(court, F.lit("No identificado")), "claimant": F.coalesce(claimant, F.lit("No identificado"))})
+    """Docket (labelled first, else the first run of 11 to 23 digits), court and claimant (labelled first, else `Yo, NAME, identificado`), in upper case, with defaults."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    found = lambda pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    tidy = lambda x: F.upper(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    docket = F.coalesce(F.regexp_replace(found(DOCKET), r"[\s.-]", ""), found(BARE_DOCKET), F.lit(NO_DOCKET))
+    labelled, alone = tidy(found(CLAIMANT)), tidy(found(SELF))
+    claimant = F.when(labelled.isNotNull(), F.when(F.length(labelled) > 4, labelled)).otherwise(alone)
+    return docs.withColumns({"docket": docket, "court": F.coalesce(tidy(found(COURT)), F.lit(UNKNOWN)), "claimant": F.coalesce(claimant, F.lit(UNKNOWN))})
 
 
 def classify_keywords(docs: DataFrame, text: str, categories: list[tuple[str, list[str]]]) -> DataFrame:
@@ -55,36 +103,72 @@ def classify_keywords(docs: DataFrame, text: str, categories: list[tuple[str, li
     return docs.withColumn("keyword_class", out)
 
 
+#: The ordinals that number requests.
+ORDINALS = ["primero", "segundo", "tercero", "cuarto", "quinto", "sexto", "séptimo", "octavo", "noveno", "décimo"]
+_ANY_ORDINAL = "(?:" + "|".join(ORDINALS) + ")"
+
+
 def split_requests(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Requests of a petition: numbered items, else ordinals, if there are two at least; else the whole text."""
-    numbered = F.regexp_extract_all(F.col(text), F.lit(r"(?m)^\s*[0-9]{1,2}[.)]\s+([^\n]+)"), 1)
-    ordinal = F.regexp_extract_all(F.col(text), F.lit(r"(?im)^\s*(?:primer[oa]|segund[oa]|tercer[oa]|cuart[oa]|quint[oa]|sext[oa])\s*[.:)-]\s*([^\n]+)"), 1)
-    items = F.when(F.size(numbered) >= 2, numbered).when(F.size(ordinal) >= 2, ordinal).otherwise(F.array(F.trim(F.col(text))))
-    return docs.select(key, F.posexplode(items).alias("pos", "request")).select(key, (F.col("pos") + 1).alias("number"), F.trim("request").alias("request"))
+    """(key, number, label, request) of a petition's requests, each with all its lines up to the next one.
+
+    Numbered items, else ordinals, if there are two at least; else the whole text as one; none of a blank text.
+    """
+    c = F.regexp_replace(F.col(text), _ENDS, "")
+    numbered = F.regexp_extract_all(c, F.lit(r"(?:^|\n)\s*[0-9]{1,2}[.)-]\s*-?\s*([\s\S]+?)(?=\n\s*[0-9]{1,2}[.)-]|\s*\z)"), 1)
+    ordinal = rf"(?iu)(?:^|\n)\s*({_ANY_ORDINAL})[:\s.]+([\s\S]+?)(?=\n\s*{_ANY_ORDINAL}[:\s.]|\s*\z)"
+    names, parts = (F.regexp_extract_all(c, F.lit(ordinal), i) for i in (1, 2))
+    item = lambda label, request: F.struct(label.alias("label"), request.alias("request"))
+    by_number = F.transform(numbered, lambda x, i: item(F.concat((i + 1).cast("string"), F.lit(".")), x))
+    by_name = F.zip_with(names, parts, lambda n, x: item(F.concat(F.upper(F.substring(n, 1, 1)), F.lower(F.substring(n, 2, 20)), F.lit(":")), x))
+    items = F.when(F.size(numbered) >= 2, by_number).when(F.size(names) >= 2, by_name).when(c != "", F.array(item(F.lit("1."), c)))
+    told = docs.select(key, F.posexplode(items).alias("pos", "x"))
+    return told.select(key, (F.col("pos") + 1).alias("number"), F.col("x.label").alias("label"), _rewrite(F.col("x.request"), [(r"\n{3,}", "\n\n"), (_ENDS, "")]).alias("request"))
 
 
 def chunk_text(text: str, size: int, overlap: int, separator: str) -> list[str]:
-    """Greedy packing of paragraphs (sentences, then hard cuts, where one is too long), with an overlapping tail."""
-    parts: list[str] = []
+    """Greedy packing of paragraphs, joined by blank lines; a paragraph that is too long gives sentences, a sentence that is too long hard cuts.
+
+    A chunk begins with the last `overlap` characters of the one before, whatever its size becomes. Text after the
+    last sentence end of a long paragraph is a sentence, too.
+    """
+    units: list[str] = []
     for paragraph in re.split(separator, text or ""):
-        paragraph = paragraph.strip()
-        for piece in [paragraph] if len(paragraph) <= size else re.split(r"(?<=[.!?])\s+", paragraph):
-            parts += [piece[i : i + size] for i in range(0, len(piece), size)]
+        if not paragraph.strip():
+            continue
+        if len(paragraph) <= size:
+            units.append(paragraph.strip())
+            continue
+        now = ""
+        for sentence in re.findall(r"[^.!?]*[.!?]+|[^.!?]+$", paragraph):
+            if len(now) + len(sentence) <= size:
+                now += sentence
+                continue
+            if now:
+                units.append(now.strip())
+            now = sentence
+            if len(sentence) > size:
+                units += [sentence[i : i + size].strip() for i in range(0, len(sentence), size)]
+                now = ""
+        if now:
+            units.append(now.strip())
     chunks: list[str] = []
     now = ""
-    for part in parts:
-        if now and len(now) + 1 + len(part) > size:
+    for unit in filter(None, units):
+        if len(now) + 2 + len(unit) <= size:
+            now = f"{now}\n\n{unit}" if now else unit
+            continue
+        if now:
             chunks.append(now)
-            tail = now[-overlap:] if overlap else ""
-            now = f"{tail} {part}" if tail and len(tail) + 1 + len(part) <= size else part
-        else:
-            now = f"{now}\n{part}" if now else part
+        tail = now[-overlap:] if overlap else ""
+        now = f"{tail}\n\n{unit}" if tail else unit
     return chunks + [now] if now else chunks
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str, size: int = 1500, overlap: int | None = None, separator: str = r"\n\s*\n") -> DataFrame:
     """(key, number, chunk) for each chunk of each text. Sequential within a document, so an Arrow-batched function."""
     lap = size // 5 if overlap is None else overlap
+    if size <= lap:
+        raise ValueError("size must be greater than overlap")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,20 +195,42 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def token_table(docs: DataFrame, key: str, text: str, stop: list[str] = STOP_WORDS) -> DataFrame:
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("word")).where(~F.col("word").isin(stop))
+def searchable(docs: DataFrame, columns: list[str], text: str, most: int = 2000) -> Column:
+    """The searchable text: the given columns and the first `most` characters of the text; nulls add nothing."""
+    return F.concat_ws(" ", *(F.col(c).cast("string") for c in columns), F.substring(F.col(text), 1, most))
 
 
-def term_stats(table: DataFrame, key: str, k: int, longer_than: int = 4) -> DataFrame:
-    """The k words in most documents: documents and occurrences of each."""
-    per = table.where(F.length("word") > longer_than).groupBy("word", key).agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences")).orderBy(F.desc("documents"), F.desc("occurrences"), "word").limit(k)
+def words_of(text: Column, stop: list[str] = STOP_WORDS) -> Column:
+    """The words of a text, lower-case, without stop words and in order."""
+    return F.filter(tokens(text), lambda w: ~w.isin(stop))
 
 
-def text_rank(table: DataFrame, key: str, query: list[str]) -> DataFrame:
-    """Documents that hold all query words, with the sum of tf / (1 + ln(words)) capped at 1."""
-    counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("words"), F.countDistinct(F.when(F.col("word").isin(query), F.col("word"))).alias("found"), F.count_if(F.col("word").isin(query)).alias("hits"))
-    return counts.where(F.col("found") == len(set(query))).select(key, F.least(F.lit(1.0), F.col("hits") / (1 + F.ln("words"))).alias("rank"))
+def token_table(docs: DataFrame, key: str, text: Column, stop: list[str] = STOP_WORDS) -> DataFrame:
+    return docs.select(key, F.explode(words_of(text, stop)).alias("word"))
+
+
+def term_stats(docs: DataFrame, text: Column, k: int, stop: list[str] = STOP_WORDS, longer_than: int = 4) -> DataFrame:
+    """The k words in most documents: documents and occurrences of each.
+
+    A document's words are sorted, so that its first occurrence of each is known before the one shuffle, by word.
+    """
+    words = F.array_sort(F.filter(words_of(text, stop), lambda w: F.length(w) > longer_than))
+    marked = F.transform("words", lambda w, i: F.struct(w.alias("word"), (~w.eqNullSafe(F.get("words", i - 1))).cast("long").alias("first")))
+    seen = docs.select(words.alias("words")).select(F.inline(marked))
+    counts = seen.groupBy("word").agg(F.sum("first").alias("documents"), F.count(F.lit(1)).alias("occurrences"))
+    return counts.orderBy(F.desc("documents"), F.desc("occurrences"), "word").limit(k)
+
+
+def rank_of(words: Column, query: list[str]) -> Column:
+    """Occurrences of the query's words / (1 + ln(words)), 1 at most; null where one of them is missing."""
+    wanted = F.array(*(F.lit(q) for q in sorted(set(query))))
+    hits = F.size(F.filter(words, lambda w: w.isin(query)))
+    return F.when(F.size(F.array_intersect(words, wanted)) == len(set(query)), F.least(F.lit(1.0), hits / (1 + F.ln(F.size(words)))))
+
+
+def text_rank(docs: DataFrame, key: str, text: Column, query: list[str]) -> DataFrame:
+    """Documents that hold all query words, with their rank; no shuffle."""
+    return docs.select(key, rank_of(words_of(text), query).alias("rank")).where(F.col("rank").isNotNull())
 
 
 def hash_dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -145,32 +251,88 @@ def paragraph_delta(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("removed")).unionByName(right.exceptAll(left).withColumn("side", F.lit("added")))
 
 
-def _lcs(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    table = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
-    for i in range(len(old) - 1, -1, -1):
-        for j in range(len(new) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if old[i] == new[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(old) and j < len(new):
-        if old[i] == new[j]:
-            out.append(("equal", new[j]))
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            out.append(("removed", old[i]))
-            i += 1
-        else:
-            out.append(("added", new[j]))
-            j += 1
-    return out + [("removed", x) for x in old[i:]] + [("added", x) for x in new[j:]]
-
-
-def diff_pairs(pairs: DataFrame, key: str, old: str, new: str, separator: str = r"\n\s*\n") -> DataFrame:
-    """(key, seq, part, text): ordered paragraph diff of each pair; equal pairs are pruned before Python sees them."""
+#: Fixed values. Lines that begin with one of these words open a paragraph.
+CLAUSE_HEADS = "CLÁUSULA CLAUSULA ARTÍCULO ARTICULO PARÁGRAFO PARAGRAFO CAPÍTULO CAPITULO SECCIÓN SECCION TÍTULO TITULO NUMERAL ANEXO CONSIDERANDO OBJETO DEFINICION DEFINICIÓN".split()
+_HEAD = re.compile(rf"\s*(?:{'|'.join(CLAUSE_HEADS)})(?![A-Za-z0-9_])", re.IGNORECASE)
+
+
+def clauses(text: str) -> list[str]:
+    """The paragraphs of a contract: blocks between blank lines, and before each line that begins a clause."""
+    lines = [re.sub(r"[ \t]+", " ", line).rstrip() for line in re.split(r"\r\n?|\n", text or "")]
+    spaced = [line for i, line in enumerate(lines) for line in ([""] if i and lines[i - 1] and _HEAD.match(line) else []) + [line]]
+    return [p.strip() for p in re.split(r"\n\n+", "\n".join(spaced)) if p.strip()]
+
+
+def _canonical(paragraph: str) -> str:
+    return unicodedata.normalize("NFC", " ".join(paragraph.split()).lower())
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of a with each beginning of b."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0))
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def common_places(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places, in memory that is linear in a and b (divide and conquer)."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        while i < j and k < m and a[i] == b[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < m and a[j - 1] == b[m - 1]:
+            j, m = j - 1, m - 1
+            out.append((j, m))
+        if i == j or k == m:
+            continue
+        if j - i == 1:
+            same = np.flatnonzero(b[k:m] == a[i])
+            out += [(i, k + int(same[0]))] if len(same) else []
+            continue
+        half = (i + j) // 2
+        cut = k + int((_lengths(a[i:half], b[k:m]) + _lengths(a[half:j][::-1], b[k:m][::-1])[::-1]).argmax())
+        todo += [(i, half, k, cut), (half, j, cut, m)]
+    return sorted(out)
+
+
+def diff_runs(old: list[str], new: list[str]) -> list[tuple[str, str]]:
+    """Runs (equal, removed or added, paragraphs joined by blank lines); between equal runs the removed one comes first."""
+    names: dict[str, int] = {}
+    a, b = (np.array([names.setdefault(_canonical(p), len(names)) for p in side], np.int64) for side in (old, new))
+    out: list[tuple[str, str]] = []
+    equal: list[str] = []
+    i = k = 0
+
+    def flush(part: str, lines: list[str]) -> None:
+        if lines:
+            out.append((part, "\n\n".join(lines)))
+
+    for x, y in [*common_places(a, b), (len(a), len(b))]:
+        if x > i or y > k:
+            flush("equal", equal)
+            equal = []
+            flush("removed", old[i:x])
+            flush("added", new[k:y])
+        equal += new[y : y + 1]
+        i, k = x + 1, y + 1
+    flush("equal", equal)
+    return out
+
+
+def diff_pairs(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """(key, seq, part, text): the ordered paragraph diff of each pair, run by run, in the paragraphs' own words.
+
+    Paragraphs are equal that differ in white space, case or composition of characters only; equal pairs are pruned
+    before Python sees them.
+    """
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canon = lambda t: [" ".join(p.split()).lower() for p in re.split(separator, t or "") if p.strip()]
         for batch in batches:
-            rows = [(k, i, part, text) for k, a, b in zip(batch["k"], batch["a"], batch["b"]) for i, (part, text) in enumerate(_lcs(canon(a), canon(b)))]
+            rows = [(k, i, part, text) for k, a, b in zip(batch["k"], batch["a"], batch["b"]) for i, (part, text) in enumerate(diff_runs(clauses(a), clauses(b)))]
             yield pd.DataFrame(rows, columns=["k", "seq", "part", "text"])
 
     differing = pairs.where(~F.col(old).eqNullSafe(F.col(new))).select(F.col(key).alias("k"), F.col(old).alias("a"), F.col(new).alias("b"))
@@ -178,32 +340,51 @@ def diff_pairs(pairs: DataFrame, key: str, old: str, new: str, separator: str =
 
 
 def group_changes(parts: DataFrame, key: str) -> DataFrame:
-    """Change events: a removal right before an addition is a MODIFICACIÓN, others are ELIMINACIÓN or ADICIÓN."""
+    """Change events: a removed run right before an added one is one MODIFICACIÓN, others are ELIMINACIÓN or ADICIÓN; texts are on one line."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy("seq")
-    seen = parts.withColumns({"next_part": F.lead("part").over(w), "next_text": F.lead("text").over(w), "before": F.lag("part").over(w)})
-    kind = F.when((F.col("part") == "removed") & (F.col("next_part") == "added"), "MODIFICACIÓN").when(F.col("part") == "removed", "ELIMINACIÓN").when((F.col("part") == "added") & ~F.col("before").eqNullSafe(F.lit("removed")), "ADICIÓN")
-    return seen.withColumn("change", kind).where(F.col("change").isNotNull()).select(key, "seq", "change", F.when(F.col("part") == "removed", F.col("text")).alias("old_text"), F.when(F.col("change") == "MODIFICACIÓN", F.col("next_text")).when(F.col("part") == "added", F.col("text")).alias("new_text"))
+    clean = parts.withColumn("text", _rewrite(F.col("text"), [(r"\n+", " "), (r"\s{2,}", " "), (_ENDS, "")]))
+    seen = clean.withColumns({"next_part": F.lead("part").over(w), "next_text": F.lead("text").over(w), "before": F.lag("part").over(w)})
+    removed, changed = F.col("part") == "removed", (F.col("part") == "removed") & F.col("next_part").eqNullSafe(F.lit("added"))
+    kind = F.when(changed, "MODIFICACIÓN").when(removed, "ELIMINACIÓN").when((F.col("part") == "added") & ~F.col("before").eqNullSafe(F.lit("removed")), "ADICIÓN")
+    told = seen.withColumn("change", kind).where(F.col("change").isNotNull())
+    return told.select(key, "seq", "change", F.when(removed, F.col("text")).alias("old_text"), F.when(changed, F.col("next_text")).when(~removed, F.col("text")).alias("new_text"))
 
 
 def pack_batches(items: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """Greedy batches of each key's items, in order, under a budget of characters: (key, order, batch)."""
-    listed = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("xs"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<{order}:{items.schema[order].dataType.simpleString()},batch:int>>").alias("out"))
+    """Greedy batches of each key's items, in order, under a budget of characters: (key, order, batch).
 
-    def add(state, x):
-        full = (state["used"] > 0) & (state["used"] + x[size] > budget)
-        batch = F.when(full, state["batch"] + 1).otherwise(state["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, x[size].cast("long")).otherwise(state["used"] + x[size]).alias("used"), F.array_append(state["out"], F.struct(x[order].alias(order), batch.alias("batch"))).alias("out"))
+    Greedy packing is sequential within a key; its items stream through in order, so none is gathered.
+    """
 
-    return listed.select(key, F.inline(F.aggregate("xs", start, add, lambda s: s["out"])))
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, used = None, 0, 0
+        for part in batches:
+            out = []
+            for k, n in zip(part["k"].tolist(), part["n"].fillna(0).tolist()):
+                if k != now:
+                    now, batch, used = k, 0, 0
+                if used > 0 and used + n > budget:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield pd.DataFrame({"k": part["k"], "o": part["o"], "batch": out})
+
+    kinds = f"k {items.schema[key].dataType.simpleString()}, o {items.schema[order].dataType.simpleString()}, batch int"
+    dealt = items.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(size).cast("long").alias("n")).repartition("k").sortWithinPartitions("k", "o", "n")
+    return dealt.mapInPandas(pack, kinds).withColumnsRenamed({"k": key, "o": order})
+
+
+def assemble_prompts(df: DataFrame, key: str, sections: list[Column]) -> DataFrame:
+    """(key, prompt): the sections that aren't null or blank, parted by blank lines."""
+    filled = [F.when(F.trim(s) != "", s) for s in sections]
+    return df.select(key, F.concat_ws("\n\n", *filled).alias("prompt"))
 
 
 def parse_llm_json(df: DataFrame, column: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Parsed model answers without fences and chatter; rows that don't parse or lack a required key are rejected."""
-    bare = F.regexp_replace(column, r"```(json)?", "")
-    cut = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    """Parsed model answers, from the first { to the last }, without the fences around them; rows that don't parse or lack a required key are rejected."""
+    cut = F.regexp_extract(column, r"(?s)(\{.*\})", 1)
     parsed = df.withColumn("parsed", F.from_json(cut, schema))
     ok = F.col("parsed").isNotNull()
     for r in required:
@@ -211,9 +392,14 @@ def parse_llm_json(df: DataFrame, column: str, schema: str, required: list[str])
     return parsed.where(ok), parsed.where(~F.coalesce(ok, F.lit(False))).drop("parsed")
 
 
-def rebuild_document(chunks: DataFrame, key: str, match: str) -> DataFrame:
-    """The chunks of each document in order, joined, and the number of the first that starts with `match`."""
-    head = match.strip()[:80]
-    return chunks.groupBy(key).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("number", "chunk"))), lambda x: x["chunk"])).alias("text"), F.min(F.when(F.ltrim("chunk").startswith(head), F.col("number"))).alias("matched"))
-
+def rebuild_document(chunks: DataFrame, key: str, match: str, title: str | None = None) -> DataFrame:
+    """The chunks of each document in order, joined, and the number of the first that starts with the first 80 characters of `match`.
 
+    A title column loses its ` (i/n)`.
+    """
+    head = match.strip()[:80]
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("number", "chunk"))), lambda x: x["chunk"])
+    aggs = [F.concat_ws("\n", parts).alias("text"), F.min(F.when(F.regexp_replace("chunk", _ENDS, "").startswith(head), F.col("number"))).alias("matched")]
+    if title:
+        aggs.append(F.min(F.regexp_replace(title, r" \([0-9]+/[0-9]+\)$", "")).alias("title"))
+    return chunks.groupBy(key).agg(*aggs)

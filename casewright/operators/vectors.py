@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,28 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm, F.lit(0.0))
 
 
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 2000
+
+
+def _normed(df: DataFrame, vector: str, name: str) -> list[Column]:
+    """The vector and its length, which is computed once for each row."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    return [v.alias(name), F.nullif(F.sqrt(dot(F.col(vector), F.col(vector))), F.lit(0.0)).alias(f"{name}_norm")]
+
+
 def similarities(queries: DataFrame, emb: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, id, similarity) of a bounded query set against every embedding; each block of rows meets all queries."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    return emb.crossJoin(F.broadcast(q)).where(F.col(key) != F.col("query")).select("query", F.col(key), F.round(cosine(F.col("_q"), F.col(vector)), 4).alias("similarity"))
+    """(query, id, similarity) of a stated query set against every embedding.
+
+    The queries are counted and meet the rows in blocks of `QUERY_BLOCK`, each of which is broadcast.
+    """
+    q = queries.select(F.col(key).alias("query"), *_normed(queries, vector, "_q"))
+    rows = emb.select(key, *_normed(emb, vector, "_v"))
+    n = q.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    parts = [rows.crossJoin(F.broadcast(q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))) for i in range(blocks)]
+    near = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (F.col("_q_norm") * F.col("_v_norm"))
+    return reduce(DataFrame.unionByName, parts).where(F.col(key) != F.col("query")).select("query", key, F.round(near, 4).alias("similarity"))
 
 
 def vector_topk(queries: DataFrame, emb: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -30,9 +50,16 @@ def vector_topk(queries: DataFrame, emb: DataFrame, k: int, key: str = "vec_id",
     return similarities(queries, emb, key, vector).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def rrf_fuse(a: DataFrame, b: DataFrame, key: str, k: int = 60, n: int = 20, limit: int = 10) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists (key, rank) of at most n rows; a missing rank counts as n + 1."""
+def rrf_fuse(a: DataFrame, b: DataFrame | None, key: str, k: int = 60, n: int = 20, limit: int = 10, embedded: DataFrame | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of a vector and a text list (key, rank) of at most n rows; a missing rank counts as n + 1.
+
+    Rows that aren't in `embedded` are dropped. Without a text list (a blank query) the vector list alone decides.
+    """
+    if b is None:
+        b = a.where(F.lit(False))
     both = a.select(key, F.col("rank").alias("rank_a")).join(b.select(key, F.col("rank").alias("rank_b")), key, "full_outer")
+    if embedded is not None:
+        both = both.join(embedded.select(key).distinct(), key, "left_semi")
     part = lambda c: 1.0 / (k + F.coalesce(F.col(c), F.lit(n + 1)))
     return both.withColumn("fused", F.round((part("rank_a") + part("rank_b")) * 1000, 4)).orderBy(F.desc("fused"), key).limit(limit)
 
@@ -60,7 +87,14 @@ def cluster(emb: DataFrame, key: str = "vec_id", vector: str = "embedding", seed
     gap = F.zip_with(vector_to_array("features"), "center", lambda x, y: (x - y) * (x - y))
     placed = placed.withColumn("distance", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))).drop("center")
     profile = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min_by(key, F.struct("distance", key)).alias("medoid"))
-    return placed, profile
+    return placed.drop("features"), profile
+
+
+def cluster_mix(placed: DataFrame, facts: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(cluster, kind, value, n): how often each value of the columns stands in each cluster; members are the rows of `placed`."""
+    joined = placed.select(key, "cluster").join(facts.select(key, *columns), key)
+    rows = joined.select("cluster", F.inline(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns))))
+    return rows.where(F.col("value").isNotNull()).groupBy("cluster", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def project_2d(emb: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

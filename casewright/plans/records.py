@@ -15,11 +15,11 @@ from casewright.plans.registry import query
 from casewright.sources import tables as T
 from casewright.sources.tables import AS_OF, with_tables
 
-_VOTES = "votes AS (SELECT f.file_id, f.category, f.kind, CAST(coalesce(sum(delta), 0) AS BIGINT) AS feedback FROM files f LEFT JOIN (SELECT event_id % 1000 AS ref, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS delta FROM events) v ON f.file_id = v.ref GROUP BY 1, 2, 3)"
+_VOTES = "votes AS (SELECT f.file_id, f.category, f.kind, CAST(coalesce(sum(delta), 0) AS BIGINT) AS feedback FROM files f LEFT JOIN (SELECT event_id // 10 AS ref, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS delta FROM events) v ON f.file_id = v.ref GROUP BY 1, 2, 3)"
 
 
 def _voted(spark, folder) -> DataFrame:
-    votes = T.read(spark, folder, "events").select((F.col("event_id") % 1000).alias("file_id"), F.when(F.col("event_type") == "click", 1).otherwise(-1).alias("delta"))
+    votes = T.read(spark, folder, "events").select(F.expr("event_id div 10").alias("file_id"), F.when(F.col("event_type") == "click", 1).otherwise(-1).alias("delta"))
     total = votes.groupBy("file_id").agg(F.sum("delta").alias("feedback"))
     found = T.files(spark, folder).select("file_id", "category", "kind").join(total, "file_id", "left")
     return found.withColumn("feedback", F.coalesce("feedback", F.lit(0).cast("long")))
@@ -30,6 +30,12 @@ def kb_effectiveness(spark, folder) -> DataFrame:
     return K.score_stats(_voted(spark, folder), ["category"], "feedback")
 
 
+@query(with_tables(f", {_VOTES} SELECT count(*) AS n, count(*) FILTER (feedback >= 3) AS very_useful, count(*) FILTER (feedback <= -3) AS to_remove, round(avg(feedback), 2) AS mean FROM votes", "files"))
+def kb_totals(spark, folder) -> DataFrame:
+    v, f = _voted(spark, folder), F.col("feedback")
+    return v.agg(F.count(F.lit(1)).alias("n"), F.count_if(f >= 3).alias("very_useful"), F.count_if(f <= -3).alias("to_remove"), F.round(F.avg(f), 2).alias("mean"))
+
+
 @query(with_tables(f", {_VOTES} SELECT category, count(*) FILTER (feedback >= 3) AS very_useful, count(*) FILTER (feedback <= -3) AS to_remove FROM votes GROUP BY 1", "files"))
 def kb_candidates(spark, folder) -> DataFrame:
     return R.count_where(_voted(spark, folder), ["category"], {"very_useful": F.col("feedback") >= 3, "to_remove": F.col("feedback") <= -3})
@@ -174,35 +180,46 @@ def precedent_summary(spark, folder) -> DataFrame:
     return R.count_where(T.cases(spark, folder), ["invoked_right"], {"favourable": F.col("ruling") == "Favorable", "warnings": F.col("ruling") == "Desfavorable"})
 
 
-_HYBRID = f"""s AS (SELECT e.vec_id, v.category, round(0.55::DOUBLE * coalesce({_SIM}, 0) + 0.10::DOUBLE * greatest(0, least(v.feedback, 10)) / 10, 4) AS score
-    FROM embeddings e JOIN votes v ON v.file_id = e.vec_id, (SELECT * FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0)"""
+#: The words that stand for the text of every query vector.
+_ASKED = ["the", "tion"]
+_STOPPED = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_RANKED = f"""w AS (SELECT file_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({_STOPPED})) AS words FROM files),
+    r AS (SELECT file_id, CASE WHEN list_contains(words, 'the') AND list_contains(words, 'tion') THEN least(1.0::DOUBLE, len(list_filter(words, lambda x: x IN ('the', 'tion')))::DOUBLE / (1 + ln(len(words)))) ELSE 0 END AS rank FROM w)"""
+_HYBRID = f"""{_RANKED}, s AS (SELECT q.vec_id AS query, e.vec_id, v.category, round(0.55::DOUBLE * coalesce({_SIM}, 0) + 0.35::DOUBLE * coalesce(r.rank, 0) + 0.10::DOUBLE * greatest(0, least(v.feedback, 10)) / 10, 4) AS score
+    FROM embeddings e JOIN votes v ON v.file_id = e.vec_id LEFT JOIN r ON r.file_id = e.vec_id, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id)"""
+_TOPPED = """, t AS (SELECT *, CASE WHEN {0} THEN 0 ELSE 1 END AS tier FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY query, tier ORDER BY score DESC, vec_id) AS k FROM t),
+    c AS (SELECT *, count(*) FILTER (tier = 0) OVER (PARTITION BY query) AS found FROM b WHERE k <= 8), d AS (SELECT * FROM c WHERE tier = 0 OR found < 3)
+    SELECT query, vec_id, category, score, CAST(tier AS INTEGER) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, score DESC, vec_id) AS place FROM d) WHERE place <= 8"""
 
 
 def _scored(spark, folder) -> DataFrame:
+    """Hybrid scores of all knowledge rows for every hundredth vector: cosine, text rank and feedback."""
     e = T.read(spark, folder, "embeddings").select("vec_id", "embedding")
-    near = V.similarities(e.where("vec_id = 0"), e)
-    known = near.join(_voted(spark, folder).withColumnRenamed("file_id", "vec_id"), "vec_id")
-    return known.select("vec_id", "category", F.round(V.hybrid_score(F.col("similarity"), F.lit(0.0), F.col("feedback")), 4).alias("score"))
+    near = V.similarities(e.where("vec_id % 100 = 0"), e)
+    ranks = X.text_rank(T.files(spark, folder), "file_id", F.col("text"), _ASKED).withColumnRenamed("file_id", "vec_id")
+    known = near.join(_voted(spark, folder).withColumnRenamed("file_id", "vec_id"), "vec_id").join(ranks, "vec_id", "left")
+    return known.select("query", "vec_id", "category", F.round(V.hybrid_score(F.col("similarity"), F.col("rank"), F.col("feedback")), 4).alias("score"))
 
 
-@query(with_tables(f""", {_VOTES}, {_HYBRID}, f AS (SELECT *, CAST(0 AS INTEGER) AS tier FROM s WHERE category = 'en' ORDER BY score DESC, vec_id LIMIT 8),
-    o AS (SELECT *, CAST(1 AS INTEGER) AS tier FROM s WHERE category <> 'en' AND (SELECT count(*) FROM f) < 3 ORDER BY score DESC, vec_id LIMIT 8)
-    SELECT * FROM (SELECT * FROM f UNION ALL SELECT * FROM o) ORDER BY tier, score DESC, vec_id LIMIT 8""", "files"))
+@query(with_tables(f", {_VOTES}, {_HYBRID}{_TOPPED.format("category = 'en'")}", "files"))
 def legal_context(spark, folder) -> DataFrame:
-    """The eight best knowledge rows of a category by hybrid score, topped up from others if they are under three."""
-    return K.search_with_topup(_scored(spark, folder), "vec_id", "score", F.col("category") == "en", 8)
+    """The eight best knowledge rows of a category for each query by hybrid score, topped up from others if they are under three."""
+    return K.search_with_topup(_scored(spark, folder), "query", "vec_id", "score", F.col("category") == "en", 8)
 
 
-@query(with_tables(f""", {_VOTES}, {_HYBRID}, o AS (SELECT *, CAST(1 AS INTEGER) AS tier FROM s ORDER BY score DESC, vec_id LIMIT 8) SELECT * FROM o""", "files"))
+@query(with_tables(f", {_VOTES}, {_HYBRID}{_TOPPED.format("category = 'xx'")}", "files"))
 def legal_context_topped_up(spark, folder) -> DataFrame:
     """The same for a category without any row."""
-    return K.search_with_topup(_scored(spark, folder), "vec_id", "score", F.col("category") == "xx", 8)
+    return K.search_with_topup(_scored(spark, folder), "query", "vec_id", "score", F.col("category") == "xx", 8)
 
 
-@query(f"SELECT q.vec_id AS query, e.vec_id, {_SIM} AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 1) q WHERE e.vec_id IN (2, 3, 5, 7, 11)")
+@query(f"SELECT q.vec_id AS query, e.vec_id, {_SIM} AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.label = q.label AND e.vec_id <> q.vec_id")
 def similarity_to_list(spark, folder) -> DataFrame:
-    e = T.read(spark, folder, "embeddings").select("vec_id", "embedding")
-    return V.similarities(e.where("vec_id = 1"), e.where(F.col("vec_id").isin(2, 3, 5, 7, 11)))
+    """Each query's similarity to the list of the rows with its label."""
+    e = T.read(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    of = V.similarities(e.where("vec_id % 100 = 0"), e)
+    label = lambda name: e.select(F.col("vec_id").alias(name), F.col("label").alias(f"label_{name}"))
+    return of.join(label("query"), "query").join(label("vec_id"), "vec_id").where("label_query = label_vec_id").select("query", "vec_id", "similarity")
 
 
 @query("SELECT count(*) FILTER (vec_id > 450) AS newer, count(*) FILTER (vec_id > 450) >= 10 OR count(*) FILTER (label = 0) = 0 AS stale FROM embeddings")
@@ -234,16 +251,52 @@ def parsed_details(spark, folder) -> DataFrame:
     return T.read(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query()
+_PETITION = "CASE case_id % 4 WHEN 0 THEN 'Radicado No. 2024-' || (100000 + case_id) || '. ' WHEN 1 THEN 'ref 11001400' || (1000 + case_id) || ' ' ELSE '' END || CASE WHEN case_id % 3 = 0 THEN 'Juzgado ' || (case_id % 40 + 1) || '  Civil Municipal de Bogotá, ' WHEN case_id % 3 = 1 THEN 'JUZGADO 5 penal del circuito.' ELSE '' END || CASE WHEN case_id % 5 = 0 THEN 'Accionante: María  López identificada con cc 1' WHEN case_id % 5 = 1 THEN 'Yo, Juan Pérez, identificado con cc 2' WHEN case_id % 5 = 2 THEN 'Demandante: Ana Ruiz. the token' ELSE 'sin datos' END"
+_STEPS = {
+    "docket": "coalesce(regexp_replace(nullif(regexp_extract(p, '(?i)(?:radicado|radicación|rad\\.?)\\s*(?:no\\.?|nro\\.?|número\\.?)?\\s*[:-]?\\s*([0-9\\s.-]{8,25})', 1), ''), '[\\s.-]', '', 'g'), nullif(regexp_extract(p, '(?:^|[^A-Za-z0-9_])([0-9]{11,23})(?:$|[^A-Za-z0-9_])', 1), ''), 'POR DEFINIR')",
+    "court": "coalesce(upper(trim(regexp_replace(nullif(regexp_extract(p, '(?i)(juzgado\\s+[0-9A-Za-z_°.]+\\s+(?:municipal|circuito|promiscuo|administrativo|penal|civil|familia|laboral|ejecuci[oó]n)[^,.\\n]{0,60})', 1), ''), '\\s+', ' ', 'g'))), 'PENDIENTE IDENTIFICAR')",
+    "claimant": "CASE WHEN case_id % 5 = 0 THEN 'MARÍA LÓPEZ' WHEN case_id % 5 = 1 THEN 'JUAN PÉREZ' WHEN case_id % 5 = 2 THEN 'ANA RUIZ' ELSE 'PENDIENTE IDENTIFICAR' END",
+}
+
+
+def _petitions(spark, folder) -> DataFrame:
+    """Petitions with dockets, courts and names in several spellings, one a case."""
+    n = F.col("case_id")
+    docket = F.when(n % 4 == 0, F.concat(F.lit("Radicado No. 2024-"), (n + 100000).cast("string"), F.lit(". "))).when(n % 4 == 1, F.concat(F.lit("ref 11001400"), (n + 1000).cast("string"), F.lit(" "))).otherwise("")
+    court = F.when(n % 3 == 0, F.concat(F.lit("Juzgado "), (n % 40 + 1).cast("string"), F.lit("  Civil Municipal de Bogotá, "))).when(n % 3 == 1, "JUZGADO 5 penal del circuito.").otherwise("")
+    name = F.when(n % 5 == 0, "Accionante: María  López identificada con cc 1").when(n % 5 == 1, "Yo, Juan Pérez, identificado con cc 2").when(n % 5 == 2, "Demandante: Ana Ruiz. the token").otherwise("sin datos")
+    return T.cases(spark, folder).select("case_id", "received", F.concat(docket, court, name).alias("text"))
+
+
+@query(with_tables(f", t AS (SELECT case_id, {_PETITION} AS p FROM cases) SELECT case_id, " + ", ".join(f"{v} AS {k}" for k, v in _STEPS.items()) + " FROM t", "cases"))
+def extracted_fields(spark, folder) -> DataFrame:
+    return X.extract_fields(_petitions(spark, folder), "text").select("case_id", "docket", "court", "claimant")
+
+
+@query(
+    with_tables(
+        f""", t AS (SELECT case_id, received, {_PETITION} AS p FROM cases), x AS (SELECT case_id, received, {_STEPS['docket']} AS d, p FROM t),
+        k AS (SELECT CASE WHEN d = 'POR DEFINIR' THEN 'SIN-' || case_id ELSE d END AS docket, case_id, received, CASE WHEN p ILIKE '%token%' THEN 'tecnico' WHEN p ILIKE '%identificad%' THEN 'persona' END AS keyword_class FROM x),
+        days AS (SELECT CAST(d AS DATE) AS day FROM range(DATE '1990-01-01', DATE '2010-01-01', INTERVAL 1 DAY) q(d)), o AS (SELECT day, dayofweek(day) NOT IN (0, 6) AS b, sum(CAST(dayofweek(day) NOT IN (0, 6) AS INTEGER)) OVER (ORDER BY day) AS n FROM days),
+        u AS (SELECT *, row_number() OVER (PARTITION BY docket ORDER BY case_id DESC) AS r FROM k)
+        SELECT docket, case_id, keyword_class, x.day AS due FROM u LEFT JOIN o f ON u.received = f.day LEFT JOIN o x ON x.b AND x.n = f.n + 10 WHERE r = 1""",
+        "cases",
+    )
+)
 def ingested_cases(spark, folder) -> DataFrame:
-    """Texts as cases: cleaned, fields extracted and classified; a missing docket gets a key from the text."""
-    d = T.read(spark, folder, "documents").select("doc_id", X.repair_layout(X.clean_text(F.coalesce("text", F.lit("")), [r"[#*$%&]{3}"])).alias("text"))
-    found = X.classify_keywords(X.extract_fields(d, "text"), "text", [("tecnico", ["token", "license"]), ("ingles", ["the", "and"])])
-    return found.select("doc_id", F.coalesce("docket", F.concat(F.lit("SIN-"), F.substring(F.sha2("text", 256), 1, 12))).alias("docket"), "court", "claimant", "keyword_class")
+    """Petitions as cases: cleaned, fields extracted, classified, due after ten business days; of one docket the last petition stays."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit("1990-01-01").cast("date"), F.lit("2009-12-31").cast("date"))).alias("day"))
+    calendar = R.business_calendar(days, days.where("false"))
+    p = _petitions(spark, folder).withColumn("text", X.repair_layout(X.clean_text(F.col("text"), [r"[#*$%&]{3}"])))
+    found = X.classify_keywords(X.extract_fields(p, "text"), "text", [("tecnico", ["token"]), ("persona", ["identificado", "identificada"])])
+    keyed = found.withColumn("docket", F.when(F.col("docket") == X.NO_DOCKET, F.concat(F.lit("SIN-"), F.col("case_id").cast("string"))).otherwise(F.col("docket")))
+    dated = R.business_due_date(R.latest_per_key(keyed, ["docket"], [F.desc("case_id")]), "received", F.lit(10), calendar, "due").select("docket", "case_id", "keyword_class", "due")
+    return M.upsert(dated.limit(0), dated, "docket", ["case_id", "keyword_class", "due"])
 
 
 @query()
 def ingested_knowledge(spark, folder) -> DataFrame:
-    """Files as titled knowledge chunks."""
-    chunks = X.chunk_documents(T.files(spark, folder), "file_id", "text", 1500, 300, r"\n")
+    """Cleaned files as titled knowledge chunks."""
+    cleaned = T.files(spark, folder).select("file_id", X.clean_text(F.coalesce("text", F.lit("")), [r"[#*$%&]{3}"]).alias("text"))
+    chunks = X.chunk_documents(cleaned, "file_id", "text", 1500, 300, r"\n")
     return K.titled_chunks(chunks, "file_id", F.concat(F.lit("archivo "), F.col("file_id").cast("string")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import columns as C
 from casewright.operators import relational as R
+from casewright.plans.registry import ORACLE_SQL as QUERIES_SQL
 from casewright.plans.registry import query
 from casewright.sources import tables as T
 from casewright.sources.tables import AS_OF, with_tables
@@ -73,42 +74,6 @@ def response_time_by_group(spark, folder) -> DataFrame:
     return per.join(T.groups(spark, folder), "group_id").select("group_name", "answered", C.mean_of("days", "answered").alias("mean_days"), C.mean_of("high_days", "high").alias("mean_high"))
 
 
-_COMMON = {"id": "string", "state": "string", "day": "date", "owner": "string", "amount": "decimal(15,2)"}
-
-
-def timeline(spark, folder, wanted: dict | None = None) -> DataFrame:
-    """All modules as rows of one shape; a filter only holds for modules that have its column."""
-    cases, pays, reqs = T.cases(spark, folder), T.payments(spark, folder), T.requests(spark, folder)
-    keyed = lambda df, k: df.withColumn("key", F.concat_ws("-", F.col(k).cast("string"), F.col("line").cast("string")))
-    modules = {
-        "casos": (cases, {"id": "case_id", "state": "state", "day": "received", "owner": "owner_id"}),
-        "pagos": (keyed(pays, "contract_id"), {"id": "key", "state": "state", "day": "asked", "amount": "amount"}),
-        "requerimientos": (keyed(reqs, "case_id"), {"id": "key", "state": "state", "day": "created"}),
-    }
-    rows = [C.to_common(df, tag, mapping, _COMMON) for tag, (df, mapping) in modules.items()]
-    return C.optional_filters(reduce(DataFrame.unionByName, rows), wanted or {})
-
-
-_TIMELINE = """SELECT 'casos' AS module, CAST(case_id AS VARCHAR) AS id, state, received AS day, CAST(owner_id AS VARCHAR) AS owner, CAST(NULL AS DECIMAL(15,2)) AS amount FROM cases
-    UNION ALL SELECT 'pagos', contract_id || '-' || line, state, asked, NULL, amount FROM payments
-    UNION ALL SELECT 'requerimientos', case_id || '-' || line, state, created, NULL, NULL FROM requests"""
-
-
-@query(with_tables(_TIMELINE, "cases", "payments", "requests"))
-def cross_module_timeline(spark, folder) -> DataFrame:
-    return timeline(spark, folder)
-
-
-@query(with_tables(f", t AS ({_TIMELINE}) SELECT module, count(*) AS n, count(DISTINCT state) AS states, min(day) AS first_day, max(day) AS last_day FROM t GROUP BY 1", "cases", "payments", "requests"))
-def timeline_totals(spark, folder) -> DataFrame:
-    return timeline(spark, folder).groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("state").alias("states"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-
-
-@query(with_tables(f", t AS ({_TIMELINE}) SELECT * FROM t WHERE day IS NOT NULL ORDER BY day DESC, module, id LIMIT 100", "cases", "payments", "requests"))
-def timeline_newest(spark, folder) -> DataFrame:
-    return R.top_k(timeline(spark, folder).where("day is not null"), 100, F.desc("day"), F.asc("module"), F.asc("id"))
-
-
 @query(with_tables("SELECT count(*) AS n, CAST(sum(amount) AS DECIMAL(25,2)) AS total, count(*) FILTER (state = 'aprobado') AS approved, count(*) FILTER (state = 'rechazado') AS rejected, CAST(sum(amount) FILTER (state = 'solicitado') AS DECIMAL(25,2)) AS pending FROM payments WHERE is_active", "payments"))
 def payment_kpis(spark, folder) -> DataFrame:
     state = F.col("state")
@@ -135,39 +100,11 @@ def payment_trace(spark, folder) -> DataFrame:
     return p.join(T.actions(spark, folder).select(F.col("case_id").alias("contract_id"), "action", "created"), "contract_id")
 
 
-@query(with_tables("SELECT state, count(*) AS n, CAST(sum(amount) AS DECIMAL(25,2)) AS total, count(*) FILTER (NOT is_active) AS archived FROM payments GROUP BY 1", "payments"))
-def conformity_by_state(spark, folder) -> DataFrame:
-    return T.payments(spark, folder).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(25,2)").alias("total"), F.count_if(~F.col("is_active")).alias("archived"))
-
-
-@query(with_tables("SELECT count(*) AS n, CAST(sum(amount) AS DECIMAL(25,2)) AS total, count(*) FILTER (state <> 'aprobado') AS pending FROM payments", "payments"))
-def conformity_kpis(spark, folder) -> DataFrame:
-    return T.payments(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(25,2)").alias("total"), F.count_if(F.col("state") != "aprobado").alias("pending"))
-
-
 @query(with_tables("SELECT kind, count(*) AS n, count(DISTINCT conv_id) AS threads, count(*) FILTER (turn = 0) AS openings FROM messages GROUP BY 1", "messages"))
-def comm_kpis(spark, folder) -> DataFrame:
+def message_kpis(spark, folder) -> DataFrame:
     return T.messages(spark, folder).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("threads"), F.count_if(F.col("turn") == 0).alias("openings"))
 
 
-@query(with_tables("SELECT entity_id, entity_name, count(*) AS n FROM payments JOIN entities ON creditor_id = entity_id GROUP BY 1, 2 ORDER BY n DESC, entity_id LIMIT 6", "payments", "entities"))
-def comm_top_entities(spark, folder) -> DataFrame:
-    per = T.payments(spark, folder).groupBy(F.col("creditor_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
-    return R.top_k(per.join(T.entities(spark, folder).select("entity_id", "entity_name"), "entity_id"), 6, F.desc("n"), F.asc("entity_id")).select("entity_id", "entity_name", "n")
-
-
-@query(with_tables("SELECT date_trunc('month', created)::DATE AS month, state, count(*) AS n FROM requests GROUP BY 1, 2", "requests"))
-def comm_trend(spark, folder) -> DataFrame:
-    return T.requests(spark, folder).groupBy(F.trunc("created", "month").alias("month"), "state").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(with_tables("SELECT m.conv_id, m.turn, m.kind, length(m.text) AS chars, t.turns FROM messages m JOIN (SELECT conv_id, count(*) AS turns FROM messages GROUP BY 1) t ON m.conv_id = t.conv_id WHERE m.kind = 'recibida'", "messages"))
-def comm_list(spark, folder) -> DataFrame:
-    m = T.messages(spark, folder)
-    turns = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
-    return m.where("kind = 'recibida'").join(turns, "conv_id").select("conv_id", "turn", "kind", F.length("text").cast("long").alias("chars"), "turns")
-
-
 _DONE = "d AS (SELECT user_id, CAST(sum(weight) AS BIGINT) AS done FROM actions GROUP BY 1), g AS (SELECT goals.*, coalesce(done, 0) AS done FROM goals LEFT JOIN d ON goals.user_id = d.user_id)"
 
 
@@ -238,13 +175,6 @@ def active_workload(spark, folder) -> DataFrame:
     return R.count_where(joined, ["role"], {"active": F.col("case_id").isNotNull(), "overdue": F.col("due") < F.lit(AS_OF).cast("date")})
 
 
-@query(with_tables("SELECT action, count(*) AS n, min(created) AS first_seen, max(created) AS last_seen FROM actions WHERE action LIKE 'c%' OR action LIKE 'v%' GROUP BY 1", "actions"))
-def operational_latency(spark, folder) -> DataFrame:
-    """Activity by kind for actions with given prefixes."""
-    a = T.actions(spark, folder).where(F.col("action").like("c%") | F.col("action").like("v%"))
-    return a.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.min("created").cast("timestamp_ntz").alias("first_seen"), F.max("created").cast("timestamp_ntz").alias("last_seen"))
-
-
 @query(with_tables("SELECT r.case_id, r.line, g.group_name, r.priority, CAST(CASE r.priority WHEN 'Alta' THEN 1 WHEN 'Media' THEN 2 ELSE 3 END AS INTEGER) AS urgency, r.created FROM requests r JOIN groups g ON r.group_id = g.group_id WHERE r.state = 'Pendiente' ORDER BY urgency, r.created DESC, r.case_id, r.line, g.group_name LIMIT 200", "requests", "groups"))
 def request_queue(spark, folder) -> DataFrame:
     """The 200 most urgent open requests: priority, then newest."""
@@ -293,12 +223,6 @@ def file_dashboard(spark, folder) -> DataFrame:
     return g.select("kind", "files", "high", "medium", "low", C.rate("high", "judged").alias("high_rate"))
 
 
-@query(with_tables("SELECT case_id, due, state FROM cases WHERE is_active AND state <> 'Respondida' AND due BETWEEN DATE '1998-06-01' AND DATE '1998-06-16'", "cases"))
-def file_calendar(spark, folder) -> DataFrame:
-    c = R.scan_active(T.cases(spark, folder)).where(~F.col("state").isin(CLOSED) & C.due_within("due", 15, AS_OF))
-    return c.select("case_id", "due", "state")
-
-
 @query(with_tables("SELECT state, count(*) AS n, count(*) FILTER (due < DATE '1998-06-01' AND state <> 'Respondida') AS overdue FROM cases GROUP BY 1", "cases"))
 def overdue_by_state(spark, folder) -> DataFrame:
     return R.count_where(T.cases(spark, folder), ["state"], {"n": F.lit(True), "overdue": C.is_overdue("due", "state", CLOSED, AS_OF)})
@@ -421,3 +345,11 @@ def business_due_date(spark, folder) -> DataFrame:
     holidays = days.where("month(day) = 1 and dayofmonth(day) = 1")
     calendar = R.business_calendar(days, holidays)
     return R.business_due_date(T.cases(spark, folder).select("case_id", "received"), "received", F.lit(10), calendar, "reply_by").select("case_id", "received", "reply_by")
+
+
+@query(
+    QUERIES_SQL["case_risk_score"] + " ORDER BY score DESC, due NULLS LAST, case_id LIMIT 50"
+)
+def riskiest_cases(spark, folder) -> DataFrame:
+    """The 50 cases with most points; among equals the earlier deadline comes first."""
+    return R.top_k(case_risk_score(spark, folder), 50, F.desc("score"), F.asc_nulls_last("due"), F.asc("case_id"))

@@ -113,6 +113,101 @@ def messages(spark, folder) -> DataFrame:
     return c.select("conv_id", "turn", kind.alias("kind"), "text")
 
 
+def expedientes(spark, folder) -> DataFrame:
+    """Environmental files."""
+    o = read(spark, folder, "orders")
+    key, day, level = F.col("o_orderkey"), F.to_date("o_orderdate"), F.substring("o_orderpriority", 1, 1)
+    return o.select(
+        key.alias("exp_id"),
+        F.when(key % 17 != 0, F.concat(F.lit("Expediente "), key.cast("string"))).alias("title"),
+        F.concat(F.lit("N-"), key.cast("string")).alias("number"),
+        F.col("o_orderpriority").alias("kind"),
+        F.when(key % 4 == 0, "Pendiente").when(key % 4 == 1, "Analizado").when(key % 4 == 2, "Revisado").otherwise("Archivado").alias("state"),
+        (key % 8).alias("entity_id"),
+        F.when(key % 6 != 0, key % 25).alias("group_id"),
+        F.col("o_custkey").alias("owner_id"),
+        F.when(key % 19 != 0, day).alias("dated"),
+        F.when(key % 5 != 0, F.date_add(day, (key % 400).cast("int"))).alias("due"),
+        (key % 11 != 0).alias("is_active"),
+        level.cast("int").alias("level"),
+    )
+
+
+def analyses(spark, folder) -> DataFrame:
+    """Analyses of environmental files, several for most of them."""
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    level = F.when(flag == "R", "Crítico").when(flag == "A", "Alto").when(status == "F", "Medio").otherwise("Bajo")
+    return read(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("analysis_id"),
+        F.col("l_orderkey").alias("exp_id"),
+        level.alias("level"),
+        F.concat(F.lit("Hallazgo de "), F.col("l_quantity").cast("int").cast("string")).alias("finding"),
+        F.concat(F.lit("Ley "), (F.col("l_partkey") % 40).cast("string")).alias("norm"),
+        F.to_date("l_shipdate").alias("created"),
+    )
+
+
+def communications(spark, folder) -> DataFrame:
+    e = read(spark, folder, "events")
+    kind = F.col("event_type")
+    return e.select(
+        F.col("event_id").alias("comm_id"),
+        F.concat(F.lit("Asunto "), kind).alias("subject"),
+        F.when(kind == "view", "respondida").when(kind == "click", "pendiente").otherwise("en_tramite").alias("state"),
+        F.when(F.col("event_id") % 2 == 0, "recibida").otherwise("enviada").alias("kind"),
+        F.when(F.col("event_id") % 23 != 0, F.col("user_id") % 8).alias("entity_id"),
+        F.col("user_id").alias("owner_id"),
+        F.to_date("ts").alias("received"),
+        F.date_add(F.to_date("ts"), (F.col("event_id") % 30).cast("int")).alias("due"),
+        (F.col("event_id") % 7 != 0).alias("is_active"),
+        (F.col("event_id") % 4000).alias("exp_id"),
+    )
+
+
+def communication_groups(spark, folder) -> DataFrame:
+    """The groups of each communication; some links stand there twice."""
+    e = read(spark, folder, "events").select(F.col("event_id").alias("comm_id"))
+    one, two = e.withColumn("group_id", F.col("comm_id") % 25), e.where("comm_id % 3 = 0").withColumn("group_id", (F.col("comm_id") * 7) % 25)
+    return one.unionByName(two)
+
+
+def conformities(spark, folder) -> DataFrame:
+    flag = F.col("l_returnflag")
+    return read(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("conf_id"),
+        F.concat(F.lit("Concepto "), (F.col("l_partkey") % 50).cast("string")).alias("concept"),
+        F.when(flag == "A", "liberado").when(flag == "R", "rechazado").otherwise("pendiente").alias("state"),
+        F.to_date("l_shipdate").alias("asked"),
+        F.col("l_extendedprice").cast("decimal(15,2)").alias("amount"),
+        F.col("l_suppkey").alias("entity_id"),
+        F.col("l_partkey").alias("project_id"),
+        F.col("l_orderkey").alias("contract_id"),
+        (F.col("l_partkey") % 1000).alias("asked_by"),
+        (F.col("l_suppkey") % 50).alias("owner_id"),
+        (F.col("l_linestatus") == "O").alias("is_active"),
+    )
+
+
+def audits(spark, folder) -> DataFrame:
+    """Contract audits against standard templates."""
+    k = F.col("p_partkey")
+    return read(spark, folder, "part").select(
+        k.alias("audit_id"),
+        F.col("p_size").cast("long").alias("template_id"),
+        F.when(k % 7 != 0, k % 8).alias("entity_id"),
+        (k % 1000).alias("created_by"),
+        F.when(k % 3 == 0, "Cerrado").when(k % 3 == 1, "En Seguimiento").otherwise("Abierto").alias("state"),
+        F.date_add(F.lit("1997-01-01").cast("date"), (k % 900).cast("int")).alias("created"),
+    )
+
+
+def templates(spark, folder) -> DataFrame:
+    size = F.col("p_size").cast("long")
+    return read(spark, folder, "part").groupBy(size.alias("template_id")).agg(F.count(F.lit(1)).alias("uses")).select(
+        "template_id", F.concat(F.lit("Minuta "), F.col("template_id").cast("string")).alias("title"), (F.col("template_id") % 10 != 0).alias("is_active")
+    )
+
+
 #: The same adapters as DuckDB common table expressions.
 SQL = {
     "cases": """SELECT o_orderkey AS case_id, o_custkey AS owner_id,
@@ -140,6 +235,26 @@ SQL = {
     "files": """SELECT d.doc_id AS file_id, source AS kind, lang AS category, text,
         CASE WHEN toxic = 1 THEN 'Alto' WHEN quality = 0 THEN 'Medio' WHEN quality = 1 THEN 'Bajo' END AS risk, d.doc_id % 9 <> 0 AS is_active
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "expedientes": """SELECT o_orderkey AS exp_id, CASE WHEN o_orderkey % 17 <> 0 THEN 'Expediente ' || o_orderkey END AS title, 'N-' || o_orderkey AS number, o_orderpriority AS kind,
+        CASE o_orderkey % 4 WHEN 0 THEN 'Pendiente' WHEN 1 THEN 'Analizado' WHEN 2 THEN 'Revisado' ELSE 'Archivado' END AS state,
+        o_orderkey % 8 AS entity_id, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 25 END AS group_id, o_custkey AS owner_id,
+        CASE WHEN o_orderkey % 19 <> 0 THEN CAST(o_orderdate AS DATE) END AS dated,
+        CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) AS DATE) END AS due,
+        o_orderkey % 11 <> 0 AS is_active, CAST(o_orderpriority[1] AS INTEGER) AS level FROM orders""",
+    "analyses": """SELECT l_orderkey * 10 + l_linenumber AS analysis_id, l_orderkey AS exp_id,
+        CASE WHEN l_returnflag = 'R' THEN 'Crítico' WHEN l_returnflag = 'A' THEN 'Alto' WHEN l_linestatus = 'F' THEN 'Medio' ELSE 'Bajo' END AS level,
+        'Hallazgo de ' || CAST(floor(l_quantity) AS INTEGER) AS finding, 'Ley ' || (l_partkey % 40) AS norm, CAST(l_shipdate AS DATE) AS created FROM lineitem""",
+    "communications": """SELECT event_id AS comm_id, 'Asunto ' || event_type AS subject, CASE event_type WHEN 'view' THEN 'respondida' WHEN 'click' THEN 'pendiente' ELSE 'en_tramite' END AS state,
+        CASE WHEN event_id % 2 = 0 THEN 'recibida' ELSE 'enviada' END AS kind, CASE WHEN event_id % 23 <> 0 THEN user_id % 8 END AS entity_id, user_id AS owner_id,
+        CAST(ts AS DATE) AS received, CAST(CAST(ts AS DATE) + CAST(event_id % 30 AS INTEGER) AS DATE) AS due, event_id % 7 <> 0 AS is_active, event_id % 4000 AS exp_id FROM events""",
+    "communication_groups": "SELECT event_id AS comm_id, event_id % 25 AS group_id FROM events UNION ALL SELECT event_id, (event_id * 7) % 25 FROM events WHERE event_id % 3 = 0",
+    "conformities": """SELECT l_orderkey * 10 + l_linenumber AS conf_id, 'Concepto ' || (l_partkey % 50) AS concept,
+        CASE l_returnflag WHEN 'A' THEN 'liberado' WHEN 'R' THEN 'rechazado' ELSE 'pendiente' END AS state, CAST(l_shipdate AS DATE) AS asked,
+        CAST(l_extendedprice AS DECIMAL(15,2)) AS amount, l_suppkey AS entity_id, l_partkey AS project_id, l_orderkey AS contract_id,
+        l_partkey % 1000 AS asked_by, l_suppkey % 50 AS owner_id, l_linestatus = 'O' AS is_active FROM lineitem""",
+    "audits": """SELECT p_partkey AS audit_id, CAST(p_size AS BIGINT) AS template_id, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 8 END AS entity_id, p_partkey % 1000 AS created_by,
+        CASE p_partkey % 3 WHEN 0 THEN 'Cerrado' WHEN 1 THEN 'En Seguimiento' ELSE 'Abierto' END AS state, CAST(DATE '1997-01-01' + CAST(p_partkey % 900 AS INTEGER) AS DATE) AS created FROM part""",
+    "templates": "SELECT DISTINCT CAST(p_size AS BIGINT) AS template_id, 'Minuta ' || p_size AS title, p_size % 10 <> 0 AS is_active FROM part",
     "messages": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'recibida' WHEN 'assistant' THEN 'enviada' ELSE 'interna' END AS kind, text FROM conversations",
 }
 
@@ -148,3 +263,21 @@ def with_tables(sql: str, *names: str) -> str:
     """`sql` (a SELECT, or further CTEs and a SELECT that begin with a comma) over the adapters named."""
     views = ", ".join(f"\"{n}\" AS ({SQL[n]})" for n in names)
     return f"WITH {views}{sql}" if sql.lstrip().startswith(",") else f"WITH {views} {sql}"
+
+
+#: Catalogs by name: the adapter and the column that sorts them.
+CATALOGS = {"entidades": (entities, "entity_name"), "grupos": (groups, "group_name"), "areas": (groups, "group_name"), "minutas": (templates, "title")}
+
+
+def read_catalog(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A catalog by its whitelisted name, active rows only, sorted by its display column; areas with their members' number."""
+    if name not in CATALOGS:
+        raise ValueError(f"unknown catalog: {name}")
+    load, shown = CATALOGS[name]
+    found = load(spark, folder)
+    if "is_active" in found.columns:
+        found = found.where("is_active")
+    if name == "areas":
+        members = users(spark, folder).groupBy(F.col("team_id").alias("group_id")).agg(F.count("user_id").alias("members"))
+        found = found.join(members, "group_id", "left").withColumn("members", F.coalesce("members", F.lit(0).cast("long")))
+    return found.orderBy(shown)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import MEDIUM
 
-from casewright.plans import corpus, records, reports  # noqa: F401
+from casewright.plans import corpus, modules, records, reports, timeline  # noqa: F401
 from casewright.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
