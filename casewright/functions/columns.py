@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def clean_label(col, default: str) -> Column:
@@ -78,6 +80,44 @@ def validate_rows(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
     return marked.where(F.size("errors") == 0).drop("errors"), marked.where(F.size("errors") > 0)
 
 
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed characters, trimmed; Spark has no built-in for it."""
+    return text.str.normalize("NFC").str.strip()
+
+
+#: Spellings that are repaired before a row is judged.
+SYNONYMS = {"Si": "Sí", "Critico": "Crítico"}
+
+
+def repaired(col: str, synonyms: dict[str, str] = SYNONYMS, default=None) -> Column:
+    """The composed and trimmed text, a known misspelling set right, `default` where nothing is left."""
+    text = F.nullif(nfc(F.col(col)), F.lit(""))
+    for wrong, right in synonyms.items():
+        text = F.when(text == wrong, right).otherwise(text)
+    return text if default is None else F.coalesce(text, F.lit(default))
+
+
+def is_uuid(col: str) -> Column:
+    return F.col(col).rlike(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+
+
+def is_url(col: str) -> Column:
+    return F.col(col).rlike(r"^https?://[^\s/$.?#][^\s]*$")
+
+
+def is_whole(col: str) -> Column:
+    """A text that is an integer."""
+    return F.col(col).rlike(r"^[+-]?[0-9]+$")
+
+
+def long_date(col) -> Column:
+    """A date in words, as 05 de marzo de 2024. The months' names."""
+    months = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+    name = F.element_at(F.array(*(F.lit(m) for m in months)), F.month(col))
+    return F.concat(F.date_format(col, "dd"), F.lit(" de "), name, F.lit(" de "), F.year(col).cast("string"))
+
+
 def to_common(df: DataFrame, tag: str, mapping: dict[str, str], columns: dict[str, str]) -> DataFrame:
     """Project to `columns` (name: type) with typed nulls where `mapping` has nothing, and a module tag."""
     return df.select(F.lit(tag).alias("module"), *((F.col(mapping[c]) if c in mapping else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
