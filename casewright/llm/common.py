@@ -40,7 +40,7 @@ def _path(spark: SparkSession, name: str):
 
 
 def _write(df: DataFrame, name: str) -> DataFrame:
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(name)
+    df.write.option("parquet.block.size", 32 << 20).parquet(name)
     return df.sparkSession.read.schema(df.schema).parquet(name)
 
 
