@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from casewright.llm.common import pieces, tidy
 
 #: Words whose ids a task remembers between batches.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 #: Bytes of text whose words are in a worker's memory at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def _byte_symbols() -> list[str]:
@@ -79,8 +79,10 @@ class Vocabulary:
         self.latin_words = re.compile(spelt)
         self.other = re.compile("[\u0250-\U0010ffff]")
         # Letters and digits that are newer than Python's own tables are symbols to the vocabulary's library.
-        unknown = "".join([c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn"])
-        points = list(map(ord, regex.findall(r"[\p{L}\p{N}]", unknown)))
+        points = []
+        for start in range(0, 0x110000, 0x1000):
+            unknown = "".join([c for c in map(chr, range(start, start + 0x1000)) if unicodedata.category(c) == "Cn"])
+            points += map(ord, regex.findall(r"[\p{L}\p{N}]", unknown))
         firsts = [p for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
         lasts = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
         newer = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts))
