@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import MEDIUM, SMALL
 from pyspark.sql import functions as F
@@ -496,7 +497,7 @@ def test_decontamination_is_all_pairs_alignment(spark):
     hashed = {k: decontaminate._items([{"item_id": k, "text": t}], "item_id")[k] for k, t in items}
     want, holds = {}, []
     for i, text, _ in rows:
-        doc = decontaminate._words(__import__("pyarrow").array([text]))[0]
+        doc = decontaminate._words(pa.array([text], pa.string()))[0]
         scores = {k: decontaminate.align(doc, item)[0] if len(doc) else 0 for k, item in hashed.items()}
         want |= {(i, k): max(s, want.get((i, k), 0)) for k, s in scores.items() if s >= decontaminate.THRESHOLD}
         holds.append(any(s >= decontaminate.THRESHOLD for s in scores.values()))
