@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import pieces, tidy
+from casewright.llm.common import bounded_batches, pieces, tidy
 
 #: Words whose ids a task remembers between batches.
 REMEMBERED = 50_000
@@ -220,5 +220,6 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and, with `whole`, ids (array<int>) and decoded (string)."""
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     return narrow.mapInArrow(tidy(partial(_encode, path=path, whole=whole)), f"`{id_col}` long, {DIGESTS}" + ", ids array<int>, decoded string" * whole)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import PIECE_BYTES, split_words, utf8, word_hashes
+from casewright.llm.common import PIECE_BYTES, bounded_batches, split_words, utf8, word_hashes
 
 #: Stands for a null id.
 NO_ID = (1 << 63) - 1
@@ -25,6 +25,7 @@ CHUNK_BYTES = 12 << 20
 
 def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """(chunk, id, text) and the number of chunks, which follows the bytes of all texts."""
+    bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(4, -(-total // chunk_bytes))
     chunk = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(n)).cast("long")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles at once inside a task.
 PIECE_BYTES = 1 << 18
+#: Bytes of an Arrow batch, Spark's setting for it and that setting's default.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,15 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         system.delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches hold about `BATCH_BYTES` from now on, unless the session sets a bound of its own.
+
+    The default lets 10,000 rows or 64 MB go at once, whose buffers stay with the executor and its Python workers.
+    """
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system; Spark reuses a Python worker, and what it keeps would add to later stages."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import common
-from casewright.llm.common import bounded_join, materialise, ngram_hashes, pieces, tidy, utf8, word_hashes
+from casewright.llm.common import bounded_batches, bounded_join, materialise, ngram_hashes, pieces, tidy, utf8, word_hashes
 
 GRAM = 3
 THRESHOLD = 0.5
@@ -146,6 +146,7 @@ FOUND = "id long, digest long, item_id long, score double, first_word long, end_
 
 def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, threshold: float) -> DataFrame:
     """id, digest of the text, item_id, score, first_word and end_word, for each row and item that it holds."""
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     parts, block, size = [], [], 0
     for row in benchmark.select(item_col, F.col("text")).where(F.col("text").isNotNull()).toLocalIterator():

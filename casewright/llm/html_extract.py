@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import bounded_join, materialise, pieces, tidy
+from casewright.llm.common import bounded_batches, bounded_join, materialise, pieces, tidy
 
 #: Pages of a host from which a node can be judged, and the importance below which it goes, outside and within an article.
 MIN_PAGES, LOW, LOW_INSIDE = 8, 0.6, 0.2
@@ -291,6 +291,7 @@ def extract_main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, low: float = LOW, low_inside: float = LOW_INSIDE, markup: bool = True
 ) -> DataFrame:
     """page_id, url, text and n_chars of each row. Without `markup` the style tree alone decides what goes."""
+    bounded_batches(pages.sparkSession)
     narrow = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
     tree = style_tree(narrow.select("host", "html"), markup)
     dull = materialise(tree.where((F.col("pages") >= min_pages) & (F.col("importance") < low)).select("host", "path", "importance"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import bounded_join, materialise, mix, pieces, tidy
+from casewright.llm.common import bounded_batches, bounded_join, materialise, mix, pieces, tidy
 
 ORDER = 4
 #: Documents of each language that a model is trained on, at most.
@@ -194,6 +194,7 @@ def _predict(batches, models: dict):
 
 def identify(docs: DataFrame, models: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (0 to 1), cross_entropy (nats per character) and rejected of each row."""
+    bounded_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast(models)
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     return narrow.mapInArrow(tidy(lambda batches: _predict(batches, spread.value)), f"`{id_col}` long, lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import bounded_join, constants, join_hot, materialise, mix, ngram_hashes, pieces, scratch, split_words, tidy, utf8, word_hashes
+from casewright.llm.common import bounded_batches, bounded_join, constants, join_hot, materialise, mix, ngram_hashes, pieces, scratch, split_words, tidy, utf8, word_hashes
 from casewright.llm.components import connected_components, merge_components
 
 BANDS, ROWS = 32, 4
@@ -282,6 +282,7 @@ def _components(signed: DataFrame, classes: DataFrame, threshold: float, minima:
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """id, digest, n_shingles, component_id and kept of each row, as a written table."""
+    bounded_batches(docs.sparkSession)
     sets = ["set_a", "set_b", "n_shingles"]
     with scratch(docs.sparkSession) as keep:
         every = keep(signatures(docs, id_col, text_col, size, bands, rows).withColumn("row", F.monotonically_increasing_id()))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import pieces, tidy, utf8
+from casewright.llm.common import bounded_batches, pieces, tidy, utf8
 
 WIDTH, FILTERS, BLOCK = 6, 24, 256
 #: Labelled documents that the network is fitted on, at most.
@@ -153,6 +153,7 @@ def _score(batches, net: Network):
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) and predicted (1 if the score is 0.5 or more) of each row."""
+    bounded_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast(net)
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     scored = narrow.mapInArrow(tidy(lambda batches: _score(batches, spread.value)), f"`{id_col}` long, score double")
@@ -161,6 +162,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """The rows of docs that the network doesn't reject, with all their columns and no shuffle."""
+    bounded_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast(net)
 
     def kept(batches):

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import tidy
+from casewright.llm.common import bounded_batches, tidy
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -128,6 +128,7 @@ def _scan(batches, dictionary: bytes):
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_novel."""
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = narrow.mapInArrow(tidy(partial(_scan, dictionary=identifiers(docs, text_col))), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
     return found.withColumnRenamed("id", id_col)
