@@ -50,18 +50,26 @@ def vector_topk(queries: DataFrame, emb: DataFrame, k: int, key: str = "vec_id",
     return similarities(queries, emb, key, vector).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def rrf_fuse(a: DataFrame, b: DataFrame | None, key: str, k: int = 60, n: int = 20, limit: int = 10, embedded: DataFrame | None = None) -> DataFrame:
+def rrf_fuse(a: DataFrame, b: DataFrame | None, key: str, k: int = 60, n: int = 20, limit: int = 10, embedded: DataFrame | None = None, query: str | None = None) -> DataFrame:
     """Reciprocal-rank fusion of a vector and a text list (key, rank) of at most n rows; a missing rank counts as n + 1.
 
-    Rows that aren't in `embedded` are dropped. Without a text list (a blank query) the vector list alone decides.
+    Rows that aren't in `embedded` are dropped. Without a text list (a blank query) the vector list alone decides. With
+    `query` the lists hold several queries, each of which gets its `limit` best rows.
     """
+    from pyspark.sql import Window
+
     if b is None:
         b = a.where(F.lit(False))
-    both = a.select(key, F.col("rank").alias("rank_a")).join(b.select(key, F.col("rank").alias("rank_b")), key, "full_outer")
+    keys = [query, key] if query else [key]
+    both = a.select(*keys, F.col("rank").alias("rank_a")).join(b.select(*keys, F.col("rank").alias("rank_b")), keys, "full_outer")
     if embedded is not None:
         both = both.join(embedded.select(key).distinct(), key, "left_semi")
     part = lambda c: 1.0 / (k + F.coalesce(F.col(c), F.lit(n + 1)))
-    return both.withColumn("fused", F.round((part("rank_a") + part("rank_b")) * 1000, 4)).orderBy(F.desc("fused"), key).limit(limit)
+    fused = both.withColumn("fused", F.round((part("rank_a") + part("rank_b")) * 1000, 4))
+    if query is None:
+        return fused.orderBy(F.desc("fused"), key).limit(limit)
+    best = Window.partitionBy(query).orderBy(F.desc("fused"), key)
+    return fused.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= limit).drop("_at")
 
 
 def hybrid_score(similarity: Column, rank: Column, feedback: Column) -> Column:

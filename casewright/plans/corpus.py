@@ -187,20 +187,34 @@ def similar_files(spark, folder) -> DataFrame:
     return V.vector_topk(e.where("vec_id % 100 = 0"), e, 5).select("query", "vec_id", "similarity", "rank")
 
 
+#: The words that stand for the text of every query vector.
+_ASKED = ["the", "tion"]
+_STOPPED = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_RANKED = f"""w AS (SELECT file_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({_STOPPED})) AS words FROM files),
+    r AS (SELECT file_id, CASE WHEN list_contains(words, 'the') AND list_contains(words, 'tion') THEN least(1.0::DOUBLE, len(list_filter(words, lambda x: x IN ('the', 'tion')))::DOUBLE / (1 + ln(len(words)))) ELSE 0 END AS rank FROM w)"""
 @query(
-    f""", t AS (SELECT doc_id AS vec_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20)),
-    v AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC NULLS LAST, vec_id) AS rank FROM (SELECT e.vec_id, {_SIM} AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 20))
-    SELECT coalesce(v.vec_id, t.vec_id) AS vec_id, round((1.0::DOUBLE / (60 + coalesce(v.rank, 21)) + 1.0::DOUBLE / (60 + coalesce(t.rank, 21))) * 1000, 4) AS fused FROM v FULL JOIN t ON v.vec_id = t.vec_id ORDER BY 2 DESC, 1 LIMIT 10""".replace(", t AS", "WITH t AS", 1)
+    with_tables(
+        f""", {_RANKED}, q AS (SELECT vec_id AS query, embedding FROM embeddings WHERE vec_id % 100 = 0),
+        t AS (SELECT file_id AS vec_id, row_number() OVER (ORDER BY rank DESC, file_id) AS place FROM (SELECT file_id, CAST(round(rank * 1000000) AS BIGINT) AS rank FROM r WHERE rank > 0 AND file_id IN (SELECT vec_id FROM embeddings)) ORDER BY rank DESC, file_id LIMIT 20),
+        v AS (SELECT * FROM (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY similarity DESC NULLS LAST, vec_id) AS place FROM (SELECT q.query, e.vec_id, {_SIM} AS similarity FROM embeddings e, q WHERE e.vec_id <> q.query)) WHERE place <= 20),
+        x AS (SELECT q.query, t.vec_id, t.place FROM t, q WHERE t.vec_id <> q.query),
+        f AS (SELECT coalesce(v.query, x.query) AS query, coalesce(v.vec_id, x.vec_id) AS vec_id, round((1.0::DOUBLE / (60 + coalesce(v.place, 21)) + 1.0::DOUBLE / (60 + coalesce(x.place, 21))) * 1000, 4) AS fused FROM v FULL JOIN x ON v.query = x.query AND v.vec_id = x.vec_id)
+        SELECT query, vec_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fused DESC, vec_id) AS k FROM f) WHERE k <= 10""",
+        "files",
+    )
 )
 def fused_ranking(spark, folder) -> DataFrame:
-    """Reciprocal-rank fusion of the 20 nearest vectors and the 20 longest documents."""
+    """For every hundredth vector, reciprocal-rank fusion of its 20 nearest vectors and the 20 best files by text rank."""
     from pyspark.sql import Window
 
     e = T.read(spark, folder, "embeddings").select("vec_id", "embedding")
-    near = V.vector_topk(e.where("vec_id = 0"), e, 20).select("vec_id", "rank")
-    long = T.read(spark, folder, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(20)
-    text = long.select(F.col("doc_id").alias("vec_id"), F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    return V.rrf_fuse(near, text, "vec_id").select("vec_id", "fused")
+    queries = e.where("vec_id % 100 = 0")
+    near = V.vector_topk(queries, e, 20).select("query", "vec_id", "rank")
+    ranks = X.text_rank(T.files(spark, folder), "file_id", F.col("text"), _ASKED).select(F.col("file_id").alias("vec_id"), F.round(F.col("rank") * 1000000).cast("long").alias("text_rank"))
+    best = ranks.join(e.select("vec_id"), "vec_id", "left_semi").orderBy(F.desc("text_rank"), "vec_id").limit(20)
+    placed = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("text_rank"), "vec_id"))).select("vec_id", "rank")
+    text = queries.select(F.col("vec_id").alias("query")).crossJoin(placed).where("query <> vec_id")
+    return V.rrf_fuse(near, text, "vec_id", embedded=e, query="query").select("query", "vec_id", "fused")
 
 
 @query(with_tables("SELECT kind, risk, count(*) AS n FROM files WHERE risk IS NOT NULL GROUP BY 1, 2", "files"))

@@ -87,11 +87,10 @@ _CONF_TABLES = ("conformities", "entities", "users", "groups")
 
 
 def _conformities(spark, folder, mine: int | None = None) -> DataFrame:
-    c = T.conformities(spark, folder)
-    if mine is not None:
-        c = c.where((F.col("asked_by") == mine) | (F.col("owner_id") == mine))
+    every = T.conformities(spark, folder)
+    c = every if mine is None else every.where((F.col("asked_by") == mine) | (F.col("owner_id") == mine))
     entities, users = T.entities(spark, folder), T.users(spark, folder).select("user_id", "user_name")
-    bridge = c.select("conf_id", "entity_id").join(entities, "entity_id").join(T.groups(spark, folder), "group_id").select("conf_id", "group_name")
+    bridge = every.select("conf_id", "entity_id").join(entities, "entity_id").join(T.groups(spark, folder), "group_id").select("conf_id", "group_name")
     named = R.enrich(c, [(entities.select("entity_id", "entity_name"), "entity_id", "entity_id"), (users.withColumnRenamed("user_name", "asked_by_name"), "asked_by", "user_id"), (users.withColumnRenamed("user_name", "owner_name"), "owner_id", "user_id")])
     full = R.collapse_bridge(named, bridge, "conf_id", "group_name", "groups")
     return full.select("conf_id", "concept", "state", "asked", "amount", "entity_name", "asked_by_name", "owner_name", F.array_join("groups", ",").alias("groups")).orderBy(F.desc("asked"))

@@ -10,7 +10,7 @@ from casewright.operators import records as K
 from casewright.operators import relational as R
 from casewright.operators import text as X
 from casewright.operators import vectors as V
-from casewright.plans.corpus import _SIM
+from casewright.plans.corpus import _ASKED, _RANKED, _SIM
 from casewright.plans.registry import query
 from casewright.sources import tables as T
 from casewright.sources.tables import AS_OF, with_tables
@@ -180,11 +180,6 @@ def precedent_summary(spark, folder) -> DataFrame:
     return R.count_where(T.cases(spark, folder), ["invoked_right"], {"favourable": F.col("ruling") == "Favorable", "warnings": F.col("ruling") == "Desfavorable"})
 
 
-#: The words that stand for the text of every query vector.
-_ASKED = ["the", "tion"]
-_STOPPED = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-_RANKED = f"""w AS (SELECT file_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({_STOPPED})) AS words FROM files),
-    r AS (SELECT file_id, CASE WHEN list_contains(words, 'the') AND list_contains(words, 'tion') THEN least(1.0::DOUBLE, len(list_filter(words, lambda x: x IN ('the', 'tion')))::DOUBLE / (1 + ln(len(words)))) ELSE 0 END AS rank FROM w)"""
 _HYBRID = f"""{_RANKED}, s AS (SELECT q.vec_id AS query, e.vec_id, v.category, round(0.55::DOUBLE * coalesce({_SIM}, 0) + 0.35::DOUBLE * coalesce(r.rank, 0) + 0.10::DOUBLE * greatest(0, least(v.feedback, 10)) / 10, 4) AS score
     FROM embeddings e JOIN votes v ON v.file_id = e.vec_id LEFT JOIN r ON r.file_id = e.vec_id, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id)"""
 _TOPPED = """, t AS (SELECT *, CASE WHEN {0} THEN 0 ELSE 1 END AS tier FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY query, tier ORDER BY score DESC, vec_id) AS k FROM t),
