@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from casewright.llm.common import bounded_batches, bounded_join, materialise, pieces, tidy
 
 #: Pages of a host from which a node can be judged, and the importance below which it goes, outside and within an article.
-MIN_PAGES, LOW, LOW_INSIDE = 8, 0.6, 0.2
+MIN_PAGES, LOW, LOW_INSIDE = 8, 0.9, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
