@@ -224,6 +224,13 @@ def _latest(analyses: DataFrame) -> DataFrame:
     return R.latest_per_key(analyses, ["exp_id"], [F.desc_nulls_last("created"), F.asc("analysis_id"), F.asc("level"), F.asc("finding"), F.asc("norm")])
 
 
+@query(with_tables("SELECT analysis_id, level, count(*) AS n FROM analyses GROUP BY 1, 2", "analyses"))
+def repaired_levels(spark, folder) -> DataFrame:
+    """Levels that came without accents and with blanks around them, set right."""
+    raw = T.analyses(spark, folder).select("analysis_id", F.concat(F.lit(" "), F.translate("level", "í", "i"), F.lit("\t")).alias("level"))
+    return raw.select("analysis_id", C.repaired("level").alias("level")).groupBy("analysis_id", "level").agg(_count())
+
+
 @query(with_tables("SELECT count(*) FILTER (is_active) AS total, count(*) FILTER (is_active AND state = 'Pendiente') AS pending, count(*) FILTER (is_active AND state = 'Analizado') AS analysed, count(*) FILTER (is_active AND state = 'Revisado') AS reviewed, " f"count(*) FILTER (is_active AND due < {_TODAY} AND state <> 'Archivado') AS overdue FROM expedientes", "expedientes"))
 def dashboard_totals(spark, folder) -> DataFrame:
     state, active = F.col("state"), F.col("is_active")
