@@ -41,8 +41,8 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _write(df: DataFrame, name: str) -> DataFrame:
-    df.write.option("parquet.block.size", 32 << 20).parquet(name)
+def _write(df: DataFrame, name: str, **options) -> DataFrame:
+    df.write.options(**{"parquet.block.size": 32 << 20, **options}).parquet(name)
     return df.sparkSession.read.schema(df.schema).parquet(name)
 
 
@@ -59,12 +59,15 @@ def materialise(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A function that materialises like `materialise`, whose tables all go at the end of the block."""
+    """A function that materialises like `materialise`, whose tables all go at the end of the block.
+
+    They hold hashes, mostly, which no codec makes smaller; without one, its buffers don't stay with the executor.
+    """
     name = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     path, system = _path(spark, name)
     system.deleteOnExit(path)
     try:
-        yield lambda df: _write(df, f"{name}/{uuid.uuid4().hex}")
+        yield lambda df: _write(df, f"{name}/{uuid.uuid4().hex}", compression="none")
     finally:
         system.delete(path, True)
 
@@ -106,15 +109,16 @@ def bounded_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = 5
     return left.join(F.broadcast(right) if small_enough(right, limit) else right, on, how)
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, hot: int = 1000, most: int = 100_000) -> DataFrame:
-    """Inner join to `right`, unique by `keys`, whose column `count` says how many left rows a key has.
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, hot: int = 1000, most: int = 100_000, limit: int = 500_000) -> DataFrame:
+    """Inner join to `right`, a written table unique by `keys`, whose column `count` says how many left rows a key has.
 
-    Keys with `hot` rows or more are broadcast, so that no task has to take all rows of such a key; the others are
-    shuffled. Where that could be more than `most` keys, the bound is raised to rows / most: a key below it is no
-    larger than a fair share of `most` tasks.
+    A table of at most `limit` narrow rows is broadcast. Of a larger one, keys with `hot` rows or more are broadcast,
+    so that no task has to take all rows of such a key, and the others are shuffled; where that could be more than
+    `most` keys, the bound is raised to rows / most: a key below it is no larger than a fair share of `most` tasks.
     """
-    rows = right.agg(F.sum(count)).first()[0] or 0
-    hot = max(hot, rows // most)
+    if small_enough(right, limit):
+        return left.join(F.broadcast(right), keys)
+    hot = max(hot, (right.agg(F.sum(count)).first()[0] or 0) // most)
     many = F.broadcast(right.where(F.col(count) >= hot))
     few = right.where(F.col(count) < hot)
     return left.join(many, keys).unionByName(left.join(many, keys, "left_anti").join(few, keys))

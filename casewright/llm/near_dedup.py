@@ -112,19 +112,21 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return narrow.mapInArrow(tidy(partial(_signatures, size=size, bands=bands, rows=rows)), "id long, digest long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, shingles array<long>")
 
 
-def _with_both(pairs: DataFrame, of: DataFrame, *names: str) -> DataFrame:
+def _hubs(pairs: DataFrame) -> DataFrame:
+    """(v, parts) of the nodes v with more than `BLOCK` pairs: to how many tasks their sets have to go."""
+    return pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1")
+
+
+def _with_both(pairs: DataFrame, many: DataFrame, of: DataFrame, names: list[str], keep) -> DataFrame:
     """pairs (u, v) with the named columns of both ends in `of` (id, ...), as name_u and name_v.
 
-    The set of a node v with more than `BLOCK` pairs goes to several tasks, each with a part of the pairs.
+    The row of a node v in `many` is copied to several tasks, each with a part of the pairs.
     """
-    many = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
     dealt = bounded_join(pairs, many, "v", "left").withColumn("part", F.pmod(F.xxhash64("u"), parts).cast("int")).drop("parts")
-
-    def end(name: str) -> DataFrame:
-        wanted = bounded_join(of, pairs.select(F.col(name).alias("id")).distinct(), "id", "left_semi")
-        return wanted.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in names))
-
+    wanted = keep(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
+    told = bounded_join(of.select("id", *names), wanted, "id", "left_semi")
+    end = lambda name: told.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in names))
     copied = bounded_join(end("v"), many, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return dealt.join(end("u"), "u").join(copied, ["v", "part"])
 
@@ -141,11 +143,12 @@ def _agreeing(batches, least: int, threshold: float):
 
 def confirm(pairs: DataFrame, signed: DataFrame, threshold: float, minima: int, keep=materialise) -> DataFrame:
     """The pairs (u, v) of ids in signed (id, n_shingles, signature, shingles) whose full sets reach the threshold."""
-    told = _with_both(pairs, signed, "n_shingles", "signature")
+    many = keep(_hubs(pairs))
+    told = _with_both(pairs, many, signed, ["n_shingles", "signature"], keep)
     near = keep(told.mapInArrow(tidy(partial(_agreeing, least=_least(threshold, minima, SHORT_SIGMAS), threshold=threshold)), "u long, v long"))
     both = F.size(F.array_intersect("shingles_u", "shingles_v"))
     union = F.size("shingles_u") + F.size("shingles_v") - both
-    return _with_both(near, signed, "shingles").where(100 * both >= round(threshold * 100) * union).select("u", "v")
+    return _with_both(near, many, signed, ["shingles"], keep).where(100 * both >= round(threshold * 100) * union).select("u", "v")
 
 
 def _long_signatures(batches, minima: int):
@@ -245,7 +248,7 @@ def crossing_pairs(members: DataFrame, threshold: float, minima: int, block: int
 
 def _crossing(members: DataFrame, labels: DataFrame, keep) -> DataFrame:
     """(band, id, label) of the bands that hold more than one component."""
-    labelled = keep(members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label")))
+    labelled = keep(bounded_join(members, labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("label")))
     several = keep(labelled.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h").select("band", "n"))
     return keep(join_hot(labelled, several, ["band"], "n").select("band", "id", "label"))
 
