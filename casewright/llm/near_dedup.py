@@ -34,7 +34,7 @@ from casewright.llm.components import connected_components, merge_components
 
 BANDS, ROWS = 32, 4
 #: Members of a band that are compared in one block, and pairs of a hub that meet one copy of its set.
-BLOCK = 512
+BLOCK, HUB = 2048, 512
 #: Minima of the long signature, and the standard deviations below its expected agreement at which it rules a
 #: pair out: a linked pair is lost with a probability under 1e-6. The short signature takes SHORT_SIGMAS.
 LONG, SIGMAS, SHORT_SIGMAS = 1024, 5.0, 6.0
@@ -113,8 +113,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _hubs(pairs: DataFrame) -> DataFrame:
-    """(v, parts) of the nodes v with more than `BLOCK` pairs: to how many tasks their sets have to go."""
-    return pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    """(v, parts) of the nodes v with more than `HUB` pairs: to how many tasks their sets have to go."""
+    return pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")).where("parts > 1")
 
 
 def _with_both(pairs: DataFrame, many: DataFrame, of: DataFrame, names: list[str], keep) -> DataFrame:
@@ -157,7 +157,7 @@ def _long_signatures(batches, minima: int):
         sets = batch.column("shingles")
         values, ends = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
         out = [_byte(_minima(values[s:e], a, b, 256)) for s, e in zip(ends[:-1], ends[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "long"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_shingles"), batch.column("bands"), pa.array(out, pa.binary())], ["id", "n_shingles", "bands", "long"])
 
 
 def _groups(batches, keys: list[str]):
@@ -276,9 +276,8 @@ def _components(signed: DataFrame, classes: DataFrame, threshold: float, minima:
         if linked <= MEDOID_YIELD * compared:
             break
     wanted = bounded_join(signed, left.select("id").distinct(), "id", "left_semi")
-    long = keep(wanted.select("id", "shingles").mapInArrow(tidy(partial(_long_signatures, minima=LONG)), "id long, long binary"))
-    told = left.join(wanted.select("id", "n_shingles", "bands"), "id").join(long, "id")
-    pairs = keep(crossing_pairs(told, threshold, LONG).join(tested, ["u", "v"], "left_anti"))
+    long = keep(wanted.select("id", "n_shingles", "bands", "shingles").mapInArrow(tidy(partial(_long_signatures, minima=LONG)), "id long, n_shingles long, bands array<long>, long binary"))
+    pairs = keep(crossing_pairs(left.join(long, "id"), threshold, LONG).join(tested, ["u", "v"], "left_anti"))
     more = keep(confirm(pairs, signed, threshold, minima, keep))
     return labels if more.isEmpty() else keep(merge_components(labels, more, keep))
 
