@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import re
 from functools import partial
-from hashlib import blake2b
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,7 +190,7 @@ def _host(url):
 
 
 def _digest(text: str) -> bytes:
-    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
 def _nodes(batches, markup: bool):
@@ -208,7 +208,7 @@ def _nodes(batches, markup: bool):
                     by.setdefault(b.path, []).append(b.text())
                 every = dict.fromkeys([*shapes, *by])
                 nodes = [(path, _digest(" ".join(shapes.get(path, ()))), _digest("\n".join(by[path])) if path in by else None) for path in every]
-                page = blake2b(b"".join(_digest(path) + shape + (content or b"") for path, shape, content in nodes), digest_size=16).digest()
+                page = xxhash.xxh3_128_digest(b"".join(path.encode("utf-8", "surrogatepass") + shape + (content or b"") for path, shape, content in nodes))
                 rows += [(host, page, *node) for node in nodes]
             kinds = (pa.string(), pa.binary(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["host", "page", "path", "shape", "content"])
@@ -221,11 +221,11 @@ def style_tree(pages: DataFrame, markup: bool = True) -> DataFrame:
     if all are alike; content is null where a node has no text. The importance is that of the node's whole branch.
     """
     nodes = pages.mapInArrow(tidy(partial(_nodes, markup=markup)), "host string, page binary, path string, shape binary, content binary").distinct()
-    kinds = nodes.groupBy("host", "path", "content", "shape").agg(F.count(F.lit(1)).alias("n"))
+    kinds = materialise(nodes.groupBy("host", "path", "content", "shape").agg(F.count(F.lit(1)).alias("n")))
     contents = kinds.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.expr("n * ln(n)")).alias("s"), F.count("content").alias("texts"))
     shapes = kinds.groupBy("host", "path", "shape").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum(F.expr("n * ln(n)")).alias("t"))
     entropy = lambda s: F.when(F.col("pages") > 1, (F.ln("pages") - F.col(s) / F.col("pages")) / F.ln("pages")).otherwise(1.0)
-    tree = contents.join(shapes, ["host", "path"]).select("host", "path", "pages", entropy("t").alias("presentation"), F.when(F.col("texts") > 0, entropy("s")).alias("content"))
+    tree = materialise(contents.join(shapes, ["host", "path"]).select("host", "path", "pages", entropy("t").alias("presentation"), F.when(F.col("texts") > 0, entropy("s")).alias("content")))
     # a node passes its importance on to each path that begins its own
     above = F.expr("transform(sequence(1, size(parts)), i -> concat_ws('/', slice(parts, 1, i)))")
     own = tree.withColumn("own", F.greatest("presentation", "content")).withColumn("parts", F.split("path", "/", -1))
