@@ -57,7 +57,7 @@ CHUNKS = [
     ("uno\n\ndos\n\ntres", 10, 2, ["uno\n\ndos", "os\n\ntres"]),
     ("abcdefgh\n\nijklmnop", 8, 3, ["abcdefgh", "fgh\n\nijklmnop"]),  # tail and unit may pass the size
     ("Uno dos. Tres cuatro! Cinco", 13, 0, ["Uno dos.", "Tres cuatro!", "Cinco"]),
-    ("xxxxxxxxxxxxxxxxxxxxxxxxx. fin", 10, 0, ["xxxxxxxxxx", "xxxxxxxxxx", "xxxxxx.", "fin"]),
+    ("xxxxxxxxxxxxxxxxxxxxxxxxx. fin", 10, 0, ["xxxxxxxxxx", "xxxxxxxxxx", "xxxxx.", "fin"]),
     ("  \n \n ", 10, 2, []),
 ]
 
