@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def clean_label(col, default: str) -> Column:
     """The trimmed text, or `default` where nothing is left."""
     return F.coalesce(F.nullif(F.trim(col), F.lit("")), F.lit(default))
