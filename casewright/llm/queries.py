@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, quality, secrets, substring_dedup
+from casewright.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, lm_score, merkle, near_dedup, quality, secrets, sentence_piece, substring_dedup
 from casewright.llm.common import table
 
 #: The vocabulary of op7; the folder of public vocabularies isn't part of the repository.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The model of op12.
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def fold(parts: int):
     """crc32 of the id, as text, modulo the number of folds."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
@@ -67,9 +71,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.encode_pieces(table(spark, sf_dir, "documents"), PIECE_BPE, whole=False)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_lm_score, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_lm_score, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup, op12_sentence_piece, op13_merkle_manifest)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": f"""
