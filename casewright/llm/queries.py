@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, lm_score, merkle, near_dedup, quality, secrets, sentence_piece, substring_dedup
+from casewright.llm import bpe, decontaminate, exact_dedup, hard_negatives, html_extract, language_id, lm_score, merkle, near_dedup, quality, secrets, sentence_piece, substring_dedup
 from casewright.llm.common import table
 
 #: The vocabulary of op7; the folder of public vocabularies isn't part of the repository.
@@ -71,6 +71,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op12_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_piece.encode_pieces(table(spark, sf_dir, "documents"), PIECE_BPE, whole=False)
 
@@ -81,9 +86,26 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_lm_score, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup, op12_sentence_piece, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_lm_score, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup, op11_hard_negatives, op12_sentence_piece, op13_merkle_manifest)}
 
 ORACLE_SQL = {
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.vector, b.vector)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+        QUALIFY rank <= 3""",
     "op10_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256({_NORMAL}) AS text_sha256
