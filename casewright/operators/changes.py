@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.operators.numbering import number_rows
+
 
 def _patched(base: DataFrame, patch: DataFrame, key: str, columns: list[str], rule) -> DataFrame:
     renamed = patch.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
@@ -92,12 +94,12 @@ def remap_fk(df: DataFrame, mapping: DataFrame, column: str, old_id: str, new_id
 
 
 def extract_dimension(df: DataFrame, column: str, id_name: str) -> tuple[DataFrame, DataFrame]:
-    """(dimension of the distinct values, df with the id in place of the text). Ids follow the order of values.
+    """(dimension of the distinct values, df with the id in place of the text). Ids from 1 follow the order of values.
 
-    The ordinal needs one global order, so the distinct values should be a dimension's worth; the fact table itself
-    only meets a join.
+    The values are numbered by ranges and their counts, so a dimension may be as large as a table.
     """
-    dim = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn(id_name, F.row_number().over(Window.orderBy(column)).cast("long"))
+    values = df.where(F.col(column).isNotNull()).select(column).distinct()
+    dim = number_rows(values, [column], position=id_name).withColumn(id_name, F.col(id_name) + 1)
     return dim, df.join(dim, column, "left").drop(column)
 
 

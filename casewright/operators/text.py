@@ -209,28 +209,51 @@ def token_table(docs: DataFrame, key: str, text: Column, stop: list[str] = STOP_
     return docs.select(key, F.explode(words_of(text, stop)).alias("word"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def runs_of(ordered: Column) -> Column:
+    """(word, n) for each distinct word of a sorted array."""
+    def runs(words):
+        starts = F.filter(F.transform(words, lambda w, i: F.when(~w.eqNullSafe(F.get(words, i - 1)), i)), lambda i: i.isNotNull())
+        return bound(starts, lambda at: F.transform(at, lambda p, i: F.struct(F.get(words, p).alias("word"), (F.coalesce(F.get(at, i + 1), F.size(words)) - p).alias("n"))))
+
+    return bound(ordered, runs)
+
+
 def term_stats(docs: DataFrame, text: Column, k: int, stop: list[str] = STOP_WORDS, longer_than: int = 4) -> DataFrame:
     """The k words in most documents: documents and occurrences of each.
 
-    A document's words are sorted, so that its first occurrence of each is known before the one shuffle, by word.
+    A document's words are sorted and counted inside the row; one row a distinct word goes to the one shuffle, by word.
     """
     words = F.array_sort(F.filter(words_of(text, stop), lambda w: F.length(w) > longer_than))
-    marked = F.transform("words", lambda w, i: F.struct(w.alias("word"), (~w.eqNullSafe(F.get("words", i - 1))).cast("long").alias("first")))
-    seen = docs.select(words.alias("words")).select(F.inline(marked))
-    counts = seen.groupBy("word").agg(F.sum("first").alias("documents"), F.count(F.lit(1)).alias("occurrences"))
+    seen = docs.select(F.inline(runs_of(words)))
+    counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences"))
     return counts.orderBy(F.desc("documents"), F.desc("occurrences"), "word").limit(k)
 
 
 def rank_of(words: Column, query: list[str]) -> Column:
     """Occurrences of the query's words / (1 + ln(words)), 1 at most; null where one of them is missing."""
     wanted = F.array(*(F.lit(q) for q in sorted(set(query))))
-    hits = F.size(F.filter(words, lambda w: w.isin(query)))
-    return F.when(F.size(F.array_intersect(words, wanted)) == len(set(query)), F.least(F.lit(1.0), hits / (1 + F.ln(F.size(words)))))
+
+    def rank(w):
+        hits = F.filter(w, lambda x: x.isin(query))
+        held = F.forall(wanted, lambda q: F.array_contains(w, q))
+        return F.when(held, F.least(F.lit(1.0), F.size(hits) / (1 + F.ln(F.size(w)))))
+
+    return bound(words, rank)
 
 
 def text_rank(docs: DataFrame, key: str, text: Column, query: list[str]) -> DataFrame:
-    """Documents that hold all query words, with their rank; no shuffle."""
-    return docs.select(key, rank_of(words_of(text), query).alias("rank")).where(F.col("rank").isNotNull())
+    """Documents that hold all query words, with their rank; no shuffle. Texts without one of them as a substring aren't split."""
+    low = F.lower(text)
+    maybe = docs
+    for word in sorted(set(query)):
+        maybe = maybe.where(low.contains(word))
+    # explode, as a filter on the rank would be computed a second time below the projection
+    return maybe.select(key, F.explode(F.array_compact(F.array(rank_of(words_of(text), query)))).alias("rank"))
 
 
 def hash_dedup(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.operators import relational as R
+from casewright.operators import search_index as S
 from casewright.operators import text as X
+from casewright.operators import vector_index as I
 from casewright.operators import vectors as V
 from casewright.plans.registry import query
 from casewright.sources import tables as T
+from casewright.sources.store import scratch_folder, stored
 from casewright.sources.tables import with_tables
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -187,6 +190,56 @@ def similar_files(spark, folder) -> DataFrame:
     return V.vector_topk(e.where("vec_id % 100 = 0"), e, 5).select("query", "vec_id", "similarity", "rank")
 
 
+@query()
+def similar_files_indexed(spark, folder) -> DataFrame:
+    """The same by an inverted-file index that is written, read back and searched in the lists that were measured to hold 95 % of neighbours."""
+    e = T.read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return I.search_index(spark, I.scratch_index(e), e.where("vec_id % 100 = 0"), 5).select("query", "vec_id", "similarity", "rank")
+
+
+@query("SELECT CAST(count(*) * 5 AS BIGINT) AS neighbours, TRUE AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, folder) -> DataFrame:
+    """Whether the index finds nine tenths of all true neighbours of every hundredth vector."""
+    e = T.read(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = e.where("vec_id % 100 = 0")
+    found, true = I.search_index(spark, I.scratch_index(e), asked, 5), stored(V.vector_topk(asked, e, 5).select("query", "vec_id"))
+    both = true.join(found.select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+@query(
+    with_tables(
+        f""", w AS (SELECT file_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({_STOP})) AS words FROM files),
+        q AS (SELECT file_id AS query, list_distinct(words[1:2]) AS terms FROM w WHERE file_id % 100 = 0 AND len(words) > 0),
+        t AS (SELECT file_id, words, len(words) AS n FROM w WHERE len(words) > 0)
+        SELECT query, file_id, CAST(least(1.0::DOUBLE, len(list_filter(words, lambda x: list_contains(terms, x)))::DOUBLE / (1 + ln(n))) * 1000000 AS BIGINT) AS rank_millionths
+        FROM q, t WHERE list_has_all(words, terms)""",
+        "files",
+    )
+)
+def indexed_text_ranks(spark, folder) -> DataFrame:
+    """Text ranks of all files for many queries at once, by the inverted index: the first two words of every hundredth file."""
+    f = T.files(spark, folder).select("file_id", "text")
+    return _by_index(spark, f, stems=False)
+
+
+@query()
+def stemmed_text_ranks(spark, folder) -> DataFrame:
+    """The same over title, category and text as one searchable text, with words of one Spanish stem as one term."""
+    f = T.files(spark, folder)
+    whole = f.select("file_id", X.searchable(f, ["kind", "category"], "text").alias("text"))
+    return _by_index(spark, whole, stems=True)
+
+
+def _by_index(spark, files: DataFrame, stems: bool) -> DataFrame:
+    """Writes the index of file_id and text and asks it for every hundredth file's first two words."""
+    index = scratch_folder(spark)
+    S.write_index(files, index, "file_id", F.col("text"), stems)
+    asked = files.where("file_id % 100 = 0").select("file_id", F.concat_ws(" ", F.slice(X.words_of(F.col("text")), 1, 2)).alias("asked"))
+    found = S.search_index(spark, index, asked, "file_id", "file_id", F.col("asked"), stems)
+    return found.select("query", "file_id", F.round(F.col("rank") * 1000000).cast("long").alias("rank_millionths"))
+
+
 #: The words that stand for the text of every query vector.
 _ASKED = ["the", "tion"]
 _STOPPED = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
