@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import common
+from casewright.functions.columns import unused
 from casewright.llm.common import bounded_batches, bounded_join, materialise, ngram_hashes, pieces, tidy, utf8, word_hashes
 
 GRAM = 3
@@ -186,6 +187,7 @@ def _one_block(narrow: DataFrame, items: dict[int, np.ndarray], threshold: float
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that hold a benchmark item; all columns are kept."""
-    found = _found(docs, benchmark, id_col, text_col, item_col, threshold).select(F.col("id").alias("_found_id"), F.col("digest").alias("_found_digest")).distinct()
-    key = [docs[id_col].eqNullSafe(F.col("_found_id")), F.xxhash64(docs[text_col]) == F.col("_found_digest")]
+    found_id, found_digest = unused(docs, "found_id", "found_digest")
+    found = _found(docs, benchmark, id_col, text_col, item_col, threshold).select(F.col("id").alias(found_id), F.col("digest").alias(found_digest)).distinct()
+    key = [docs[id_col].eqNullSafe(F.col(found_id)), F.xxhash64(docs[text_col]) == F.col(found_digest)]
     return bounded_join(docs, materialise(found), key, "left_anti")

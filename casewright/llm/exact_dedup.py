@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions.columns import unused
 from casewright.llm.common import ascii_lower, bounded_join, materialise
 
 #: Entries of a sketch: a digest with more than about 3.5 / TRACKED of the rows can't be missed.
@@ -65,11 +66,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that an equal text with a larger id replaces; all columns are kept."""
     groups = materialise(group_copies(materialise(digests(docs, id_col, text_col))).where("group_size > 1"))
-    by_key = groups.groupBy(F.col("id").alias("_copy_id"), F.col("digest").alias("_copy_digest")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    key = [F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256).eqNullSafe(F.col("_copy_digest")), docs[id_col].eqNullSafe(F.col("_copy_id"))]
-    left = bounded_join(docs, by_key.where("not kept").select("_copy_id", "_copy_digest"), key, "left_anti")
-    again = by_key.where("kept and n > 1").select("_copy_id", "_copy_digest")
+    copy_id, copy_digest = unused(docs, "copy_id", "copy_digest")
+    by_key = groups.groupBy(F.col("id").alias(copy_id), F.col("digest").alias(copy_digest)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    digest = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
+    key = [digest.eqNullSafe(F.col(copy_digest)), docs[id_col].eqNullSafe(F.col(copy_id))]
+    left = bounded_join(docs, by_key.where("not kept").select(copy_id, copy_digest), key, "left_anti")
+    again = by_key.where("kept and n > 1").select(copy_id, copy_digest)
     if again.isEmpty():
         return left
-    repeated = bounded_join(left, again, key, "left_semi").withColumn("_copy_digest", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    return bounded_join(left, again, key, "left_anti").unionByName(repeated.dropDuplicates([id_col, "_copy_digest"]).drop("_copy_digest"))
+    repeated = bounded_join(left, again, key, "left_semi").withColumn(copy_digest, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    return bounded_join(left, again, key, "left_anti").unionByName(repeated.dropDuplicates([id_col, copy_digest]).drop(copy_digest))

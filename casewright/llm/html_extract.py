@@ -17,13 +17,14 @@ host; its verdicts (node paths, a few bytes each) are joined back by host, by br
 
 Edge cases: a null or empty html gives an empty text; pages without a valid host share one nameless host; open
 tags are closed by their parents' ends, and only void elements by "/>"; nodes on fewer than `MIN_PAGES` distinct pages
-of a host are never judged by entropy; copies of a page (the same texts in the same nodes) count as one page of their
+of a host are never judged by entropy; elements deeper than `DEEPEST` levels belong to the node of their ancestor there; copies of a page (the same texts in the same nodes) count as one page of their
 host and are each extracted; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import partial
 from html import unescape
 
@@ -38,12 +39,13 @@ from casewright.llm.common import bounded_batches, bounded_join, materialise, pi
 #: Pages of a host from which a node can be judged, and the importance below which it goes, outside and within an article.
 MIN_PAGES, LOW, LOW_INSIDE = 8, 0.9, 0.2
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN_PART = re.compile(r"[^<>\"']*")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
-_DROPPED = _RAW | set("head nav footer aside form button select option input menu dialog fieldset datalist canvas audio video figure-nav".split())
+_DROPPED = _RAW | set("head nav footer aside form button select option input menu dialog fieldset datalist canvas audio video".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _PARENTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
@@ -54,10 +56,53 @@ _NAMES = re.compile(
     re.IGNORECASE,
 )
 _READERS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|comment-?list|disqus|respond|replies|reply)(?:$|[_-])", re.IGNORECASE)
+#: Levels of elements that have paths of their own, and named branches that a piece of text can lie in: what is deeper
+#: belongs to its ancestor there.
+DEEPEST, NAMED = 256, 64
 #: Names of a layout that has or lacks something, and of the head of a text.
 _LAYOUT = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]|^(?:entry|page|post|article|content|story|section)[_-]+(?:header|masthead)$", re.IGNORECASE)
 
 
+class Tags:
+    """The markup of a page, piece by piece, in time that is linear in the page.
+
+    A tag ends at the first ">" outside quotes; one that meets another "<" outside quotes, or never ends, is text.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in (">", "\"", "'", "]]>", "-->")}
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin at `at` ends, its ">" included; -1 if it doesn't."""
+        while at <= self.last[">"]:
+            at = _PLAIN_PART.match(self.html, at).end()
+            c = self.html[at : at + 1]
+            if c == ">":
+                return at + 1
+            if c in ("", "<") or at >= self.last[c]:
+                return -1
+            at = self.html.index(c, at + 1) + 1
+        return -1
+
+    def read(self, at: int) -> tuple[int, str, str, str, str] | None:
+        """(end, slash, name, attributes, text) of the markup that begins with the "<" at `at`; None if that is text."""
+        html = self.html
+        if html.startswith("<!--", at):
+            if html.startswith((">", "->"), at + 4):
+                return html.index(">", at + 4) + 1, "", "", "", ""
+            end = html.index("-->", at + 4) + 3 if self.last["-->"] >= at + 4 else len(html)
+            return end, "", "", "", ""
+        if html.startswith("<![CDATA[", at) and self.last["]]>"] >= at + 9:
+            end = html.index("]]>", at + 9)
+            return end + 3, "", "", "", html[at + 9 : end]
+        if html.startswith(("<!", "<?"), at):
+            return (html.index(">", at) + 1, "", "", "", "") if self.last[">"] > at else None
+        name = _NAME.match(html, at + 1)
+        end = self._end(name.end()) if name else -1
+        return (end, name[1], name[2], html[name.end() : end - 1], "") if end >= 0 else None
+
+
 class Branch:
     """An element that its names call no main text: whether they call it reader comments, and what it contains."""
 
@@ -116,29 +161,46 @@ def blocks(html: str, shapes: dict[str, list[str]] | None = None, markup: bool =
                 _, path, _, article, *_ = next((s for s in reversed(stack) if s[0] not in _INLINE), ground)
                 out.append(Block(path, found, article))
 
-    position, end = 0, len(html)
+    position, end, tags = 0, len(html), Tags(html)
+    opened: Counter[str] = Counter()
+
+    def close_from(at: int) -> None:
+        opened.subtract(s[0] for s in stack[at:])
+        del stack[at:]
+
     while position < end:
-        m = _TOKEN.search(html, position)
-        if not m:
+        start = html.find("<", position)
+        if start < 0:
             hold(html[position:])
             break
-        if m.start() > position:
-            hold(html[position : m.start()])
-        position = m.end()
-        tag = (m[2] or "").lower()
+        read = tags.read(start)
+        if not read:
+            hold(html[position : start + 1])
+            position = start + 1
+            continue
+        if start > position:
+            hold(html[position:start])
+        position, slash, tag, attributes, text = read
+        tag = tag.lower()
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                hold(m[0][9:-3])
+            if text:
+                hold(text)
             continue
-        if m[1]:
+        if slash:
+            if not opened[tag]:
+                continue
             if tag in _INLINE:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or stack[i][0] not in _INLINE), -1)
+                lowest = max(-1, len(stack) - DEEPEST - 1)
+                at = next((i for i in range(len(stack) - 1, lowest, -1) if stack[i][0] == tag or stack[i][0] not in _INLINE), -1)
                 if at >= 0 and stack[at][0] == tag:
                     del stack[at]
-            elif any(s[0] == tag for s in stack):
+                    opened[tag] -= 1
+            else:
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
+                at = len(stack) - 1
+                while stack[at][0] != tag:
+                    at -= 1
+                close_from(at)
             continue
         if tag == "br":
             if shapes is not None and stack and not stack[-1][2]:
@@ -148,14 +210,14 @@ def blocks(html: str, shapes: dict[str, list[str]] | None = None, markup: bool =
         if tag not in _INLINE:
             flush()
             while stack and stack[-1][0] in _INLINE and not stack[-1][5]:
-                stack.pop()
+                close_from(len(stack) - 1)
             closes = _CLOSES.get(tag, set()) | {"p"}
             stop = _PARENTS.get(tag, set())
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in stop:
                     break
                 if stack[i][0] in closes:
-                    del stack[i:]
+                    close_from(i)
                     break
                 if stack[i][0] not in ("p", "td", "th", "tr", "li", "dt", "dd"):
                     break
@@ -168,16 +230,17 @@ def blocks(html: str, shapes: dict[str, list[str]] | None = None, markup: bool =
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, position)
             position = close.end() if close else end
             continue
-        style, dropped, branch = _drops(tag, m[3], above[3])
+        style, dropped, branch = _drops(tag, attributes, above[3])
         if not markup:
             dropped, branch = False, None
-        named = (*above[4], branch) if branch else above[4]
+        named = (*above[4], branch) if branch and len(above[4]) < NAMED else above[4]
+        opened[tag] += 1
         if tag in _INLINE:
             stack.append((tag, above[1], above[2] or dropped, above[3], named, dropped or branch is not None))
             continue
         for b in named if tag in ("article", "main") else ():
             b.article, b.main = True, b.main or tag == "main"
-        path = f"{above[1]}/{tag}" + (f".{style}" if style else "")
+        path = f"{above[1]}/{tag}" + (f".{style}" if style else "") if len(stack) < DEEPEST else above[1]
         if shapes is not None and not (above[2] or dropped):
             shapes.setdefault(path, []).append("|")  # another element of the path begins
         stack.append((tag, path, above[2] or dropped, above[3] or tag in ("article", "main"), named, dropped or branch is not None))

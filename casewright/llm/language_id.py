@@ -33,6 +33,18 @@ PER_LANGUAGE = 1500
 QUANTILE, MARGIN = 0.995, 0.15
 
 
+#: Stand for all letters and for all combining marks beyond the basic plane; no text has them as letters of its own.
+HIGH_LETTER, HIGH_MARK = 0xFFFD, 0xFFFC
+
+
+@lru_cache(maxsize=1)
+def _marks() -> np.ndarray:
+    """For each character of the basic plane whether it is a combining mark: part of a word, but no letter."""
+    table = np.array([unicodedata.category(chr(i))[0] == "M" for i in range(0x10000)])
+    table[HIGH_MARK] = True
+    return table
+
+
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """For each character of the basic plane its lower-case letter, or a space."""
@@ -56,7 +68,7 @@ def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     high = raw >= 0x10000  # one sign for all letters beyond the basic plane
     if high.any():
         kinds, which = np.unique(raw[high], return_inverse=True)
-        chars[high] = np.array([0xFFFD if unicodedata.category(chr(k))[0] in "LM" else 0x20 for k in kinds.tolist()], np.uint16)[which]
+        chars[high] = np.array([{"L": HIGH_LETTER, "M": HIGH_MARK}.get(unicodedata.category(chr(k))[0], 0x20) for k in kinds.tolist()], np.uint16)[which]
     row = np.repeat(np.arange(len(texts)), sizes)
     space = chars == 0x20
     first = np.zeros(len(chars), bool)
@@ -65,7 +77,7 @@ def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before[:1], before[1:] = True, space[:-1]
     keep = ~(space & (before | first))
     chars, row, letter = chars[keep].astype(np.uint64), row[keep], ~space[keep]
-    letters = np.bincount(row[letter], minlength=len(texts))
+    letters = np.bincount(row[letter & ~_marks()[chars.astype(np.int64)]], minlength=len(texts))
     at = np.arange(len(chars)) + (ORDER - 1) * (row + 1)
     padded = np.full(len(chars) + (ORDER - 1) * (len(texts) + 1), 0x20, np.uint64)
     padded[at] = chars

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions.columns import unused
 from casewright.llm.common import bounded_batches, bounded_join, constants, join_hot, materialise, mix, ngram_hashes, pieces, scratch, split_words, tidy, utf8, word_hashes
 from casewright.llm.components import connected_components, merge_components
 
@@ -309,5 +310,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the rows that are linked to one with a smaller id; all columns are kept."""
     linked = _linked(docs, id_col, text_col, size, threshold, BANDS, ROWS)
-    dropped = linked.where("not kept").select(F.col("id").alias("_near_id"), F.col("digest").alias("_near_digest")).distinct()
-    return bounded_join(docs, dropped, [docs[id_col].eqNullSafe(F.col("_near_id")), F.xxhash64(docs[text_col]) == F.col("_near_digest")], "left_anti")
+    near_id, near_digest = unused(docs, "near_id", "near_digest")
+    dropped = linked.where("not kept").select(F.col("id").alias(near_id), F.col("digest").alias(near_digest)).distinct()
+    return bounded_join(docs, dropped, [docs[id_col].eqNullSafe(F.col(near_id)), F.xxhash64(docs[text_col]) == F.col(near_digest)], "left_anti")

@@ -1,7 +1,8 @@
 """Secret scan: patterns, and dictionary-primed compression novelty for what the patterns leave.
 
-Base spans come from three patterns. Then each remaining run of token characters in a sensitive context is
-measured: the bytes it adds when it is compressed after its surroundings, by a zstandard compressor that is
+Base spans come from three patterns. Then each remaining run of token characters in a sensitive context is measured if
+it has 16 characters or more, with a letter and a digit among them (runs of letters alone are words and names, runs of
+digits alone are numbers, as a rule; such secrets are left to the patterns): the bytes it adds when it is compressed after its surroundings, by a zstandard compressor that is
 primed with a dictionary of identifiers, over its length. Names and words of code are cheap there; random strings
 aren't, and are reported as kind `novel`.
 
@@ -91,6 +92,7 @@ def _novel_part(text: str, start: int, end: int, dictionary: bytes) -> tuple[int
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: bytes = b"") -> list[tuple[int, int, int]]:
     found = []
+    ahead, reached = 0, -1  # base spans that begin before the run's end, and the farthest end among them
     chain, last = 0, -1  # where the dotted token of the last run began, and where that run ended
     for m in CANDIDATE.finditer(text) if any(c in text for c in "0123456789") else ():
         s, e = m.span()
@@ -98,7 +100,10 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: bytes =
         while head > 0 and head != last and text[head - 1] in _CHAIN:
             head -= 1
         chain, last = chain if head == last else head, e
-        if any(b[0] < e and s < b[2] for b in base):
+        while ahead < len(base) and base[ahead][0] < e:
+            reached = max(reached, base[ahead][2])
+            ahead += 1
+        if reached > s:
             continue
         # the later parts of a dotted token have the context of its beginning, too
         if not SENSITIVE.search(text, max(0, s - BEFORE), s) and not SENSITIVE.search(text, max(0, chain - BEFORE), chain):
