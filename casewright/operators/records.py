@@ -92,6 +92,30 @@ def search_with_topup(scored: DataFrame, query: str, key: str, score: str, withi
     return kept.withColumn("_at", F.row_number().over(Window.partitionBy(query).orderBy("tier", *order))).where(F.col("_at") <= k).drop("_at", "_found")
 
 
+def best_chunks(rows: DataFrame, document: str, key: str, rank: str) -> DataFrame:
+    """Of each document the chunk with the highest text rank, the smallest key among equals; chunks without a rank have 0.
+
+    Chunks that aren't successful or have no vector are left out before, so a document may have none.
+    """
+    usable = rows.where(F.coalesce("successful", F.lit(False)) & F.col("embedding").isNotNull())
+    best = F.max_by(F.struct(*rows.columns), F.struct(F.coalesce(F.col(rank), F.lit(0.0)), -F.col(key)))
+    return usable.groupBy(document).agg(best.alias("row")).select("row.*")
+
+
+def knowledge_scores(queries: DataFrame, rows: DataFrame, document: str, key: str) -> DataFrame:
+    """(query, document, key, category, score) of every document's best chunk for each query vector.
+
+    rows: one a chunk with document, key, category, embedding, comprehension (a vector or null), successful, feedback and
+    rank. A comprehension vector stands in for the chunk's own. All that a query doesn't decide is done before rows meet
+    queries, so each document meets each query once.
+    """
+    from casewright.operators.vectors import hybrid_score, similarities
+
+    best = best_chunks(rows, document, key, "rank").withColumn("embedding", F.coalesce("comprehension", "embedding"))
+    near = similarities(queries.select(key, "embedding"), best, key, carry=[document, "category", "rank", "feedback"])
+    return near.select("query", document, key, "category", F.round(hybrid_score(F.col("similarity"), F.col("rank"), F.col("feedback")), 4).alias("score"))
+
+
 def embedding_upsert(given: DataFrame, key: str, text: str, origin: str, preferred: list[str], most: int = 1500) -> DataFrame:
     """One row a key to be embedded: the text of its most preferred origin, cut to `most` characters (the embedding's own bound)."""
     rank = F.coalesce(*(F.when(F.col(origin) == o, i) for i, o in enumerate(preferred)), F.lit(len(preferred)))

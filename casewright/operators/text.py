@@ -299,8 +299,64 @@ def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row
 
 
+#: Edits up to which a diff follows them one by one; beyond, whole rows of places are compared.
+FEW_EDITS = 400
+
+
+def _run(a: np.ndarray, b: np.ndarray, x: int, y: int) -> int:
+    """How many places on from x and y agree."""
+    n, step = 0, 16
+    while True:
+        size = min(step, len(a) - x - n, len(b) - y - n)
+        if size <= 0:
+            return n
+        differ = a[x + n : x + n + size] != b[y + n : y + n + size]
+        if differ.any():
+            return n + int(differ.argmax())
+        n, step = n + size, step * 4
+
+
+def places_by_edits(a: np.ndarray, b: np.ndarray, most: int = FEW_EDITS) -> list[tuple[int, int]] | None:
+    """A longest common subsequence as pairs of places by the fewest edits; None if these are more than `most`.
+
+    With d edits the farthest place on each diagonal is known from those with d - 1 (the greedy O(nd) method): its time
+    grows with the length plus the square of the edits.
+    """
+    n, m, far, steps = len(a), len(b), {1: 0}, []
+    for d in range(most + 1):
+        steps.append(dict(far))
+        for k in range(-d, d + 1, 2):
+            x = far[k + 1] if k == -d or (k != d and far[k - 1] < far[k + 1]) else far[k - 1] + 1
+            x += _run(a, b, x, x - k) if x - k >= 0 else 0
+            far[k] = x
+            if x >= n and x - k >= m:
+                return _traced(steps, n, m)
+    return None
+
+
+def _traced(steps: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int]]:
+    """The pairs of places on the way back through the farthest places of each number of edits."""
+    out = []
+    for d in range(len(steps) - 1, -1, -1):
+        k, far = x - y, steps[d]
+        down = k == -d or (k != d and far[k - 1] < far[k + 1])
+        before = k + 1 if down else k - 1
+        start = far[before] if d else 0
+        to = (start if down else start + 1) if d else 0  # where the agreeing run of this step begins
+        while x > to:
+            x, y = x - 1, y - 1
+            out.append((x, y))
+        x, y = start, start - before if d else 0
+    return out[::-1]
+
+
 def common_places(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A longest common subsequence as pairs of places, in memory that is linear in a and b (divide and conquer)."""
+    """A longest common subsequence as pairs of places: by the edits while they are few, else by divide and conquer over
+    whole rows, in memory that is linear in a and b."""
+    if min(len(a), len(b)) > FEW_EDITS // 4:
+        near = places_by_edits(a, b)
+        if near is not None:
+            return near
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, j, k, m = todo.pop()
@@ -415,14 +471,18 @@ def parse_llm_json(df: DataFrame, column: str, schema: str, required: list[str])
     return parsed.where(ok), parsed.where(~F.coalesce(ok, F.lit(False))).drop("parsed")
 
 
-def rebuild_document(chunks: DataFrame, key: str, match: str, title: str | None = None) -> DataFrame:
+def rebuild_document(chunks: DataFrame, key: str, match: str | Column, title: str | None = None) -> DataFrame:
     """The chunks of each document in order, joined, and the number of the first that starts with the first 80 characters of `match`.
 
+    `match` is one text or a column of chunks, alike in all rows of a document. A document comes together in one row, as
+    its text is one value.
+
     A title column loses its ` (i/n)`.
     """
-    head = match.strip()[:80]
+    trimmed = lambda c: F.regexp_replace(c, _ENDS, "")
+    head = F.substring(trimmed(F.lit(match) if isinstance(match, str) else match), 1, 80)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("number", "chunk"))), lambda x: x["chunk"])
-    aggs = [F.concat_ws("\n", parts).alias("text"), F.min(F.when(F.regexp_replace("chunk", _ENDS, "").startswith(head), F.col("number"))).alias("matched")]
+    aggs = [F.concat_ws("\n", parts).alias("text"), F.min(F.when(trimmed(F.col("chunk")).startswith(head), F.col("number"))).alias("matched")]
     if title:
         aggs.append(F.min(F.regexp_replace(title, r" \([0-9]+/[0-9]+\)$", "")).alias("title"))
     return chunks.groupBy(key).agg(*aggs)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +16,8 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm, F.lit(0.0))
 
 
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 2000
+#: Query vectors that are broadcast at most, and rows that a task takes beside a block of queries beyond that.
+QUERY_BLOCK, ROW_BLOCK = 2000, 50_000
 
 
 def _normed(df: DataFrame, vector: str, name: str) -> list[Column]:
@@ -28,18 +26,27 @@ def _normed(df: DataFrame, vector: str, name: str) -> list[Column]:
     return [v.alias(name), F.nullif(F.sqrt(dot(F.col(vector), F.col(vector))), F.lit(0.0)).alias(f"{name}_norm")]
 
 
-def similarities(queries: DataFrame, emb: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, id, similarity) of a stated query set against every embedding.
+def similarities(queries: DataFrame, emb: DataFrame, key: str = "vec_id", vector: str = "embedding", carry: list[str] | tuple[str, ...] = (), on: str | None = None) -> DataFrame:
+    """(query, id, similarity, carried columns) of a stated query set against every embedding.
 
-    The queries are counted and meet the rows in blocks of `QUERY_BLOCK`, each of which is broadcast.
+    With `on`, only against those with the query's value in that column, which decides before anything is computed. The
+    queries are counted; up to `QUERY_BLOCK` are broadcast. More are dealt to blocks, and so are the rows: each block of
+    queries meets each block of rows in a partition of its own.
     """
-    q = queries.select(F.col(key).alias("query"), *_normed(queries, vector, "_q"))
-    rows = emb.select(key, *_normed(emb, vector, "_v"))
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = [rows.crossJoin(F.broadcast(q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))) for i in range(blocks)]
+    q = queries.select(F.col(key).alias("query"), *([F.col(on).alias("_on")] if on else []), *_normed(queries, vector, "_q"))
+    rows = emb.select(key, *carry, *([F.col(on).alias("_of")] if on else []), *_normed(emb, vector, "_v"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    if on:
+        met = rows.join(F.broadcast(q) if blocks == 1 else q, F.col("_on") == F.col("_of"))
+    elif blocks == 1:
+        met = rows.crossJoin(F.broadcast(q))
+    else:
+        parts = max(1, -(-rows.count() // ROW_BLOCK))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = q.withColumn("_qb", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("_rb", numbers(parts))
+        met = rows.withColumn("_rb", F.pmod(F.xxhash64(key), F.lit(parts))).withColumn("_qb", numbers(blocks)).join(dealt, ["_qb", "_rb"])
     near = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (F.col("_q_norm") * F.col("_v_norm"))
-    return reduce(DataFrame.unionByName, parts).where(F.col(key) != F.col("query")).select("query", key, F.round(near, 4).alias("similarity"))
+    return met.where(F.col(key) != F.col("query")).select("query", key, F.round(near, 4).alias("similarity"), *carry)
 
 
 def vector_topk(queries: DataFrame, emb: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -228,14 +228,14 @@ def stemmed_text_ranks(spark, folder) -> DataFrame:
     """The same over title, category and text as one searchable text, with words of one Spanish stem as one term."""
     f = T.files(spark, folder)
     whole = f.select("file_id", X.searchable(f, ["kind", "category"], "text").alias("text"))
-    return _by_index(spark, whole, stems=True)
+    return _by_index(spark, whole, stems=True, asked_of=f)
 
 
-def _by_index(spark, files: DataFrame, stems: bool) -> DataFrame:
-    """Writes the index of file_id and text and asks it for every hundredth file's first two words."""
+def _by_index(spark, files: DataFrame, stems: bool, asked_of: DataFrame | None = None) -> DataFrame:
+    """Writes the index of file_id and text and asks it for the first two words of every hundredth file's text."""
     index = scratch_folder(spark)
     S.write_index(files, index, "file_id", F.col("text"), stems)
-    asked = files.where("file_id % 100 = 0").select("file_id", F.concat_ws(" ", F.slice(X.words_of(F.col("text")), 1, 2)).alias("asked"))
+    asked = (files if asked_of is None else asked_of).where("file_id % 100 = 0").select("file_id", F.concat_ws(" ", F.slice(X.words_of(F.col("text")), 1, 2)).alias("asked"))
     found = S.search_index(spark, index, asked, "file_id", "file_id", F.col("asked"), stems)
     return found.select("query", "file_id", F.round(F.col("rank") * 1000000).cast("long").alias("rank_millionths"))
 

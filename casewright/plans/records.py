@@ -188,12 +188,12 @@ _TOPPED = """, t AS (SELECT *, CASE WHEN {0} THEN 0 ELSE 1 END AS tier FROM s),
 
 
 def _scored(spark, folder) -> DataFrame:
-    """Hybrid scores of all knowledge rows for every hundredth vector: cosine, text rank and feedback."""
+    """Hybrid scores of all knowledge rows for every hundredth vector: cosine, text rank and feedback, the last two known before rows meet queries."""
     e = T.read(spark, folder, "embeddings").select("vec_id", "embedding")
-    near = V.similarities(e.where("vec_id % 100 = 0"), e)
     ranks = X.text_rank(T.files(spark, folder), "file_id", F.col("text"), _ASKED).withColumnRenamed("file_id", "vec_id")
-    known = near.join(_voted(spark, folder).withColumnRenamed("file_id", "vec_id"), "vec_id").join(ranks, "vec_id", "left")
-    return known.select("query", "vec_id", "category", F.round(V.hybrid_score(F.col("similarity"), F.col("rank"), F.col("feedback")), 4).alias("score"))
+    known = e.join(_voted(spark, folder).withColumnRenamed("file_id", "vec_id"), "vec_id").join(ranks, "vec_id", "left")
+    near = V.similarities(e.where("vec_id % 100 = 0"), known, carry=["category", "rank", "feedback"])
+    return near.select("query", "vec_id", "category", F.round(V.hybrid_score(F.col("similarity"), F.col("rank"), F.col("feedback")), 4).alias("score"))
 
 
 @query(with_tables(f", {_VOTES}, {_HYBRID}{_TOPPED.format("category = 'en'")}", "files"))
@@ -212,9 +212,7 @@ def legal_context_topped_up(spark, folder) -> DataFrame:
 def similarity_to_list(spark, folder) -> DataFrame:
     """Each query's similarity to the list of the rows with its label."""
     e = T.read(spark, folder, "embeddings").select("vec_id", "embedding", "label")
-    of = V.similarities(e.where("vec_id % 100 = 0"), e)
-    label = lambda name: e.select(F.col("vec_id").alias(name), F.col("label").alias(f"label_{name}"))
-    return of.join(label("query"), "query").join(label("vec_id"), "vec_id").where("label_query = label_vec_id").select("query", "vec_id", "similarity")
+    return V.similarities(e.where("vec_id % 100 = 0"), e, on="label")
 
 
 @query("SELECT count(*) FILTER (vec_id > 450) AS newer, count(*) FILTER (vec_id > 450) >= 10 OR count(*) FILTER (label = 0) = 0 AS stale FROM embeddings")
