@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.operators import cluster_model as M
 from casewright.operators import relational as R
 from casewright.operators import search_index as S
 from casewright.operators import text as X
@@ -282,6 +283,16 @@ def cluster_map(spark, folder) -> DataFrame:
     return profile.orderBy(F.desc("size"), "cluster")
 
 
+@query("SELECT vec_id, TRUE AS placed FROM embeddings")
+def stored_clusters(spark, folder) -> DataFrame:
+    """All embeddings placed by a stored model that was fitted on nine tenths of them: cluster, distance and map are there for each."""
+    e = T.read(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = scratch_folder(spark)
+    M.fit_model(e.where("vec_id % 10 <> 0"), model)
+    found = M.assign(spark, model, e)
+    return found.select("vec_id", (F.col("cluster").between(0, 6) & (F.col("distance") >= 0) & F.col("x").isNotNull() & F.col("y").isNotNull()).alias("placed"))
+
+
 @query()
 def cluster_members(spark, folder) -> DataFrame:
     """The members of each cluster with their distances."""

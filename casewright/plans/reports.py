@@ -195,6 +195,17 @@ def audit_log_page(spark, folder) -> DataFrame:
     return R.page(found, [F.desc("created"), F.asc("action_id")], 2, 20).select("action_id", "user_id", "action")
 
 
+@query(with_tables("SELECT action_id, user_id, action FROM actions ORDER BY created DESC, action_id LIMIT 20 OFFSET 9960", "actions"))
+def audit_log_deep_page(spark, folder) -> DataFrame:
+    """A late page of the whole log, newest first, from a table whose pages are found by their first keys."""
+    from casewright.operators import paging
+    from casewright.sources.store import scratch_folder
+
+    log = T.actions(spark, folder).select((-F.unix_micros("created")).alias("newest"), "action_id", "user_id", "action")
+    paging.write_paged(log, at := scratch_folder(spark), ["newest", "action_id"], 20)
+    return paging.read_page(spark, at, ["newest", "action_id"], 499).select("action_id", "user_id", "action")
+
+
 @query(with_tables("SELECT action_id, user_id, action FROM actions WHERE user_id = 7 ORDER BY created DESC, action_id LIMIT 10", "actions"))
 def my_recent_actions(spark, folder) -> DataFrame:
     return R.top_k(T.actions(spark, folder).where("user_id = 7").select("action_id", "user_id", "action", "created"), 10, F.desc("created"), F.asc("action_id")).drop("created")
