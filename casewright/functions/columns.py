@@ -103,7 +103,8 @@ SYNONYMS = {"Si": "Sí", "Critico": "Crítico"}
 
 def repaired(col: str, synonyms: dict[str, str] = SYNONYMS, default=None) -> Column:
     """The composed and trimmed text, a known misspelling set right, `default` where nothing is left."""
-    text = F.nullif(nfc(F.col(col)), F.lit(""))
+    plain = F.octet_length(col) == F.char_length(col)  # ASCII is composed: only other rows go to Python
+    text = F.nullif(F.when(plain, F.regexp_replace(F.trim(col), r"^\s+|\s+$", "")).otherwise(nfc(F.when(~plain, F.col(col)))), F.lit(""))
     for wrong, right in synonyms.items():
         text = F.when(text == wrong, right).otherwise(text)
     return text if default is None else F.coalesce(text, F.lit(default))

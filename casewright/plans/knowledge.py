@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.operators import prompts as S
 from casewright.operators import records as K
 from casewright.operators import text as X
 from casewright.operators.keywords import classify_by_table
@@ -149,3 +150,46 @@ def rebuilt_matches(spark, folder) -> DataFrame:
     d = T.read(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("file_id"), F.split("text", "\n").alias("lines")).where("size(lines) > 1")
     chunks = d.select("file_id", F.col("lines")[1].alias("wanted"), F.posexplode("lines").alias("at", "chunk")).select("file_id", "wanted", "chunk", (F.col("at") + 1).cast("long").alias("number"))
     return X.rebuild_document(chunks, "file_id", F.col("wanted")).select("file_id", "matched", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(
+    with_tables(
+        """, q AS (SELECT case_id, list(line || ' ' || state ORDER BY line, state) AS asked FROM requests GROUP BY 1),
+        n AS (SELECT case_id, list({'title': 'Nota ' || line, 'content': priority} ORDER BY line, priority) AS notes FROM requests WHERE priority = 'Alta' GROUP BY 1),
+        a AS (SELECT case_id, list(CASE WHEN weight <> 4 THEN {'kind': CASE WHEN action <> 'error' THEN action END, 'result': CASE weight WHEN 0 THEN 'desfavorable' WHEN 1 THEN 'referencia' ELSE 'favorable' END} END ORDER BY action_id) AS seen FROM actions GROUP BY 1),
+        k AS (SELECT *, list_filter(seen, lambda p: p IS NOT NULL) AS known, list_transform(list_filter(seen, lambda p: p.result = 'favorable'), lambda p: coalesce(p.kind, 'General')) AS kinds FROM a),
+        s AS (SELECT case_id, len(known) AS n, len(list_filter(known, lambda p: p.result = 'desfavorable')) AS against,
+            array_to_string(list_transform(list_filter(list_transform(range(1, len(kinds) + 1), lambda i: {'i': i, 'k': kinds[i]}), lambda x: list_position(kinds, x.k) = x.i), lambda x: '  - ' || x.k || ': ' || len(list_filter(kinds, lambda y: y = x.k))), chr(10)) AS lines FROM k)
+        SELECT c.case_id, concat_ws(chr(10) || chr(10),
+            'Radicado: ' || c.case_id,
+            CASE WHEN trim(court) <> '' THEN concat_ws(chr(10), 'ANÁLISIS', '  Tema: ' || court, '  Derechos: ' || invoked_right, '  Peticiones:' || chr(10) || array_to_string(list_transform(asked, lambda r, i: '    ' || i || '. ' || r), chr(10)), '  Extracto: ' || ruling) END,
+            CASE WHEN s.n > 0 THEN concat_ws(chr(10), 'ESTRATEGIA', CASE WHEN s.lines <> '' THEN s.lines ELSE '  - sin precedentes favorables' END, CASE WHEN s.against > 0 THEN '  ALERTA desfavorables: ' || s.against END,
+                '  Tono: ' || CASE lower(c.priority) WHEN 'alta' THEN 'breve y directo' WHEN 'baja' THEN 'extenso, con análisis normativo' ELSE 'institucional' END) END,
+            'NOTAS' || chr(10) || array_to_string(list_transform(notes, lambda x: '  - ' || x.title || ': ' || x.content), chr(10))) AS prompt
+        FROM cases c LEFT JOIN q ON q.case_id = c.case_id LEFT JOIN n ON n.case_id = c.case_id LEFT JOIN s ON s.case_id = c.case_id""",
+        "cases", "requests", "actions",
+    )
+)
+def case_prompt_sections(spark, folder) -> DataFrame:
+    """A prompt a case with what its petition is about, what its precedents advise and its notes; actions stand for precedents."""
+    r = T.requests(spark, folder)
+    named = lambda df, name, *fields: df.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    asked, notes = named(r, "asked", "line", "state"), named(r.where("priority = 'Alta'"), "notes", "line", "priority")
+    result = F.when(F.col("weight") == 0, "desfavorable").when(F.col("weight") == 1, "referencia").otherwise("favorable")
+    told = F.when(F.col("weight") != 4, F.struct(F.when(F.col("action") != "error", F.col("action")).alias("kind"), result.alias("result")))
+    seen = named(T.actions(spark, folder).select("case_id", "action_id", told.alias("precedent")), "seen", "action_id", "precedent")
+    c = T.cases(spark, folder).join(asked, "case_id", "left").join(notes, "case_id", "left").join(seen, "case_id", "left")
+    requests = F.transform("asked", lambda x: F.concat(x["line"].cast("string"), F.lit(" "), x["state"]))
+    listed = F.transform("notes", lambda x: F.struct(F.concat(F.lit("Nota "), x["line"].cast("string")).alias("title"), x["priority"].alias("content")))
+    sections = [
+        F.concat(F.lit("Radicado: "), F.col("case_id").cast("string")), S.comprehension_section(F.col("court"), F.array("invoked_right"), requests, F.col("ruling")),
+        S.strategy_section(F.transform("seen", lambda x: x["precedent"]), F.lower("priority")), S.titled_section("NOTAS", listed),
+    ]
+    return X.assemble_prompts(c, "case_id", sections)
+
+
+@query(with_tables("SELECT case_id, court AS resolves, invoked_right AS kind, 'favorable' AS result, court || '. ' || invoked_right AS embedded FROM cases WHERE ruling = 'Favorable' AND trim(court) <> ''", "cases"))
+def promoted_comprehension(spark, folder) -> DataFrame:
+    """What the knowledge rows of promoted cases inherit of their comprehension, and the text that its vector is made of."""
+    c = T.cases(spark, folder).where("ruling = 'Favorable'").select("case_id", S.inherited_comprehension(F.col("court"), F.col("invoked_right"), F.array("invoked_right")).alias("known"))
+    return c.where("known is not null").select("case_id", "known.resolves", "known.kind", "known.result", S.comprehension_text(F.col("known")).alias("embedded"))

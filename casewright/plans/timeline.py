@@ -42,8 +42,8 @@ def _rows(spark, folder, module: str) -> DataFrame:
     return T.audits(spark, folder).join(T.templates(spark, folder).select("template_id", "title"), "template_id").withColumn("id", F.col("audit_id")).withColumn("owner_id", F.col("created_by"))
 
 
-def timeline(spark, folder, wanted: dict | None = None) -> DataFrame:
-    """Rows of the asked modules, newest first, rows without a date last.
+def timeline(spark, folder, wanted: dict | None = None, names: bool = True) -> DataFrame:
+    """Rows of the asked modules, newest first, rows without a date last; without `names` entities and owners stay null.
 
     `wanted` may have modules (a list; unknown names are dropped), first and last (days, both included), group_id,
     and the keys of FILTERS. A module is filtered before the union, by what it knows.
@@ -63,7 +63,7 @@ def timeline(spark, folder, wanted: dict | None = None) -> DataFrame:
             lookups.append((T.entities(spark, folder).select("entity_id", "entity_name"), FILTERS[module]["entity_id"], "entity_id"))
         if "owner_id" in df.columns:
             lookups.append((T.users(spark, folder).select("user_id", "user_name"), "owner_id", "user_id"))
-        named = R.enrich(df, lookups)
+        named = R.enrich(df, lookups if names else [])
         mapping = {"id": "id", "title": "title", "state": "state", "day": DATES[module]}
         mapping |= {name: column for name, column in (("amount", "amount"), ("entity", "entity_name"), ("owner", "user_name")) if column in named.columns}
         parts.append(C.to_common(named, module, mapping, COMMON))
@@ -103,7 +103,7 @@ def cross_module_timeline(spark, folder) -> DataFrame:
 
 @query(_select(None, "SELECT module, count(*) AS n, count(DISTINCT state) AS states, min(day) AS first_day, max(day) AS last_day FROM t GROUP BY 1"))
 def timeline_totals(spark, folder) -> DataFrame:
-    return timeline(spark, folder).groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("state").alias("states"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return timeline(spark, folder, names=False).groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("state").alias("states"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
 @query(_select(None, "SELECT * FROM t ORDER BY day DESC NULLS LAST, module, id, title, state, amount, entity, owner LIMIT 100"))

@@ -112,3 +112,27 @@ def test_a_diff_of_twenty_thousand_paragraphs_takes_seconds():
     began = time.time()
     runs = X.diff_runs(old, new)
     assert time.time() - began < 5 and sum(part != "equal" for part, _ in runs) >= 40
+
+
+def test_prompt_sections(spark):
+    from casewright.operators import prompts as S
+
+    kind = "theme string, rights array<string>, requests array<string>, excerpt string, seen array<struct<kind: string, result: string>>, urgency string, notes array<struct<title: string, content: string>>"
+    full = ("T", ["a", None, "b"], ["x", "y"], "e", [("k", "favorable"), None, ("", "favorable"), ("k", "favorable"), ("z", "desfavorable")], "alta", [("n", None), None])
+    df = spark.createDataFrame([full, (" ", ["a"], ["x"], "e", [], None, []), ("T", None, [], " ", [None], "baja", None), ("T", None, None, None, [("k", "referencia")], "otra", None)], kind)
+    c = S.comprehension_section(F.col("theme"), F.col("rights"), F.col("requests"), F.col("excerpt"))
+    s = S.strategy_section(F.col("seen"), F.col("urgency"))
+    got = [tuple(r) for r in df.select(c, s, S.titled_section("NOTAS", F.col("notes"))).collect()]
+    assert got[0] == ("ANÁLISIS\n  Tema: T\n  Derechos: a, b\n  Peticiones:\n    1. x\n    2. y\n  Extracto: e", "ESTRATEGIA\n  - k: 2\n  - General: 1\n  ALERTA desfavorables: 1\n  Tono: breve y directo", "NOTAS\n  - n: ")
+    assert got[1] == (None, None, None) and got[2] == ("ANÁLISIS\n  Tema: T", None, None)
+    assert got[3] == ("ANÁLISIS\n  Tema: T", "ESTRATEGIA\n  - sin precedentes favorables\n  Tono: institucional", None)
+    known = S.inherited_comprehension(F.col("theme"), F.lit(None).cast("string"), F.col("rights"))
+    told = [tuple(r) for r in df.select(known["kind"], known["rights"], S.comprehension_text(known)).collect()]
+    assert told[1] == (None, None, None) and told[3] == ("General", [], "T. ")
+
+
+def test_ascii_stays_out_of_python(spark):
+    from casewright.functions.columns import repaired
+
+    df = spark.createDataFrame([(" \tSi\n",), ("Crítico ",), ("Critico",), ("  ",), ("",), (None,), (" é ",)], "x string")
+    assert [r[0] for r in df.select(repaired("x", default="-")).collect()] == ["Sí", "Crítico", "Crítico", "-", "-", "-", "é"]
