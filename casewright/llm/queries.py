@@ -86,6 +86,41 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _merkle_sql(levels: int, upper: int) -> str:
+    """The manifest of op13 for up to 16 ** levels rows a source and 16 ** upper sources: each level's runs, then each leaf's way through them."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, e: CASE WHEN xor(c, e) & 1 = 1 THEN xor(xor(c, e) >> 1, 3988292384) ELSE xor(c, e) >> 1 END), 4294967295)"
+    parts = [
+        f"d AS (SELECT doc_id, source AS tree, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(lower)} END AS shown FROM documents)",
+        "l0 AS (SELECT *, coalesce(shown, leaf) AS folded, '' AS proof, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d)",
+        "n0 AS (SELECT tree, place, leaf AS digest, count(*) OVER (PARTITION BY tree) AS size FROM l0)",
+    ]
+
+    def climb(k: int, rest: str) -> None:
+        parts.append(f"r{k} AS (SELECT tree, place // 16 AS run, list(digest ORDER BY place) AS members, any_value(size) AS size FROM n{k} WHERE size > 1 GROUP BY 1, 2)")
+        parts.append(f"n{k + 1} AS (SELECT tree, run AS place, sha256(array_to_string(members, '')) AS digest, (size + 15) // 16 AS size FROM r{k} UNION ALL SELECT tree, place, digest, size FROM n{k} WHERE size = 1)")
+        before, after = "array_to_string(members[1:place % 16], '')", "array_to_string(members[place % 16 + 2:], '')"
+        parts.append(
+            f"l{k + 1} AS (SELECT {rest}, l.tree, CASE WHEN members IS NULL THEN folded ELSE sha256({before} || folded || {after}) END AS folded, "
+            f"CASE WHEN members IS NULL THEN proof ELSE proof || {before} || {after} END AS proof, place // 16 AS place FROM l{k} l LEFT JOIN r{k} r ON l.tree IS NOT DISTINCT FROM r.tree AND l.place // 16 = r.run)"
+        )
+
+    for k in range(levels):
+        climb(k, "doc_id, leaf")
+    top = levels + 1
+    parts.append(f"s AS (SELECT tree AS source, digest AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place, count(*) OVER () AS size FROM n{levels})")
+    parts.append(f"n{top} AS (SELECT 0 AS tree, place, subroot AS digest, size FROM s)")
+    parts.append(f"l{top} AS (SELECT doc_id, leaf, subroot, 0 AS tree, folded, proof, s.place FROM l{levels} l JOIN s ON l.tree IS NOT DISTINCT FROM s.source)")
+    for k in range(top, top + upper):
+        climb(k, "doc_id, leaf, subroot")
+    end = top + upper
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified FROM l{end}, n{end}"
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_lm_score, op7_bpe, op8_secret_scan, op9_minhash_near_dedup, op10_exact_dedup, op11_hard_negatives, op12_sentence_piece, op13_merkle_manifest)}
 
 ORACLE_SQL = {
@@ -106,6 +141,7 @@ ORACLE_SQL = {
         WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
         QUALIFY rank <= 3""",
+    "op13_merkle_manifest": _merkle_sql(6, 3),
     "op10_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256({_NORMAL}) AS text_sha256
