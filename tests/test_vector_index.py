@@ -2,7 +2,6 @@
 
 import numpy as np
 from conftest import MEDIUM
-from pyspark.sql import functions as F
 
 from casewright.operators import vector_index as I
 from casewright.operators.vectors import vector_topk
