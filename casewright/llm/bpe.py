@@ -6,7 +6,8 @@ to all its positions at once, and only the lists of the neighbouring pairs are u
 symbols that earlier ranks make (checked when the vocabulary is read), this gives what merging word by word gives.
 
 The vocabulary file is read in each worker from the given path: JSON of a byte-level BPE with a word-end suffix,
-NFC, lower case, and white space dropped.
+NFC, lower case, and white space dropped. Which characters are letters and what their lower case is follows the
+installed tokenizers library also where its Unicode tables are newer or older than Python's.
 
 Edge cases: a null or empty text has no ids and decodes to an empty text; the special tokens' strings in a text
 are their ids; repeated rows are encoded alike; an empty table gives an empty result; other columns of the input
@@ -50,8 +51,27 @@ def _distinct(at: np.ndarray) -> np.ndarray:
     return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) > 1 else at
 
 
+@lru_cache(maxsize=1)
+def newer_characters() -> tuple[tuple[str, ...], tuple[tuple[str, str], ...]]:
+    """Letters and digits that are symbols to the installed library, and characters with lower case forms that only it has.
+
+    Libraries differ in the age of their Unicode tables; these are the characters newer than Python's own, each
+    looked up once in the library, on the driver.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    points: list[str] = []
+    for start in range(0, 0x110000, 0x1000):
+        unknown = "".join([c for c in map(chr, range(start, start + 0x1000)) if unicodedata.category(c) == "Cn"])
+        points += regex.findall(r"[\p{L}\p{N}]", unknown)
+    line = "".join(points)
+    known = {c for word, _ in pre_tokenizers.Split(Regex(r"[^\p{L}\p{N}]+"), "removed").pre_tokenize_str(line) for c in word}
+    lower = normalizers.Lowercase().normalize_str("\n".join(points)).split("\n")
+    return tuple(c for c in points if c not in known), tuple((c, low) for c, low in zip(points, lower) if low != c.lower())
+
+
 class Vocabulary:
-    def __init__(self, path: str):
+    def __init__(self, path: str, newer: tuple[tuple[str, ...], tuple[tuple[str, str], ...]] | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -78,18 +98,17 @@ class Vocabulary:
         spelt = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{white}{letters}{digits}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{digits}]")
         self.latin_words = re.compile(spelt)
         self.other = re.compile("[\u0250-\U0010ffff]")
-        # Letters and digits that are newer than Python's own tables are symbols to the vocabulary's library.
-        points = []
-        for start in range(0, 0x110000, 0x1000):
-            unknown = "".join([c for c in map(chr, range(start, start + 0x1000)) if unicodedata.category(c) == "Cn"])
-            points += map(ord, regex.findall(r"[\p{L}\p{N}]", unknown))
+        symbols, lower = newer_characters() if newer is None else newer
+        points = list(map(ord, symbols))
+        self.lower = {ord(c): low for c, low in lower}
         firsts = [p for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
         lasts = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
-        newer = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts))
-        self.high = re.compile(f"[{chr(points[0])}-\U0010ffff]") if newer else None
-        self.newer = re.compile(f"[{newer}]") if newer else None
-        old = pattern.replace(r"\s", r"\p{White_Space}").replace(r"[\p{L}]+", f"[\\p{{L}}--[{newer}]]+").replace(r"[\p{N}]", f"[\\p{{N}}--[{newer}]]")
-        self.older_words = regex.compile(old.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]||[{newer}]]"), regex.V1) if newer else self.words
+        ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts))
+        least = min([*points, *self.lower], default=0x110000)
+        self.high = re.compile(f"[{chr(least)}-\U0010ffff]") if least < 0x110000 else None
+        self.newer = re.compile(f"[{ranges}]") if ranges else None
+        old = pattern.replace(r"\s", r"\p{White_Space}").replace(r"[\p{L}]+", f"[\\p{{L}}--[{ranges}]]+").replace(r"[\p{N}]", f"[\\p{{N}}--[{ranges}]]")
+        self.older_words = regex.compile(old.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]||[{ranges}]]"), regex.V1) if ranges else self.words
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, str] = {}
@@ -164,7 +183,10 @@ class Vocabulary:
         plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if not self.other.search(plain):
             return self.latin_words.findall(plain)
-        older = self.high and self.high.search(plain) and self.newer.search(plain)
+        high = self.high and self.high.search(plain)
+        if high and self.lower:
+            plain = plain.translate(self.lower)
+        older = high and self.newer and self.newer.search(plain)
         return (self.older_words if older else self.words).findall(plain)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
@@ -195,12 +217,12 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str, newer: tuple) -> Vocabulary:
+    return Vocabulary(path, newer)
 
 
-def _encode(batches, path: str, whole: bool):
-    vocab = vocabulary(path)
+def _encode(batches, path: str, whole: bool, newer: tuple):
+    vocab = vocabulary(path, newer)
     for batch in batches:
         for piece in pieces(batch, "text", PIECE):
             found = vocab.encode([t or "" for t in piece.column("text").to_pylist()])
@@ -222,4 +244,4 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """id, n_tokens, ids_sha256, decoded_sha256 and, with `whole`, ids (array<int>) and decoded (string)."""
     bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(tidy(partial(_encode, path=path, whole=whole)), f"`{id_col}` long, {DIGESTS}" + ", ids array<int>, decoded string" * whole)
+    return narrow.mapInArrow(tidy(partial(_encode, path=path, whole=whole, newer=newer_characters())), f"`{id_col}` long, {DIGESTS}" + ", ids array<int>, decoded string" * whole)

@@ -255,6 +255,20 @@ def test_bpe_is_the_library(spark):
     assert bpe.encode_documents(odd(spark, []), queries.WORD_BPE).count() == 0
 
 
+def test_bpe_takes_the_newest_characters_as_the_library_does():
+    import unicodedata
+
+    import regex
+
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(queries.WORD_BPE)
+    newest = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]
+    texts = [f"a{c}b {c}{c}" for c in newest]
+    found = bpe.Vocabulary(queries.WORD_BPE).encode(texts)
+    for text, (ids, _), want in zip(texts, found, lib.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, hex(ord(text[1]))
+
+
 def test_language_models_by_hand(spark):
     """Interpolated Kneser-Ney probabilities of a small model against the formula."""
     from collections import Counter, defaultdict
