@@ -1,19 +1,29 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. One pass over the documents finds which n-grams of benchmark items each holds.
-2. A document that holds any n-gram of an item, rare or common, is a candidate for it.
-3. A candidate goes on if it has, near the n-grams, as many of the item's words as the threshold needs. Around the seeds' places, document and item are aligned word by word (local alignment with gaps). The best
-   score, over the score of the item with itself, says how much of the item the document has, also where words
-   were changed, added or left out.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+1. A pass over the documents finds which n-grams of benchmark items each holds; how many documents and how many items
+   hold an n-gram is counted relationally.
+2. An n-gram's pairs are its documents times its items. One with more pairs than there are documents is common. In each
+   stretch of `STRETCH` n-grams of an item, those are its seeds that some document holds, that aren't common and have at
+   most `FACTOR` times the stretch's fewest pairs. Common n-grams are seeds of a stretch without another only for
+   items of which they cover as many words as the threshold asks for (items that are alike, say), so an n-gram that all
+   documents and items share makes no pair by itself.
+3. A document with a seed of an item is a candidate for it. It goes on if it has, near the item's n-grams, as many of
+   the item's words as the threshold needs. Around these places, document and item are aligned word by word (local
+   alignment with gaps). The best score, over the score of the item with itself, says how much of the item the document
+   has, also where words were changed, added or left out.
+
+A copy is lost if it has no n-gram of the item left (say, with every third word changed), or none but those that are
+much more frequent than others of their stretch or common.
 
 Words are runs of ASCII letters, digits and all other non-ASCII characters, in lower case; so punctuation and
-case don't matter. The items' n-grams go to the tasks in blocks of at most `BLOCK_GRAMS`, one pass for each block.
+case don't matter. Items go to the tasks in blocks of about `BLOCK_GRAMS` words, one block at a time: the driver holds
+one block, and documents are read twice for each, the second time only as far as they are candidates.
 
 Edge cases: null or empty texts and items have no words and match nothing; items with fewer words than an n-gram
-match if a document has all of them in a row; a null id is an id like others; rows with one id are searched one by
-one and reported once per id and item, with their best score (of equal ones, the place that comes last); empty tables
-give an empty result; other columns of the input are ignored, or kept by `drop_contaminated`, which drops each row
-that holds an item itself.
+match if a document has all of them in a row; a null id is an id like others, of documents and of items; rows with one
+id are searched one by one and reported once per id and item, with their best score (of equal ones, the place that comes
+last), and so are items that share an id; empty tables give an empty result; other columns of the input are ignored, or
+kept by `drop_contaminated`, which drops each row that holds an item itself.
 """
 
 from __future__ import annotations
@@ -27,12 +37,14 @@ from pyspark.sql import functions as F
 
 from casewright.llm import common
 from casewright.functions.columns import unused
-from casewright.llm.common import bounded_batches, bounded_join, materialise, ngram_hashes, pieces, tidy, utf8, word_hashes
+from casewright.llm.common import bounded_batches, bounded_join, join_hot, materialise, ngram_hashes, pieces, tidy, utf8, word_hashes
 
 GRAM = 3
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_GRAMS = 1_000_000
+#: N-grams of an item that choose their seeds together, and how much more frequent than the rarest of them a seed may be.
+STRETCH, FACTOR = 8, 8
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -55,7 +67,21 @@ def _items(rows, item_col: str) -> dict[int, np.ndarray]:
     return {r[item_col]: words[a:b] for r, a, b in zip(rows, ranges[:-1], ranges[1:]) if b > a}
 
 
-def _hits(batches, grams: np.ndarray, sizes: list[int]):
+def _own_grams(batches):
+    """(item, place, n, words, gram) for each n-gram of each item: its first word, its length and that of the item."""
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            words, ranges = _words(piece.column("text"))
+            found = [_grams(words[a:b]) for a, b in zip(ranges[:-1], ranges[1:])]
+            counts, sizes = np.array([len(g) for g in found], np.int64), np.diff(ranges)
+            item = np.repeat(piece.column("item").to_numpy(), counts)
+            place = np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns = (item, place, np.repeat(np.minimum(sizes, GRAM), counts), np.repeat(sizes, counts), np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item", "place", "n", "words", "gram"])
+
+
+def _hits(batches, told):
+    grams, sizes = told.value
     for batch in batches:
         for piece in pieces(batch, "text"):
             words, ranges = _words(piece.column("text"))
@@ -106,7 +132,9 @@ def _shared(doc: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> int:
     return int(np.minimum(np.bincount(at[kinds[at] == doc], minlength=len(kinds)), counts).sum())
 
 
-def _align(batches, items: dict[int, np.ndarray], seeds: dict[int, np.ndarray], threshold: float):
+def _align(batches, told, threshold: float):
+    items = told.value
+    seeds = {}
     for batch in batches:
         out = []
         for i in range(batch.num_rows):
@@ -115,6 +143,8 @@ def _align(batches, items: dict[int, np.ndarray], seeds: dict[int, np.ndarray],
             hashes = {}
             for item in batch.column("items")[i].as_py():
                 wanted = items[item]
+                if item not in seeds:
+                    seeds[item] = np.unique(_grams(wanted))
                 kinds, counts = np.unique(wanted, return_counts=True)
                 needed = threshold * len(wanted)
                 if _shared(words, kinds, counts) < needed:
@@ -138,26 +168,49 @@ def _align(batches, items: dict[int, np.ndarray], seeds: dict[int, np.ndarray],
                             best = (score, first + x, first + y)
                 out.append((*doc, item, *best))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-        names = ["id", "digest", "item_id", "score", "first_word", "end_word"]
+        names = ["id", "digest", "item", "score", "first_word", "end_word"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
-FOUND = "id long, digest long, item_id long, score double, first_word long, end_word long"
+FOUND = "id long, digest long, item long, score double, first_word long, end_word long"
+
+
+def _seeds(own: DataFrame, hits: DataFrame, documents: int, threshold: float) -> DataFrame:
+    """(gram, item, documents) of the seeds that the items of a block have, after `hits` (gram, ...) of the documents."""
+    held = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("documents"))
+    shared = own.select("gram", "item").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("items"))
+    pairs = F.col("documents") * F.col("items")
+    told = held.join(shared, "gram").select("gram", "documents", pairs.alias("pairs"), (pairs > documents).alias("common"))
+    places = materialise(own.join(told, "gram"))
+    covered = places.where("common").select("item", "words", F.explode(F.sequence("place", F.col("place") + F.col("n") - 1)).alias("word")).distinct()
+    alike = covered.groupBy("item").agg((F.count(F.lit(1)) >= threshold * F.first("words")).alias("alike")).where("alike")
+    stretch = F.floor(F.col("place") / STRETCH).alias("stretch")
+    usable = places.join(alike, "item", "left").where(~F.col("common") | F.col("alike")).select("item", stretch, "gram", "documents", "pairs", "common")
+    fewest = usable.groupBy("item", "stretch").agg(F.min(F.struct("common", "pairs")).alias("least"))
+    near = (F.col("common") == F.col("least.common")) & (F.col("pairs") <= FACTOR * F.col("least.pairs"))
+    return usable.join(fewest, ["item", "stretch"]).where(near).select("gram", "item", "documents").distinct()
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, threshold: float) -> DataFrame:
     """id, digest of the text, item_id, score, first_word and end_word, for each row and item that it holds."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    parts, block, size = [], [], 0
-    for row in benchmark.select(item_col, F.col("text")).where(F.col("text").isNotNull()).toLocalIterator():
-        block.append(row)
-        size += len(row["text"]) // 2 + 1
-        if size >= BLOCK_GRAMS:
-            parts.append(_one_block(narrow, _items(block, item_col), threshold))
-            block, size = [], 0
-    parts.append(_one_block(narrow, _items(block, item_col), threshold))
-    return reduce(DataFrame.unionByName, parts)
+    item_id = F.col(item_col).cast("long")
+    key = F.xxhash64(item_id.isNull(), item_id, F.col("text"))
+    items = materialise(benchmark.where(F.col("text").isNotNull()).select(key.alias("item"), item_id.alias("item_id"), "text").dropDuplicates(["item"]))
+    own = materialise(items.select("item", "text").mapInArrow(tidy(_own_grams), "item long, place long, n long, words long, gram long"))
+    words = items.agg(F.sum(F.expr("octet_length(text) div 2 + 1"))).first()[0] or 0
+    blocks, documents = max(1, -(-words // BLOCK_GRAMS)), narrow.count()
+    parts = []
+    for k in range(blocks):
+        in_block = F.pmod(F.col("item"), F.lit(blocks)) == k
+        texts = _items(items.where(in_block).select("item", "text").collect(), "item")
+        if texts:
+            parts.append(_one_block(narrow, texts, own, in_block, documents, threshold))
+    if not parts:
+        return spark.createDataFrame([], FOUND.replace("item", "item_id"))
+    return bounded_join(reduce(DataFrame.unionByName, parts), items.select("item", "item_id"), "item", "inner").drop("item")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -169,20 +222,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.groupBy("id", "item_id").agg(F.max(F.struct("score", "first_word", "end_word")).alias("x")).select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "x.*")
 
 
-def _one_block(narrow: DataFrame, items: dict[int, np.ndarray], threshold: float) -> DataFrame:
+def _one_block(narrow: DataFrame, items: dict[int, np.ndarray], own: DataFrame, in_block, documents: int, threshold: float) -> DataFrame:
+    """The rows of FOUND for a block of items, written; the block's words leave the executors after that."""
     spark = narrow.sparkSession
-    own = {i: np.unique(_grams(w)) for i, w in items.items()}
-    if not own:
-        return spark.createDataFrame([], FOUND)
-    grams = np.unique(np.concatenate(list(own.values())))
-    sizes = sorted({min(GRAM, len(w)) for w in items.values()})
-    hits = materialise(narrow.mapInArrow(tidy(partial(_hits, grams=grams, sizes=sizes)), "id long, digest long, gram long"))
-    pairs = spark.createDataFrame([(g, int(i)) for i, mine in own.items() for g in mine.view(np.int64).tolist()], "gram long, item_id long")
-    candidates = hits.join(F.broadcast(pairs), "gram").groupBy("id", "digest").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    grams = np.unique(np.concatenate([_grams(w) for w in items.values()]))
+    told = spark.sparkContext.broadcast((grams, sorted({min(GRAM, len(w)) for w in items.values()})))
+    hits = materialise(narrow.mapInArrow(tidy(partial(_hits, told=told)), "id long, digest long, gram long"))
+    told.unpersist()
+    # an n-gram of the block counts with the items of all blocks that have it
+    seeds = materialise(_seeds(own, hits, documents, threshold).where(in_block))
+    found = join_hot(hits, seeds, ["gram"], "documents").select("id", "digest", "item").distinct()
+    candidates = found.groupBy("id", "digest").agg(F.sort_array(F.collect_list("item")).alias("items"))
     candidates = materialise(candidates.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "items"))
     texts = bounded_join(narrow, candidates, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "inner", limit=200_000)
-    aligned = texts.select("id", "digest", "text", "items").mapInArrow(tidy(partial(_align, items=items, seeds=own, threshold=threshold)), FOUND)
-    return aligned.where(F.col("score") >= threshold)
+    told = spark.sparkContext.broadcast(items)
+    aligned = texts.select("id", "digest", "text", "items").mapInArrow(tidy(partial(_align, told=told, threshold=threshold)), FOUND)
+    aligned = materialise(aligned.where(F.col("score") >= threshold))
+    told.unpersist()
+    return aligned
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -490,6 +490,27 @@ def test_decontamination_of_edited_and_shortened_copies(spark):
     assert got == {(1, 1): 0.7, (2, 2): 0.58, (3, 3): 0.6, (6, 2): 0.53}
 
 
+def test_decontamination_seeds_are_rare(spark):
+    """What all documents and items share makes no pair by itself, but items that are alike are still found."""
+    prefix = "answer this question"
+    items = [(k, " ".join([prefix, *(f"q{k}w{i}" for i in range(30))])) for k in range(20)]
+    rows = [(n, f"{prefix} {BASE} d{n}", "x") for n in range(30)] + [(100, f"d {items[3][1]} e", "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    own = bench.select(F.col("item_id").alias("item"), "text").mapInArrow(decontaminate._own_grams, "item long, place long, n long, words long, gram long")
+    grams = own.select("gram").distinct().toPandas().gram.to_numpy().view(np.uint64)
+    grams.sort()
+    docs = odd(spark, rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), "text")
+    hits = docs.mapInArrow(lambda batches: decontaminate._hits(batches, type("Told", (), {"value": (grams, [3])})), "id long, digest long, gram long")
+    seeds = decontaminate._seeds(own, hits, len(rows), 0.5)
+    assert hits.where("id < 100").count() == 30 and hits.count() == 30 + 31
+    assert {r["item"] for r in seeds.collect()} == {3} and hits.join(seeds, "gram").where("id < 100").count() == 0
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.contamination(odd(spark, rows), bench).collect()] == [(100, 3, 1.0)]
+
+    alike = spark.createDataFrame([(k, items[0][1]) for k in range(12)] + [(None, items[0][1]), (3, items[1][1])], "item_id long, text string")
+    got = decontaminate.contamination(odd(spark, [(n, items[0][1], "x") for n in range(5)] + [(9, items[1][1], "x"), (10, BASE, "x")]), alike).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(n, k) for n in range(5) for k in [*range(12), None]} | {(9, 3)} and len(got) == 66
+
+
 def test_decontamination_is_all_pairs_alignment(spark):
     """Copies that keep 50 to 100 % of an item, changed word by word or cut, beside null and repeated ids."""
     import random
