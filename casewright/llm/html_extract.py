@@ -6,7 +6,8 @@ sequences of child tags that its pages show, and a content entropy, over the tex
 is the greater one. A branch is as important as its most important node, so importance goes up the tree and a branch
 goes only if all of it is dull: if its importance is under `LOW` outside an article, under `LOW_INSIDE` within one.
 Each page also loses the branches that are no text by their markup: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments. Where a page marks its article, only branches within it count.
+adverts, forms, scripts, styles and reader comments. Where a page marks its article, only branches within it count; marked
+articles that are side cards of an unmarked one, which has the page's h1 and more text than they, don't.
 
 A branch that only its class or id names so stays if it has the page's <main>, its only <article> or most of its
 important text; reader comments go in any case. Names take nothing if they would take all. What goes from the middle
@@ -318,10 +319,27 @@ def main_text(html: str, low: frozenset | set = frozenset(), dull_inside: frozen
     goes = _going(found, important) if any(named for b in found for _, named in b.pieces) else (lambda branch: False)
     shown = [(b, b.text(goes)) for b in important]
     if any(b.article and b.text(goes) for b in found):
-        shown = [(b, text) for b, text in shown if b.article]
+        body = _headed(found, shown)
+        shown = [(b, text) for b, text in shown if (b.path.startswith(body) and not b.article if body else b.article)]
     return "\n".join(text for _, text in shown if text)
 
 
+def _headed(found: list[Block], shown: list[tuple[Block, str]]) -> str | None:
+    """The path, with a "/" at its end, of an unmarked container that is the article although others are marked so.
+
+    It has the first h1 of a page whose articles have none, contains no article, and has more text than all of them.
+    """
+    if any("/main" in b.path or (b.article and "/h1" in b.path) for b in found):
+        return None
+    marked = sum(len(text) for b, text in shown if b.article)
+    above = next((b.path.rpartition("/")[0] for b, text in shown if text and not b.article and b.path.rpartition("/")[2].split(".")[0] == "h1"), "")
+    if above.rpartition("/")[2].split(".")[0] in ("", "html", "body"):
+        return None
+    within = [c.article for c in found if c.path.startswith(above + "/")]
+    size = sum(len(text) for b, text in shown if not b.article and b.path.startswith(above + "/"))
+    return above + "/" if size > marked and not any(within) else None
+
+
 def _going(found: list[Block], important: list[Block]):
     """Whether a branch goes by its names, as a function."""
     total, sizes, elsewhere = 0, {}, False

@@ -443,6 +443,12 @@ def test_names_of_wrappers():
     for name in ("entry-header", "page-header"):
         assert html_extract.main_text(f"<article><div class={name}><h1>T</h1></div><p>some longer text</article>") == "T\nsome longer text"
     assert html_extract.main_text("<article><h1>T</h1><div class=product-reviews><p>a long review</div></article>") == "T\na long review"
+    post = "<div class='post'><h1>T</h1><p>long body text here</p></div>"
+    assert html_extract.main_text(f"<body>{post}<article>teaser</article><article>more</article></body>") == "T\nlong body text here"
+    assert html_extract.main_text(f"<body><div class=wrap>{post}<article><h1>Own</h1></article></div>") == "Own"
+    assert html_extract.main_text(f"<body><main>{post}</main><article>x</article>") == "T\nlong body text here\nx"
+    assert html_extract.main_text("<body><h1>Site</h1><p>long text of the site</p><article>short</article>") == "short"
+    assert html_extract.main_text("<body><div><h1>Site title</h1><article>short</article></div></body>") == "short"
     related = "<div class=related><article>other</article></div><ol class=comment-list><li><article>reader</article></ol>"
     assert html_extract.main_text(f"<body>{body}{related}<p>one <span class=share>Share</span>") == "Title\nThe text of the article, long enough."
     assert html_extract.main_text("<p>one longer text <span class=share>Share</span> two") == "one longer text two"
