@@ -106,7 +106,7 @@ class Vocabulary:
         ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts))
         least = min([*points, *self.lower], default=0x110000)
         self.high = re.compile(f"[{chr(least)}-\U0010ffff]") if least < 0x110000 else None
-        self.newer = re.compile(f"[{ranges}]") if ranges else None
+        self.newer = re.compile("[" + ranges + "".join(map(chr, self.lower)) + "]") if least < 0x110000 else None
         old = pattern.replace(r"\s", r"\p{White_Space}").replace(r"[\p{L}]+", f"[\\p{{L}}--[{ranges}]]+").replace(r"[\p{N}]", f"[\\p{{N}}--[{ranges}]]")
         self.older_words = regex.compile(old.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]||[{ranges}]]"), regex.V1) if ranges else self.words
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -183,10 +183,9 @@ class Vocabulary:
         plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if not self.other.search(plain):
             return self.latin_words.findall(plain)
-        high = self.high and self.high.search(plain)
-        if high and self.lower:
+        older = self.high and self.high.search(plain) and self.newer.search(plain)
+        if older:
             plain = plain.translate(self.lower)
-        older = high and self.newer and self.newer.search(plain)
         return (self.older_words if older else self.words).findall(plain)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
