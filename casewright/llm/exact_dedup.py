@@ -2,8 +2,9 @@
 
 A frequent-items sketch (the mergeable Misra-Gries family) finds digests that may be frequent. Their exact
 counts and winners are verified by an aggregate, and the few verified winners are broadcast, so the copies of a
-hot text leave on the map side and never meet in one task. All other digests go through an ordinary shuffle.
-Only DataFrame and SQL functions are used.
+hot text leave on the map side and never meet in one task. All other digests go through an ordinary shuffle: their
+groups are counted first, and rows meet the counts of their group, so that a group that the sketch just misses is no
+single task's either. Only DataFrame and SQL functions are used.
 
 Edge cases: a null text counts as empty; rows with the same id and text are rows of their own, and exactly one
 row of a group stays; a null id ranks below every other id; an empty table gives an empty result; other
@@ -12,16 +13,18 @@ columns of the input are ignored, or kept by `drop_copies`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.columns import unused
-from casewright.llm.common import ascii_lower, bounded_join, materialise
+from casewright.llm.common import ascii_lower, bounded_join, join_hot, materialise
 
 #: Entries of a sketch: a digest with more than about 3.5 / TRACKED of the rows can't be missed.
 TRACKED = 1024
 #: Digests that are verified and, at most, broadcast.
 HEAVY = 256
+#: Digests up to which the groups of the remaining rows are broadcast, and alike rows that are written out at once.
+LOOKED_UP, BLOCK = 100_000, 65_536
 
 
 def heavy_digests(keyed: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -> DataFrame:
@@ -37,24 +40,32 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"))
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """For each digest: keep_id, group_size and how many rows have the id that stays (copies). Counted before each shuffle."""
+    by_id = rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_id.groupBy("digest").agg(F.max(F.struct("id", "n")).alias("best"), F.sum("n").alias("group_size"))
+    return groups.select("digest", F.col("best.id").alias("keep_id"), F.col("best.n").alias("copies"), "group_size")
+
+
+def _repeated(groups: DataFrame) -> DataFrame:
+    """The rows of groups whose kept id stands in several rows: these are alike, so the first stays, whichever it is."""
+    many = groups.where("copies > 1").withColumn("block", F.explode(F.expr(f"sequence(0, (copies - 1) div {BLOCK})")))
+    many = many.withColumn("place", F.explode(F.expr(f"sequence(block * {BLOCK}, least(copies, (block + 1) * {BLOCK}) - 1)")))
+    return many.select("digest", F.col("keep_id").alias("id"), "keep_id", "group_size", (F.col("place") == 0).alias("kept"))
+
+
 def group_copies(keyed: DataFrame) -> DataFrame:
     """For each row of (id, digest): keep_id, group_size and whether it is the one row that stays.
 
     The row with the largest id stays; `keyed` must give the same rows whenever it is read.
     """
-    winners = F.broadcast(
-        keyed.join(F.broadcast(heavy_digests(keyed)), "digest", "left_semi").groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
-    hot = keyed.join(winners, "digest")
-    first = Window.partitionBy("digest").orderBy("id")
-    held = hot.where(F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.row_number().over(first) == 1)
-    copies = hot.where(~F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
-    group = Window.partitionBy("digest")
-    ordered = group.orderBy(F.col("id").desc_nulls_last())
-    rest = keyed.join(winners, "digest", "left_anti").select(
-        "digest", "id", F.max("id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"), (F.row_number().over(ordered) == 1).alias("kept")
-    )
-    return rest.unionByName(held).unionByName(copies)
+    winners = materialise(_groups(keyed.join(F.broadcast(heavy_digests(keyed)), "digest", "left_semi")))
+    rest = keyed.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    groups = materialise(_groups(rest))
+    told = keyed.join(F.broadcast(winners), "digest").unionByName(join_hot(rest, groups, ["digest"], "group_size", limit=LOOKED_UP))
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    single = told.where(~stays | (F.col("copies") == 1)).select("digest", "id", "keep_id", "group_size", stays.alias("kept"))
+    return single.unionByName(_repeated(winners)).unionByName(_repeated(groups))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,6 +51,23 @@ def test_heavy_digests_find_frequent_texts(spark):
     assert got.where("kept").count() == 2001 and got.where("group_size = 1000 and keep_id = 2997").count() == 1000
 
 
+def test_copies_with_one_id_keep_one_row(spark, monkeypatch):
+    """Groups of every size against brute force: alike rows, null ids, ties, hot groups beside small ones, several blocks."""
+    monkeypatch.setattr(exact_dedup, "BLOCK", 7)
+    rows = [(None, "none", "x")] * 25 + [(5, "Tie", "x")] * 40 + [(4, "tie", "x")] * 3 + [(i, f"t{i % 900}", "x") for i in range(2000)] + [(i, "hot", "x") for i in range(1500)] + [(None, "hot", "x")] * 2
+    got = exact_dedup.exact_dedup(odd(spark, rows)).collect()
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(hashlib.sha256(lower(t).encode()).hexdigest(), []).append(i)
+    best = {d: max((i for i in ids if i is not None), default=None) for d, ids in groups.items()}
+    key = lambda i: -1 if i is None else i
+    want = sorted((d, key(i)) for d, ids in groups.items() for i in ids)
+    assert sorted((r["text_sha256"], key(r["doc_id"])) for r in got) == want
+    assert all(r["keep_id"] == best[r["text_sha256"]] and r["group_size"] == len(groups[r["text_sha256"]]) for r in got)
+    kept = [(r["text_sha256"], r["doc_id"]) for r in got if r["kept"]]
+    assert len(kept) == len(groups) and dict(kept) == best
+
+
 def components_of(docs, size, threshold):
     sets = {}
     for i, t, _ in docs:
