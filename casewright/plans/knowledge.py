@@ -121,7 +121,7 @@ def classes_by_keyword_table(spark, folder) -> DataFrame:
     f = T.files(spark, folder).select("file_id", "text")
     words = f.where("file_id % 5 = 0").select(F.explode(X.tokens(F.col("text"))).alias("keyword")).distinct().where("keyword rlike '^[a-z]{7,}$'")
     table = words.select("keyword", F.length("keyword").alias("place"), F.length("keyword").cast("string").alias("category"))
-    return classify_by_table(f, "text", table).where("keyword_class is not null").select("file_id", (F.col("keyword_class").cast("long") % 100).alias("place"))
+    return classify_by_table(f, "text", table, key="file_id").where("keyword_class is not null").select("file_id", (F.col("keyword_class").cast("long") % 100).alias("place"))
 
 
 @query(with_tables("SELECT p.contract_id, p.line, p.amount, g.names FROM payments p LEFT JOIN (SELECT r.case_id, list_sort(list_distinct(list(g.group_name))) AS names FROM requests r JOIN groups g ON r.group_id = g.group_id GROUP BY 1) g ON p.contract_id = g.case_id WHERE p.asked >= DATE '1998-01-01'", "payments", "requests", "groups"))

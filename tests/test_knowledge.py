@@ -77,6 +77,19 @@ def test_keyword_table_equals_the_patterns(spark):
     assert rows(W.classify_by_table(docs, "text", table)) == rows(X.classify_keywords(docs, "text", categories))
 
 
+def test_a_large_keyword_table_stays_out_of_the_tasks(spark, monkeypatch):
+    rnd = random.Random(8)
+    letters = ["a", "b", "é", " ", "-", "_", "1", "A", "\U00010400", "²"]
+    word = lambda most: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, most)))
+    keywords = spark.createDataFrame([(word(5), f"c{k}", k) for k in range(400)], "keyword string, category string, place int")
+    docs = spark.createDataFrame([(k, word(14) if k else None) for k in range(500)], "id int, text string")
+    small = rows(W.classify_by_table(docs, "text", keywords))
+    monkeypatch.setattr(W, "BLOCK", 300)
+    monkeypatch.setattr(W, "_lowest", None)  # no automaton of a part of the table either
+    assert rows(W.classify_by_table(docs, "text", keywords)) == small == rows(W.classify_by_table(docs, "text", keywords, key="id"))
+    assert sum(r[2] is not None for r in small) > 200
+
+
 def test_time_of_a_text_does_not_grow_with_the_keywords():
     text = " ".join(f"w{k % 977}" for k in range(200_000))
     took = []
