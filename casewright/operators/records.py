@@ -92,6 +92,20 @@ def search_with_topup(scored: DataFrame, query: str, key: str, score: str, withi
     return kept.withColumn("_at", F.row_number().over(Window.partitionBy(query).orderBy("tier", *order))).where(F.col("_at") <= k).drop("_at", "_found")
 
 
+def best_with_topup(queries: DataFrame, rows: DataFrame, key: str, within: Column, k: int, carry: list[str], least: int = 3) -> DataFrame:
+    """(query, key, score, tier, carried columns): `search_with_topup` of the hybrid scores of all rows for each query vector.
+
+    rows: one a key with embedding, rank and feedback. Only the k best of each query and tier leave the blocks that queries
+    and rows meet in.
+    """
+    from casewright.operators.vectors import COSINE_WEIGHT, best_by_score, hybrid_parts
+
+    add, more = hybrid_parts(F.col("rank"), F.col("feedback"))
+    known = rows.withColumns({"add": add, "more": more, "tier": F.when(F.coalesce(within, F.lit(False)), 0).otherwise(1)})
+    best = best_by_score(queries, known, k, key, weight=COSINE_WEIGHT, carry=carry)
+    return search_with_topup(best.drop("rank"), "query", key, "score", F.col("tier") == 0, k, least)
+
+
 def best_chunks(rows: DataFrame, document: str, key: str, rank: str) -> DataFrame:
     """Of each document the chunk with the highest text rank, the smallest key among equals; chunks without a rank have 0.
 
@@ -102,6 +116,11 @@ def best_chunks(rows: DataFrame, document: str, key: str, rank: str) -> DataFram
     return usable.groupBy(document).agg(best.alias("row")).select("row.*")
 
 
+def understood_chunks(rows: DataFrame, document: str, key: str) -> DataFrame:
+    """`best_chunks` with the comprehension vector in place of the chunk's own, where there is one."""
+    return best_chunks(rows, document, key, "rank").withColumn("embedding", F.coalesce("comprehension", "embedding"))
+
+
 def knowledge_scores(queries: DataFrame, rows: DataFrame, document: str, key: str) -> DataFrame:
     """(query, document, key, category, score) of every document's best chunk for each query vector.
 
@@ -109,11 +128,11 @@ def knowledge_scores(queries: DataFrame, rows: DataFrame, document: str, key: st
     rank. A comprehension vector stands in for the chunk's own. All that a query doesn't decide is done before rows meet
     queries, so each document meets each query once.
     """
-    from casewright.operators.vectors import hybrid_score, similarities
+    from casewright.operators.vectors import hybrid_score, rounded, similarities
 
-    best = best_chunks(rows, document, key, "rank").withColumn("embedding", F.coalesce("comprehension", "embedding"))
+    best = understood_chunks(rows, document, key)
     near = similarities(queries.select(key, "embedding"), best, key, carry=[document, "category", "rank", "feedback"])
-    return near.select("query", document, key, "category", F.round(hybrid_score(F.col("similarity"), F.col("rank"), F.col("feedback")), 4).alias("score"))
+    return near.select("query", document, key, "category", rounded(hybrid_score(F.col("similarity"), F.col("rank"), F.col("feedback"))).alias("score"))
 
 
 def embedding_upsert(given: DataFrame, key: str, text: str, origin: str, preferred: list[str], most: int = 1500) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +50,104 @@ def similarities(queries: DataFrame, emb: DataFrame, key: str = "vec_id", vector
         dealt = q.withColumn("_qb", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("_rb", numbers(parts))
         met = rows.withColumn("_rb", F.pmod(F.xxhash64(key), F.lit(parts))).withColumn("_qb", numbers(blocks)).join(dealt, ["_qb", "_rb"])
     near = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (F.col("_q_norm") * F.col("_v_norm"))
-    return met.where(F.col(key) != F.col("query")).select("query", key, F.round(near, 4).alias("similarity"), *carry)
+    return met.where(F.col(key) != F.col("query")).select("query", key, rounded(near).alias("similarity"), *carry)
 
 
 def vector_topk(queries: DataFrame, emb: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest rows of each query by cosine. The k best of each task's rows are enough, so a rank per query prunes before the shuffle."""
+    """The k nearest rows of each query by cosine, of equal ones those with the smallest keys."""
+    return best_by_score(queries, emb, k, key, vector).select("query", key, F.col("score").alias("similarity"), "rank")
+
+
+#: Products that a task holds at once, and how far apart two scores that are equal once rounded can be, with some room.
+PRODUCTS, APART = 4_000_000, 2.5e-4
+#: Queries and rows that meet in one task.
+SIDE_BLOCKS = 4096, 20_000
+
+
+def rounded(value: Column, digits: int = 4) -> Column:
+    """value rounded half away from zero as it is stored, as SQL does with a double.
+
+    Spark's own round takes a double's shortest decimal text: 0.55 * 0.0030 is a half there and lies below it as stored.
+    """
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
+def _half_away(value: np.ndarray) -> np.ndarray:
+    scaled = np.abs(value * 10000.0)
+    whole = np.trunc(scaled)
+    return np.copysign(whole + (scaled - whole >= 0.5), value) / 10000.0 + 0.0
+
+
+def _best_of_blocks(rows: pa.Table, queries: pa.Table, k: int, weight: float | None, carry: list[str]) -> pa.Table:
+    """The k best rows of a block in each tier for each query of a block: (query, id, score, tier, carried columns).
+
+    Matrix products choose; what can be among the best is then computed in the order that one pair at a time has.
+    """
+    asked, ids = queries.column("query"), rows.column("id")
+    kind = pa.schema([("query", asked.type), ("id", ids.type), ("score", pa.float64()), ("tier", pa.int32()), *((c, rows.column(c).type) for c in carry)])
+    if not len(ids) or not len(asked):
+        return kind.empty_table()
+    matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
+    v, q, vn, qn = matrix(rows.column("v")), matrix(queries.column("q")), rows.column("v_norm").to_numpy(), queries.column("q_norm").to_numpy()
+    key, own, tiers = ids.to_numpy(), asked.to_numpy(), rows.column("tier").to_numpy()
+    add, more, place_of = rows.column("add").to_numpy(), rows.column("more").to_numpy(), np.unique(key, return_inverse=True)[1]
+    out, step = [], max(1, PRODUCTS // len(ids))
+    for s in range(0, len(asked), step):
+        near = (q[s : s + step] @ v.T) / (qn[s : s + step, None] * vn)
+        near = near if weight is None else weight * near + (add + more)
+        near[own[s : s + step, None] == key] = -np.inf
+        for tier in np.unique(tiers):
+            of = np.flatnonzero(tiers == tier)
+            part = near[:, of]
+            at = max(0, len(of) - k)
+            who, what = np.nonzero((part >= np.partition(part, at, axis=1)[:, at][:, None] - APART) & np.isfinite(part))
+            who, what, exact = who + s, of[what], np.zeros(len(who))
+            for d in range(v.shape[1]):
+                exact += q[who, d] * v[what, d]
+            score = _half_away(exact / (qn[who] * vn[what]))
+            score = score if weight is None else _half_away(weight * score + add[what] + more[what])
+            order = np.lexsort((place_of[what], -score, who))
+            kept = order[np.arange(len(order)) - np.searchsorted(who[order], who[order]) < k]
+            out.append(pa.table([asked.take(who[kept]), ids.take(what[kept]), pa.array(score[kept]), *(rows.column(c).take(what[kept]) for c in ("tier", *carry))], schema=kind))
+    return pa.concat_tables(out)
+
+
+def best_by_score(queries: DataFrame, emb: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", weight: float | None = None, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(query, key, score, tier, rank, carried columns) of the k best rows of each query in each tier, equal scores by key.
+
+    The score is the cosine, to four decimals; with a `weight` it is weight * cosine + add + more, to four decimals, of
+    emb's doubles add and more; its int tier may part the rows. A query's own row doesn't count.
+
+    Queries and rows are dealt to blocks, and each block of queries meets each block of rows in a task of its own as a
+    product of matrices; a row is shuffled once for each block of queries. Rows and queries without a direction, with
+    nulls, another width or values that aren't finite meet pair by pair.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("query").orderBy(F.desc_nulls_last("similarity"), key)
-    return similarities(queries, emb, key, vector).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    norm = F.nullif(F.sqrt(dot(F.col(vector), F.col(vector))), F.lit(0.0))
+    fine = F.coalesce((norm > 1e-150) & (norm < 1e150), F.lit(False))
+    given = lambda c, zero: (F.col(c) if c in emb.columns else F.lit(zero)).alias(c)
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"), norm.alias("q_norm"), F.when(fine, F.size(vector)).alias("q_size")).where("query is not null")
+    rows = emb.select(F.col(key).alias("id"), F.col(vector).alias("v"), norm.alias("v_norm"), F.when(fine, F.size(vector)).alias("v_size"), given("add", 0.0), given("more", 0.0), given("tier", 0), *carry).where("id is not null")
+    asked, width = q.agg(F.count(F.lit(1)), F.max("q_size")).first()
+    width = width or 0
+    odd_row, odd_query = ~F.col("v_size").eqNullSafe(F.lit(width)), ~F.col("q_size").eqNullSafe(F.lit(width))
+    held, odd_rows = rows.agg(F.count(F.lit(1)), F.count_if(odd_row)).first()
+    odd_queries = q.where(odd_query).count()
+    blocks, parts = (max(1, -(-n // most)) for n, most in zip((asked, held), SIDE_BLOCKS))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.where(~odd_row).drop("v_size").withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(parts)), "qb": numbers(blocks)})
+    right = q.where(~odd_query).drop("q_size").withColumns({"qb": F.pmod(F.xxhash64("query"), F.lit(blocks)), "rb": numbers(parts)})
+    named = lambda df, c: df.schema[c].dataType.simpleString()
+    kind = ", ".join([f"query {named(q, 'query')}, id {named(rows, 'id')}, score double, tier int", *(f"`{c}` {named(rows, c)}" for c in carry)])
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(lambda a, b: _best_of_blocks(a, b, k, weight, list(carry)), kind)
+    near = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x) / (F.col("q_norm") * F.col("v_norm"))
+    score = rounded(near) if weight is None else rounded(F.lit(weight) * F.coalesce(rounded(near), F.lit(0.0)) + F.col("add") + F.col("more"))
+    for few, met in ((odd_queries, lambda: q.where(odd_query).crossJoin(rows)), (odd_rows, lambda: q.where(~odd_query).crossJoin(rows.where(odd_row)))):
+        if few:
+            found = found.unionByName(met().where("query <> id").select("query", "id", score.alias("score"), "tier", *carry))
+    best = Window.partitionBy("query", "tier").orderBy(F.desc_nulls_last("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumnRenamed("id", key)
 
 
 def rrf_fuse(a: DataFrame, b: DataFrame | None, key: str, k: int = 60, n: int = 20, limit: int = 10, embedded: DataFrame | None = None, query: str | None = None) -> DataFrame:
@@ -72,16 +165,26 @@ def rrf_fuse(a: DataFrame, b: DataFrame | None, key: str, k: int = 60, n: int =
     if embedded is not None:
         both = both.join(embedded.select(key).distinct(), key, "left_semi")
     part = lambda c: 1.0 / (k + F.coalesce(F.col(c), F.lit(n + 1)))
-    fused = both.withColumn("fused", F.round((part("rank_a") + part("rank_b")) * 1000, 4))
+    fused = both.withColumn("fused", rounded((part("rank_a") + part("rank_b")) * 1000))
     if query is None:
         return fused.orderBy(F.desc("fused"), key).limit(limit)
     best = Window.partitionBy(query).orderBy(F.desc("fused"), key)
     return fused.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= limit).drop("_at")
 
 
+#: The cosine's share in a hybrid score.
+COSINE_WEIGHT = 0.55
+
+
+def hybrid_parts(rank: Column, feedback: Column) -> tuple[Column, Column]:
+    """What a hybrid score adds to the cosine's share: 0.35 text rank (1 at most), 0.10 feedback between 0 and 10, over 10."""
+    return 0.35 * F.least(F.coalesce(rank, F.lit(0.0)), F.lit(1.0)), 0.10 * F.greatest(F.lit(0), F.least(feedback, F.lit(10))) / 10
+
+
 def hybrid_score(similarity: Column, rank: Column, feedback: Column) -> Column:
     """0.55 cosine + 0.35 text rank (1 at most) + 0.10 feedback between 0 and 10, over 10."""
-    return 0.55 * F.coalesce(similarity, F.lit(0.0)) + 0.35 * F.least(F.coalesce(rank, F.lit(0.0)), F.lit(1.0)) + 0.10 * F.greatest(F.lit(0), F.least(feedback, F.lit(10))) / 10
+    add, more = hybrid_parts(rank, feedback)
+    return COSINE_WEIGHT * F.coalesce(similarity, F.lit(0.0)) + add + more
 
 
 def clusters_for(n: int) -> int:

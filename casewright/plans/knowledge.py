@@ -13,7 +13,7 @@ from casewright.plans.corpus import _ASKED, _RANKED, _SIM
 from casewright.plans.records import _PETITION, _STEPS, _VOTES, _petitions, _voted
 from casewright.plans.registry import query
 from casewright.sources import tables as T
-from casewright.sources.store import KeyedTable, scratch_folder
+from casewright.sources.store import KeyedTable, scratch_folder, stored
 from casewright.sources.tables import with_tables
 
 _CHUNKS = f"""{_RANKED}, c AS (SELECT e.vec_id, e.vec_id // 4 AS document_id, v.category, v.feedback, coalesce(f.risk <> 'Alto', TRUE) AS successful, coalesce(r.rank, 0) AS rank, coalesce(m.embedding, e.embedding) AS embedding
@@ -42,8 +42,9 @@ def knowledge_context(spark, folder) -> DataFrame:
     facts = _voted(spark, folder).join(T.files(spark, folder).select("file_id", F.coalesce(F.col("risk") != "Alto", F.lit(True)).alias("successful")), "file_id").withColumnRenamed("file_id", "vec_id")
     second = e.where("vec_id % 4 = 1 and (vec_id div 4) % 3 = 0").select(document.alias("document_id"), F.col("embedding").alias("comprehension"))
     rows = e.withColumn("document_id", document).join(facts, "vec_id").join(ranks, "vec_id", "left").join(second, "document_id", "left").drop("kind")
-    scored = K.knowledge_scores(e.where("vec_id % 100 = 0"), rows, "document_id", "vec_id")
-    return K.search_with_topup(scored, "query", "vec_id", "score", F.col("category") == "es", 5).select("query", "document_id", "vec_id", "category", "score", "tier")
+    known = stored(K.understood_chunks(rows, "document_id", "vec_id").drop("comprehension"))
+    best = K.best_with_topup(e.where("vec_id % 100 = 0"), known, "vec_id", F.col("category") == "es", 5, ["document_id", "category"])
+    return best.select("query", "document_id", "vec_id", "category", "score", "tier")
 
 
 def case_events(spark, folder) -> DataFrame:

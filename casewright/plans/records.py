@@ -13,6 +13,7 @@ from casewright.operators import vectors as V
 from casewright.plans.corpus import _ASKED, _RANKED, _SIM
 from casewright.plans.registry import query
 from casewright.sources import tables as T
+from casewright.sources.store import stored
 from casewright.sources.tables import AS_OF, with_tables
 
 _VOTES = "votes AS (SELECT f.file_id, f.category, f.kind, CAST(coalesce(sum(delta), 0) AS BIGINT) AS feedback FROM files f LEFT JOIN (SELECT event_id // 10 AS ref, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS delta FROM events) v ON f.file_id = v.ref GROUP BY 1, 2, 3)"
@@ -187,25 +188,26 @@ _TOPPED = """, t AS (SELECT *, CASE WHEN {0} THEN 0 ELSE 1 END AS tier FROM s),
     SELECT query, vec_id, category, score, CAST(tier AS INTEGER) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, score DESC, vec_id) AS place FROM d) WHERE place <= 8"""
 
 
-def _scored(spark, folder) -> DataFrame:
-    """Hybrid scores of all knowledge rows for every hundredth vector: cosine, text rank and feedback, the last two known before rows meet queries."""
+def _context(spark, folder, category: str) -> DataFrame:
+    """The best knowledge rows for every hundredth vector by cosine, text rank and feedback, the last two known before rows meet queries."""
     e = T.read(spark, folder, "embeddings").select("vec_id", "embedding")
     ranks = X.text_rank(T.files(spark, folder), "file_id", F.col("text"), _ASKED).withColumnRenamed("file_id", "vec_id")
     known = e.join(_voted(spark, folder).withColumnRenamed("file_id", "vec_id"), "vec_id").join(ranks, "vec_id", "left")
-    near = V.similarities(e.where("vec_id % 100 = 0"), known, carry=["category", "rank", "feedback"])
-    return near.select("query", "vec_id", "category", F.round(V.hybrid_score(F.col("similarity"), F.col("rank"), F.col("feedback")), 4).alias("score"))
+    known = stored(known.select("vec_id", "embedding", "category", "rank", "feedback"))
+    best = K.best_with_topup(e.where("vec_id % 100 = 0"), known, "vec_id", F.col("category") == category, 8, ["category"])
+    return best.select("query", "vec_id", "category", "score", "tier")
 
 
 @query(with_tables(f", {_VOTES}, {_HYBRID}{_TOPPED.format("category = 'en'")}", "files"))
 def legal_context(spark, folder) -> DataFrame:
     """The eight best knowledge rows of a category for each query by hybrid score, topped up from others if they are under three."""
-    return K.search_with_topup(_scored(spark, folder), "query", "vec_id", "score", F.col("category") == "en", 8)
+    return _context(spark, folder, "en")
 
 
 @query(with_tables(f", {_VOTES}, {_HYBRID}{_TOPPED.format("category = 'xx'")}", "files"))
 def legal_context_topped_up(spark, folder) -> DataFrame:
     """The same for a category without any row."""
-    return K.search_with_topup(_scored(spark, folder), "query", "vec_id", "score", F.col("category") == "xx", 8)
+    return _context(spark, folder, "xx")
 
 
 @query(f"SELECT q.vec_id AS query, e.vec_id, {_SIM} AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.label = q.label AND e.vec_id <> q.vec_id")

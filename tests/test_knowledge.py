@@ -1,11 +1,15 @@
 """Knowledge search, keyword tables, diffs by edits and blocks of similarities, on hand-made rows."""
 
 import itertools
+import math
 import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from conftest import SMALL
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casewright.operators import keywords as W
@@ -51,6 +55,59 @@ def test_blocks_of_queries_and_rows_give_the_same_similarities(spark, monkeypatc
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("category", ["en", "xx"])
+def test_scores_are_rounded_as_they_are_stored(spark, category):
+    """Where 0.55 * cosine is a half in its shortest decimal text, the double may lie below it."""
+    similar = [k / 1000 for k in range(1, 1000)]
+    e = spark.createDataFrame([(k, [s, math.sqrt(1 - s * s)], "en", 0.0, 0) for k, s in enumerate(similar)], "vec_id long, embedding array<double>, category string, rank double, feedback long")
+    asked = spark.createDataFrame([(5000, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = K.best_with_topup(asked, e, "vec_id", F.col("category") == category, 999, ["category"])
+    expected = {k: math.floor(0.55 * s * 10000 + 0.5) / 10000 for k, s in enumerate(similar)}
+    assert {r["vec_id"]: r["score"] for r in got.collect()} == expected
+    known = e.withColumn("comprehension", F.lit(None).cast("array<double>")).withColumn("successful", F.lit(True)).withColumn("document_id", F.col("vec_id"))
+    assert {r["vec_id"]: r["score"] for r in K.knowledge_scores(asked, known, "document_id", "vec_id").collect()} == expected
+
+
+def test_best_rows_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(V, "SIDE_BLOCKS", (7, 40))
+    monkeypatch.setattr(V, "PRODUCTS", 200)
+    rnd = random.Random(4)
+    vectors = [[float(rnd.randint(-2, 2)) for _ in range(3)] for _ in range(150)]  # many ties
+    odd = [None, [], [0.0, 0.0, 0.0], [None, 1.0, 0.0], [1.0, 0.0], [float("nan"), 0.0, 1.0], [float("inf"), 0.0, 1.0]]
+    kind = "vec_id long, embedding array<double>, label int"
+    emb = spark.createDataFrame([(k, v, k % 3) for k, v in enumerate(vectors + odd)] + [(None, [1.0, 0.0, 0.0], 1), (3, vectors[4], 1)], kind)
+    for asked in (emb.where("vec_id % 5 = 0 or vec_id >= 150"), emb.where("vec_id = 1"), emb.limit(0)):
+        w = Window.partitionBy("query").orderBy(F.desc_nulls_last("similarity"), "vec_id")
+        every = V.similarities(asked, emb).withColumn("rank", F.row_number().over(w)).where("rank <= 4")
+        assert repr(rows(V.vector_topk(asked, emb, 4))) == repr(rows(every.select("query", "vec_id", "similarity", "rank")))  # nan isn't nan
+
+
+def test_pairs_of_vectors_are_pruned_where_they_meet(spark):
+    emb = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(300)], "vec_id long, embedding array<float>")
+    for found in (V.vector_topk(emb.where("vec_id % 100 = 0"), emb, 3), V.rrf_fuse(V.vector_topk(emb.where("vec_id % 100 = 0"), emb, 3), None, "vec_id", embedded=emb, query="query")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_python_sees_few_texts_at_once():
+    """A batch of many rows gives its results in small parts, long before it is worked through."""
+    seen = []
+    work = lambda a, b: [(len(a), seen.append(a) or b)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(["x" * 300] * 10_000), pa.array(["y" * 300] * 10_000)], ["k", "a", "b"])
+    parts = X.few_at_once(work, [("n", pa.int64()), ("text", pa.string())])(iter([batch]))
+    first = next(parts)
+    assert len(seen) == first.num_rows <= X.FEW_ROWS
+    assert first.num_rows + sum(p.num_rows for p in parts) == 10_000 == len(seen)
+
+
+@pytest.mark.parametrize("query", ["clause_changes", "version_changes"])
+def test_diffs_go_through_arrow_in_parts(spark, query):
+    from casewright.plans import corpus
+
+    plan = getattr(corpus, query)(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
 TABLE = [("salud", "b", 2), ("Salud pública", "a", 1), ("pensión", "c", 3), ("ña", "d", 0), ("x", None, None), (None, "e", 0), ("salud", "a2", 1)]
 
 
