@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +126,38 @@ def split_requests(docs: DataFrame, key: str, text: str) -> DataFrame:
     return told.select(key, (F.col("pos") + 1).alias("number"), F.col("x.label").alias("label"), _rewrite(F.col("x.request"), [(r"\n{3,}", "\n\n"), (_ENDS, "")]).alias("request"))
 
 
+#: Rows, and characters of text from which on, a task's Python works on at once.
+FEW_ROWS, FEW_CHARS = 64, 1 << 20
+
+
+def few_at_once(work, columns: list[tuple[str, pa.DataType]]):
+    """A function for mapInArrow: for each row (k, texts...) those of work(texts...), with its k before them.
+
+    An Arrow batch holds up to 10,000 rows. Some of them at a time become Python objects, and what they give goes on
+    before the next ones, so a worker's memory follows neither the batch nor the table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FEW_ROWS):
+                part = batch.slice(at, FEW_ROWS)
+                owner: list[int] = []
+                out: list[list] = [[] for _ in columns]
+                chars = 0
+                for i in range(part.num_rows):
+                    for row in work(*(c[i].as_py() for c in part.columns[1:])):
+                        owner.append(i)
+                        chars += len(row[-1])
+                        for values, value in zip(out, row):
+                            values.append(value)
+                    if chars >= FEW_CHARS or i == part.num_rows - 1:
+                        arrays = [pa.array(values, kind) for values, (_, kind) in zip(out, columns)]
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int32())), *arrays], ["k", *(name for name, _ in columns)])
+                        owner, out, chars = [], [[] for _ in columns], 0
+
+    return run
+
+
 def chunk_text(text: str, size: int, overlap: int, separator: str) -> list[str]:
     """Greedy packing of paragraphs, joined by blank lines; a paragraph that is too long gives sentences, a sentence that is too long hard cuts.
 
@@ -170,12 +203,11 @@ def chunk_documents(docs: DataFrame, key: str, text: str, size: int = 1500, over
     if size <= lap:
         raise ValueError("size must be greater than overlap")
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, c) for k, t in zip(batch["k"], batch["t"]) for i, c in enumerate(chunk_text(t, size, lap, separator), 1)]
-            yield pd.DataFrame(rows, columns=["k", "number", "chunk"])
+    def split(text: str | None) -> list[tuple[int, str]]:
+        return list(enumerate(chunk_text(text, size, lap, separator), 1))
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(split, f"k {docs.schema[key].dataType.simpleString()}, number int, chunk string").withColumnRenamed("k", key)
+    split_all = few_at_once(split, [("number", pa.int32()), ("chunk", pa.string())])
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(split_all, f"k {docs.schema[key].dataType.simpleString()}, number int, chunk string").withColumnRenamed("k", key)
 
 
 def split_sections(text: Column, most: int) -> Column:
@@ -409,13 +441,12 @@ def diff_pairs(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     before Python sees them.
     """
 
-    def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, part, text) for k, a, b in zip(batch["k"], batch["a"], batch["b"]) for i, (part, text) in enumerate(diff_runs(clauses(a), clauses(b)))]
-            yield pd.DataFrame(rows, columns=["k", "seq", "part", "text"])
+    def diff(a: str | None, b: str | None) -> list[tuple[int, str, str]]:
+        return [(i, part, text) for i, (part, text) in enumerate(diff_runs(clauses(a), clauses(b)))]
 
+    diff_all = few_at_once(diff, [("seq", pa.int32()), ("part", pa.string()), ("text", pa.string())])
     differing = pairs.where(~F.col(old).eqNullSafe(F.col(new))).select(F.col(key).alias("k"), F.col(old).alias("a"), F.col(new).alias("b"))
-    return differing.mapInPandas(diff, f"k {pairs.schema[key].dataType.simpleString()}, seq int, part string, text string").withColumnRenamed("k", key)
+    return differing.mapInArrow(diff_all, f"k {pairs.schema[key].dataType.simpleString()}, seq int, part string, text string").withColumnRenamed("k", key)
 
 
 def group_changes(parts: DataFrame, key: str) -> DataFrame:
