@@ -136,8 +136,9 @@ def best_by_score(queries: DataFrame, emb: DataFrame, k: int, key: str = "vec_id
     odd_queries = q.where(odd_query).count()
     blocks, parts = (max(1, -(-n // most)) for n, most in zip((asked, held), SIDE_BLOCKS))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.where(~odd_row).drop("v_size").withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(parts)), "qb": numbers(blocks)})
-    right = q.where(~odd_query).drop("q_size").withColumns({"qb": F.pmod(F.xxhash64("query"), F.lit(blocks)), "rb": numbers(parts)})
+    # ints on both sides: equal numbers of different types are hashed to different partitions
+    left = rows.where(~odd_row).drop("v_size").withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "qb": numbers(blocks)})
+    right = q.where(~odd_query).drop("q_size").withColumns({"qb": F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"), "rb": numbers(parts)})
     named = lambda df, c: df.schema[c].dataType.simpleString()
     kind = ", ".join([f"query {named(q, 'query')}, id {named(rows, 'id')}, score double, tier int", *(f"`{c}` {named(rows, c)}" for c in carry)])
     found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(lambda a, b: _best_of_blocks(a, b, k, weight, list(carry)), kind)

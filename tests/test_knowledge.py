@@ -68,6 +68,16 @@ def test_scores_are_rounded_as_they_are_stored(spark, category):
     assert {r["vec_id"]: r["score"] for r in K.knowledge_scores(asked, known, "document_id", "vec_id").collect()} == expected
 
 
+def test_every_block_meets_its_partner_in_partitions_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(V, "SIDE_BLOCKS", (9, 30))
+    emb = spark.createDataFrame([(k, [float(k % 11), 1.0]) for k in range(90)], "vec_id long, embedding array<float>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert V.vector_topk(emb.where("vec_id % 5 = 0"), emb, 89).count() == 18 * 89
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_best_rows_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(V, "SIDE_BLOCKS", (7, 40))
     monkeypatch.setattr(V, "PRODUCTS", 200)
