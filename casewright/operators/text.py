@@ -222,9 +222,14 @@ def split_sections(text: Column, most: int) -> Column:
     return F.aggregate(F.split(text, r"\n\s*\n"), start, add, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.array_append(s["done"], s["now"])))
 
 
+def split_tokens(text: Column) -> Column:
+    """Lower-case words of letters and digits; the first or last of them may be empty."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(split_tokens(text), lambda w: w != "")
 
 
 def searchable(docs: DataFrame, columns: list[str], text: str, most: int = 2000) -> Column:

@@ -81,3 +81,18 @@ def test_runs_and_ranks(spark):
     assert got[1] == [("a", 1), ("b", 2)] and got[2] == [] and got[3] is None and got[4] == [("x", 1)]
     docs = spark.createDataFrame(DOCS, "id long, text string")
     assert sorted((r["id"], round(r["rank"], 9)) for r in text_rank(docs, "id", F.col("text"), ["derecho", "peticiones"]).collect()) == [(i, r) for _, i, r in by_scan(DOCS, [(0, "derecho peticiones")], False)]
+
+
+def test_queries_of_equal_terms_meet_each_block_of_postings_once(spark, monkeypatch):
+    """What Python works on follows documents and distinct sets of terms, not documents times queries."""
+    monkeypatch.setattr(S, "POSTINGS", 3)
+    monkeypatch.setattr(S, "SETS", 2)
+    queries = [(k, QUERIES[k % 7][1]) for k in range(70)]
+    docs, folder = spark.createDataFrame(DOCS[:-1], "id long, text string"), scratch_folder(spark)
+    lists = S.postings(docs.coalesce(1), "id", F.col("text"))
+    assert lists.count() < lists.select(F.explode("postings")).count()
+    S.write_index(docs, folder, "id", F.col("text"))
+    got = S.search_index(spark, folder, spark.createDataFrame(queries, "q long, asked string"), "id", "q", F.col("asked"))
+    assert sorted((r["query"], r["id"], round(r["rank"], 9)) for r in got.collect()) == by_scan(DOCS[:-1], queries, True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "HashAggregate(keys=[query" not in plan
