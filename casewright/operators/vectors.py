@@ -91,16 +91,22 @@ def _best_of_blocks(rows: pa.Table, queries: pa.Table, k: int, weight: float | N
     v, q, vn, qn = matrix(rows.column("v")), matrix(queries.column("q")), rows.column("v_norm").to_numpy(), queries.column("q_norm").to_numpy()
     key, own, tiers = ids.to_numpy(), asked.to_numpy(), rows.column("tier").to_numpy()
     add, more, place_of = rows.column("add").to_numpy(), rows.column("more").to_numpy(), np.unique(key, return_inverse=True)[1]
+    added, places = add + more, {t: np.flatnonzero(tiers == t) for t in np.unique(tiers)}
+    # directions have length 1, so 32 bits are exact enough to choose by while what is added is small
+    narrow = np.float32 if weight is None or np.abs(added).max() < 100 else np.float64
+    to, ways = (q / qn[:, None]).astype(narrow), {t: (v[of] / vn[of, None]).astype(narrow).T for t, of in places.items()}
     out, step = [], max(1, PRODUCTS // len(ids))
     for s in range(0, len(asked), step):
-        near = (q[s : s + step] @ v.T) / (qn[s : s + step, None] * vn)
-        near = near if weight is None else weight * near + (add + more)
-        near[own[s : s + step, None] == key] = -np.inf
-        for tier in np.unique(tiers):
-            of = np.flatnonzero(tiers == tier)
-            part = near[:, of]
+        for tier, of in places.items():
+            part = to[s : s + step] @ ways[tier]
+            if weight is not None:
+                part *= narrow(weight)
+                part += added[of].astype(narrow)
+            own_at = np.nonzero(own[s : s + step, None] == key[of])
+            part[own_at] = -np.inf
             at = max(0, len(of) - k)
-            who, what = np.nonzero((part >= np.partition(part, at, axis=1)[:, at][:, None] - APART) & np.isfinite(part))
+            floor = np.partition(part, at, axis=1)[:, at] - narrow(APART)
+            who, what = np.nonzero(part >= np.maximum(floor, np.finfo(narrow).min)[:, None])
             who, what, exact = who + s, of[what], np.zeros(len(who))
             for d in range(v.shape[1]):
                 exact += q[who, d] * v[what, d]
