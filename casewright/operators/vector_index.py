@@ -20,7 +20,7 @@ from casewright.sources.store import scratch_folder, stored
 
 #: Rows that the centroids are fitted on and rows that the number of visited lists is measured with, at most.
 SAMPLE, MEASURED = 20_000, 64
-#: Rows of a slice: a larger list is split, so that no task has to hold a whole one.
+#: Rows of a slice: a larger list is split, so that no task has to hold a whole one. Smaller ones are searched together up to it.
 SLICE_ROWS = 50_000
 #: Lists at most; their centroids are sent to every task.
 MOST_LISTS = 4096
@@ -46,7 +46,8 @@ def _nearest(rows: DataFrame, centroids: np.ndarray, n: int, vector: str) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             near = _matrix(batch[vector]) @ centroids.T if len(batch) else np.zeros((0, len(centroids)))
-            yield batch.assign(lists=list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)))
+            best = near.argmax(axis=1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
+            yield batch.assign(lists=list(best.astype(np.int32)))
 
     return rows.mapInPandas(run, kind)
 
@@ -95,49 +96,100 @@ def build_index(emb: DataFrame, folder: str, key: str = "vec_id", vector: str =
                 visits = r["place"] + 1
                 break
     rows = [(i, [float(x) for x in c], visits) for i, c in enumerate(centroids)]
-    spark.createDataFrame(rows, "list int, centroid array<float>, visits int").join(sizes.select("list", "slices"), "list", "left").coalesce(1).write.parquet(f"{folder}/lists")
+    spark.createDataFrame(rows, "list int, centroid array<float>, visits int").join(sizes.select("list", "slices", "count"), "list", "left").coalesce(1).write.parquet(f"{folder}/lists")
 
 
 def _best(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k nearest rows of a slice for each query, in steps of some thousand rows."""
+    """The k nearest rows for each query among the lists that it visits here, list by list in steps of some queries."""
     kind = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("near", pa.float32())])
-    ids, asked = rows.column("id").to_numpy(), queries.column("query").to_numpy()
-    if not len(ids) or not len(asked):
+    if not rows.num_rows or not queries.num_rows:
         return kind.empty_table()
     width = len(rows.column("unit")[0])
     flat = lambda c: c.combine_chunks().flatten().to_numpy().reshape(-1, width)
-    vectors, wanted, out = flat(rows.column("unit")), flat(queries.column("unit")), []
-    for s in range(0, len(asked), 512):
-        near = wanted[s : s + 512] @ vectors.T
-        near[asked[s : s + 512, None] == ids] = -np.inf
-        # equal similarities beyond the k-th stay, as ids decide between them later
-        floor = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
-        who, what = np.nonzero((near >= floor[:, None] - 1e-5) & np.isfinite(near))
-        out.append(pa.table([asked[s : s + 512][who], ids[what], near[who, what]], schema=kind))
-    return pa.concat_tables(out)
+    by = np.argsort(rows.column("list").to_numpy(), kind="stable")
+    lists, ids, vectors = rows.column("list").to_numpy()[by], rows.column("id").to_numpy()[by], flat(rows.column("unit"))[by]
+    asked, wanted, visited = queries.column("query").to_numpy(), flat(queries.column("unit")), queries.column("lists").combine_chunks()
+    owner, goal = np.repeat(np.arange(len(asked)), visited.value_lengths().to_numpy()), visited.flatten().to_numpy()
+    found = []
+    for one in np.unique(lists):
+        start, end = np.searchsorted(lists, [one, one + 1])
+        of = owner[goal == one]
+        for s in range(0, len(of), 512):
+            who = of[s : s + 512]
+            near = wanted[who] @ vectors[start:end].T
+            near[asked[who, None] == ids[start:end]] = -np.inf
+            at, what = np.nonzero(_among_best(near, k))
+            found.append((who[at], start + what, near[at, what]))
+    if not found:
+        return kind.empty_table()
+    who, what, near = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((-near, who))
+    who, what, near = who[order], what[order], near[order]
+    first = np.searchsorted(who, who)
+    last = np.minimum(first + k, np.searchsorted(who, who, "right")) - 1
+    kept = near >= near[last] - 1e-5
+    return pa.table([asked[who[kept]], ids[what[kept]], near[kept]], schema=kind)
+
+
+def _among_best(near: np.ndarray, k: int) -> np.ndarray:
+    """Which of each row are among the k greatest; equal ones beyond the k-th stay, as ids decide between them later."""
+    at = max(0, near.shape[1] - k)
+    return (near >= np.partition(near, at, axis=1)[:, at][:, None] - 1e-5) & np.isfinite(near)
+
+
+def _bins(lists: list) -> list[tuple[int, int, int]]:
+    """(list, slice, bin): slices of lists, one after another, in bins of about `SLICE_ROWS` rows."""
+    out, now, held = [], 0, 0
+    for r in lists:
+        for s in range(r["slices"] or 0):
+            rows = -(-r["count"] // r["slices"])
+            if held and held + rows > SLICE_ROWS:
+                now, held = now + 1, 0
+            out.append((r["list"], s, now))
+            held += rows
+    return out
+
+
+def _dealt(queries: DataFrame, centroids: np.ndarray, visits: int, bins: list[tuple[int, int, int]]) -> DataFrame:
+    """(query, unit, bin, lists): each query once for each bin that has some of the lists it visits."""
+    place = np.array([(r[0], r[2]) for r in bins], np.int64).reshape(-1, 2)
+    of_bin = {int(b): np.unique(place[place[:, 1] == b, 0]) for b in np.unique(place[:, 1])}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            near = _matrix(batch["unit"]) @ centroids.T
+            visited = np.zeros(near.shape, bool)
+            np.put_along_axis(visited, np.argsort(-near, axis=1, kind="stable")[:, :visits], True, axis=1)
+            for number, lists in of_bin.items():
+                some = visited[:, lists].any(axis=1)
+                told = [lists[v].astype(np.int32) for v in visited[some][:, lists]]
+                yield batch[some].assign(bin=np.int32(number), lists=told)
+
+    return queries.mapInPandas(run, "query long, unit array<float>, bin int, lists array<int>")
 
 
 def search_index(spark: SparkSession, folder: str, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", visits: int | None = None) -> DataFrame:
     """(query, id, similarity, rank) of the k nearest rows of the visited lists, without the query itself.
 
-    Queries go to the slices of their lists in one shuffle, `QUERY_BLOCK` to a task at most; a slice is read once for
-    each block that asks for it. Queries without a direction find nothing. `visits` overrides the measured number.
+    Lists lie in bins of about `SLICE_ROWS` rows. A query goes once to each bin that has lists of its, `QUERY_BLOCK` to a
+    task at most; a bin is read once for each block that asks for it. Queries without a direction find nothing. `visits`
+    overrides the measured number.
     """
     lists = spark.read.parquet(f"{folder}/lists").orderBy("list").collect()  # MOST_LISTS rows at most
     asked = queries.select(F.col(key).cast("long").alias("query"), _unit(vector).alias("unit")).where("query is not null and unit is not null")
     out = "query long, id long, near float"
-    if not lists:
+    bins = _bins(lists)
+    if not bins:
         return spark.createDataFrame([], f"query long, `{key}` long, similarity double, rank int")
     centroids = _matrix([r["centroid"] for r in lists])
-    slices = spark.createDataFrame([(r["list"], r["slices"] or 0) for r in lists], "list int, slices int")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    sent = _nearest(asked, centroids, min(visits or lists[0]["visits"], len(lists)), "unit").withColumn("list", F.explode("lists")).drop("lists").join(F.broadcast(slices), "list")
-    sent = sent.where("slices > 0").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).drop("slices")
-    sent = stored(sent)
-    places = sent.select(F.col("list").alias("in_list"), F.col("slice").alias("in_slice"), F.col("block").alias("for_block")).distinct()
+    sent = stored(_dealt(asked, centroids, min(visits or lists[0]["visits"], len(lists)), bins).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")))
+    places = spark.createDataFrame(bins, "list int, slice int, bin int").join(sent.select("bin", "block").distinct(), "bin").select(F.col("list").alias("in_list"), F.col("slice").alias("in_slice"), F.col("bin").alias("of_bin"), F.col("block").alias("for_block"))
     rows = spark.read.parquet(f"{folder}/rows").join(F.broadcast(places) if places.limit(100_001).count() <= 100_000 else places, (F.col("list") == F.col("in_list")) & (F.col("slice") == F.col("in_slice")))
-    rows = rows.select("list", "slice", F.col("for_block").alias("block"), "id", "unit")
-    by = ["list", "slice", "block"]
+    rows = rows.select("list", F.col("of_bin").alias("bin"), F.col("for_block").alias("block"), "id", "unit")
+    by = ["bin", "block"]
     found = rows.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(lambda a, b: _best(a, b, k), out)
     rounded = found.select("query", F.col("id").alias(key), F.round(F.col("near").cast("double"), 4).alias("similarity"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))

@@ -54,3 +54,14 @@ def test_odd_rows(spark):
     assert I.search_index(spark, I.scratch_index(none), emb, 5).count() == 0 == I.search_index(spark, I.scratch_index(emb), none, 5).count()
     one = emb.where("vec_id = 1")
     assert pairs(I.search_index(spark, I.scratch_index(one), emb.where("vec_id = 4"), 3)) == [(4, 1, 1, 0.995)]
+
+
+def test_a_query_goes_once_to_each_bin_however_many_lists_it_visits(spark, monkeypatch):
+    monkeypatch.setattr(I, "SLICE_ROWS", 100)
+    lists = [{"list": k, "slices": 3 if k == 4 else 1, "count": 250 if k == 4 else 20} for k in range(12)] + [{"list": 12, "slices": None, "count": None}]
+    bins = I._bins(lists)
+    assert sorted({b[:2] for b in bins}) == sorted([(k, 0) for k in range(12)] + [(4, 1), (4, 2)]) and max(b[2] for b in bins) < 6
+    emb = clustered(spark, 300).withColumnsRenamed({"vec_id": "query", "embedding": "unit"})
+    sent = I._dealt(emb, np.random.default_rng(1).normal(0, 1, (13, 16)).astype(np.float32), 13, bins).collect()
+    assert len(sent) == 300 * len({b[2] for b in bins})
+    assert {(r["bin"], k) for r in sent for k in r["lists"]} == {(b, k) for k, _, b in bins}
