@@ -64,11 +64,16 @@ def _pieces(rows: pa.Table):
         yield start, len(sizes)
 
 
+def cuts(hashes: np.ndarray, buckets: int) -> list[int]:
+    """Where the ranges of the buckets start and end in the ascending hashes."""
+    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+    return [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
+
+
 def by_bucket(chunk: int, hashes: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.Table:
     """Rows (bucket, chunk, hashes, ...) of packed arrays; `hashes` ascend."""
-    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
-    cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
-    spans = [(k, s, e) for k, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+    ends = cuts(hashes, buckets)
+    spans = [(k, s, e) for k, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
     out = {"bucket": pa.array([k for k, _, _ in spans], pa.int64()), "chunk": pa.array([chunk] * len(spans), pa.int64())}
     for name, values in {"hashes": hashes, **columns}.items():
         out[name] = pa.array([values[s:e].tobytes() for _, s, e in spans], pa.binary())

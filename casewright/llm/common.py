@@ -99,6 +99,24 @@ def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return run
 
 
+def groups(batches, keys: list[str]):
+    """The rows of each group as one table; rows of a group come one after another."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            if (now := tuple(key[:, s])) != last:
+                if held:
+                    yield last, pa.Table.from_batches(held)
+                held, last = [], now
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether df has at most `limit` rows; counts no further than that."""
     return df.limit(limit + 1).count() <= limit

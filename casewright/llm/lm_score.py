@@ -1,11 +1,12 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus, computed relationally.
 
-1. Documents explode into n-grams of all orders up to `order`, as rows (hash, chunk, n): a chunk is some MB of
-   documents, and its n-grams are counted before they are shuffled, so that a word that every document has gives one
-   row a chunk.
-2. The rows are partitioned by hash. Their sums by hash are the count tables; the exploded n-grams are joined to
-   them in the same partitioning.
-3. The counts that come from other chunks go back to the chunk, whose places are scored and summed per document.
+1. Documents are dealt to chunks of some MB. A chunk asks how often other chunks have its n-grams, each distinct one
+   once, so that a word that every document has gives one row a chunk. Words and pairs are asked first, then one order
+   a round: an n-gram can stand in another chunk only where both its (n - 1)-grams do, so others are not asked.
+2. The questions travel as arrays by ranges of hashes and explode there into rows (hash, chunk, n). The sums by hash
+   are the count table, which the rows meet in the same partitioning.
+3. The counts of other chunks go back to the chunk in the order of its questions, without hashes. Its places are
+   scored and summed per document.
 
 A document's own n-grams don't count for it: counts are those of all other documents, so the score tells how well
 the rest of the corpus predicts the text.
@@ -19,13 +20,17 @@ other; an empty table gives an empty result; other columns of the input are igno
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.chunks import Words, in_chunks
-from casewright.llm.common import ngram_hashes
+from casewright.llm.chunks import Words, cuts, in_chunks
+from casewright.llm.common import groups, ngram_hashes, tidy
 
 ORDER, BACKOFF = 3, 0.4
 #: Smaller than the usual chunk: a task holds several arrays as long as the chunk has words.
@@ -39,12 +44,93 @@ def _grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
-def _explode(rows: pa.Table, order: int) -> pa.Table:
-    """The distinct n-grams of a chunk and their counts in it."""
+def _rounds(order: int) -> list[range]:
+    """The orders that are asked together."""
+    return [range(1, min(order, 2) + 1), *(range(n, n + 1) for n in range(3, order + 1))]
+
+
+class _Round:
+    """The n-grams of a chunk of a round's orders: distinct ones, their counts, and which of them other chunks may have.
+
+    `met` tells of each place whether other chunks have the (n - 1)-gram that starts there.
+    """
+
+    def __init__(self, words: Words, orders: range, met: np.ndarray):
+        found = [_grams(words, n) for n in orders]
+        self.size = len(words.hashes)
+        self.distinct, where, self.counts = np.unique(np.concatenate([h for _, h in found]), return_inverse=True, return_counts=True)
+        self.at = [at for at, _ in found]
+        self.where = np.split(where, np.cumsum([len(at) for at in self.at])[:-1])
+        asked = np.full(len(self.distinct), orders.start == 1)
+        if orders.start > 1:
+            asked[where[met[self.at[0]] & met[self.at[0] + 1]]] = True
+        self.asked = np.flatnonzero(asked)
+
+    def learn(self, others: np.ndarray) -> np.ndarray:
+        """Adds the counts of other chunks; returns `met` for the next round."""
+        self.counts[self.asked] += others
+        shared = np.zeros(len(self.distinct), bool)
+        shared[self.asked] = others > 0
+        met = np.zeros(self.size, bool)
+        met[self.at[-1]] = shared[self.where[-1]]
+        return met
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit integers, the lowest bytes of all first: most are small, and the zeros lie together."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel() for x in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _learnt(words: Words, told: pa.Table, rounds: list[range]) -> tuple[list[_Round], np.ndarray]:
+    """The rounds with the counts of all chunks, and `met` for the next one."""
+    met, out = np.zeros(0, bool), []
+    for k, orders in enumerate(rounds):
+        out.append(_Round(words, orders, met))
+        met = out[-1].learn(_from_planes(told.filter(pc.equal(told.column("round"), k)).sort_by("bucket").column("others")))
+    return out, met
+
+
+def _ask(rows: pa.Table, told: pa.Table | None, rounds: list[range], buckets: int) -> pa.Table:
+    """The questions of a chunk's last round, a row for each range of hashes.
+
+    A hash has three parts: of ascending hashes, the first parts are nearly the same, so that they take little space.
+    """
     words = Words(rows, lower=True)
-    distinct, counts = np.unique(np.concatenate([_grams(words, n)[1] for n in range(1, order + 1)]), return_counts=True)
-    chunk = np.full(len(distinct), rows.column("chunk")[0].as_py())
-    return pa.table([pa.array(distinct.view(np.int64)), pa.array(chunk), pa.array(counts.astype(np.int32))], names=["hash", "chunk", "n"])
+    now = _Round(words, rounds[-1], _learnt(words, told, rounds[:-1])[1])
+    hashes, counts = now.distinct[now.asked], now.counts[now.asked]
+    # with the sign bit turned, signed order is that of the hashes
+    parts = (hashes ^ np.uint64(1 << 63)).astype("<u8").view("<i2").reshape(-1, 4)
+    columns = {"top": parts[:, 3], "mid": parts[:, 2], "low": hashes.astype(np.uint32).view(np.int32), "few": (counts & 127).astype(np.int8), "more": (counts >> 7).astype(np.int32)}
+    ends = pa.array(cuts(hashes, buckets), pa.int32())
+    lists = {name: pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x))) for name, x in columns.items()}
+    chunk = pa.array(np.full(buckets, rows.column("chunk")[0].as_py()))
+    return pa.table({"bucket": pa.array(np.arange(buckets)), "chunk": chunk, **lists}).filter(pc.greater(pc.list_value_length(lists["low"]), 0))
+
+
+def _tell(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """What a bucket, its rows by hash, answers to each chunk in round k."""
+    for (bucket,), rows in groups(batches, ["bucket"]):
+        chunk, others = rows.column("chunk").to_numpy(), rows.column("others").to_numpy()
+        by = np.argsort(chunk, kind="stable")
+        of, firsts = np.unique(chunk[by], return_index=True)
+        packed = [_planes(x) for x in np.split(others[by], firsts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.full(len(of), k, np.int32)), pa.array(np.full(len(of), bucket)), pa.array(packed, pa.binary())], ["chunk", "round", "bucket", "others"])
+
+
+def _answers(asked: DataFrame, k: int, partitions: int) -> DataFrame:
+    """(chunk, round, bucket, others) for the questions that all chunks ask in round k: how often other chunks have each n-gram."""
+    rows = asked.repartition(partitions, "bucket").select("bucket", "chunk", F.inline(F.arrays_zip("top", "mid", "low", "few", "more")))
+    part = lambda name, bits, at: F.shiftleft(F.col(name).cast("long").bitwiseAND((1 << bits) - 1), at)
+    hashed = part("top", 16, 48).bitwiseOR(part("mid", 16, 32)).bitwiseOR(part("low", 32, 0))
+    rows = rows.select("bucket", "chunk", hashed.alias("hash"), (F.col("few") + F.shiftleft(F.col("more").cast("long"), 7)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("hash", "bucket"))
+    told = rows.select("bucket", "chunk", "hash", (total - F.col("n")).alias("others"))
+    return told.sortWithinPartitions("hash", "bucket").select("bucket", "chunk", "others").mapInArrow(tidy(partial(_tell, k=k)), "chunk long, round int, bucket long, others binary")
 
 
 def _own(words: Words, at: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -55,20 +141,16 @@ def _own(words: Words, at: np.ndarray, where: np.ndarray) -> np.ndarray:
 
 
 def _score(rows: pa.Table, told: pa.Table, order: int, corpus: int) -> pa.Table:
-    """Sums of log S over the rows of a chunk; `told` has the counts of its n-grams in other chunks, where there are any."""
+    """Sums of log S over the rows of a chunk; `told` has the answers to its questions."""
     if not rows.num_rows:
         return pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())]).empty_table()
     words = Words(rows, lower=True)
     n_words = words.counts
-    found = [_grams(words, n) for n in range(1, order + 1)]
-    distinct, total = np.unique(np.concatenate([h for _, h in found]), return_counts=True)
-    elsewhere = told.column("hash").to_numpy().view(np.uint64)
-    total[np.searchsorted(distinct, elsewhere)] += told.column("others").to_numpy()
     others = corpus - n_words[words.row]  # words of all other rows
     score = np.log(BACKOFF ** (order - 1) / np.maximum(others, 1.0))
     context = others.astype(np.float64)
-    for n, (at, hashes) in enumerate(found, 1):
-        where = np.searchsorted(distinct, hashes)
+    found = [(at, where, x.counts) for x in _learnt(words, told, _rounds(order))[0] for at, where in zip(x.at, x.where)]
+    for n, (at, where, total) in enumerate(found, 1):
         count = total[where] - _own(words, at, where)
         last = at + n - 1  # a place's score belongs to the n-gram's last word
         used = count > 0
@@ -85,17 +167,22 @@ def _score(rows: pa.Table, told: pa.Table, order: int, corpus: int) -> pa.Table:
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id, n_words, log_score (sum of log S over the words) and mean_log_score of each row."""
-    chunked, _ = in_chunks(docs, id_col, text_col, CHUNK_BYTES)
+    chunked, n = in_chunks(docs, id_col, text_col, CHUNK_BYTES)
+    by_chunk = chunked.repartition(n, "chunk").groupBy("chunk")
     corpus = docs.agg(F.sum(F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")))).first()[0] or 0
 
-    def explode(rows: pa.Table) -> pa.Table:
-        return _explode(rows, order)
+    def asked(told: DataFrame | None, rounds: list[range]) -> DataFrame:
+        schema = "bucket long, chunk long, top array<short>, mid array<short>, low array<int>, few array<tinyint>, more array<int>"
+        if told is None:
+            return by_chunk.applyInArrow(lambda rows: _ask(rows, None, rounds, 2 * n), schema)
+        return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(lambda key, rows, told: _ask(rows, told, rounds, 2 * n), schema)
 
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
         return _score(rows, told, order, corpus)
 
-    exploded = chunked.groupBy("chunk").applyInArrow(explode, "hash long, chunk long, n int").repartition("hash")
-    counts = exploded.groupBy("hash").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("chunks")).where("chunks > 1")
-    told = exploded.join(counts, "hash").select("chunk", "hash", (F.col("total") - F.col("n")).alias("others"))
-    scored = chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "id long, n_words long, log_score double")
+    rounds, told = _rounds(order), None
+    for k in range(len(rounds)):
+        answers = _answers(asked(told, rounds[: k + 1]), k, n).repartition(n, "chunk")
+        told = told.unionByName(answers) if told is not None else answers
+    scored = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(score, "id long, n_words long, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.columns import unused
-from casewright.llm.common import bounded_batches, bounded_join, constants, join_hot, materialise, mix, ngram_hashes, pieces, scratch, split_words, tidy, utf8, word_hashes
+from casewright.llm.common import bounded_batches, bounded_join, constants, groups, join_hot, materialise, mix, ngram_hashes, pieces, scratch, split_words, tidy, utf8, word_hashes
 from casewright.llm.components import connected_components, merge_components
 
 BANDS, ROWS = 32, 4
@@ -161,24 +161,6 @@ def _long_signatures(batches, minima: int):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_shingles"), batch.column("bands"), pa.array(out, pa.binary())], ["id", "n_shingles", "bands", "long"])
 
 
-def _groups(batches, keys: list[str]):
-    """The rows of each group as one table; rows of a group come one after another."""
-    held, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(c).to_numpy() for c in keys])
-        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), batch.num_rows]
-        for s, e in zip(cuts, cuts[1:]):
-            if (now := tuple(key[:, s])) != last:
-                if held:
-                    yield last, pa.Table.from_batches(held)
-                held, last = [], now
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield last, pa.Table.from_batches(held)
-
-
 def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1 if len(column) else 1)
 
@@ -188,7 +170,7 @@ def _medoid_pairs(batches):
 
     The medoid is the row that agrees best with the most common value of each signature byte.
     """
-    for _, rows in _groups(batches, ["band", "own"]):
+    for _, rows in groups(batches, ["band", "own"]):
         ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
         if len(ids) < 2 or (labels == labels[0]).all():
             continue
@@ -221,7 +203,7 @@ def medoid_pairs(members: DataFrame, threshold: float, minima: int, block: int =
 
 def _block_pairs(batches, least: int, threshold: float):
     """Pairs of a block with other labels and agreeing long signatures, where the band is the first they share."""
-    for (band, _, _), rows in _groups(batches, ["band", "i", "j"]):
+    for (band, _, _), rows in groups(batches, ["band", "i", "j"]):
         ids, labels, sizes = (rows.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
         sig, bands = _matrix(rows.column("long")), np.stack([np.asarray(x) for x in rows.column("bands").to_pylist()])
         us, vs = [], []

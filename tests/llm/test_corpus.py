@@ -204,6 +204,35 @@ def test_lm_query_is_brute_force(spark, tmp_path):
         assert all(near(r["log_score"], want[r["doc_id"]]) for r in lm_score.lm_scores(docs, order=order).collect())
 
 
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    quantiles = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, quantiles, context._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_lm_score_shuffles_little(spark):
+    """Documents and n-grams together take less than 4 times the texts; with each n-gram as a row it was 9 times."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = shuffled(spark)
+    lm_score.lm_scores(docs).write.format("noop").mode("overwrite").save()
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert 0 < written < 4 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_lm_counts_beyond_a_byte_and_higher_orders(spark):
+    """Counts of 128 and more in one chunk, and orders that take several rounds, on enough copies for all chunks."""
+    near = lambda x, y: x is y if x is None or y is None else abs(x - y) <= 1e-7 * max(1, abs(y))
+    texts = dict(enumerate(["a " * 127, "a " * 128 + "b", "b a " * 300, "x a b", None, "", *(f"a b c d e {k % 5} f g h {k}" for k in range(40)), *["a b c d e"] * 5]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for order in (1, 3, 5):
+        want = backoff_scores(texts, order)
+        got = {r["doc_id"]: r["log_score"] for r in lm_score.lm_scores(docs, order=order).collect()}
+        assert got.keys() == want.keys() and all(near(got[i], want[i]) for i in want)
+
+
 def test_language_id(spark):
     r = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert r.where("lang = lang_pred").count() >= 0.98 * r.count()
