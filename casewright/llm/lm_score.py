@@ -49,6 +49,16 @@ def _rounds(order: int) -> list[range]:
     return [range(1, min(order, 2) + 1), *(range(n, n + 1) for n in range(3, order + 1))]
 
 
+def _possible(at: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Of the places of n-grams, those where other chunks have both (n - 1)-grams."""
+    return met[at] & met[at + 1]
+
+
+def _with_empty(words: Words, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """With the empty n-gram, the context of single words, first: it has the hash 0 and stands before each word."""
+    return np.append(np.uint64(0), hashes), np.append(len(words.hashes), counts)
+
+
 class _Round:
     """The n-grams of a chunk of a round's orders: distinct ones, their counts, and which of them other chunks may have.
 
@@ -59,11 +69,13 @@ class _Round:
         found = [_grams(words, n) for n in orders]
         self.size = len(words.hashes)
         self.distinct, where, self.counts = np.unique(np.concatenate([h for _, h in found]), return_inverse=True, return_counts=True)
+        if orders.start == 1:
+            where, (self.distinct, self.counts) = where + 1, _with_empty(words, self.distinct, self.counts)
         self.at = [at for at, _ in found]
         self.where = np.split(where, np.cumsum([len(at) for at in self.at])[:-1])
         asked = np.full(len(self.distinct), orders.start == 1)
         if orders.start > 1:
-            asked[where[met[self.at[0]] & met[self.at[0] + 1]]] = True
+            asked[where[_possible(self.at[0], met)]] = True
         self.asked = np.flatnonzero(asked)
 
     def learn(self, others: np.ndarray) -> np.ndarray:
@@ -81,9 +93,15 @@ def _planes(values: np.ndarray) -> bytes:
     return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _from_planes(column: pa.ChunkedArray) -> np.ndarray:
-    parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel() for x in column.to_pylist()]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+def _others(told: pa.Table, k: int) -> np.ndarray:
+    """The answers to the questions of round k, one after another."""
+    rows = told.filter(pc.equal(told.column("round"), k)).sort_by("bucket").select(["n", "some", "others"]).to_pylist()
+    some = [np.unpackbits(np.frombuffer(r["some"], np.uint8), count=r["n"]) for r in rows]
+    found = [np.frombuffer(r["others"], np.uint8).reshape(8, -1).T.copy().view("<i8").ravel() for r in rows]
+    out = np.zeros(sum(map(len, some)), np.int64)
+    if len(out):
+        out[np.concatenate(some) > 0] = np.concatenate(found)
+    return out
 
 
 def _learnt(words: Words, told: pa.Table, rounds: list[range]) -> tuple[list[_Round], np.ndarray]:
@@ -91,7 +109,7 @@ def _learnt(words: Words, told: pa.Table, rounds: list[range]) -> tuple[list[_Ro
     met, out = np.zeros(0, bool), []
     for k, orders in enumerate(rounds):
         out.append(_Round(words, orders, met))
-        met = out[-1].learn(_from_planes(told.filter(pc.equal(told.column("round"), k)).sort_by("bucket").column("others")))
+        met = out[-1].learn(_others(told, k))
     return out, met
 
 
@@ -101,8 +119,13 @@ def _ask(rows: pa.Table, told: pa.Table | None, rounds: list[range], buckets: in
     A hash has three parts: of ascending hashes, the first parts are nearly the same, so that they take little space.
     """
     words = Words(rows, lower=True)
-    now = _Round(words, rounds[-1], _learnt(words, told, rounds[:-1])[1])
-    hashes, counts = now.distinct[now.asked], now.counts[now.asked]
+    found = [_grams(words, n) for n in rounds[-1]]
+    if told is not None:
+        met = _learnt(words, told, rounds[:-1])[1]
+        found = [(at, hashes[_possible(at, met)]) for at, hashes in found]
+    hashes, counts = np.unique(np.concatenate([h for _, h in found]), return_counts=True)
+    if told is None:
+        hashes, counts = _with_empty(words, hashes, counts)
     # with the sign bit turned, signed order is that of the hashes
     parts = (hashes ^ np.uint64(1 << 63)).astype("<u8").view("<i2").reshape(-1, 4)
     columns = {"top": parts[:, 3], "mid": parts[:, 2], "low": hashes.astype(np.uint32).view(np.int32), "few": (counts & 127).astype(np.int8), "more": (counts >> 7).astype(np.int32)}
@@ -118,40 +141,51 @@ def _tell(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         chunk, others = rows.column("chunk").to_numpy(), rows.column("others").to_numpy()
         by = np.argsort(chunk, kind="stable")
         of, firsts = np.unique(chunk[by], return_index=True)
-        packed = [_planes(x) for x in np.split(others[by], firsts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.full(len(of), k, np.int32)), pa.array(np.full(len(of), bucket)), pa.array(packed, pa.binary())], ["chunk", "round", "bucket", "others"])
+        answers = np.split(others[by], firsts[1:])
+        some = pa.array([np.packbits(x > 0).tobytes() for x in answers], pa.binary())
+        packed = pa.array([_planes(x[x > 0]) for x in answers], pa.binary())
+        sizes = pa.array([len(x) for x in answers], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.full(len(of), k, np.int32)), pa.array(np.full(len(of), bucket)), sizes, some, packed], ["chunk", "round", "bucket", "n", "some", "others"])
 
 
 def _answers(asked: DataFrame, k: int, partitions: int) -> DataFrame:
-    """(chunk, round, bucket, others) for the questions that all chunks ask in round k: how often other chunks have each n-gram."""
-    rows = asked.repartition(partitions, "bucket").select("bucket", "chunk", F.inline(F.arrays_zip("top", "mid", "low", "few", "more")))
-    part = lambda name, bits, at: F.shiftleft(F.col(name).cast("long").bitwiseAND((1 << bits) - 1), at)
-    hashed = part("top", 16, 48).bitwiseOR(part("mid", 16, 32)).bitwiseOR(part("low", 32, 0))
-    rows = rows.select("bucket", "chunk", hashed.alias("hash"), (F.col("few") + F.shiftleft(F.col("more").cast("long"), 7)).alias("n"))
+    """(chunk, round, bucket, n, some, others) for the questions that all chunks ask in round k: how often other chunks have each n-gram.
+
+    Of n answers, the bits `some` tell which aren't 0.
+    """
+    rows = asked.repartition(partitions, "bucket").select("bucket", "chunk", "top", "mid", "few", "more", F.posexplode("low").alias("at", "low"))
+    part = lambda value, bits, at: F.shiftleft(value.cast("long").bitwiseAND((1 << bits) - 1), at)
+    top, mid, few, more = (F.get(name, "at") for name in ("top", "mid", "few", "more"))
+    hashed = part(top, 16, 48).bitwiseOR(part(mid, 16, 32)).bitwiseOR(part(F.col("low"), 32, 0))
+    rows = rows.select("bucket", "chunk", hashed.alias("hash"), (few + F.shiftleft(more.cast("long"), 7)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("hash", "bucket"))
     told = rows.select("bucket", "chunk", "hash", (total - F.col("n")).alias("others"))
-    return told.sortWithinPartitions("hash", "bucket").select("bucket", "chunk", "others").mapInArrow(tidy(partial(_tell, k=k)), "chunk long, round int, bucket long, others binary")
+    return told.sortWithinPartitions("hash", "bucket").select("bucket", "chunk", "others").mapInArrow(tidy(partial(_tell, k=k)), "chunk long, round int, bucket long, n long, some binary, others binary")
 
 
-def _own(words: Words, at: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """How often the n-gram at each place stands in the same row."""
-    key = words.row[at].astype(np.uint64) << np.uint64(32) | where.astype(np.uint64)
+def _own(words: Words, at: np.ndarray, where: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How often the n-gram at each place stands in the same row; `total` says how often all rows have it."""
+    own = np.ones(len(at), np.int64)
+    several = np.flatnonzero(total[where] > 1)
+    key = words.row[at[several]].astype(np.uint64) << np.uint64(32) | where[several].astype(np.uint64)
     _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
-    return counts[back]
+    own[several] = counts[back]
+    return own
 
 
-def _score(rows: pa.Table, told: pa.Table, order: int, corpus: int) -> pa.Table:
+def _score(rows: pa.Table, told: pa.Table, order: int) -> pa.Table:
     """Sums of log S over the rows of a chunk; `told` has the answers to its questions."""
     if not rows.num_rows:
         return pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())]).empty_table()
     words = Words(rows, lower=True)
     n_words = words.counts
-    others = corpus - n_words[words.row]  # words of all other rows
+    learnt, _ = _learnt(words, told, _rounds(order))
+    others = learnt[0].counts[0] - n_words[words.row]  # words of all other rows
     score = np.log(BACKOFF ** (order - 1) / np.maximum(others, 1.0))
     context = others.astype(np.float64)
-    found = [(at, where, x.counts) for x in _learnt(words, told, _rounds(order))[0] for at, where in zip(x.at, x.where)]
+    found = [(at, where, x.counts) for x in learnt for at, where in zip(x.at, x.where)]
     for n, (at, where, total) in enumerate(found, 1):
-        count = total[where] - _own(words, at, where)
+        count = total[where] - _own(words, at, where, total)
         last = at + n - 1  # a place's score belongs to the n-gram's last word
         used = count > 0
         before = context[at] if n > 1 else context[last]
@@ -169,7 +203,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     """id, n_words, log_score (sum of log S over the words) and mean_log_score of each row."""
     chunked, n = in_chunks(docs, id_col, text_col, CHUNK_BYTES)
     by_chunk = chunked.repartition(n, "chunk").groupBy("chunk")
-    corpus = docs.agg(F.sum(F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")))).first()[0] or 0
 
     def asked(told: DataFrame | None, rounds: list[range]) -> DataFrame:
         schema = "bucket long, chunk long, top array<short>, mid array<short>, low array<int>, few array<tinyint>, more array<int>"
@@ -178,7 +211,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(lambda key, rows, told: _ask(rows, told, rounds, 2 * n), schema)
 
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
-        return _score(rows, told, order, corpus)
+        return _score(rows, told, order)
 
     rounds, told = _rounds(order), None
     for k in range(len(rounds)):
