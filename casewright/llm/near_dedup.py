@@ -1,7 +1,8 @@
 """MinHash near-duplicates: universal hash minima, banding, signature check, confirmation on full sets, components.
 
 1. Each row gives the set of its distinct word shingles, `bands * rows` minima of universal hashes over the set, a
-   key per band and a short signature (one byte per minimum). Texts are read once; all later steps work on these.
+   key per band and a short signature (one byte per minimum). The input is read once; a set is not written but made
+   again, from a packed copy of its text, where a later step needs it.
 2. Rows with the same set form one class; only the first row of a class goes on.
 3. Star rounds: every class is compared with the first class that shares a band with it, then, where a band
    still holds several components, with the one nearest medoid of such bands. A round makes one pair a class.
@@ -11,7 +12,8 @@
    components.
 
 A band, hub or component that holds a large part of all rows is never gathered in one task: such keys are joined by
-a broadcast of a bounded number of keys, and a hub's set is copied to as many tasks as its pairs need.
+a broadcast of a bounded number of keys, and a hub's text is copied to as many tasks as its pairs need. Rows that a
+step needs are picked by a broadcast of one bit per row, so that the others' texts and signatures don't move.
 
 Edge cases: null or wordless texts have an empty set, n_shingles 0 and stand alone; a text with fewer words than
 a shingle has one shingle, its whole sequence; every row is reported, and rows with the same id are rows of their
@@ -22,23 +24,28 @@ columns of the input are ignored, or kept by `drop_near_copies`.
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.columns import unused
-from casewright.llm.common import bounded_batches, bounded_join, constants, groups, join_hot, materialise, mix, ngram_hashes, pieces, scratch, split_words, tidy, utf8, word_hashes
+from casewright.llm.common import PIECE_BYTES, bounded_batches, bounded_join, constants, groups, join_hot, materialise, mix, ngram_hashes, pieces, scratch, small_enough, split_words, tidy, utf8, word_hashes
 from casewright.llm.components import connected_components, merge_components
 
 BANDS, ROWS = 32, 4
 #: Members of a band that are compared in one block, and pairs of a hub that meet one copy of its set.
 BLOCK, HUB = 2048, 512
-#: Minima of the long signature, and the standard deviations below its expected agreement at which it rules a
-#: pair out: a linked pair is lost with a probability under 1e-6. The short signature takes SHORT_SIGMAS.
-LONG, SIGMAS, SHORT_SIGMAS = 1024, 5.0, 6.0
+#: Minima of the long signature, of each of which it has LONG_BITS bits, and the standard deviations below its expected
+#: agreement at which it rules a pair out: a linked pair is lost with a probability under 1e-6. The short signature has
+#: 8 bits of each minimum and takes SHORT_SIGMAS.
+LONG, LONG_BITS, SIGMAS, SHORT_SIGMAS = 2048, 2, 5.0, 6.0
+#: Pairs that are broadcast to the rows of one end.
+PAIRS = 500_000
 #: Star rounds about medoids at most; they go on while a round links this share of the documents it compares. They
 #: only save work; the comparison in blocks that follows is complete.
 MEDOID_ROUNDS, MEDOID_YIELD = 3, 0.05
@@ -62,6 +69,19 @@ def shingle_sets(piece: pa.RecordBatch, size: int) -> list[np.ndarray]:
     return [_shingles(words, ranges[i], ranges[i + 1], grams, size) for i in range(piece.num_rows)]
 
 
+def _unpacked(column: pa.Array, size: int):
+    """The shingle set of each packed text of a column, one piece of texts at a time."""
+    held, total = [], 0
+    for packed in column:
+        held.append(zlib.decompress(packed.as_py()))
+        total += len(held[-1])
+        if total >= PIECE_BYTES:
+            yield from shingle_sets(pa.record_batch([pa.array(held, pa.large_binary())], ["text"]), size)
+            held, total = [], 0
+    if held:
+        yield from shingle_sets(pa.record_batch([pa.array(held, pa.large_binary())], ["text"]), size)
+
+
 def _minima(found: np.ndarray, a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
     """The least value of each hash a * x + b over the upper halves of a set."""
     low = np.full(len(a), 0xFFFFFFFF, np.uint32)
@@ -80,37 +100,43 @@ def _byte(low: np.ndarray) -> bytes:
     return (low * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-_SIGNED = [("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())]
+def _quarters(low: np.ndarray) -> bytes:
+    """`LONG_BITS` bits of each minimum, four minima to a byte."""
+    parts = (low * np.uint32(0x85EBCA6B) >> np.uint32(32 - LONG_BITS)).astype(np.uint8).reshape(-1, 4)
+    return (parts << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+_SIGNED = [("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("packed", pa.binary())]
 
 
 def _signatures(batches, size: int, bands: int, rows: int):
     a, b = _hashes(bands * rows, (7, 8))
     c = constants(rows, 9)
     for piece in (p for batch in batches for p in pieces(batch, "text")):
-        sets = shingle_sets(piece, size)
+        data, ends = utf8(piece.column("text"))
         out = {name: [] for name, _ in _SIGNED}
-        for found in sets:
+        for found, start, end in zip(shingle_sets(piece, size), ends[:-1], ends[1:]):
             out["n_shingles"].append(len(found))
             out["set_a"].append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
             out["set_b"].append(int(mix(found * np.uint64(0xDA942042E4DD58B5)).sum(dtype=np.uint64).view(np.int64)))
             if not len(found):
                 out["bands"].append(None)
                 out["signature"].append(None)
+                out["packed"].append(None)
                 continue
             low = _minima(found, a, b, 2048)
             keys = mix((low.reshape(bands, rows).astype(np.uint64) * c).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             out["bands"].append(keys.view(np.int64))
             out["signature"].append(_byte(low))
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-        flat = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)))
-        columns = [piece.column("id"), piece.column("digest"), *(pa.array(out[name], kind) for name, kind in _SIGNED), flat]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "digest", *out, "shingles"])
+            out["packed"].append(zlib.compress(data[start:end], 1))
+        columns = [piece.column("id"), piece.column("digest"), *(pa.array(out[name], kind) for name, kind in _SIGNED)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "digest", *out])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, digest (a hash of the text), n_shingles, set_a and set_b (128 bits that name the set), bands, signature and shingles of each row."""
+    """id, digest (a hash of the text), n_shingles, set_a and set_b (128 bits that name the set), bands, signature and packed text of each row."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(tidy(partial(_signatures, size=size, bands=bands, rows=rows)), "id long, digest long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, shingles array<long>")
+    return narrow.mapInArrow(tidy(partial(_signatures, size=size, bands=bands, rows=rows)), "id long, digest long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, packed binary")
 
 
 def _hubs(pairs: DataFrame) -> DataFrame:
@@ -118,18 +144,27 @@ def _hubs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")).where("parts > 1")
 
 
-def _with_both(pairs: DataFrame, many: DataFrame, of: DataFrame, names: list[str], keep) -> DataFrame:
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id, a row number, is in ids (id): these are broadcast as bitmaps, one bit per row number."""
+    bits = ids.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    place = F.bitmap_bit_position("id")
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("bucket", F.bitmap_bucket_number("id")).join(F.broadcast(bits), "bucket")
+    return met.where(F.bit_get(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def _with_both(pairs: DataFrame, many: DataFrame, of: DataFrame, names: list[str]) -> DataFrame:
     """pairs (u, v) with the named columns of both ends in `of` (id, ...), as name_u and name_v.
 
-    The row of a node v in `many` is copied to several tasks, each with a part of the pairs.
+    The row of a node v in `many` is copied to several tasks, each with a part of the pairs. Up to `PAIRS` pairs are
+    broadcast, so that only the way to v takes u's columns through a shuffle.
     """
     parts = F.coalesce("parts", F.lit(1))
     dealt = bounded_join(pairs, many, "v", "left").withColumn("part", F.pmod(F.xxhash64("u"), parts).cast("int")).drop("parts")
-    wanted = keep(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
-    told = bounded_join(of.select("id", *names), wanted, "id", "left_semi")
-    end = lambda name: told.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in names))
+    dealt = F.broadcast(dealt) if small_enough(pairs, PAIRS) else dealt
+    end = lambda name: _among(of.select("id", *names), pairs.select(F.col(name).alias("id"))).select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in names))
     copied = bounded_join(end("v"), many, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return dealt.join(end("u"), "u").join(copied, ["v", "part"])
+    return end("u").join(dealt, "u").join(copied, ["v", "part"])
 
 
 def _agreeing(batches, least: int, threshold: float):
@@ -142,22 +177,31 @@ def _agreeing(batches, least: int, threshold: float):
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(near))
 
 
-def confirm(pairs: DataFrame, signed: DataFrame, threshold: float, minima: int, keep=materialise) -> DataFrame:
-    """The pairs (u, v) of ids in signed (id, n_shingles, signature, shingles) whose full sets reach the threshold."""
+def _linking(batches, size: int, percent: int):
+    """The pairs whose full sets are linked; rows of the same v come one after another, mostly, and share its set."""
+    for batch in batches:
+        v = batch.column("v").to_numpy()
+        fresh = np.concatenate([v[:1] == v[:1], v[1:] != v[:-1]])
+        others, linked = _unpacked(batch.column("packed_v").filter(pa.array(fresh)), size), []
+        for x, new in zip(_unpacked(batch.column("packed_u"), size), fresh):
+            y = next(others) if new else y
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            linked.append(100 * both >= percent * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(linked, pa.bool_()))
+
+
+def confirm(pairs: DataFrame, signed: DataFrame, size: int, threshold: float, minima: int, keep=materialise) -> DataFrame:
+    """The pairs (u, v) of ids in signed (id, n_shingles, signature, packed) whose full sets reach the threshold."""
     many = keep(_hubs(pairs))
-    told = _with_both(pairs, many, signed, ["n_shingles", "signature"], keep)
+    told = _with_both(pairs, many, signed, ["n_shingles", "signature"])
     near = keep(told.mapInArrow(tidy(partial(_agreeing, least=_least(threshold, minima, SHORT_SIGMAS), threshold=threshold)), "u long, v long"))
-    both = F.size(F.array_intersect("shingles_u", "shingles_v"))
-    union = F.size("shingles_u") + F.size("shingles_v") - both
-    return _with_both(near, many, signed, ["shingles"], keep).where(100 * both >= round(threshold * 100) * union).select("u", "v")
+    return _with_both(near, many, signed, ["packed"]).mapInArrow(tidy(partial(_linking, size=size, percent=round(threshold * 100))), "u long, v long")
 
 
-def _long_signatures(batches, minima: int):
+def _long_signatures(batches, size: int, minima: int):
     a, b = _hashes(minima, (17, 18))
     for batch in batches:
-        sets = batch.column("shingles")
-        values, ends = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
-        out = [_byte(_minima(values[s:e], a, b, 256)) for s, e in zip(ends[:-1], ends[1:])]
+        out = [_quarters(_minima(found, a, b, 256)) for found in _unpacked(batch.column("packed"), size)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_shingles"), batch.column("bands"), pa.array(out, pa.binary())], ["id", "n_shingles", "bands", "long"])
 
 
@@ -182,8 +226,8 @@ def _medoid_pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), ids[m])), pa.array((sig[at] == sig[m]).sum(axis=1))], ["id", "medoid", "agree"])
 
 
-def _least(threshold: float, minima: int, sigmas: float) -> int:
-    p = threshold + (1 - threshold) / 256
+def _least(threshold: float, minima: int, sigmas: float, bits: int = 8) -> int:
+    p = threshold + (1 - threshold) / 2**bits
     return int(np.floor(minima * p - sigmas * np.sqrt(minima * p * (1 - p))))
 
 
@@ -202,16 +246,22 @@ def medoid_pairs(members: DataFrame, threshold: float, minima: int, block: int =
 
 
 def _block_pairs(batches, least: int, threshold: float):
-    """Pairs of a block with other labels and agreeing long signatures, where the band is the first they share."""
-    for (band, _, _), rows in groups(batches, ["band", "i", "j"]):
+    """Pairs of a block with other labels and agreeing long signatures, where the band is the first they share.
+
+    All rows of a block have as many earlier bands, as a band's key tells its place, too.
+    """
+    for _, rows in groups(batches, ["band", "i", "j"]):
         ids, labels, sizes = (rows.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
-        sig, bands = _matrix(rows.column("long")), np.stack([np.asarray(x) for x in rows.column("bands").to_pylist()])
+        earlier = pc.list_flatten(rows.column("earlier")).to_numpy()
+        sig, earlier = _matrix(rows.column("long")).view(np.uint64), earlier.reshape(len(ids), len(earlier) // len(ids))
         us, vs = [], []
         for i in range(len(ids) - 1):
             near = (labels[i + 1 :] != labels[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= (threshold - 1e-9) * np.maximum(sizes[i + 1 :], sizes[i]))
             at = i + 1 + np.flatnonzero(near)
-            at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == band] if len(at) else at
-            at = at[(sig[at] == sig[i]).sum(axis=1) >= least] if len(at) else at
+            at = at[~(earlier[at] == earlier[i]).any(axis=1)]
+            other = sig[at] ^ sig[i]
+            other = np.bitwise_count((other | other >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+            at = at[32 * sig.shape[1] - other >= least]
             us.append(np.maximum(ids[at], ids[i]))
             vs.append(np.minimum(ids[at], ids[i]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us or [ids[:0]])), pa.array(np.concatenate(vs or [ids[:0]]))], ["u", "v"])
@@ -221,12 +271,12 @@ def crossing_pairs(members: DataFrame, threshold: float, minima: int, block: int
     """Pairs with different labels that share a band (band, id, label, n_shingles, bands, long) and may be linked.
 
     A band with over `block` members is dealt out to pairs of blocks, so that a task never holds more than two
-    blocks of it.
+    blocks of it. A row carries only those of its bands that come before the one it is dealt by.
     """
     rows = _blocks(members, block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "bands", "long")
+    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", F.expr("slice(bands, 1, int(array_position(bands, band)) - 1)").alias("earlier"), "long")
     dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    return dealt.mapInArrow(tidy(partial(_block_pairs, least=_least(threshold, minima, SIGMAS), threshold=threshold)), "u long, v long").distinct()
+    return dealt.mapInArrow(tidy(partial(_block_pairs, least=_least(threshold, minima, SIGMAS, LONG_BITS), threshold=threshold)), "u long, v long").distinct()
 
 
 def _crossing(members: DataFrame, labels: DataFrame, keep) -> DataFrame:
@@ -236,21 +286,21 @@ def _crossing(members: DataFrame, labels: DataFrame, keep) -> DataFrame:
     return keep(join_hot(labelled, several, ["band"], "n").select("band", "id", "label"))
 
 
-def _components(signed: DataFrame, classes: DataFrame, threshold: float, minima: int, keep) -> DataFrame:
+def _components(signed: DataFrame, classes: DataFrame, size: int, threshold: float, minima: int, keep) -> DataFrame:
     """(node, component) of the classes, as their first rows, that are linked with others."""
-    first = bounded_join(signed, classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    first = _among(signed, classes.select(F.col("rep").alias("id")))
     exploded = first.select(F.explode("bands").alias("band"), "id")
     shared = keep(exploded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("band", "low", "n"))
     members = keep(join_hot(exploded, shared, ["band"], "n").select("band", "id", "low"))
 
     tested = keep(members.where("id <> low").groupBy("id").agg(F.min("low").alias("v")).select(F.col("id").alias("u"), "v"))
-    links = keep(confirm(tested, signed, threshold, minima, keep))
+    links = keep(confirm(tested, signed, size, threshold, minima, keep))
     labels = keep(connected_components(links, keep=keep))
     left = _crossing(members.select("band", "id"), labels, keep)
     for _ in range(MEDOID_ROUNDS):
-        pairs = medoid_pairs(left.join(bounded_join(signed, left.select("id").distinct(), "id", "left_semi").select("id", "signature"), "id"), threshold, minima)
+        pairs = medoid_pairs(left.join(_among(signed.select("id", "signature"), left), "id"), threshold, minima)
         pairs = keep(pairs.join(tested, ["u", "v"], "left_anti"))
-        more = keep(confirm(pairs, signed, threshold, minima, keep))
+        more = keep(confirm(pairs, signed, size, threshold, minima, keep))
         tested, linked = tested.unionByName(pairs), more.count()
         compared = left.select("id").distinct().count()
         if linked:
@@ -258,10 +308,10 @@ def _components(signed: DataFrame, classes: DataFrame, threshold: float, minima:
             left = _crossing(left.select("band", "id"), labels, keep)
         if linked <= MEDOID_YIELD * compared:
             break
-    wanted = bounded_join(signed, left.select("id").distinct(), "id", "left_semi")
-    long = keep(wanted.select("id", "n_shingles", "bands", "shingles").mapInArrow(tidy(partial(_long_signatures, minima=LONG)), "id long, n_shingles long, bands array<long>, long binary"))
+    wanted = _among(signed.select("id", "n_shingles", "bands", "packed"), left)
+    long = keep(wanted.mapInArrow(tidy(partial(_long_signatures, size=size, minima=LONG)), "id long, n_shingles long, bands array<long>, long binary"))
     pairs = keep(crossing_pairs(left.join(long, "id"), threshold, LONG).join(tested, ["u", "v"], "left_anti"))
-    more = keep(confirm(pairs, signed, threshold, minima, keep))
+    more = keep(confirm(pairs, signed, size, threshold, minima, keep))
     return labels if more.isEmpty() else keep(merge_components(labels, more, keep))
 
 
@@ -272,9 +322,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: f
     with scratch(docs.sparkSession) as keep:
         every = keep(signatures(docs, id_col, text_col, size, bands, rows).withColumn("row", F.monotonically_increasing_id()))
         full = every.where("n_shingles > 0")
-        signed = full.select(F.col("row").alias("id"), "n_shingles", "bands", "signature", "shingles")
+        signed = full.select(F.col("row").alias("id"), "n_shingles", "bands", "signature", "packed")
         classes = keep(full.groupBy(*sets).agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
-        labels = _components(signed, classes, threshold, bands * rows, keep)
+        labels = _components(signed, classes, size, threshold, bands * rows, keep)
         sized = labels.join(classes.select(F.col("rep").alias("node"), "least"), "node")
         tops = keep(sized.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
         named = join_hot(labels, tops, ["component"], "n").select(F.col("node").alias("rep"), F.lit(True).alias("linked"), "component_id")

@@ -1,7 +1,9 @@
 """Corpus operators: edge cases of every operator, and brute force on a small table."""
 
 import hashlib
+import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,46 @@ def test_medoids_and_blocks_agree_with_all_pairs(spark):
     assert near_dedup.medoid_pairs(rows, 0.8, 128, block=100).count() == 8
 
 
+def test_near_dedup_writes_texts_and_moves_only_rows_that_are_asked(spark, tmp_path):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(2000))) for i in range(40)], "doc_id long, text string")
+    near_dedup.signatures(docs).write.option("compression", "none").parquet(f"{tmp_path}/signed")
+    written = sum(f.stat().st_size for f in (tmp_path / "signed").glob("*.parquet"))
+    assert written < 0.6 * docs.agg(F.sum(F.octet_length("text"))).first()[0]  # sets of 8 bytes a shingle took 1.2 times the text
+
+    ids = [0, 1, 2, 32767, 32768, 32769, 65536, (1 << 33) - 1, *((5 << 33) + 3 * k for k in range(40_000))]
+    rows = spark.createDataFrame([(i, str(i)) for i in sorted({*ids[:9], *(i + d for i in ids[:400] for d in (0, 1, 7))} | {(9 << 33) + 4})], "id long, name string")
+    asked = spark.createDataFrame([(i,) for i in ids + ids[:50]], "id long")
+    got = near_dedup._among(rows, asked)
+    assert got.columns == rows.columns and sorted(got.collect()) == sorted(rows.join(asked, "id", "left_semi").collect())
+    assert near_dedup._among(rows, asked.limit(0)).count() == 0
+
+    # a block's row carries a quarter of a byte for each minimum and its earlier bands; a pair comes from one band
+    bands = list(range(100, 132))
+    rows = spark.createDataFrame([(b, i, i, 10, bands, b"\x01" * (near_dedup.LONG // 4)) for i in range(9) for b in (100, 107, 131)], "band long, id long, label long, n_shingles long, bands array<long>, long binary")
+    pairs = near_dedup.crossing_pairs(rows, 0.8, near_dedup.LONG)
+    assert pairs.count() == 36
+    assert len(near_dedup._quarters(near_dedup._minima(np.arange(500, dtype=np.uint64) << np.uint64(33), *near_dedup._hashes(near_dedup.LONG, (17, 18)), 256))) == near_dedup.LONG // 4
+
+
+def test_pairs_are_confirmed_on_sets_of_packed_texts():
+    rng = random.Random(10)
+    word = lambda k: f"w{k}"
+    texts = {0: [word(k) for k in range(2403)], 1: ["Ünï", "x"], 2: ["ünï", "X", "x"]}
+    for i in range(3, 60):  # edited copies on both sides of the threshold
+        texts[i] = [w if rng.random() > (i - 3) / 500 else f"e{i}" for w in texts[0]]
+    texts[60] = [w for w in texts[0]][:1923]  # 1920 of 2400 shingles: 0.8
+    texts[61] = [w for w in texts[0]][:1922]
+    pairs = [(u, 0) for u in range(1, 62)] + [(2, 1), (60, 61), (61, 60), (5, 4)]
+    pack = lambda i: zlib.compress(" ".join(texts[i]).encode(), 1)
+    batch = pa.RecordBatch.from_pydict({"v": [v for _, v in pairs], "u": [u for u, _ in pairs], "packed_u": [pack(u) for u, _ in pairs], "packed_v": [pack(v) for _, v in pairs]})
+    got = [(r["u"], r["v"]) for out in near_dedup._linking([batch, batch.slice(0, 0)], 4, 80) for r in out.to_pylist()]
+    lowered = {i: lower(" ".join(t)).split(" ") for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} for i, w in lowered.items()}
+    assert got == [(u, v) for u, v in pairs if 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v])]
+    assert (60, 0) in got and (61, 0) not in got and 10 < len(got) < 60
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (100, 101)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
