@@ -232,9 +232,9 @@ def tokens(text: Column) -> Column:
     return F.filter(split_tokens(text), lambda w: w != "")
 
 
-def searchable(docs: DataFrame, columns: list[str], text: str, most: int = 2000) -> Column:
-    """The searchable text: the given columns and the first `most` characters of the text; nulls add nothing."""
-    return F.concat_ws(" ", *(F.col(c).cast("string") for c in columns), F.substring(F.col(text), 1, most))
+def searchable(docs: DataFrame, columns: list[str], text: str, most: int | None = None) -> Column:
+    """The searchable text: the given columns and the whole text, or its first `most` characters; nulls add nothing."""
+    return F.concat_ws(" ", *(F.col(c).cast("string") for c in columns), F.col(text) if most is None else F.substring(F.col(text), 1, most))
 
 
 def words_of(text: Column, stop: list[str] = STOP_WORDS) -> Column:

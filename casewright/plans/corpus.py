@@ -226,8 +226,8 @@ def indexed_text_ranks(spark, folder) -> DataFrame:
 
 @query()
 def stemmed_text_ranks(spark, folder) -> DataFrame:
-    """The same over title, category and text as one searchable text, with words of one Spanish stem as one term."""
-    f = T.files(spark, folder)
+    """The same over title, category and the whole text as one searchable text, with words of one Spanish stem as one term."""
+    f = T.file_texts(spark, folder)
     whole = f.select("file_id", X.searchable(f, ["kind", "category"], "text").alias("text"))
     return _by_index(spark, whole, stems=True, asked_of=f)
 

@@ -107,6 +107,11 @@ def files(spark, folder) -> DataFrame:
     return d.join(lab, "doc_id", "left").select(F.col("doc_id").alias("file_id"), F.col("source").alias("kind"), F.col("lang").alias("category"), F.col("text"), risk.alias("risk"), (F.col("doc_id") % 9 != 0).alias("is_active"))
 
 
+def file_texts(spark, folder) -> DataFrame:
+    """The columns of `files` that need no label: texts meet no other table."""
+    return read(spark, folder, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("kind"), F.col("lang").alias("category"), F.col("text"))
+
+
 def messages(spark, folder) -> DataFrame:
     c = read(spark, folder, "conversations")
     kind = F.when(F.col("role") == "user", "recibida").when(F.col("role") == "assistant", "enviada").otherwise("interna")
